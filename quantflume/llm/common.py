@@ -97,4 +97,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = after
     else:
         raise RuntimeError("components did not settle")
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    stars = now.union(now.select("v", "v"))  # by now each v is the least node of its component
+    return stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
