@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantflume.llm import packing, secrets, simhash
+from quantflume.llm import language, packing, secrets, simhash
 from quantflume.llm.common import table
+from quantflume.llm.neural import held_out
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -24,6 +25,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; see ``language.train`` and ``language.identify``."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents as counts and spans; see ``secrets.scan_secrets``."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
@@ -39,6 +47,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
     "op9_simhash": op9_simhash,
