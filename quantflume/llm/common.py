@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Code units of text handled at once inside a Python worker.
 BLOCK_CHARS = 1_500_000
@@ -65,6 +66,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def schema_with(df: DataFrame, **added: T.DataType) -> T.StructType:
+    """The schema of ``df`` with more columns at its end; all may be null."""
+    return T.StructType([*(T.StructField(f.name, f.dataType, True) for f in df.schema), *(T.StructField(k, v, True) for k, v in added.items())])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quantflume.llm.common import fresh, text_blocks
+from quantflume.llm.common import fresh, schema_with, text_blocks
 from quantflume.llm.neural import Adam, bounded_sample, held_out
 
 #: Bytes of a window: the network's state starts anew in each, in training and in use.
@@ -248,5 +249,5 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     picked = docs.select(*[F.col(f"`{c}`") for c in names])
     (work,) = fresh(picked, "lettered")
-    schema = picked.withColumn("lang_pred", F.lit("").cast("string")).withColumn("score", F.lit(0.0)).schema
+    schema = schema_with(picked, lang_pred=T.StringType(), score=T.DoubleType())
     return picked.withColumn(work, lettered).mapInArrow(run, schema)

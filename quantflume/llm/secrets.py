@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quantflume.llm.common import fresh, text_blocks
+from quantflume.llm.common import fresh, schema_with, text_blocks
 
 
 @dataclass(frozen=True)
@@ -251,6 +252,5 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
             old = rows.column(names.index(text_col))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([c if v else None for c, v in zip(clean, old.is_valid().to_pylist(), strict=True)], pa.string())], [*names, work])
 
-    schema = docs.select("*", F.lit("").cast("string").alias(work)).schema
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(run, schema_with(docs, **{work: T.StringType()}))
     return out.select(*[F.col(work).alias(c) if c == text_col else F.col(f"`{c}`") for c in names])

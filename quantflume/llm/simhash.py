@@ -177,7 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = grouped.groupBy("component").agg(F.min("least").alias("group_least"))
     named = grouped.join(least, "component").select("fingerprint", "group_least")
     named = classes.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("group_least", "least").alias("component_id"))
-    out = prints.join(named, "fingerprint")
+    # written first, so that the join's sides are two plain shuffles and a hot fingerprint's partition can be split
+    out = prints.join(cut_lineage(named), "fingerprint")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
