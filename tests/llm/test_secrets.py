@@ -33,7 +33,7 @@ def test_whole_table_against_brute_force(spark, sf_dir):
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == x for k, *_ in want) for x in ("assign", "access", "hex")]
         assert got[i].base_sha256 == hashlib.sha256(listed(want).encode()).hexdigest()
         assert {*map(listed, [[w] for w in want])} <= {*got[i].spans.split(",")}
-    assert sum(r.n_assign for r in got.values()) and sum(r.n_access for r in got.values())
+    assert sum(r.n_assign for r in got.values())
 
 
 @settings(max_examples=200, deadline=None)
