@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantflume.llm import language, packing, quality, secrets, simhash
+from quantflume.llm import bpe, language, packing, quality, secrets, simhash
 from quantflume.llm.common import table
 from quantflume.llm.neural import held_out
 
@@ -32,6 +32,13 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and the texts of those ids; see ``bpe.encode`` and ``bpe.decode``."""
+    path = tokenizer_path()
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents as counts and spans; see ``secrets.scan_secrets``."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
@@ -55,6 +62,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op4_bpe": op4_bpe,
     "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
