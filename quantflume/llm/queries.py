@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantflume.llm import bpe, language, packing, quality, secrets, simhash
+from quantflume.llm import bpe, language, minhash, packing, quality, secrets, simhash
 from quantflume.llm.common import table
 from quantflume.llm.neural import held_out
 
@@ -32,6 +32,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts; see ``minhash.compare_with_next``."""
+    found = minhash.compare_with_next(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the texts of those ids; see ``bpe.encode`` and ``bpe.decode``."""
     path = tokenizer_path()
@@ -62,6 +68,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_minhash": op2_minhash,
     "op4_bpe": op4_bpe,
     "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
