@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantflume.llm import bpe, language, minhash, packing, quality, secrets, simhash
+from quantflume.llm import bpe, language, minhash, packing, quality, secrets, simhash, substrings
 from quantflume.llm.common import table
 from quantflume.llm.neural import held_out
 
@@ -66,6 +66,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their repeated passages; see ``substrings.repeated_spans``."""
+    found = substrings.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_minhash": op2_minhash,
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
+    "op10_substrings": op10_substrings,
 }
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
