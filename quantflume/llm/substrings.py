@@ -150,7 +150,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seen = docs.select(F.col(key).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(find_anchors, "anchor long, key long")
-    repeated = seen.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written first, so that the join's sides are two plain shuffles and a very common anchor's partition can be split
+    repeated = cut_lineage(seen.groupBy("anchor").count().where("count > 1").select("anchor"))
     lists = cut_lineage(seen.join(repeated, "anchor", "left_semi").groupBy(F.col("key").alias(key)).agg(F.collect_set("anchor").alias(anchors_col)))
     dealt = docs.repartition(n, key)
     tagged = dealt.join(lists, key, "left")
