@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantflume.llm import bpe, language, minhash, packing, quality, secrets, simhash, substrings
+from quantflume.llm import bpe, language, minhash, packing, quality, secrets, simhash, substrings, vectors
 from quantflume.llm.common import table
 from quantflume.llm.neural import held_out
 
@@ -45,6 +45,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings; see ``vectors.near_duplicates``."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents as counts and spans; see ``secrets.scan_secrets``."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_minhash": op2_minhash,
     "op4_bpe": op4_bpe,
+    "op5_vectors": op5_vectors,
     "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
