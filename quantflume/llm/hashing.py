@@ -57,12 +57,12 @@ class Words:
         np.cumsum((data.astype(np.uint64) + U(1)) * power[: len(data)], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
 
-    def runs(self, n: int) -> np.ndarray:
-        """For each word the hash of the n words from it on; it means nothing where a text (or the block) ends before."""
+    def runs(self, n: int, salt: int = 0) -> np.ndarray:
+        """For each word the hash of the n words from it on; it means nothing where a text (or the block) ends before. Other salts give other hashes."""
         out = np.zeros(len(self.hash), dtype=np.uint64)
         if len(self.hash) >= n:
             # Horner's rule by doubling: the hash of 2k words from two of k words
-            have, size, left, done = self.hash, 1, n, None
+            have, size, left, done = mix(self.hash ^ U(salt)) if salt else self.hash, 1, n, None
             while left:
                 if left & 1:
                     if done is None:

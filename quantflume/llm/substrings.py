@@ -38,7 +38,7 @@ def sliding(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
 
 
 class Edges:
-    """The edges of a block of texts: ``at`` (first words), ``hash`` (long), ``anchor`` (long)."""
+    """The edges of a block of texts: ``at`` (first words), ``hash`` and ``anchor`` (longs); ``check``: a second hash."""
 
     def __init__(self, texts: list[str], window: int, anchor: int):
         self.words = w = Words(texts, lower=False)
@@ -63,6 +63,9 @@ class Edges:
         self.anchors = kmers[place].view(np.int64)
         self.anchor_doc = np.searchsorted(w.first, place, side="right") - 1
 
+    def check(self, picked: np.ndarray) -> np.ndarray:
+        return self.words.runs(self.window, salt=0x2545F4914F6CDD1D)[self.at[picked]].view(np.int64)
+
     def covered(self, keep: np.ndarray) -> np.ndarray:
         """Which words lie under the edges that ``keep`` picks."""
         change = np.zeros(self.n + 1, dtype=np.int64)
@@ -97,7 +100,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     One shuffle of the texts serves both passes over them (by a key made of the
     id); what is shuffled besides are anchors, edges of repeated anchors and
     the unique ones of those, all pre-aggregated. Keys may clash: lists hold
-    facts about the whole corpus, so that a stranger's list does no harm.
+    facts about the whole corpus, so that a stranger's list does no harm. Edges
+    are equal if two independent hashes of 64 bits are.
 
     Null texts have no words; null ids are keyed by their text; repeated rows
     are documents of their own, which repeat each other; an empty table gives
@@ -125,7 +129,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             asked = _among(e.anchor, _lists(rows, anchors_col))
             keys = rows.column(len(names)).to_numpy(zero_copy_only=False)
             doc = np.searchsorted(e.words.first, e.at[asked], side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(e.hash[asked]), pa.array(keys[doc])], ["edge", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(e.hash[asked]), pa.array(e.check(asked)), pa.array(keys[doc])], ["edge", "check", "key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_blocks(batches, text_col):
@@ -156,8 +160,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = docs.repartition(n, key)
     tagged = dealt.join(lists, key, "left")
     order = [*names, key, anchors_col]
-    edges = tagged.select(*order).where(F.col(anchors_col).isNotNull()).mapInArrow(find_edges, "edge long, key long")
-    unique = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("key")).where("n = 1")
+    edges = tagged.select(*order).where(F.col(anchors_col).isNotNull()).mapInArrow(find_edges, "edge long, check long, key long")
+    unique = edges.groupBy("edge", "check").agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("key")).where("n = 1")
     unique = unique.groupBy(F.col("key").alias(key)).agg(F.collect_list("edge").alias(unique_col))
     schema = schema_with(docs.select(*names), n_words=T.LongType(), spans=T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])), kept=T.StringType())
     assert order[at] == text_col
