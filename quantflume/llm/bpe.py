@@ -5,18 +5,20 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from quantflume.llm.common import fresh, schema_with, text_blocks
 
 #: Words, and white-space separated runs of them, kept with their ids in a worker; beyond it the caches start anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 350_000
 #: Arcs kept in a worker's table; beyond it the table is filled anew.
-CACHE_ARCS = 2_000_000
+CACHE_ARCS = 300_000
 
 
 class Automaton:
@@ -125,30 +127,22 @@ class Tokenizer:
         symbols = [i for t, i in vocab.items() if t not in made]
         self.machine = Automaton(symbols, [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs])
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels = np.full(max([*vocab.values(), *added.values()]) + 1, None, dtype=object)
-        for t, i in [*vocab.items(), *added.items()]:
-            self.labels[i] = t
         self.special = {t: i.to_bytes(4, "little") for t, i in added.items()}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.word_pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         hidden = [b for b in range(256) if b not in shown]
         self.byte_chars = {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
-        # the tokens as a trie over symbols: node -> symbol -> (node, token or -1)
-        self.trie: list[dict[str, list[int]]] = [{}]
+        # the live tokens as a trie over symbols: symbol -> (its symbols, token or -1)
+        self.trie: dict[str, tuple[dict, int]] = {}
         for t, i in vocab.items():
             if i in self.machine.live:
                 body = t[: len(t) - len(self.suffix)] if self.suffix and t.endswith(self.suffix) and len(t) > len(self.suffix) else t
-                spelled = [*body[:-1], body[-1] + t[len(body) :]]
-                node = 0
-                for k, s in enumerate(spelled):
-                    step = self.trie[node].get(s)
-                    if step is None:
-                        self.trie.append({})
-                        step = self.trie[node][s] = [len(self.trie) - 1, -1]
-                    if k + 1 == len(spelled):
-                        step[1] = i
-                    node = step[0]
+                node = self.trie
+                for s in body[:-1]:
+                    node = node.setdefault(s, ({}, -1))[0]
+                last = body[-1] + t[len(body) :]
+                node[last] = (node[last][0] if last in node else {}, i)
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {"": b""}
 
@@ -168,33 +162,36 @@ class Tokenizer:
         i, a, ways = 0, -1, None
         while i < n:
             if ways is None:
-                node, ways = trie[0], []
-                for j in range(i, n):
-                    step = node.get(symbols[j])
+                node, ways, j = trie, [], i
+                for c in symbols[i:] if i else symbols:
+                    step = node.get(c)
                     if step is None:
                         break
-                    if step[1] >= 0:
-                        ways.append((j + 1, step[1]))
-                    node = trie[step[0]]
-                    if not node:
-                        break
+                    node, x = step
+                    j += 1
+                    if x >= 0:
+                        ways.append((j, x))
             while ways:
                 j, x = ways.pop()
-                if j not in dead:
-                    has = True if a < 0 else arcs.get(a << 20 | x)
-                    if has or has is None and machine.arc(a, x):
-                        back.append((i, a, ways))
-                        path.append(x)
-                        i, a, ways = j, x, None
-                        break
+                if not dead or j not in dead:
+                    if a >= 0:
+                        has = arcs.get(a << 20 | x)
+                        if has is None:
+                            has = machine.arc(a, x)
+                        if not has:
+                            continue
+                    back.append((i, a, ways))
+                    path.append(x)
+                    i, a, ways = j, x, None
+                    break
             else:
                 if not back:  # a symbol outside the vocabulary; such symbols are dropped
-                    known = "".join(c if c in trie[0] else " " for c in word)
+                    known = "".join(c if c in trie else " " for c in word)
                     return b"".join(map(self.encode_word, filter(None, known.split(" ")))) if " " in known else b""
                 dead.add(i)
                 i, a, ways = back.pop()
                 path.pop()
-        return b"".join([x.to_bytes(4, "little") for x in path])
+        return pack(f"<{len(path)}I", *path)
 
     def _split(self, part: str) -> list[str]:
         """The words of a normalized text; one of Latin letters, or with '.' or ',' behind it, without a look at the pattern."""
@@ -237,39 +234,55 @@ class Tokenizer:
             out.append(b"".join(map(get, split)))
         return out
 
+
+class Labels:
+    """The labels of the arcs by id: all that decoding needs."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        named = [*spec["model"]["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]
+        self.table = np.full(max(i for _, i in named) + 1, None, dtype=object)
+        for t, i in named:
+            self.table[i] = t
+
     def decode(self, ids: np.ndarray) -> str:
         """The labels of the ids' arcs, joined by spaces as for a file without a decoder; unknown ids are skipped."""
-        ids = ids[(ids >= 0) & (ids < len(self.labels))]
-        return " ".join(filter(None, self.labels[ids].tolist()))
+        ids = ids[(ids >= 0) & (ids < len(self.table))]
+        return " ".join(filter(None, self.table[ids].tolist()))
 
 
-_loaded: dict[str, Tokenizer] = {}
+_loaded: dict[tuple[type, str], Tokenizer | Labels] = {}
 
 
-def tokenizer(path: str) -> Tokenizer:
-    """This worker's compiled tokenizer of a file."""
-    if path not in _loaded:
-        _loaded.clear()
-        _loaded[path] = Tokenizer(path)
-    return _loaded[path]
+def load(kind: type, path: str):
+    """This worker's one object of a kind, made from a tokenizer file."""
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``id_col`` and ``ids``, the token ids (array of int) of every whole text, without special tokens around it.
 
-    Null texts count as empty (no ids); null ids stay null; repeated rows give
-    a row each; an empty table gives no rows; other columns aren't read.
+    ``decoded``: also decode them again, as column ``decoded``. Null texts count
+    as empty (no ids); null ids stay null; repeated rows give a row each; an
+    empty table gives no rows; other columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_blocks(batches, "text"):
-            raw = tokenizer(path).encode(texts)
+            raw = load(Tokenizer, path).encode(texts)
             ends = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([rows.column(0), ids], ["id", "ids"])
+            ids = np.frombuffer(b"".join(raw), dtype="<i4")
+            out = [rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
+            if decoded:
+                labels = load(Labels, path)
+                out.append(pa.array([labels.decode(ids[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, ["id", "ids", "decoded"][: len(out)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decoded)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -279,16 +292,14 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
     Null arrays count as empty (an empty text); null and unknown ids are
     skipped. All rows and columns stay; a column named ``out_col`` is replaced.
     """
-    from pyspark.sql import types as T
-
     rows = rows.drop(out_col)
     (work,) = fresh(rows, out_col)
     at = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tok, column = tokenizer(path), batch.column(at)
-            texts = [tok.decode(column[k].values.drop_null().to_numpy(zero_copy_only=False)) if column[k].is_valid and len(column[k].values) else "" for k in range(batch.num_rows)]
+            labels, column = load(Labels, path), batch.column(at)
+            texts = [labels.decode(column[k].values.drop_null().to_numpy(zero_copy_only=False)) if column[k].is_valid and len(column[k].values) else "" for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, work])
 
     return rows.mapInArrow(run, schema_with(rows, **{work: T.StringType()}))

@@ -6,11 +6,12 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Code units of text handled at once inside a Python worker.
+#: Bytes of text handled at once inside a Python worker.
 BLOCK_CHARS = 1_500_000
 
 
@@ -50,9 +51,9 @@ def text_blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        for a, b in blocks(map(len, texts), limit):
-            yield batch.slice(a, b - a), texts[a:b]
+        column = batch.column(batch.schema.get_field_index(text))
+        for a, b in blocks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit):
+            yield batch.slice(a, b - a), [t or "" for t in column.slice(a, b - a).to_pylist()]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
