@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantflume.llm import bpe, language, minhash, packing, quality, secrets, simhash, substrings, vectors
+from quantflume.llm import bpe, language, licenses, minhash, packing, quality, secrets, simhash, substrings, vectors
 from quantflume.llm.common import table
 from quantflume.llm.neural import held_out
 
@@ -38,10 +38,22 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents as files; see ``licenses.scan_licenses``.
+
+    Documents have no paths, so they get some: folders of 200 and of 20 ids; in
+    each folder the first document is its LICENSE.
+    """
+    at = lambda n: (F.floor(F.col("doc_id") / n) * n).cast("string")
+    path = F.when(F.col("doc_id") % 200 == 0, F.concat_ws("/", at(200), F.lit("LICENSE"))).when(F.col("doc_id") % 20 == 0, F.concat_ws("/", at(200), at(20), F.lit("LICENSE")))
+    path = F.coalesce(path, F.concat_ws("/", at(200), at(20), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan_licenses(files)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of all documents and the texts of those ids; see ``bpe.encode`` and ``bpe.decode``."""
-    path = tokenizer_path()
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    """Ids of all documents and the texts of those ids; see ``bpe.encode``."""
+    done = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), decoded=True)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -81,6 +93,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_minhash": op2_minhash,
+    "op3_licenses": op3_licenses,
     "op4_bpe": op4_bpe,
     "op5_vectors": op5_vectors,
     "op6_secrets": op6_secrets,
