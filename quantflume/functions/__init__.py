@@ -1 +1 @@
-"""Part of quantflume; see the package README."""
+"""Column expressions and per-series features."""
