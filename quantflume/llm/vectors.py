@@ -11,7 +11,7 @@ from quantflume.llm.common import components, cut_lineage
 from quantflume.llm.simhash import forest
 
 #: Vectors that a cluster is planned for; clusters of over twice as many members are cut by hash.
-SHARD = 1024
+SHARD = 512
 #: Clusters that a vector belongs to: its nearest, its home, and so many in all.
 OVERLAP = 2
 #: Vectors of the sample that cluster centres are fitted on, in all.

@@ -32,12 +32,12 @@ def brute(rows, least=0.93):
     return {i: (links[i], root(i)) for i in links}
 
 
-@pytest.mark.parametrize("shard", [1024, 40])
+@pytest.mark.parametrize("shard", [512, 40])
 def test_whole_table_against_brute_force(spark, sf_dir, shard):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding, r.label) for r in table.collect()]
     df = queries.op5_vectors(spark, sf_dir)
-    if shard != 1024:  # with near copies planted
+    if shard != 512:  # with near copies planted
         rng = np.random.default_rng(3)
         rows += [(10_000 + k, (np.array(v) + 0.25 * rng.standard_normal(len(v)) * np.linalg.norm(v) / len(v) ** 0.5).tolist(), label) for k, (_, v, label) in enumerate(rows * 2)]
         df = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=shard)
