@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text handled at once inside a Python worker.
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 800_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

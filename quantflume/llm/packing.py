@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import os
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from quantflume.llm.common import text_blocks
 
 #: Words kept with their ids in a worker; beyond it the cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+#: ASCII signs that the tokenizer keeps together in a run (apostrophes may begin a word).
+SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Tokens packed together: bounds a worker's memory, whatever the input.
 SHARD_TOKENS = 1 << 22
 
@@ -42,9 +44,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = Known(self.learn)
         self.byte_chars = byte_chars()
-        self.ends = {"": b""} | {e: np.array(self.tokenizer.encode(e, add_special_tokens=False).ids, dtype="<u4").tobytes() for e in ".,"}
+        self.tails: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.id_bytes = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
 
     def _letters(self, word: str) -> bytes | None:
         """Ids of a word of Latin letters, straight from the merges; None if the word isn't one."""
@@ -59,34 +63,50 @@ class WordEncoder:
             if not low.isalpha():
                 return None
             low = low.encode().decode("latin-1").translate(self.byte_chars)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(low)])
-
-    def _learn(self, words: Iterable[str]) -> None:
-        """A word of letters, or one with '.' or ',' at its end, needs the merges only; others take the tokenizer's whole path."""
-        known, letters, rest = self.known, self._letters, []
-        for word in words:
-            stem, end = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
-            got = known.get(stem) if end and stem else None
-            if got is None or end and not stem[-1].isalpha():
-                got = letters(stem)
-            if got is None:
-                rest.append(word)
-            else:
-                known[stem] = got
-                known[word] = got + self.ends[end]
-        for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, dtype="<u4").tobytes()
+        table = self.id_bytes
+        return b"".join([table[t.id] for t in self.merge(low)])
+
+    def _tail(self, tail: str) -> bytes:
+        """Ids of a run of signs, which is a word of its own."""
+        got = self.tails.get(tail)
+        if got is None:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            got = self.tails[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return got
+
+    def learn(self, word: str) -> bytes:
+        """Letters need the merges only, signs behind them are a word of their own; other words take the tokenizer's whole path."""
+        stem = word.rstrip(SIGNS)
+        if len(stem) == len(word):
+            got = self._letters(word)
+        else:
+            got = self.known.get(stem) if stem.isalpha() else None
+            if got is None and stem:
+                got = self._letters(stem)
+            if got is not None:
+                got += self._tail(word[len(stem) :])
+        if got is None:
+            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            self._learn(new)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            self.known = Known(self.learn)
+        get = self.known.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+class Known(dict):
+    """Words' ids, learned when they are first asked for."""
+
+    def __init__(self, learn):
+        super().__init__({"": b""})
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        got = self[word] = self.learn(word)
+        return got
 
 
 _encoders: dict[str, WordEncoder] = {}
