@@ -1,49 +1,53 @@
 """Statistics over whole series and the scalings made from them.
 
 They look at all bars, past and future alike (labels and profiles need that);
-the causal versions are in ``series``. A series' few numbers come from one
-aggregate per symbol and join back by symbol, broadcast only where Spark's own
-size check allows.
+the causal versions are in ``series``. A symbol's few numbers are aggregates
+over its window, so that chains of layers stay one linear plan; nothing joins a
+table with itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantflume.functions.scalar import clip
 from quantflume.functions.series import KEY
 
 
+def over_all(value: Column, key: str = KEY) -> Column:
+    """An aggregate over all bars of the symbol, at every bar."""
+    return value.over(Window.partitionBy(key))
+
+
+def _median(x, key: str) -> Column:
+    return over_all(F.percentile(x, F.lit(0.5)), key)
+
+
 def quantiles(df: DataFrame, columns: dict[str, tuple[str, float]], key: str = KEY) -> DataFrame:
     """``df`` with each name -> (column, q): the linear-interpolated quantile over the symbol's bars."""
-    stats = df.groupBy(key).agg(*[F.percentile(c, F.lit(q)).alias(name) for name, (c, q) in columns.items()])
-    return df.join(stats, key)
+    return df.select("*", *[over_all(F.percentile(c, F.lit(q)), key).alias(name) for name, (c, q) in columns.items()])
 
 
 def robust_z(df: DataFrame, columns: dict[str, str], key: str = KEY) -> DataFrame:
     """``df`` with each name -> column: (x - median) / scale; scale is 1.4826 MAD, or the population deviation if that is 0, or 1."""
-    med = df.groupBy(key).agg(*[F.median(c).alias(f"_m_{n}") for n, c in columns.items()])
-    out = df.join(med, key)
-    mad = out.groupBy(key).agg(*[F.median(F.abs(F.col(c) - F.col(f"_m_{n}"))).alias(f"_d_{n}") for n, c in columns.items()], *[F.stddev_pop(c).alias(f"_s_{n}") for n, c in columns.items()])
-    out = out.join(mad, key)
+    df = df.select("*", *[_median(c, key).alias(f"_m_{n}") for n, c in columns.items()])
+    df = df.select("*", *[_median(F.abs(F.col(c) - F.col(f"_m_{n}")), key).alias(f"_d_{n}") for n, c in columns.items()], *[over_all(F.stddev_pop(c), key).alias(f"_s_{n}") for n, c in columns.items()])
     for n, c in columns.items():
         scale = F.when(F.col(f"_d_{n}") > 0, 1.4826 * F.col(f"_d_{n}")).otherwise(F.col(f"_s_{n}"))
         scale = F.when(scale.isNull() | (scale < 1e-9), 1.0).otherwise(scale)
-        out = out.withColumn(n, (F.col(c) - F.col(f"_m_{n}")) / scale)
-    return out.drop(*[f"_{k}_{n}" for k in "mds" for n in columns])
+        df = df.withColumn(n, (F.col(c) - F.col(f"_m_{n}")) / scale)
+    return df.drop(*[f"_{k}_{n}" for k in "mds" for n in columns])
 
 
 def robust_z_plain(df: DataFrame, columns: dict[str, str], key: str = KEY) -> DataFrame:
     """As ``robust_z`` by 0.6745 (x - median) / MAD, and 0 where the MAD is under 1e-12."""
-    med = df.groupBy(key).agg(*[F.median(c).alias(f"_m_{n}") for n, c in columns.items()])
-    out = df.join(med, key)
-    mad = out.groupBy(key).agg(*[F.median(F.abs(F.col(c) - F.col(f"_m_{n}"))).alias(f"_d_{n}") for n, c in columns.items()])
-    out = out.join(mad, key)
+    df = df.select("*", *[_median(c, key).alias(f"_m_{n}") for n, c in columns.items()])
+    df = df.select("*", *[_median(F.abs(F.col(c) - F.col(f"_m_{n}")), key).alias(f"_d_{n}") for n, c in columns.items()])
     for n, c in columns.items():
         d = F.col(f"_d_{n}")
-        out = out.withColumn(n, F.when(d.isNull() | (d < 1e-12), 0.0).otherwise(0.6745 * (F.col(c) - F.col(f"_m_{n}")) / F.when(d >= 1e-12, d)))
-    return out.drop(*[f"_{k}_{n}" for k in "md" for n in columns])
+        df = df.withColumn(n, F.when(d.isNull() | (d < 1e-12), 0.0).otherwise(0.6745 * (F.col(c) - F.col(f"_m_{n}")) / F.when(d >= 1e-12, d)))
+    return df.drop(*[f"_{k}_{n}" for k in "md" for n in columns])
 
 
 def winsorized(df: DataFrame, columns: dict[str, str], low: float = 0.005, high: float = 0.995, key: str = KEY) -> DataFrame:

@@ -107,12 +107,14 @@ def decayed_sums(df: DataFrame, alpha: float, **inputs: Column) -> DataFrame:
     for name, x in inputs.items():
         grown = F.coalesce(x, F.lit(0.0)) * F.pow(F.lit(keep), -F.col("_at"))
         out = out.withColumn(name, F.sum(grown).over(inside) * F.pow(F.lit(keep), F.col("_at")))
-    ends = out.groupBy(KEY, "_block").agg(*[F.max_by(name, TIME).alias(f"_{name}") for name in inputs])
-    w, q = Window.partitionBy(KEY).orderBy("_block"), keep**size
-    ends = ends.select(KEY, "_block", *[sum((q**k * F.coalesce(F.lag(f"_{name}", k + 1).over(w), F.lit(0.0)) for k in range(4)), F.lit(0.0)).alias(f"_{name}") for name in inputs])
-    out = out.join(ends, [KEY, "_block"])
+    # a block's first row sees the ends of the blocks before it at fixed distances
+    q, whole = keep**size, by_time()
     for name in inputs:
-        out = out.withColumn(name, F.col(name) + F.pow(F.lit(keep), F.col("_at") + 1) * F.col(f"_{name}"))
+        before = sum((q**k * F.coalesce(F.lag(name, k * size + 1).over(whole), F.lit(0.0)) for k in range(4)), F.lit(0.0))
+        out = out.withColumn(f"_{name}", F.when(F.col("_at") == 0, before))
+    for name in inputs:
+        carried = F.first(f"_{name}").over(inside)
+        out = out.withColumn(name, F.col(name) + F.pow(F.lit(keep), F.col("_at") + 1) * carried)
     return out.drop("_block", "_at", *[f"_{name}" for name in inputs])
 
 

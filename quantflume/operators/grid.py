@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantflume.functions import series
+from quantflume.functions.robust import over_all, quantiles
 from quantflume.functions.scalar import clip
 from quantflume.functions.series import KEY
 
@@ -33,8 +34,8 @@ def force_map(df: DataFrame, x: str = "E", y: str = "jerk", size: int = 40) -> D
     df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     fx, fy = series.difference(x), series.difference(y)
     df = df.withColumn("_fx", fx).withColumn("_fy", fy).withColumn("_fm", F.sqrt(F.col("_fx") ** 2 + F.col("_fy") ** 2))
-    span = df.groupBy(KEY).agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
-    df = df.join(span, KEY).withColumn("ix", next_line(F.col(x), F.col("_x0"), F.col("_x1"), size)).withColumn("iy", next_line(F.col(y), F.col("_y0"), F.col("_y1"), size))
+    df = df.select("*", *[over_all(f(c)).alias(n) for n, f, c in (("_x0", F.min, x), ("_x1", F.max, x), ("_y0", F.min, y), ("_y1", F.max, y))])
+    df = df.withColumn("ix", next_line(F.col(x), F.col("_x0"), F.col("_x1"), size)).withColumn("iy", next_line(F.col(y), F.col("_y0"), F.col("_y1"), size))
     cells = df.groupBy(KEY, "ix", "iy", "_x0", "_x1", "_y0", "_y1").agg(F.count(F.lit(1)).alias("n"), F.avg("_fx").alias("force_x"), F.avg("_fy").alias("force_y"), F.avg("_fm").alias("force_magnitude"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return cells.select(KEY, "ix", "iy", line(F.col("_x0"), F.col("_x1"), F.col("ix"), size).alias("E"), line(F.col("_y0"), F.col("_y1"), F.col("iy"), size).alias("jerk"), "n", *map(zero, ("force_x", "force_y", "force_magnitude")))
@@ -74,8 +75,7 @@ def alignment(df: DataFrame, cells: DataFrame, x: str = "E", y: str = "jerk", em
     if empty_is_one:
         cos = F.when(F.col("force_magnitude_local").isNull(), 1.0).otherwise(cos)
     df = df.withColumn("force_dot_move", dot).withColumn("force_alignment_cos", cos)
-    q = df.groupBy(KEY).agg(F.percentile("force_magnitude_local", F.lit(0.01)).alias("_lo"), F.percentile("force_magnitude_local", F.lit(0.99)).alias("_hi"))
-    df = df.join(q, KEY)
+    df = quantiles(df, {"_lo": ("force_magnitude_local", 0.01), "_hi": ("force_magnitude_local", 0.99)})
     inlier = F.coalesce((F.col("force_magnitude_local") >= F.col("_lo")) & (F.col("force_magnitude_local") <= F.col("_hi")), F.lit(False))
     df = df.withColumn("force_mag_inlier", inlier.cast("int"))
     df = df.withColumn("force_alignment_cos_live", F.when(inlier, F.coalesce("force_alignment_cos", F.lit(0.0))).otherwise(0.0))

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantflume.plans import backtest_queries, join_queries, series_queries
+from quantflume.plans import backtest_queries, join_queries, layer_queries, series_queries
 
-_MODULES = (series_queries, backtest_queries, join_queries)
+_MODULES = (series_queries, backtest_queries, join_queries, layer_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filled in with the first bar query."""
-    return QUERIES["returns_kinematics"](spark, sf_dir)
+    """Market states of the daily series by quantiles of the robust gap between price and its memory."""
+    return QUERIES["state_by_energy"](spark, sf_dir)
