@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quantflume.functions import series
 from quantflume.functions.scalar import clip
 from quantflume.operators import geometry, grid, layers, models, stats
+from quantflume.plans import chains
 from quantflume.plans.join_queries import b1h
 from quantflume.plans.oracle import DAILY, W, ema_sql, event_bars, frame, r
 from quantflume.plans.series_queries import B1H, KEYS, _V, rd
@@ -292,3 +293,29 @@ ORACLES = {
     "garch_filter": f"WITH RECURSIVE {DAILY}, rr AS (SELECT symbol, bar_ms, tanh(ln(close) - ln(open)) / 50 AS ret, row_number() OVER {W} AS n FROM daily), v0 AS (SELECT symbol, var_pop(ret) AS v FROM rr GROUP BY 1), g AS (SELECT rr.symbol, bar_ms, n, ret, v AS s2 FROM rr JOIN v0 USING (symbol) WHERE n = 1 UNION ALL SELECT x.symbol, x.bar_ms, x.n, x.ret, 1e-6 + 0.08 * g.ret * g.ret + 0.9 * g.s2 FROM g JOIN rr x ON x.symbol = g.symbol AND x.n = g.n + 1) SELECT symbol, bar_ms, {r('sqrt(s2)', 8)} AS sigma FROM g",
     "flow_design": f"WITH {B1H}, x AS (SELECT *, ln(close) - ln(lag(close) OVER {W}) AS rr, CASE WHEN volume > 0 THEN greatest(-1, least(1, 2 * taker_buy / volume - 1)) ELSE 0 END AS iota, ln(greatest(volume, 1e-12)) AS ell FROM b WHERE close > 0), y AS (SELECT *, rr / nullif(CASE WHEN count(rr) OVER {frame(-60, -1)} >= 30 THEN stddev_samp(rr) OVER {frame(-60, -1)} END, 0) AS z, atanh(greatest(-0.999, least(0.999, iota))) AS star FROM x), l AS (SELECT *, lag(star) OVER {W} AS sb, lag(ell) OVER {W} AS eb FROM y) SELECT symbol, bar_ms, {r('rr')} AS r, {r('z')} AS z, {r('star')} AS star, {r('ell')} AS ell, {r('sb')} AS star_before, {r('eb')} AS ell_before, rr IS NOT NULL AND z IS NOT NULL AND sb IS NOT NULL AND eb IS NOT NULL AS ok FROM l",
 }
+
+
+def offline_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine layers over the daily series."""
+    return chains.offline_chain(daily(spark, sf_dir), 60, (16, 16, 12))
+
+
+def live_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.live(daily(spark, sf_dir), 60, (16, 16, 12)).select(*KEYS, "terrain_state", "edge_signal", "edge_bucket", *chains.GEOMETRIC, "is_high_critical")
+
+
+def portfolio_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars.event_bars(spark, sf_dir, 15 * bars.MINUTE).where("close > 0")
+    return chains.three_sleeves(b, bars.funding(spark, sf_dir))["metrics"]
+
+
+def grid_vs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation and median error of grid curvatures at two resolutions."""
+    df = _coordinates(spark, sf_dir, 500).where("E_gauss is not null and jerk_gauss is not null and m_flux_gauss is not null and lam is not null").select(*KEYS, F.col("E_gauss").alias("c0"), F.col("jerk_gauss").alias("c1"), F.col("m_flux_gauss").alias("c2"), "lam")
+    both = chains.grid_against_exact(df, ["c0", "c1", "c2"], "lam", [(16, 16, 12), (24, 24, 16)])
+    rho = stats.spearman(both, "on_grid", "exact", "symbol", "grid")
+    err = both.groupBy("symbol", "grid").agg(F.median(F.abs(F.col("on_grid") - F.col("exact"))).alias("median_error"))
+    return rho.join(err, ["symbol", "grid"])
+
+
+QUERIES |= {f.__name__: f for f in (offline_chain, live_tail, portfolio_phase1, grid_vs_exact)}
