@@ -19,3 +19,18 @@ def session(app: str = "quantflume", master: str | None = None, **conf: str) ->
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, so that they need no installation of it."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_quantflume_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='quantflume-')}/quantflume", "zip", root.parent, root.name)
+    sc.addPyFile(made)
+    sc._quantflume_shipped = True
