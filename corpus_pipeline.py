@@ -20,7 +20,7 @@ from quantflume.llm.queries import tokenizer_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: Documents whose language is less sure than this are rejected, as are those without a letter.
-LEAST_SCORE = 0.35
+LEAST_SCORE = 0.25
 
 
 def _documents(docs: DataFrame) -> DataFrame:
