@@ -92,7 +92,7 @@ class Density:
 
     def reference_scores(self) -> np.ndarray:
         """Scores of one Gaussian fitted to the sample."""
-        return (self.x - self.x.mean(axis=0)) @ np.linalg.inv(np.cov(self.x, rowvar=False))
+        return (self.x - self.x.mean(axis=0)) @ np.linalg.pinv(np.cov(self.x, rowvar=False))
 
 
 def scott(n: int, d: int) -> float:
