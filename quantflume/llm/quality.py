@@ -54,7 +54,7 @@ def chunk_logits(p: dict[str, np.ndarray], pooled: np.ndarray) -> tuple[np.ndarr
     return f, h, h @ p["w2"] + p["b2"]
 
 
-def learn(docs: list[np.ndarray], y: np.ndarray, filters: int = 16, hidden: int = 8, steps: int = 500, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Model:
+def learn(docs: list[np.ndarray], y: np.ndarray, filters: int = 28, hidden: int = 12, steps: int = 1000, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Model:
     """Gradient descent on whole documents' probabilities: a document's log odds are its chunks' mean."""
     rng = np.random.default_rng(seed)
     p = {
@@ -104,7 +104,7 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
     return np.round(1 / (1 + np.exp(-np.clip(logit, -50, 50))), 9)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 700, each: int = 3, **how) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1500, each: int = 3, **how) -> Model | None:
     """A model from a bounded sample of the labelled documents that aren't held out.
 
     At most ``per_label`` labels of each value (0 and 1; others and nulls are
