@@ -233,12 +233,12 @@ def metrics(df: DataFrame, bars_per_year: float, by: list[str] | None = None, re
     years = F.col("n_bars") / bars_per_year
     sharpe = F.when(F.col("_sd") > 0, F.col("_mu") / F.col("_sd") * float(bars_per_year**0.5)).otherwise(0.0)
     zero = lambda x: F.when(alive, x).otherwise(0.0)
-    return agg.select(*by, "n_bars", zero(F.col("_end") - 1).alias("ret_total"), zero(F.pow("_end", 1 / F.greatest(years, F.lit(1e-9))) - 1).alias("ret_anual"), zero(sharpe).alias("sharpe"), zero(F.col("_dd")).alias("max_dd"))
+    return agg.select(*by, "n_bars", zero(F.col("_end") - 1).alias("ret_total"), zero(F.pow("_end", 1 / F.greatest(years, F.lit(1e-9))) - 1).alias("ret_annual"), zero(sharpe).alias("sharpe"), zero(F.col("_dd")).alias("max_dd"))
 
 
 def trade_metrics(done: DataFrame, cost: float) -> DataFrame:
     """Per symbol: number, share of winners, mean net return, mean gross return over cost."""
-    return done.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("net") > 0).cast("double")).alias("wr"), F.avg("net").alias("edge_medio"), (F.avg("gross") / cost).alias("edge_cost_ratio"))
+    return done.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), F.avg("net").alias("mean_net"), (F.avg("gross") / cost).alias("edge_cost_ratio"))
 
 
 def year(at: Column | str = TIME) -> Column:

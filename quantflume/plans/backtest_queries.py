@@ -41,7 +41,7 @@ def trade_return_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bt.trade_metrics(bt.trades(daily(spark, sf_dir), CFG), COST)
-    return out.select("symbol", "n", rd("wr", "wr"), rd("edge_medio", "edge_medio"), rd("edge_cost_ratio", "edge_cost_ratio", 4))
+    return out.select("symbol", "n", rd("win_rate", "win_rate"), rd("mean_net", "mean_net"), rd("edge_cost_ratio", "edge_cost_ratio", 4))
 
 
 def trend_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def portfolio_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def yearly_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bt.yearly(daily_ret(spark, sf_dir), PER_YEAR, CFG)
-    return out.select("symbol", "year", "n_bars", *[rd(c, c) for c in ("ret_total", "ret_anual", "sharpe", "max_dd")])
+    return out.select("symbol", "year", "n_bars", *[rd(c, c) for c in ("ret_total", "ret_annual", "sharpe", "max_dd")])
 
 
 def quarter_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ _EQ = f"{_RET}, eq0 AS (SELECT *, product(1 + ret) OVER {W} AS equity FROM ret),
 def _metrics(by: str, source: str) -> str:
     w = f"(PARTITION BY {by} ORDER BY bar_ms)"
     return f"""mq AS (SELECT *, product(1 + ret) OVER {w} AS e FROM {source}), mp AS (SELECT *, 1 - e / max(e) OVER {w} AS dd FROM mq),
-met AS (SELECT {by}, count(*) AS n_bars, last(e ORDER BY bar_ms) - 1 AS ret_total, pow(last(e ORDER BY bar_ms), 1 / (count(*) / {PER_YEAR})) - 1 AS ret_anual,
+met AS (SELECT {by}, count(*) AS n_bars, last(e ORDER BY bar_ms) - 1 AS ret_total, pow(last(e ORDER BY bar_ms), 1 / (count(*) / {PER_YEAR})) - 1 AS ret_annual,
   avg(ret) / stddev_samp(ret) * sqrt({PER_YEAR}) AS sharpe, max(dd) AS max_dd FROM mp GROUP BY {by})"""
 
 
@@ -172,7 +172,7 @@ ORACLES = {
     "entries": f"WITH {_ENTRIES} SELECT symbol, bar_ms, dir + 0.0 AS dir FROM num WHERE vol_regime AND dir <> 0 AND t2_start",
     "trades_nonoverlap": f"WITH RECURSIVE {_TRADES} SELECT symbol, signal_ms, entry_ms, exit_ms, dir + 0.0 AS dir, reason, {r('gross')} AS gross, {r('net')} AS net FROM trades",
     "trade_return_series": f"WITH RECURSIVE {_TRADES}, s AS (SELECT symbol, exit_ms, sum(net) AS net FROM trades GROUP BY ALL) SELECT d.symbol, d.bar_ms, {r('coalesce(net, 0)')} AS ret FROM daily d LEFT JOIN s ON s.symbol = d.symbol AND s.exit_ms = d.bar_ms",
-    "trade_metrics": f"WITH RECURSIVE {_TRADES} SELECT symbol, count(*) AS n, {r('avg((net > 0)::INTEGER)')} AS wr, {r('avg(net)')} AS edge_medio, {r(f'avg(gross) / {COST!r}', 4)} AS edge_cost_ratio FROM trades GROUP BY symbol",
+    "trade_metrics": f"WITH RECURSIVE {_TRADES} SELECT symbol, count(*) AS n, {r('avg((net > 0)::INTEGER)')} AS win_rate, {r('avg(net)')} AS mean_net, {r(f'avg(gross) / {COST!r}', 4)} AS edge_cost_ratio FROM trades GROUP BY symbol",
     "trend_signal": f"WITH {_TREND} SELECT symbol, bar_ms, {r('pos')} AS pos FROM sig",
     "trend_pnl": f"WITH {_TREND} SELECT symbol, bar_ms, {r('pos', 8)} AS pos, {r('gross', 8)} AS gross, {r('cost', 8)} AS cost, {r('net', 8)} AS net FROM pnl",
     "carry_state": f"WITH RECURSIVE {_CARRY} SELECT symbol, bar_ms, {r('ann')} AS annualized, pos AS in_pos, event FROM carry",
@@ -180,7 +180,7 @@ ORACLES = {
     "equity_drawdown": f"WITH {_EQ} SELECT symbol, bar_ms, {r('equity')} AS equity, {r('drawdown')} AS drawdown FROM eq",
     "circuit_breaker": f"WITH RECURSIVE {_BREAKER} SELECT symbol, bar_ms, was AS active, {r('out', 8)} AS ret_cb FROM br",
     "portfolio_combine": f"WITH RECURSIVE {_TRADES}, {_TREND_BODY}, s AS (SELECT symbol, exit_ms, sum(net) AS net FROM trades GROUP BY ALL), u AS (SELECT symbol, bar_ms, 0.5 * net AS w FROM pnl UNION ALL SELECT d.symbol, d.bar_ms, 0.3 * coalesce(s.net, 0) FROM daily d LEFT JOIN s ON s.symbol = d.symbol AND s.exit_ms = d.bar_ms) SELECT symbol, bar_ms, {r('sum(w)', 8)} AS ret FROM u GROUP BY ALL",
-    "yearly_gate": f"WITH {_RET}, y AS (SELECT *, {_YEAR} AS year FROM ret), {_metrics('symbol, year', 'y')} SELECT symbol, year, n_bars, {r('ret_total')} AS ret_total, {r('ret_anual')} AS ret_anual, {r('sharpe')} AS sharpe, {r('max_dd')} AS max_dd FROM met WHERE n_bars > 50",
+    "yearly_gate": f"WITH {_RET}, y AS (SELECT *, {_YEAR} AS year FROM ret), {_metrics('symbol, year', 'y')} SELECT symbol, year, n_bars, {r('ret_total')} AS ret_total, {r('ret_annual')} AS ret_annual, {r('sharpe')} AS sharpe, {r('max_dd')} AS max_dd FROM met WHERE n_bars > 50",
     "quarter_share": f"WITH {_RET}, {_QUARTERS} SELECT symbol, {r('total')} AS total, {r('max_share')} AS max_share FROM qshare",
     "gate_report": f"WITH RECURSIVE {_TRADES}, ret AS (SELECT symbol, bar_ms, tanh(ln(close) - ln(open)) / 50 AS ret FROM daily), {_QUARTERS}, y AS (SELECT *, {_YEAR} AS year FROM ret), {_metrics('symbol, year', 'y').replace('mq AS', 'yq AS').replace('FROM mq', 'FROM yq').replace('mp AS', 'yp AS').replace('FROM mp', 'FROM yp').replace('met AS', 'ymet AS')}, {_metrics('symbol', 'ret')}, yy AS (SELECT symbol, count(*) AS years, count(*) FILTER (sharpe >= 0.8) AS years_passed FROM ymet WHERE n_bars > 50 GROUP BY symbol), tm AS (SELECT symbol, avg(gross) / {COST!r} AS edge FROM trades GROUP BY symbol), g AS (SELECT met.symbol, n_bars, sharpe, max_dd, years_passed, years_passed >= least(4, years) AS ok_years, max_dd <= 0.2 AS ok_drawdown, total <= 0 OR max_share <= 0.6 AS ok_quarter, coalesce(edge, 0) >= 3 AS ok_edge FROM met JOIN qshare USING (symbol) LEFT JOIN yy USING (symbol) LEFT JOIN tm USING (symbol)) SELECT symbol, n_bars, {r('sharpe')} AS sharpe, {r('max_dd')} AS max_dd, years_passed, ok_years, ok_drawdown, ok_quarter, ok_edge, ok_years AND ok_drawdown AND ok_quarter AND ok_edge AS passed FROM g",
     "rolling_84d_band": f"WITH {_RET}, span AS (SELECT symbol, min(bar_ms) AS a, max(bar_ms) AS b FROM ret GROUP BY 1), grid AS (SELECT symbol, unnest(generate_series(a, b, 86400000)) AS bar_ms FROM span), g AS (SELECT symbol, bar_ms, coalesce(ret, 0) AS ret FROM grid LEFT JOIN ret USING (symbol, bar_ms)), w AS (SELECT symbol, CASE WHEN count(*) OVER {frame(-83, 0)} >= 84 THEN product(1 + ret) OVER {frame(-83, 0)} - 1 END AS band FROM g) SELECT symbol, count(band) AS windows, {r('quantile_cont(band, 0.05)')} AS p05, {r('quantile_cont(band, 0.5)')} AS p50, {r('quantile_cont(band, 0.95)')} AS p95 FROM w GROUP BY symbol",
