@@ -103,5 +103,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substrings": op10_substrings,
 }
 
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+#: The kinds of secrets as RE2 patterns with the group whose length counts and the least length, in the order of a tie.
+_KINDS = {
+    "assign": ("(" + "|".join(map(_either_case, ("password", "passwd", "secret", "token"))) + "|[aA][pP][iI]_?[kK][eE][yY]" + """)["\']?\\x20*[:=]\\x20*["\']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    "access": ("AKIA[A-Z0-9]+", 0, 18),
+    "hex": ("[0-9a-f]{16,}", 0, 16),
+    "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    "repo_token": ("gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    "chat_token": ("xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+}
+
+
+def _kind_sql(rank: int, kind: str) -> str:
+    """All matches of a kind with their places: what lies between them has the lengths of the text's pieces."""
+    pattern, group, least = _KINDS[kind]
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, i, list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS a, length(whole[i]) AS n
+FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {quoted}) AS whole, regexp_extract_all(text, {quoted}, {group}) AS part, string_split_regex(text, {quoted}) AS pieces FROM d))
+WHERE length(part[i]) >= {least}"""
+
+
+_BASE = ("assign", "access", "hex")
+
 #: DuckDB SQL of the queries that SQL can express over whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_secrets": "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ("
+    + " UNION ALL ".join(_kind_sql(k, kind) for k, kind in enumerate(_KINDS))
+    + "), s AS (SELECT doc_id, rank, kind, a::BIGINT AS a, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS x FROM m) SELECT d.doc_id, "
+    + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _BASE)
+    + ", sha256(coalesce(string_agg(x, ',' ORDER BY a, rank) FILTER (kind IN ('assign', 'access', 'hex')), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY a, rank), '') AS spans FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id",
+    "op10_substrings": """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM p),
+r AS (SELECT doc_id, i FROM g WHERE g IN (SELECT g FROM g GROUP BY g HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM r),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d),
+y AS (SELECT x.doc_id, count(*) FILTER (c.k IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY x.k) FILTER (c.k IS NULL) AS kept FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.k = x.k GROUP BY x.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y ON y.doc_id = d.doc_id""",
+}
