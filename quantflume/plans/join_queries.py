@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantflume.functions import series
+from quantflume.functions import robust, series
 from quantflume.operators import asof, grid, stats
 from quantflume.plans.oracle import DAILY, W, event_bars, r
 from quantflume.plans.series_queries import B15, B1H, B4H, KEYS, _V, b15, rd
@@ -134,8 +134,6 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prefix_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Causal features don't change when later bars come in; global ones do."""
-    from quantflume.functions import robust
-
     def features(df: DataFrame) -> DataFrame:
         df = df.withColumn("v", series.pct_change("close")).withColumn("lam", series.rigidity("v"))
         return robust.robust_z(df, {"z": "close"})
@@ -165,6 +163,29 @@ def partial_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("symbol").agg(rd(F.corr("r_close_res", "r_volume_res"), "rho"))
 
 
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of clicks and of purchases: in both, in either, in the first only."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", bars.floor_ms(bars.ms(F.col("ts")), bars.HOUR).alias("bar_ms"))
+    a, b = (e.where(F.col("event_type") == t).select("bar_ms") for t in ("click", "purchase"))
+    parts = {"both": a.intersect(b), "either": a.unionByName(b).distinct(), "first_only": a.distinct().exceptAll(b.distinct())}
+    out = [df.select(F.lit(n).alias("kind"), "bar_ms") for n, df in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def top_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 users whose hourly closes spread most: a report of the largest."""
+    out = robust.summary(bars.event_bars(spark, sf_dir, bars.HOUR, by_user=True), "close").where("n > 5")
+    return out.select("symbol", rd("std", "std")).orderBy(F.desc("std"), "symbol").limit(25)
+
+
+def parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even bars beside the odd ones that follow them."""
+    df = bars.daily_bars(spark, sf_dir).withColumn("n", F.row_number().over(series.by_time()) - 1)
+    a = df.where("n % 2 = 0").select("symbol", (F.col("n") / 2).cast("long").alias("t"), F.col("close").alias("close_even"))
+    b = df.where("n % 2 = 1").select("symbol", ((F.col("n") - 1) / 2).cast("long").alias("t"), F.col("close").alias("close_odd"))
+    return a.join(b, ["symbol", "t"]).select("symbol", "t", rd("close_even", "close_even"), rd("close_odd", "close_odd"))
+
+
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty bars of each symbol: a sample is the feature here."""
     return stats.sample_by_hash(bars.daily_bars(spark, sf_dir), 50, 7).select(*KEYS)
@@ -175,12 +196,12 @@ def oof_r2_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.fold_r2(df, ["close", "volume", "v"], "next").select("symbol", "n", rd("r2", "r2"))
 
 
-QUERIES = {f.__name__: f for f in (asof_nearest, asof_inject, asof_tail_align, common_timestamps, force_field_map, force_alignment, alignment_summary, bilinear_lookup, spearman, autocorr_lag1, circular_shift_p, mc_rank_p, position_matched_mean, column_profile, duplicate_columns, value_counts, prefix_invariance, field_equation, simple_regression, partial_rank_correlation, hash_sample, oof_r2_gbt)}
+QUERIES = {f.__name__: f for f in (asof_nearest, asof_inject, asof_tail_align, common_timestamps, force_field_map, force_alignment, alignment_summary, bilinear_lookup, spearman, autocorr_lag1, circular_shift_p, mc_rank_p, position_matched_mean, column_profile, duplicate_columns, value_counts, prefix_invariance, field_equation, simple_regression, partial_rank_correlation, set_operations, top_changed, parity_join, hash_sample, oof_r2_gbt)}
 
 _OTHER = f"{B4H.replace('b AS', 'b4 AS')}, o AS (SELECT symbol, bar_ms + 3000000 AS bar_ms, close, volume FROM b4)"
 _NEAR = f"{B15}, {_OTHER}, j AS (SELECT b.symbol, b.bar_ms, b.open, b.close, o.bar_ms AS o_ms, o.close AS oc, o.volume AS ov, row_number() OVER (PARTITION BY b.symbol, b.bar_ms ORDER BY abs(o.bar_ms - b.bar_ms), o.bar_ms) AS n FROM b JOIN o USING (symbol))"
 
-_MAP = f"""{_KIN}, mv AS (SELECT *, E - lag(E) OVER {W} AS fx, jerk - lag(jerk) OVER {W} AS fy FROM kin),
+_MAP_BODY = f"""mv AS (SELECT *, E - lag(E) OVER {W} AS fx, jerk - lag(jerk) OVER {W} AS fy FROM kin),
 sp AS (SELECT symbol, min(E) AS x0, max(E) AS x1, min(jerk) AS y0, max(jerk) AS y1 FROM kin GROUP BY 1),
 lines AS (SELECT symbol, k, CASE WHEN k = 39 THEN x1 ELSE x0 + k * ((x1 - x0) / 39) END AS gx, CASE WHEN k = 39 THEN y1 ELSE y0 + k * ((y1 - y0) / 39) END AS gy FROM sp, range(40) t(k)),
 cx AS (SELECT m.symbol, m.bar_ms, min(k) AS ix FROM mv m JOIN lines l ON l.symbol = m.symbol AND l.gx >= m.E GROUP BY ALL),
@@ -188,8 +209,9 @@ cy AS (SELECT m.symbol, m.bar_ms, min(k) AS iy FROM mv m JOIN lines l ON l.symbo
 fm0 AS (SELECT symbol, ix, iy, count(*) AS n, coalesce(avg(fx), 0) AS force_x, coalesce(avg(fy), 0) AS force_y, coalesce(avg(sqrt(fx * fx + fy * fy)), 0) AS force_magnitude FROM mv JOIN cx USING (symbol, bar_ms) JOIN cy USING (symbol, bar_ms) GROUP BY ALL),
 fm AS (SELECT f.*, a.gx AS E, c.gy AS jerk FROM fm0 f JOIN lines a ON a.symbol = f.symbol AND a.k = f.ix JOIN lines c ON c.symbol = f.symbol AND c.k = f.iy)"""
 
-_ALIGN = f"""{_MAP},
-ax AS (SELECT m.symbol, m.bar_ms, arg_min(e.E, (abs(m.E - e.E), e.E)) AS ce FROM mv m JOIN (SELECT DISTINCT symbol, E FROM fm) e ON e.symbol = m.symbol GROUP BY ALL),
+_MAP = f"{_KIN}, {_MAP_BODY}"
+
+_ALIGN_BODY = """ax AS (SELECT m.symbol, m.bar_ms, arg_min(e.E, (abs(m.E - e.E), e.E)) AS ce FROM mv m JOIN (SELECT DISTINCT symbol, E FROM fm) e ON e.symbol = m.symbol GROUP BY ALL),
 ay AS (SELECT m.symbol, m.bar_ms, arg_min(e.jerk, (abs(m.jerk - e.jerk), e.jerk)) AS cj FROM mv m JOIN (SELECT DISTINCT symbol, jerk FROM fm) e ON e.symbol = m.symbol GROUP BY ALL),
 al0 AS (SELECT m.symbol, m.bar_ms, coalesce(m.fx, 0) AS dx, coalesce(m.fy, 0) AS dy, f.force_x AS lx, f.force_y AS ly, f.force_magnitude AS lm
   FROM mv m JOIN ax USING (symbol, bar_ms) JOIN ay USING (symbol, bar_ms) LEFT JOIN fm f ON f.symbol = m.symbol AND f.E = ce AND f.jerk = cj),
@@ -197,6 +219,7 @@ al1 AS (SELECT *, sqrt(dx * dx + dy * dy) AS dm, lx * dx + ly * dy AS dot FROM a
 al2 AS (SELECT *, CASE WHEN lm * dm > 1e-12 THEN greatest(-1, least(1, dot / (lm * dm))) END AS cos FROM al1),
 alq AS (SELECT symbol, quantile_cont(lm, 0.01) AS lo, quantile_cont(lm, 0.99) AS hi FROM al2 GROUP BY 1),
 al AS (SELECT al2.*, coalesce(lm >= lo AND lm <= hi, false) AS inl, CASE WHEN coalesce(lm >= lo AND lm <= hi, false) THEN coalesce(cos, 0) ELSE 0 END AS live FROM al2 JOIN alq USING (symbol))"""
+_ALIGN = f"{_MAP}, {_ALIGN_BODY}"
 
 
 def _stats_sql(name: str, x: str) -> str:
@@ -235,4 +258,7 @@ WITH {B15}, m AS (SELECT median(close) AS med FROM b), d AS (SELECT med, median(
     "field_equation": f"WITH {DAILY}, s AS (SELECT symbol, sum(close * open + high * low) AS gt, sum(open * open + low * low) AS tt, sum(close * close + high * high) AS gg FROM daily GROUP BY 1) SELECT symbol, {r('gt / tt')} AS kappa, {r('1 - (gg - gt * gt / tt) / gg')} AS r2 FROM s",
     "simple_regression": f"WITH {DAILY} SELECT symbol, {r('regr_slope(close, volume)')} AS slope, {r('regr_intercept(close, volume)', 4)} AS intercept, {r('regr_r2(close, volume)')} AS r2 FROM daily GROUP BY symbol",
     "partial_rank_correlation": f"WITH {DAILY}, k AS (SELECT symbol, isodow(make_timestamp(bar_ms * 1000)) AS s, {_RANK.format('close')} AS c, {_RANK.format('volume')} AS v, {_RANK.format('open')} AS o FROM daily), d AS (SELECT symbol, c - avg(c) OVER w AS c, v - avg(v) OVER w AS v, o - avg(o) OVER w AS o FROM k WINDOW w AS (PARTITION BY symbol, s)), f AS (SELECT symbol, sum(o * c) / sum(o * o) AS bc, sum(o * v) / sum(o * o) AS bv FROM d GROUP BY 1) SELECT symbol, {r('corr(c - bc * o, v - bv * o)')} AS rho FROM d JOIN f USING (symbol) GROUP BY symbol",
+    "set_operations": "WITH e AS (SELECT event_type AS t, (epoch_ms(ts) // 3600000) * 3600000 AS bar_ms FROM events), a AS (SELECT bar_ms FROM e WHERE t = 'click'), b AS (SELECT bar_ms FROM e WHERE t = 'purchase') SELECT 'both' AS kind, * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'either', * FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'first_only', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)",
+    "top_changed": f"WITH {event_bars('b', 3600000, 'CAST(user_id AS VARCHAR)')} SELECT symbol, {r('stddev_pop(close)')} AS std FROM b GROUP BY symbol HAVING count(close) > 5 ORDER BY std DESC, symbol LIMIT 25",
+    "parity_join": f"WITH {DAILY}, n AS (SELECT *, row_number() OVER {W} - 1 AS n FROM daily) SELECT a.symbol, a.n // 2 AS t, {r('a.close')} AS close_even, {r('b.close')} AS close_odd FROM n a JOIN n b ON a.symbol = b.symbol AND b.n = a.n + 1 WHERE a.n % 2 = 0",
 }

@@ -9,7 +9,7 @@ from quantflume.functions import series
 from quantflume.functions.scalar import clip
 from quantflume.operators import geometry, grid, layers, models, stats
 from quantflume.plans import chains
-from quantflume.plans.join_queries import b1h
+from quantflume.plans.join_queries import _ALIGN_BODY, _MAP_BODY, b1h
 from quantflume.plans.oracle import DAILY, W, ema_sql, event_bars, frame, r
 from quantflume.plans.series_queries import B1H, KEYS, _V, rd
 from quantflume.sources import bars
@@ -80,7 +80,7 @@ def _edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores times a thousand million are whole enough to compare."""
+    """Expected value times alignment, with its gates and direction."""
     out = _edge(spark, sf_dir)
     return out.select(*KEYS, rd("edge_score", "edge_score", 8), "edge_valid_long", "edge_valid_short", "edge_strong_long", "edge_strong_short", "edge_direction", F.col("edge_signal").cast("int").alias("edge_signal"), "edge_bucket")
 
@@ -261,6 +261,9 @@ ev2 AS (SELECT *, """ + ", ".join(f"CASE WHEN sum({s}) OVER {_F200} >= 10 THEN c
   CASE WHEN count(*) OVER {_F200} >= 10 THEN avg(sl) OVER {_F200} ELSE 0 END AS prob_long, CASE WHEN count(*) OVER {_F200} >= 10 THEN avg(ss) OVER {_F200} ELSE 0 END AS prob_short FROM ev1),
 ev AS (SELECT *, prob_long * ev_long_1 + prob_short * ev_short_1 AS evs FROM ev2)"""
 
+_EDGE = f"""{_EV}, kin AS (SELECT symbol, bar_ms, e_gap AS E, jerk FROM inp), {_MAP_BODY}, {_ALIGN_BODY},
+ed AS (SELECT ev.symbol, ev.bar_ms, evs, cos, coalesce(evs * cos, 0) AS sc FROM ev JOIN al USING (symbol, bar_ms))"""
+
 _log = lambda x: f"CASE WHEN ({x}) IS NULL THEN NULL ELSE least(50, ln(1 + greatest(0, {x}))) END"
 _SING = f"""{B1H}, s0 AS (SELECT *, {_V} AS v0 FROM b), s1 AS (SELECT *, 1 / (CASE WHEN count(v0) OVER {frame(-29, 0)} >= 10 THEN stddev_samp(v0) OVER {frame(-29, 0)} END + 1e-6) AS lam FROM s0),
 s2 AS (SELECT symbol, bar_ms, close AS c, volume AS u, greatest(-50, least(50, v0)) AS v, lam FROM s1 WHERE lam IS NOT NULL),
@@ -286,6 +289,7 @@ ORACLES = {
     "terrain_score": f"WITH {_TER} SELECT symbol, bar_ms, {r('z_disp', 4)} AS z_disp, {r('z_gn', 4)} AS z_curv, {r('z_basin', 4)} AS z_basin, {r('z_hy', 4)} AS z_hyst, {r('raw', 4)} AS transition_score_raw, {r('score', 4)} AS transition_score FROM ter",
     "terrain_state": f"WITH {_TER}, sq AS (SELECT quantile_cont(score, 0.5) AS q1, quantile_cont(score, 0.8) AS q2, quantile_cont(score, 0.93) AS q3 FROM ter) SELECT symbol, bar_ms, {_STATE.format('score')} AS terrain_state FROM ter, sq",
     "expected_value": f"WITH {_EV} SELECT symbol, bar_ms, sl AS signal_long, ss AS signal_short, " + ", ".join(f"{r(f'ev_{s}_{k}')} AS ev_{s}_{k}" for s in ("long", "short") for k in (1, 3, 5)) + f", {r('prob_long')} AS prob_long, {r('prob_short')} AS prob_short, {r('evs', 8)} AS expected_value_score FROM ev",
+    "edge_signal": f"WITH {_EDGE} SELECT symbol, bar_ms, {r('sc', 8)} AS edge_score, coalesce(evs > 0 AND cos > 0.25, false)::INTEGER AS edge_valid_long, coalesce(evs > 0 AND cos < -0.25, false)::INTEGER AS edge_valid_short, coalesce(evs > 0 AND cos > 0.5, false)::INTEGER AS edge_strong_long, coalesce(evs > 0 AND cos < -0.5, false)::INTEGER AS edge_strong_short, CASE WHEN sc > 0 THEN 'LONG' WHEN sc < 0 THEN 'SHORT' ELSE 'NEUTRAL' END AS edge_direction, sign(sc)::INTEGER AS edge_signal, CASE WHEN sc <> 0 THEN 'ACTIVE' ELSE 'NEUTRAL' END AS edge_bucket FROM ed",
     "singularity_scores": f"WITH {_SING} SELECT symbol, bar_ms, {r('t1')} AS sing_rigidity, {r('t2')} AS sing_curvature, {r('t3')} AS sing_stress, {r('t4')} AS sing_gravity, {r('sing')} AS singularity_score, {r('crit')} AS criticality_score, {r('sz')} AS singularity_z, {r('s01')} AS singularity_01, {r('1 / (1 + exp(-sz))')} AS singularity_prob, {r('cz')} AS criticality_z, {r('c01')} AS criticality_01, {r('1 / (1 + exp(-cz))')} AS criticality_prob, {r('grav')} AS field_gravity FROM sz",
     "dominant_type": f"WITH {_SING}, o AS (SELECT *, list_sort([t1, t2, t3, t4]) AS l FROM sz) SELECT symbol, bar_ms, CASE WHEN l[3] > 0 AND l[4] / l[3] < 1.12 THEN 'compound' WHEN t1 = l[4] THEN 'rigidity' WHEN t2 = l[4] THEN 'curvature' WHEN t3 = l[4] THEN 'stress' ELSE 'gravity' END AS singularity_type FROM o",
     "stage": f"WITH {_SING} SELECT symbol, bar_ms, CASE WHEN sing >= s99 THEN 'singularity_extreme' WHEN sing >= s95 THEN 'singularity' WHEN crit >= c95 THEN 'criticality' ELSE 'normal' END AS stage, (sing >= s90)::INTEGER AS singularity_alert_q90, (sing >= s95)::INTEGER AS singularity_alert_q95, (sing >= s99)::INTEGER AS singularity_alert_q99, (crit >= c95)::INTEGER AS criticality_alert_q95, (abs(rs) >= r95)::INTEGER AS ricci_alert, (abs(grav) >= g95)::INTEGER AS gravity_alert, (gn >= e95)::INTEGER AS einstein_alert, (crit >= 0.7)::INTEGER AS is_high_critical, (crit >= 0.9)::INTEGER AS is_extreme_critical FROM sz",
@@ -295,6 +299,51 @@ ORACLES = {
 }
 
 
+def existence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean |dF| of a series' geometry against that of surrogate series, by family; replicas are symbols of one scan."""
+    base = daily(spark, sf_dir).where("symbol = 'R'").withColumn("r", F.tanh(F.log("close") - F.log("open")) / 50)
+    reps = models.surrogates(base, "r", replicas=3, rounds=20).withColumn("symbol", F.concat_ws("|", "kind", F.col("replica").cast("string")))
+    own = base.select(F.lit("own").alias("symbol"), "bar_ms", F.col("r").alias("ret"))
+    paths = reps.select("symbol", "bar_ms", "ret").unionByName(own)
+    paths = paths.withColumn("close", 100 * F.exp(F.sum("ret").over(series.by_time())))
+    df = series.rank_causal(layers.motion(paths), ["E", "jerk", "m_flux"], 500, 160)
+    scan = geometry.delta_f(geometry.causal_scan(df, ["E_gauss", "jerk_gauss", "m_flux_gauss"], None, window=500, refit=120, every=40))
+    value = scan.groupBy("symbol").agg(F.avg(F.abs("dF")).alias("v"))
+    kind = F.split("symbol", "[|]")[0]
+    seen = value.where("symbol = 'own'").select(F.explode(F.array(*map(F.lit, ("shuffle", "spectrum", "garch")))).alias("kind"), "v")
+    return stats.replica_test(seen, value.where("symbol <> 'own'").select(kind.alias("kind"), "v"), "v", "kind")
+
+
+def flow_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geometry in order-flow coordinates of a synthetic series, freed of what position alone explains."""
+    df = models.design_rows(models.synthetic(spark, "flow", 2500, [1, 2])).withColumn("nu", series.relative_activity("volume", 500, 160))
+    df = series.rank_causal(df, ["z", "star", "nu"], 500, 160)
+    scan = geometry.delta_f(geometry.causal_scan(df, ["z_gauss", "star_gauss", "nu_gauss"], None, window=500, refit=120, every=20)).where("dF is not null")
+    a, b = scan.where("symbol = 'flow1'").withColumn("symbol", F.lit("flow")), scan.where("symbol = 'flow2'").withColumn("symbol", F.lit("flow"))
+    return stats.position_matched(a, b, "mahalanobis", "dF")
+
+
+def speed_measurability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of the speeds from even and from odd bars."""
+    df = models.synthetic(spark, "planted", 4000, [1, 2], step=40)
+    a, b = (models.evaluations(df, 400, 40, 4.0, split=s, target=False).select("symbol", "t", F.col("v_flow").alias(f"v_{s}")) for s in ("even", "odd"))
+    return stats.spearman(a.join(b, ["symbol", "t"]), "v_even", "v_odd")
+
+
+def speed_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of seeds whose speed test passes at 5 %, without and with a planted regime."""
+    parts = []
+    for planted in (False, True):
+        ev = models.evaluations(models.synthetic(spark, "planted", 3000, list(range(6)), step=40, planted=planted), 400, 40, 4.0)
+        parts.append(models.speed_test(ev, "hour", list(range(10, 50))).select(F.lit(planted).alias("planted"), "p"))
+    return parts[0].unionByName(parts[1]).groupBy("planted").agg(F.count(F.lit(1)).alias("seeds"), F.avg((F.col("p") <= 0.05).cast("double")).alias("passed"))
+
+
+def uneven_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speeds with the window cut at a quarter from its end."""
+    return models.evaluations(models.synthetic(spark, "planted", 3000, [3], step=40), 400, 40, 4.0, halves=0.75)
+
+
 def offline_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nine layers over the daily series."""
     return chains.offline_chain(daily(spark, sf_dir), 60, (16, 16, 12))
@@ -318,4 +367,4 @@ def grid_vs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rho.join(err, ["symbol", "grid"])
 
 
-QUERIES |= {f.__name__: f for f in (offline_chain, live_tail, portfolio_phase1, grid_vs_exact)}
+QUERIES |= {f.__name__: f for f in (existence, flow_gate, speed_measurability, speed_calibration, uneven_halves, offline_chain, live_tail, portfolio_phase1, grid_vs_exact)}
