@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+class Groups:
+    """Which of n local nodes are already connected; keeps as many links as connect them, not all there are."""
+
+    def __init__(self, n: int):
+        self.labels = np.arange(n)
+
+    def join(self, node: int, others: np.ndarray) -> np.ndarray:
+        """Connects ``node`` with ``others``; returns the few of them that needed a link for it."""
+        labels, first = np.unique(self.labels[others], return_index=True)
+        own = self.labels[node]
+        new = labels != own
+        if new.any():
+            self.labels[np.isin(self.labels, labels[new])] = own
+        return others[first[new]]
+
+
 def schema_with(df: DataFrame, **added: T.DataType) -> T.StructType:
     """The schema of ``df`` with more columns at its end; all may be null."""
     return T.StructType([*(T.StructField(f.name, f.dataType, True) for f in df.schema), *(T.StructField(k, v, True) for k, v in added.items())])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantflume.llm.common import components, cut_lineage, fresh, text_blocks
+from quantflume.llm.common import Groups, components, cut_lineage, fresh, text_blocks
 
 #: Fingerprint bits are counted in lanes of so many; a tile holds fingerprints of equal lane counts.
 LANE_BITS = 16
@@ -88,32 +88,21 @@ def partner_cells(cell, radius: int) -> F.Column:
     return F.array_compact(F.array(*found))
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in a, in b) of all fingerprints within the radius."""
-    left, right = [], []
-    for k in range(0, len(a), block):
-        i, j = np.nonzero(np.bitwise_count(a[k : k + block, None] ^ b[None, :]) <= radius)
-        left.append(i + k)
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links: as many rows as nodes at most, however many links."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent[p]
-            x = p
-        return x
-
-    out = []
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[ra] = rb
-            out.append((a, b))
+def tile_links(a: np.ndarray, b: np.ndarray, radius: int, block: int = 512) -> list[tuple[int, int]]:
+    """Links between different fingerprints of two tiles within the radius, a spanning forest of all there are.
+
+    Every pair is compared, a block of rows at a time; a row's matches are
+    merged at once, so that memory doesn't grow with the links.
+    """
+    groups, n, out = Groups(len(a) + len(b)), len(a), []
+    for k in range(0, n, block):
+        near = np.bitwise_count(a[k : k + block, None] ^ b[None, :]) <= radius
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            match = np.flatnonzero(near[i])
+            x = a[k + i]
+            if len(match) == 1 and b[match[0]] == x:
+                continue  # itself, in a tile compared with itself
+            out += [(int(x), int(b[j - n])) for j in groups.join(k + i, match + n).tolist() if b[j - n] != x]
     return out
 
 
@@ -145,13 +134,10 @@ def links(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
             for k in range(batch.num_rows):
                 a = batch.column(0)[k].values.to_numpy().view(np.uint64)
                 b = batch.column(1)[k].values.to_numpy().view(np.uint64)
-                i, j = near_pairs(a, b, radius)
-                if len(i):
-                    i, j = a[i].view(np.int64), b[j].view(np.int64)
-                    for x, y in forest(i[i != j], j[i != j]):
-                        found_a.append(x)
-                        found_b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+                for x, y in tile_links(a, b, radius):
+                    found_a.append(x)
+                    found_b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(f, dtype=np.uint64).view(np.int64)) for f in (found_a, found_b)], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 

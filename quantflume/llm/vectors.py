@@ -7,8 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantflume.llm.common import components, cut_lineage
-from quantflume.llm.simhash import forest
+from quantflume.llm.common import Groups, components, cut_lineage
 
 #: Vectors that a cluster is planned for; clusters of over twice as many members are cut by hash.
 SHARD = 512
@@ -310,16 +309,16 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
             near.append(at[ids[at] == own])
         graph_ = connected(x.astype(np.float32), near) if len(ids) > 1 else near
         found = shard_links(x, graph_, _unit(asking["vec"]), least)
-        links, left, right = {}, [], []
-        for q, n, seat, got in zip(asking["class"].tolist(), asking["n"].tolist(), asking["clusters"].tolist(), found, strict=True):
+        links, tree, groups = {}, [], Groups(len(ids) + len(asking))
+        own_at = np.searchsorted(ids, asking["class"].to_numpy())
+        for k, (q, n, seat, got) in enumerate(zip(asking["class"].tolist(), asking["n"].tolist(), asking["clusters"].tolist(), found, strict=True)):
             got = got[ids[got] != q]
             links[q] = links.get(q, 0) + int(weight[got].sum())
-            left += [q] * len(got)
-            right += ids[got].tolist()
+            inside = own_cut and ids[own_at[k]] == q
+            tree += [(q, int(ids[j])) for j in groups.join(int(own_at[k]) if inside else len(ids) + k, got).tolist()] if len(got) else []
             for j in got[home[got] != cluster].tolist():
                 if home[j] not in seat:  # that one's own search doesn't meet q
                     links[int(ids[j])] = links.get(int(ids[j]), 0) + n
-        tree = forest(np.array(left, dtype=np.int64), np.array(right, dtype=np.int64))
         a = [*links, *(t[0] for t in tree)]
         b = [None] * len(links) + [t[1] for t in tree]
         return pd.DataFrame({"a": a, "b": pd.array(b, dtype="Int64"), "links": [*links.values(), *[0] * len(tree)]})

@@ -37,13 +37,27 @@ def test_whole_table_against_brute_force(spark, sf_dir):
     assert len(set(groups.values())) < len(groups)
 
 
-def test_tiles_find_every_pair():
+def test_tile_links_connect_what_brute_force_does():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    near = base[rng.integers(0, 40, 200)] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
-    i, j = simhash.near_pairs(near, base, 2)
-    want = {(a, b) for a in range(200) for b in range(40) if int(near[a] ^ base[b]).bit_count() <= 2}
-    assert set(zip(i.tolist(), j.tolist())) == want
+    near = np.unique(base[rng.integers(0, 40, 300)] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)))
+    for a, b in ((near, np.unique(base)), (near, near)):
+        links = simhash.tile_links(a, b, 2, block=64)
+        assert all(x != y and (x ^ y).bit_count() <= 2 for x, y in links)
+        group = {int(x): int(x) for x in [*a, *b]}
+
+        def root(x):
+            while group[x] != x:
+                x = group[x]
+            return x
+
+        for x, y in links:
+            group[root(x)] = root(y)
+        for x in a.tolist():
+            for y in b.tolist():
+                if (x ^ y).bit_count() <= 2:
+                    assert root(x) == root(y)
+        assert len(links) < len(a) + len(b)
 
 
 def test_small_tiles_give_the_same_groups(spark):
