@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-import pytest
 
 from quantflume.llm import language, queries
 

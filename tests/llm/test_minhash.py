@@ -1,7 +1,6 @@
 import hashlib
 
 import numpy as np
-import pytest
 
 from quantflume.llm import minhash, queries
 from quantflume.llm.hashing import Words

@@ -1,7 +1,6 @@
-import hashlib
 
 import corpus_pipeline
-from quantflume.llm import language, secrets
+from quantflume.llm import secrets
 from tests.llm.test_packing import check
 from tests.llm.test_secrets import brute as secret_spans
 from tests.llm.test_simhash import brute_fingerprint, brute_groups
