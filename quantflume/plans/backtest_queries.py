@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quantflume.operators import backtest as bt
 from quantflume.plans.oracle import DAILY, FUNDING, W, ewm_sql, frame, r
-from quantflume.plans.series_queries import _BURST, _REGIME, _V, KEYS, _roll, rd
+from quantflume.plans.series_queries import _BURST, _REGIME, _V, KEYS, rd
 from quantflume.sources import bars
 
 #: The daily series are shorter than two thousand bars of regime.
