@@ -1,4 +1,3 @@
-
 import corpus_pipeline
 from quantflume.llm import secrets
 from tests.llm.test_packing import check
