@@ -19,9 +19,6 @@ from quantflume.llm.queries import tokenizer_path
 #: Columns of documents; n_chars follows the text.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: Documents whose language is less sure than this are rejected, as are those without a letter.
-LEAST_SCORE = 0.25
-
 
 def _documents(docs: DataFrame) -> DataFrame:
     """The columns of documents with ``n_chars`` counted from the text (null: null)."""
@@ -32,15 +29,17 @@ def _documents(docs: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are in no learned language; ``lang`` stays as given.
 
-    The network learns from the labelled rows of ``docs``. Null, empty and
-    letterless texts are undetermined and go. Without labels nothing can be
+    The network learns from the labelled rows of ``docs``, and from stand-ins
+    for texts of other languages, scripts and junk; what is likelier such a
+    text, beyond the limit calibrated on the label's training windows, goes.
+    Null, empty and letterless texts are undetermined and go. Without labels nothing can be
     told from anything, and only those without a letter go.
     """
-    model = language.train(docs)
+    model = language.train(docs, rejects=True)
     if not model.labels:
         return _documents(docs.where(F.col("text").rlike(r"\p{L}")))
     found = language.identify(docs.select(*COLUMNS), model)
-    return _documents(found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)))
+    return _documents(found.where(F.col("lang_pred") != language.UNDETERMINED))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

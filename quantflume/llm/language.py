@@ -27,10 +27,14 @@ class Model:
 
     ``e``: input part of the gates by byte (257: padding), ``u``: recurrent
     part; columns are update, reset and candidate, each of the hidden size.
+
+    ``limits``: the output layer has a last column, for text in none of the
+    labels; a document is rejected whose share of it exceeds its best label's limit.
     """
 
     labels: list[str]
     params: dict[str, np.ndarray]
+    limits: np.ndarray | None = None
 
     @property
     def hidden(self) -> int:
@@ -132,7 +136,7 @@ class Runner:
 
     def __init__(self, model: Model):
         h, p = model.hidden, model.params
-        self.h, self.k = h, len(model.labels)
+        self.h, self.k = h, p["w"].shape[1]
         f = lambda a: np.ascontiguousarray(a, dtype=np.float32)
         self.e = [[f(p[f"e{d}"][:, a * h : (a + 1) * h] * (0.5 if a < 2 else 1)) for a in range(3)] for d in range(2)]
         self.u = [[f(p[f"u{d}"][:, a * h : (a + 1) * h] * (0.5 if a < 2 else 1)) for a in range(3)] for d in range(2)]
@@ -201,6 +205,42 @@ def predict(runner: Runner, texts: list[str]) -> np.ndarray:
     return out
 
 
+#: Ranges of letters of other scripts.
+_SCRIPTS = ((0xE0, 0xFF), (0x100, 0x17F), (0x370, 0x3FF), (0x400, 0x45F), (0x590, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0x3041, 0x3096), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+_KEYS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef")
+
+
+def stand_in(text: str, kind: int, rng: np.random.Generator) -> str:
+    """A text of no learned language, of the shape of ``text``."""
+    if kind < 2:  # another language in the same letters: vowels for vowels, consonants for consonants
+        swap = {a: b for group in ("aeiouy", "bcdfghjklmnpqrstvwxz") for a, b in zip(group, rng.permutation(list(group)).tolist(), strict=True)}
+        swap |= {a.upper(): b.upper() for a, b in swap.items()}
+        return "".join(swap.get(c, c) for c in text)
+    if kind == 2:  # letters in any order
+        return "".join(rng.permutation(list(text)).tolist())
+    if kind < 5:  # another script, and one read in the wrong encoding
+        low, high = _SCRIPTS[rng.integers(len(_SCRIPTS))]
+        out = "".join(chr(int(rng.integers(low, high))) if c.isalpha() else c for c in text)
+        return out if kind == 3 else out.encode().decode("latin-1")
+    keys, spaced = _KEYS[rng.integers(len(_KEYS))], rng.random() < 0.5
+    return "".join(c if spaced and c == " " else keys[rng.integers(len(keys))] for c in text)
+
+
+def learn_with_rejects(x: np.ndarray, y: np.ndarray, labels: list[str], hidden: int = 16, seed: int = 7, quantile: float = 0.995, **how) -> Model:
+    """A model with one more class, learned from a stand-in for each training window.
+
+    Each label's limit is the ``quantile`` of the share its own training windows
+    give the class, 0.5 at least, so that few of its texts are rejected however little was learned.
+    """
+    rng, width = np.random.default_rng(seed), x.shape[1]
+    texts = [bytes(row[row < 256].astype(np.uint8)).decode("utf-8", "ignore") for row in x]
+    others = [windows((stand_in(t, k % 6, rng) or "?").encode("utf-8")[:width], width) for k, t in enumerate(texts)]
+    model = learn(np.concatenate([x, *others]), np.concatenate([y, np.full(len(x), len(labels))]), [*labels, UNDETERMINED], hidden, seed=seed, **how)
+    sums, counts = Runner(model).pooled(x)
+    share = sums[:, -1] / np.maximum(counts, 1)
+    return Model(labels, model.params, np.array([max(0.5, np.quantile(share[y == k], quantile)) for k in range(len(labels))]))
+
+
 def training_windows(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, each: int, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """A bounded sample for training: ``each`` windows, at places set by hash, of ``per_label`` documents of each label."""
     usable = docs.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(label_col).cast("string").alias("label"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -215,15 +255,16 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, label_col: str
     return x, np.array([labels.index(r.label) for r in rows]), labels
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 300, each: int = 2, **how) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 300, each: int = 2, rejects: bool = False, **how) -> Model:
     """A model of the labels of ``docs`` from a bounded sample of the documents that aren't held out.
 
     At most ``per_label`` documents of each label, ``each`` windows of a
     document (so 64 * per_label * each windows of 128 bytes reach the driver).
-    Without labelled texts the model knows no label.
+    Without labelled texts the model knows no label. With ``rejects`` it also
+    learns to tell texts that are in none of the labels.
     """
     x, y, labels = training_windows(docs, id_col, text_col, label_col, per_label, each)
-    return learn(x, y, labels, **how) if labels else Model([], {})
+    return (learn_with_rejects if rejects else learn)(x, y, labels, **how) if labels else Model([], {})
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,7 +272,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     The network labels every byte's position; a document's probabilities are
     the mean over its positions. Null texts and texts without a letter are
-    ``und`` with score 0, as is everything if the model knows no label. Other
+    ``und`` with score 0, as is everything if the model knows no label, and
+    what a model with limits rejects. Other
     columns and all rows stay; columns named like the two new ones are replaced.
     """
     names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
@@ -242,7 +284,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for rows, texts in text_blocks(batches, text_col):
             ok = np.array(rows.column(len(names)).to_pylist(), dtype=bool)
             prob = predict(runner, texts) if runner else np.zeros((len(texts), 1))
-            best, ok = prob.argmax(axis=1), ok & bool(runner)
+            ok &= bool(runner)
+            if model.limits is not None:
+                prob, none = prob[:, :-1], prob[:, -1]
+                ok &= none <= model.limits[prob.argmax(axis=1)]
+            best = prob.argmax(axis=1)
             label = [model.labels[b] if o else UNDETERMINED for b, o in zip(best.tolist(), ok.tolist(), strict=True)]
             score = np.where(ok, np.clip(prob.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(label, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quantflume.llm import secrets
 from tests.llm.test_packing import check
@@ -58,3 +60,26 @@ def test_stages_take_odd_tables(spark):
         assert stage(spark, docs.limit(0), "").collect() == []
         got = stage(spark, docs, "").collect()
         assert got
+
+
+#: Lettered texts in none of the languages of documents.
+ELSEWHERE = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "zh": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "misread": "Все люди рождаются свободными и равными".encode().decode("latin-1"),
+    "keyboard": "asdf jkl; qwer uiop zxcv bnm, hjkl fghj dfgh sdfg wert tyui xcvb nmqw poiu lkjh mnbv asdfgh qwerty zxcvbn",
+    "base64": "T3XqB9zVx0KpLw7mQ2RjY8sHd4GfUa1NcEbIoZtW5yPk6Ml+vJ/Xr3CnSgDhFuAeKqOiTzVbYwPx8Lm0Rj",
+}
+
+
+def test_other_languages_and_junk_go(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(10**9 + k, t, None, name, len(t)) for k, (name, t) in enumerate(ELSEWHERE.items())]
+    planted = docs.select(*corpus_pipeline.COLUMNS).union(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    left = corpus_pipeline.identify_language(spark, planted, sf_dir).select("doc_id", "source").collect()
+    assert [r.source for r in left if r.doc_id >= 10**9] == []
+    lettered = docs.where(F.col("text").rlike(r"\p{L}")).count()
+    assert sum(r.doc_id < 10**9 for r in left) >= 0.995 * lettered
