@@ -170,12 +170,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """One row of each near-duplicate group: that of the smallest id. All columns stay.
 
-    Null ids come last: such a row stays only in a group without other ids. Of
-    rows that repeat the kept id within its group one stays. Empty tables stay
-    empty; texts may be null (they are copies of each other).
+    Null ids come last: such a row stays only in a group without other ids.
+    Rows are told apart by id and text, so different texts under one id, or
+    without one, go by their own groups. Of rows with the kept id in a group
+    the least MD5 of the text stays (null first), and one of those that repeat
+    it. Empty tables stay empty; texts may be null (they are copies of each other).
     """
-    mark, n = fresh(docs, "qf_id", "qf_rows")
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, radius)
-    keep = cut_lineage(found.where(F.col("component_id").eqNullSafe(F.col(id_col))).groupBy(F.col(id_col).alias(mark)).agg(F.count(F.lit(1)).alias(n)))
-    out = docs.join(keep, docs[id_col].eqNullSafe(F.col(mark)), "left_semi")
-    return out if keep.where(F.col(n) > 1).isEmpty() else out.dropDuplicates([id_col])
+    key, mark, n = fresh(docs, "qf_key", "qf_mark", "qf_rows")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit("")).alias("text")))
+    found = near_duplicates(keyed.select(key, text_col), key, text_col, radius)
+    keep = cut_lineage(found.where(F.col("component_id") == F.col(key)).groupBy(F.col(key).alias(mark)).agg(F.count(F.lit(1)).alias(n)))
+    out = keyed.join(keep, F.col(key) == F.col(mark), "left_semi")
+    return (out if keep.where(F.col(n) > 1).isEmpty() else out.dropDuplicates([key])).drop(key)

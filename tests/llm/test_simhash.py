@@ -85,3 +85,17 @@ def test_edge_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 7, 9]
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
     assert simhash.keep_one_each(docs.limit(0)).collect() == []
+
+
+def test_keeps_each_group_whatever_its_ids(spark):
+    fox, sea, ore = ("the quick brown fox jumps over a lazy dog today", "ships sail far across seven cold and stormy seas", "miners dig iron ore from deep under green hills")
+    schema = "doc_id long, text string"
+
+    def kept(rows):
+        return sorted(map(tuple, simhash.keep_one_each(spark.createDataFrame(rows, schema)).collect()), key=str)
+
+    assert kept([(None, fox), (None, sea), (None, fox)]) == sorted([(None, fox), (None, sea)], key=str)
+    assert kept([(5, fox), (5, sea)]) == sorted([(5, fox), (5, sea)])
+    # 7 heads the group of ore, and isn't the head of that of fox
+    assert kept([(5, fox), (7, fox), (7, ore), (None, ore), (9, ore)]) == sorted([(5, fox), (7, ore)])
+    assert kept([(3, fox), (3, fox), (None, sea), (None, ore), (None, fox)]) == sorted([(3, fox), (None, sea), (None, ore)], key=str)
