@@ -45,14 +45,15 @@ def tokens(text: str) -> list[str]:
 class Matcher:
     """TF-IDF vectors of the templates, and the best cosine of a text's windows to them.
 
-    ``df``: in how many of ``n`` texts of the corpus a template's word occurs;
-    other words count as occurring in none. Only cosines of ``least`` or more
-    are sure to be found.
+    ``df``: in how many of ``n`` texts of the corpus a word occurs. Words that
+    are neither there nor in a template weigh 1, the least of any word, so that
+    no window scores less than with their counts. Only cosines of ``least`` or
+    more are sure to be found.
     """
 
     def __init__(self, templates: dict[str, list[str]], df: dict[str, int], n: int, least: float):
-        self.other = log(1 + n) + 1
-        self.idf = {w: log((1 + n) / (1 + df.get(w, 0))) + 1 for t in templates.values() for notice in t for w in tokens(notice)}
+        self.other, self.least = 1.0, least
+        self.idf = {w: log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary(templates) | df.keys()}
         self.vectors = []
         for name, notices in templates.items():
             for notice in notices:
@@ -73,23 +74,39 @@ class Matcher:
         norm = sqrt(sum((c * self.idf.get(w, self.other)) ** 2 for w, c in count.items()))
         return sum(c * self.idf[w] * v[w] for w, c in count.items() if w in v) / norm if norm else 0.0
 
-    def best(self, line: str) -> tuple[float, str | None]:
-        """The best (cosine, name) over all windows of a line that are as long as a template."""
+    def scores(self, line: str) -> Iterator[tuple[float, str, list[str]]]:
+        """(cosine, name, window) of all windows of a line that are as long as a template."""
         words = tokens(line)
-        top: tuple[float, str | None] = (0.0, None)
         if self.heavy.isdisjoint(words):
-            return top
+            return
         for name, size, v in self.vectors:
             if v.keys().isdisjoint(words):
                 continue
             for a in range(max(1, len(words) - size + 1)):
                 window = words[a : a + size]
                 if not v.keys().isdisjoint(window):
-                    c = self.cosine(window, v)
-                    if c > top[0] + 1e-12:
-                        top = (c, name)
+                    yield self.cosine(window, v), name, window
+
+    def best(self, line: str) -> tuple[float, str | None]:
+        """The best (cosine, name) over all windows of a line."""
+        top: tuple[float, str | None] = (0.0, None)
+        for c, name, _ in self.scores(line):
+            if c > top[0] + 1e-12:
+                top = (c, name)
         return top
 
+    def uncounted(self, text: str) -> set[str]:
+        """Words without a count in windows that may reach ``least``."""
+        found: set[str] = set()
+        low = text.lower()
+        if any(w in low for w in self.heavy):
+            for line in low.split("\n"):
+                if any(w in line for w in self.heavy):
+                    for c, _, window in self.scores(line):
+                        if c >= self.least - 1e-9:
+                            found.update(w for w in window if w not in self.idf)
+        return found
+
     def scan(self, text: str) -> tuple[float, str | None, int]:
         """Best (cosine, name) of a whole text's lines, and the line's number (-1: none)."""
         best, where = (0.0, None), -1
@@ -104,16 +121,19 @@ class Matcher:
         return *best, where
 
 
-def corpus_counts(files: DataFrame, text_col: str, templates: dict[str, list[str]]) -> tuple[dict[str, int], int]:
-    """In how many texts each of the templates' words occurs, and the number of texts; counted over all of them."""
-    vocabulary = {w for t in templates.values() for notice in t for w in tokens(notice)}
+def vocabulary(templates: dict[str, list[str]]) -> set[str]:
+    return {w for t in templates.values() for notice in t for w in tokens(notice)}
+
+
+def corpus_counts(files: DataFrame, text_col: str, words: set[str]) -> tuple[dict[str, int], int]:
+    """In how many texts each of ``words`` occurs, and the number of texts; counted over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
         for _, texts in text_blocks(batches, "text"):
             count[""] += len(texts)
             for text in texts:
-                count.update(vocabulary.intersection(tokens(text)))
+                count.update(words.intersection(tokens(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
     rows = files.select(files[text_col].cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
@@ -121,6 +141,26 @@ def corpus_counts(files: DataFrame, text_col: str, templates: dict[str, list[str
     return df, df.pop("", 0)
 
 
+def document_frequencies(files: DataFrame, text_col: str, templates: dict[str, list[str]], least: float) -> tuple[dict[str, int], int]:
+    """``corpus_counts`` of every word that any cosine of ``least`` or more can depend on.
+
+    These are the templates' words, and all words of windows that reach
+    ``least`` when words outside the templates weigh as little as they can:
+    their true weights only lower a cosine.
+    """
+    df, n = corpus_counts(files, text_col, vocabulary(templates))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, found = Matcher(templates, df, n, least), set()
+        for _, texts in text_blocks(batches, "text"):
+            for text in texts:
+                found |= matcher.uncounted(text)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
+
+    words = {r.word for r in files.select(files[text_col].cast("string").alias("text")).mapInArrow(run, "word string").distinct().collect()}
+    return (df | corpus_counts(files, text_col, words)[0] if words else df), n
+
+
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = 0.7) -> DataFrame:
     """``files`` without text, with own and inherited licences.
 
@@ -142,7 +182,7 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     templates = templates or TEMPLATES
     new = ("own_license", "own_score", "own_line", "license", "inherited_from")
     files = files.drop(*new)
-    df, n = corpus_counts(files, text_col, templates)
+    df, n = document_frequencies(files, text_col, templates, least)
     rest = [c for c in files.columns if c != text_col]
     folder, base = fresh(files, "qf_dir", "qf_base")
 

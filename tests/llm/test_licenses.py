@@ -89,3 +89,21 @@ def test_edge_rows(spark):
     assert out.columns == ["path", "own_license", "own_score", "own_line", "license", "inherited_from"]
     assert sorted(r.own_license or "" for r in out.collect()) == ["", "", "MIT"]
     assert licenses.scan_licenses(df.limit(0)).collect() == []
+
+
+def true_cosine(line, notice, texts):
+    """TF-IDF cosine of two lines, every word counted over all texts."""
+    docs = [set(licenses.tokens(t)) for t in texts]
+    a, b = ({w: c * (log((1 + len(docs)) / (1 + sum(w in d for d in docs))) + 1) for w, c in Counter(licenses.tokens(x)).items()} for x in (line, notice))
+    return sum(x * b.get(w, 0) for w, x in a.items()) / sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+
+def test_every_word_counts_over_the_corpus(spark):
+    notice, line = "Released under the MIT License", "Released here under the MIT License"
+    for n in (100, 2000):
+        texts = ["it was here and the work was under it"] * (n - n // 50) + [notice] * (n // 50 - 1) + [line]
+        rows = [(f"d/{k}", t) for k, t in enumerate(texts)]
+        got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}[f"d/{n - 1}"]
+        # the best window of the template's five words, whichever of the two it is
+        want = max(true_cosine(" ".join(line.split()[a : a + 5]), notice, texts) for a in range(2))
+        assert got.own_license == "MIT" and abs(got.own_score - want) < 1e-6
