@@ -39,24 +39,49 @@ def local_attractor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attractor(spark, sf_dir).select(*KEYS, *[rd(n, n, 5) for n in names])
 
 
-def _terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terrain of the symbol R: densities of whole series are quadratic in its bars."""
-    df = _attractor(spark, sf_dir).where("symbol = 'R' and bar_ms >= 915148800000")
-    return layers.terrain_score(layers.density_layer(df))
+#: The bars that the SQL of global_density, terrain_score and terrain_state is given for.
+_OF_SQL = "symbol = 'R' and bar_ms >= 915148800000"
 
 
-def global_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _attractor(spark, sf_dir).where("symbol = 'R' and bar_ms >= 915148800000")
+def _density(df: DataFrame) -> DataFrame:
     out = layers.density_layer(df)
     return out.select(*KEYS, *[rd(n, n, 5) for n in ("log_density", "grad_logp_E", "grad_logp_jerk", "curvature", "basin_depth")], *[rd(n, n, 3) for n in ("hessian_trace", "hessian_maxeig_abs")])
 
 
+def _score(df: DataFrame) -> DataFrame:
+    return layers.terrain_score(layers.density_layer(df)).select(*KEYS, *[rd(n, n, 4) for n in ("z_disp", "z_curv", "z_basin", "z_hyst", "transition_score_raw", "transition_score")])
+
+
+def _state(df: DataFrame) -> DataFrame:
+    return layers.terrain_score(layers.density_layer(df)).select(*KEYS, "terrain_state")
+
+
+def global_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the bars of its SQL, R from 1999 on; ``global_density_whole`` has all."""
+    return _density(_attractor(spark, sf_dir).where(_OF_SQL))
+
+
 def terrain_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _terrain(spark, sf_dir).select(*KEYS, *[rd(n, n, 4) for n in ("z_disp", "z_curv", "z_basin", "z_hyst", "transition_score_raw", "transition_score")])
+    """Only the bars of its SQL, R from 1999 on; ``terrain_score_whole`` has all."""
+    return _score(_attractor(spark, sf_dir).where(_OF_SQL))
 
 
 def terrain_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _terrain(spark, sf_dir).select(*KEYS, "terrain_state")
+    """Only the bars of its SQL, R from 1999 on; ``terrain_state_whole`` has all."""
+    return _state(_attractor(spark, sf_dir).where(_OF_SQL))
+
+
+def global_density_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Densities of every symbol's whole series."""
+    return _density(_attractor(spark, sf_dir))
+
+
+def terrain_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _score(_attractor(spark, sf_dir))
+
+
+def terrain_state_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(_attractor(spark, sf_dir))
 
 
 def state_by_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +234,7 @@ def synthetic_garch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.synthetic(spark, "garch", 2000, [0, 1]).select(*KEYS, "open", "high", "low", "close", "volume")
 
 
-QUERIES = {f.__name__: f for f in (state_by_energy, input_layer, info_density, local_attractor, global_density, terrain_score, terrain_state, expected_value, edge_signal, edge_fallback, singularity_scores, dominant_type, stage, garch_filter, flow_design, curvature_scan, delta_f, scan_field_equation, reliability, grid_geometry_2d, grid_geometry_3d, garch_fit, sf1_fit, evaluations_hop, fisher_rao_speed, surrogate_iaaft, synthetic_garch)}
+QUERIES = {f.__name__: f for f in (state_by_energy, input_layer, info_density, local_attractor, global_density, terrain_score, terrain_state, global_density_whole, terrain_score_whole, terrain_state_whole, expected_value, edge_signal, edge_fallback, singularity_scores, dominant_type, stage, garch_filter, flow_design, curvature_scan, delta_f, scan_field_equation, reliability, grid_geometry_2d, grid_geometry_3d, garch_fit, sf1_fit, evaluations_hop, fisher_rao_speed, surrogate_iaaft, synthetic_garch)}
 
 _IN = f"""{DAILY}, {ema_sql("daily", "close", "em")},
 i0 AS (SELECT d.*, em.ema AS memory_close, {_V.replace("PARTITION BY symbol ORDER BY bar_ms", "PARTITION BY d.symbol ORDER BY d.bar_ms")} AS ret FROM daily d JOIN em USING (symbol, bar_ms)),
@@ -300,18 +325,23 @@ ORACLES = {
 
 
 def existence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean |dF| of a series' geometry against that of surrogate series, by family; replicas are symbols of one scan."""
-    base = daily(spark, sf_dir).where("symbol = 'R'").withColumn("r", F.tanh(F.log("close") - F.log("open")) / 50)
-    reps = models.surrogates(base, "r", replicas=3, rounds=20).withColumn("symbol", F.concat_ws("|", "kind", F.col("replica").cast("string")))
-    own = base.select(F.lit("own").alias("symbol"), "bar_ms", F.col("r").alias("ret"))
+    """Mean |dF| of each series' geometry against that of surrogate series, by family; replicas are symbols of one scan."""
+    base = daily(spark, sf_dir).withColumn("r", F.tanh(F.log("close") - F.log("open")) / 50)
+    reps = models.surrogates(base, "r", replicas=3, rounds=20).withColumn("symbol", F.concat_ws("|", "kind", F.col("replica").cast("string"), "symbol"))
+    own = base.select(F.concat(F.lit("own|0|"), "symbol").alias("symbol"), "bar_ms", F.col("r").alias("ret"))
     paths = reps.select("symbol", "bar_ms", "ret").unionByName(own)
     paths = paths.withColumn("close", 100 * F.exp(F.sum("ret").over(series.by_time())))
     df = series.rank_causal(layers.motion(paths), ["E", "jerk", "m_flux"], 500, 160)
     scan = geometry.delta_f(geometry.causal_scan(df, ["E_gauss", "jerk_gauss", "m_flux_gauss"], None, window=500, refit=120, every=40))
     value = scan.groupBy("symbol").agg(F.avg(F.abs("dF")).alias("v"))
-    kind = F.split("symbol", "[|]")[0]
-    seen = value.where("symbol = 'own'").select(F.explode(F.array(*map(F.lit, ("shuffle", "spectrum", "garch")))).alias("kind"), "v")
-    return stats.replica_test(seen, value.where("symbol <> 'own'").select(kind.alias("kind"), "v"), "v", "kind")
+    # kind|replica|symbol; a group of the test is kind|symbol
+    parts = F.split("symbol", "[|]", 3)
+    value = value.select(parts[0].alias("kind"), parts[2].alias("of"), "v")
+    seen = value.where("kind = 'own'").select(F.explode(F.array(*map(F.lit, ("shuffle", "spectrum", "garch")))).alias("kind"), "of", "v")
+    group = F.concat_ws("|", "kind", "of").alias("group")
+    out = stats.replica_test(seen.select(group, "v"), value.where("kind <> 'own'").select(group, "v"), "v", "group")
+    at = F.split("group", "[|]", 2)
+    return out.select(at[1].alias("symbol"), at[0].alias("kind"), "n_null", "z", "p")
 
 
 def flow_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
