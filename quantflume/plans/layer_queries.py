@@ -164,9 +164,9 @@ def _coordinates(spark: SparkSession, sf_dir: str, window: int) -> DataFrame:
 
 
 def curvature_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact causal geometry of the three daily series, every tenth bar."""
+    """Exact causal geometry of the three daily series, every bar."""
     df = _coordinates(spark, sf_dir, 500)
-    return geometry.causal_scan(df, ["E_gauss", "jerk_gauss", "m_flux_gauss"], "lam", window=500, refit=60, every=10)
+    return geometry.causal_scan(df, ["E_gauss", "jerk_gauss", "m_flux_gauss"], "lam", window=500, refit=60)
 
 
 def delta_f(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,7 +332,7 @@ def existence(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = reps.select("symbol", "bar_ms", "ret").unionByName(own)
     paths = paths.withColumn("close", 100 * F.exp(F.sum("ret").over(series.by_time())))
     df = series.rank_causal(layers.motion(paths), ["E", "jerk", "m_flux"], 500, 160)
-    scan = geometry.delta_f(geometry.causal_scan(df, ["E_gauss", "jerk_gauss", "m_flux_gauss"], None, window=500, refit=120, every=40))
+    scan = geometry.delta_f(geometry.causal_scan(df, ["E_gauss", "jerk_gauss", "m_flux_gauss"], None, window=500, refit=120, every=2))
     value = scan.groupBy("symbol").agg(F.avg(F.abs("dF")).alias("v"))
     # kind|replica|symbol; a group of the test is kind|symbol
     parts = F.split("symbol", "[|]", 3)

@@ -145,3 +145,19 @@ def test_whole_densities_and_existence_cover_every_symbol(spark, sf_dir):
     states = layer_queries.terrain_state_whole(spark, sf_dir).groupBy("symbol").count().collect()
     assert {r["symbol"]: r["count"] for r in states} == df.groupby("symbol").size().to_dict()
     assert {(r.symbol, r.kind) for r in layer_queries.existence(spark, sf_dir).collect()} == {(s, k) for s in "ANR" for k in ("shuffle", "spectrum", "garch")}
+
+
+def test_curvature_scan_has_every_complete_bar(spark, sf_dir):
+    from quantflume.plans import layer_queries
+
+    names = ["E_gauss", "jerk_gauss", "m_flux_gauss"]
+    df = layer_queries._coordinates(spark, sf_dir, 500).toPandas().sort_values(["symbol", "bar_ms"])
+    want = set()
+    for symbol, part in df.groupby("symbol"):
+        ok = np.isfinite(part[names].to_numpy(dtype=float)).all(axis=1)
+        for n in range(500, len(part)):
+            start = 500 + (n - 500) // 60 * 60
+            if ok[n] and ok[start - 500 : start].sum() >= 250:
+                want.add((symbol, int(part.bar_ms.iloc[n])))
+    got = layer_queries.curvature_scan(spark, sf_dir).select("symbol", "bar_ms").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
