@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from quantflume.llm.bpe import byte_chars
 from quantflume.llm.common import text_blocks
 
 #: Words kept with their ids in a worker; beyond it the cache starts anew.
@@ -22,13 +23,6 @@ SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 SHARD_TOKENS = 1 << 22
 
 
-def byte_chars() -> dict[int, str]:
-    """Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
-
-
 class WordEncoder:
     """Encodes texts with a public tokenizer file, each distinct word once.
 
@@ -50,19 +44,17 @@ class WordEncoder:
         self.merge = self.tokenizer.model.tokenize
         self.id_bytes = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
 
-    def _letters(self, word: str) -> bytes | None:
-        """Ids of a word of Latin letters, straight from the merges; None if the word isn't one."""
+    def _plain(self, word: str) -> str | None:
+        """A word of Latin letters as the merges take it; None if the word isn't one, in either case."""
         if word.isascii():
-            if not word.isalpha():
-                return None
-            low = word.lower()
-        else:
-            if not word.isalpha() or max(word) >= "\u0250" or not unicodedata.is_normalized("NFC", word):
-                return None
-            low = word.lower()
-            if not low.isalpha():
-                return None
-            low = low.encode().decode("latin-1").translate(self.byte_chars)
+            return word.lower() if word.isalpha() else None
+        if not word.isalpha() or max(word) >= "\u0250" or not unicodedata.is_normalized("NFC", word):
+            return None
+        low = word.lower()
+        # the lower case of some letters holds a mark, which would join the signs behind it
+        return low.encode().decode("latin-1").translate(self.byte_chars) if low.isalpha() else None
+
+    def _letters(self, low: str) -> bytes:
         table = self.id_bytes
         return b"".join([table[t.id] for t in self.merge(low)])
 
@@ -78,17 +70,14 @@ class WordEncoder:
     def learn(self, word: str) -> bytes:
         """Letters need the merges only, signs behind them are a word of their own; other words take the tokenizer's whole path."""
         stem = word.rstrip(SIGNS)
+        low = self._plain(stem) if stem else None
+        if low is None:
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(stem) == len(word):
-            got = self._letters(word)
-        else:
-            got = self.known.get(stem) if stem.isalpha() else None
-            if got is None and stem:
-                got = self._letters(stem)
-            if got is not None:
-                got += self._tail(word[len(stem) :])
-        if got is None:
-            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return got
+            return self._letters(low)
+        # what is known of a stem of plain letters came from its merges too
+        got = self.known.get(stem)
+        return (self._letters(low) if got is None else got) + self._tail(word[len(stem) :])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
@@ -172,7 +161,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, base, made = encoder(tokenizer).encode, TaskContext.get().partitionId() << 36, 0
-        ids, held, total = [], [], 0
+        ids, held, total, id_type = [], [], 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal made, total
@@ -182,7 +171,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                 part = cut[a : a + 4096]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([ids[p[0]] for p in part]),
+                        pa.array([ids[p[0]] for p in part], id_type),
                         pa.array([p[1] for p in part], pa.int64()),
                         pa.array([p[2] for p in part], pa.int64()),
                         pa.array([held[p[0]][4 * p[1] : 4 * (p[1] + p[2])] for p in part], pa.binary()),
@@ -198,8 +187,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             total = 0
 
         for rows, texts in text_blocks(batches, "text"):
-            for k, got in enumerate(encode(texts)):
-                ids.append(rows.column(0).slice(k, 1))
+            id_type = rows.column(0).type
+            # as Python values: slices would keep the batch, texts and all
+            for own, got in zip(rows.column(0).to_pylist(), encode(texts), strict=True):
+                ids.append(own)
                 held.append(got + end)
                 total += len(held[-1]) // 4
                 if total >= shard_tokens:

@@ -49,6 +49,15 @@ def test_words_encode_like_whole_texts():
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_stems_known_before_their_signs():
+    """A word alone, then with signs behind it, in one encoder; the lower case of some letters holds a mark."""
+    tokenizer, own = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    stems = ["GAZETESİ", "İ", "Haus", "É", "ŉ", "ﬁ", "ΑΣ", "ǰ", "e\u0301", "ẞ", "日本", "it's", "x1", "K", "ĿA"]
+    words = stems + [s + t for s in stems for t in [*packing.SIGNS, "...", "!?", "'", "<", "|>"]]
+    for text in [*words, "GAZETESİ GAZETESİ."]:
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_balance_fills_sequences_and_spreads_cost():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 900, 300).tolist() + [9000]
