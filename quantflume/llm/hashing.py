@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
-_P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_INVERSE = pow(_P, -1, 1 << 64)
+_Q = 0xC2B2AE3D27D4EB4F
 U = np.uint64
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def mix_one(seed: int) -> int:
+    """``mix`` of a number, for seeds far apart."""
+    return int(mix(np.array([seed], dtype=np.uint64))[0])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose bits all depend on all (the finalizer of splitmix64)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -21,17 +23,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2 to the 64."""
-    out = []
-    for base in (_P, _INVERSE):
-        p = np.full(n, base, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 class Words:
     """The words (runs of bytes other than space and \\x09-\\x0D) of a block of texts.
 
@@ -44,35 +35,48 @@ class Words:
         if lower:
             raw = [r.lower() for r in raw]  # A-Z only
         self.raw = b"\n".join(raw) + b"\n"
-        data = np.frombuffer(self.raw, dtype=np.uint8)
-        space = _SPACE[data]
+        self.data = np.frombuffer(self.raw, dtype=np.uint8)
+        space = _SPACE[self.data]
         edge = np.flatnonzero(np.diff(space, prepend=True))
         self.start, self.end = edge[0::2], edge[1::2]
         begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
         bounds = np.searchsorted(self.start, begins)
         self.first, self.count = bounds[:-1], np.diff(bounds)
-        size = 1 << max(16, int(len(data)).bit_length())
-        power, inverse = _powers(size)
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + U(1)) * power[: len(data)], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = self.hashes(0)
+
+    def hashes(self, seed: int) -> np.ndarray:
+        """64 bits of each word: the sum of a random number for each (byte, place in the word).
+
+        The numbers are ``mix`` of the pair, so no rule ties the sums of
+        different words; other seeds give independent hashes.
+        """
+        n = len(self.start)
+        if not n:
+            return np.zeros(0, dtype=np.uint64)
+        size = self.end - self.start
+        inside = ~_SPACE[self.data]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        own = mix((place.astype(np.uint64) << U(8) | self.data[inside]) + U(mix_one(seed)))
+        return mix(np.add.reduceat(own, ends - size) + size.astype(np.uint64))
 
-    def runs(self, n: int, salt: int = 0) -> np.ndarray:
-        """For each word the hash of the n words from it on; it means nothing where a text (or the block) ends before. Other salts give other hashes."""
-        out = np.zeros(len(self.hash), dtype=np.uint64)
-        if len(self.hash) >= n:
+    def runs(self, n: int, seed: int = 0) -> np.ndarray:
+        """For each word the hash of the n words from it on; it means nothing where a text (or the block) ends before. Other seeds hash the bytes anew."""
+        words = self.hashes(seed) if seed else self.hash
+        out = np.zeros(len(words), dtype=np.uint64)
+        if len(words) >= n:
             # Horner's rule by doubling: the hash of 2k words from two of k words
-            have, size, left, done = mix(self.hash ^ U(salt)) if salt else self.hash, 1, n, None
+            have, size, left, done = words, 1, n, None
             while left:
                 if left & 1:
                     if done is None:
                         done, length = have, size
                     else:
                         # words [0, size) then [size, size + length)
-                        m = len(self.hash) - size - length + 1
-                        done, length = have[:m] * U(pow(_Q, length, 1 << 64)) + done[size : size + m], size + length
+                        m = len(words) - size - length + 1
+                        done, length = mix(have[:m] * U(pow(_Q, length, 1 << 64)) + done[size : size + m]), size + length
                 left >>= 1
                 if left:
-                    have, size = have[: len(have) - size] * U(pow(_Q, size, 1 << 64)) + have[size:], size * 2
+                    have, size = mix(have[: len(have) - size] * U(pow(_Q, size, 1 << 64)) + have[size:]), size * 2
             out[: len(done)] = mix(done)
         return out

@@ -64,7 +64,7 @@ class Edges:
         self.anchor_doc = np.searchsorted(w.first, place, side="right") - 1
 
     def check(self, picked: np.ndarray) -> np.ndarray:
-        return self.words.runs(self.window, salt=0x2545F4914F6CDD1D)[self.at[picked]].view(np.int64)
+        return self.words.runs(self.window, seed=0x2545F4914F6CDD1D)[self.at[picked]].view(np.int64)
 
     def covered(self, keep: np.ndarray) -> np.ndarray:
         """Which words lie under the edges that ``keep`` picks."""

@@ -59,3 +59,15 @@ def test_edge_rows(spark):
     assert substrings.remove_repeats(docs.limit(0)).collect() == []
     twice = spark.createDataFrame([("k", long), ("k", long)], "doc_id string, text string")
     assert [r.kept for r in substrings.repeated_spans(twice).collect()] == ["", ""]
+
+
+def test_long_words_that_differ_everywhere(spark):
+    """Words that any polynomial modulo a power of two takes for equal."""
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    common = " ".join(f"w{k}" for k in range(34))
+    rows = [(1, f"{common} {one}"), (2, f"{common} {other}"), (3, f"{one} {other}"), (4, f"{one} " * 36), (5, f"{other} " * 35)]
+    got = {r.doc_id: sum(s.end - s.start for s in r.spans) for r in substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 36, 5: 0}
