@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from quantflume.llm.common import fresh, schema_with, text_blocks
 from quantflume.llm.neural import Adam, bounded_sample, held_out
 
-#: Bytes of a window: the network's state starts anew in each, in training and in use.
-WINDOW = 128
+#: Bytes of a window, and of the margin at its borders with others: windows overlap by two margins, and
+#: positions in a margin only give the states a start.
+WINDOW, MARGIN = 128, 16
 #: Windows run through the network together.
 BATCH = 2048
 UNDETERMINED = "und"
@@ -41,12 +42,13 @@ class Model:
         return self.params["u0"].shape[0]
 
 
-def windows(raw: bytes, width: int = WINDOW) -> np.ndarray:
-    """All of a text's bytes as rows of ``width``; 256 pads the last."""
-    n = -(-len(raw) // width)
-    out = np.full(n * width, 256, dtype=np.int16)
+def windows(raw: bytes, width: int = WINDOW, margin: int = 0) -> np.ndarray:
+    """All of a text's bytes as rows of ``width`` that overlap by two margins; 256 pads the last."""
+    step = width - 2 * margin
+    n = -(-len(raw) // width) if len(raw) <= width else 1 + -(-(len(raw) - width) // step)
+    out = np.full((n - 1) * step + width if n else 0, 256, dtype=np.int16)
     out[: len(raw)] = np.frombuffer(raw, dtype=np.uint8)
-    return out.reshape(n, width)
+    return np.lib.stride_tricks.sliding_window_view(out, width)[::step] if n else out.reshape(0, width)
 
 
 def new_model(labels: list[str], hidden: int, seed: int) -> Model:
@@ -141,6 +143,8 @@ class Runner:
         self.e = [[f(p[f"e{d}"][:, a * h : (a + 1) * h] * (0.5 if a < 2 else 1)) for a in range(3)] for d in range(2)]
         self.u = [[f(p[f"u{d}"][:, a * h : (a + 1) * h] * (0.5 if a < 2 else 1)) for a in range(3)] for d in range(2)]
         self.w, self.b = f(p["w"]), f(p["b"])
+        # states lie between -1 and 1, so logits have a bound; beyond it their exponentials could overflow
+        self.tame = bool((np.abs(self.w).sum(axis=0) + np.abs(self.b)).max() < 80)
 
     def _states(self, x: np.ndarray, d: int, out: np.ndarray) -> None:
         """``x``: (width, n) bytes; ``out``: (width, n, hidden)."""
@@ -169,11 +173,13 @@ class Runner:
             s *= z
             s += c
 
-    def pooled(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each window the sum over its bytes of every position's label probabilities, and the number of bytes."""
-        sums, counts = np.empty((len(x), self.k)), (x < 256).sum(axis=1)
+    def pooled(self, x: np.ndarray, first: np.ndarray | int = 0, last: np.ndarray | int = 1 << 30) -> tuple[np.ndarray, np.ndarray]:
+        """For each window the sum of the label probabilities of its positions from ``first`` to before ``last``, and their number."""
+        at = np.arange(x.shape[1])[None, :]
+        counted = (x < 256) & (at >= np.reshape(first, (-1, 1))) & (at < np.reshape(last, (-1, 1)))
+        sums = np.empty((len(x), self.k))
         for a in range(0, len(x), BATCH):
-            part = np.ascontiguousarray(x[a : a + BATCH].T).astype(np.intp)
+            part, own = np.ascontiguousarray(x[a : a + BATCH].T).astype(np.intp), counted[a : a + BATCH].T
             width, n = part.shape
             fwd, bwd = (np.empty((width, n, self.h), dtype=np.float32) for _ in range(2))
             self._states(part, 0, fwd)
@@ -183,23 +189,29 @@ class Runner:
                 y = fwd[t] @ self.w[: self.h]
                 y += bwd[t] @ self.w[self.h :]
                 y += self.b
+                if not self.tame:
+                    y -= y.max(axis=1, keepdims=True)
                 np.exp(y, out=y)
                 share = y @ np.ones((self.k, 1), dtype=np.float32)
-                np.divide(part[t][:, None] < 256, share, out=share)
+                np.divide(own[t][:, None], share, out=share)
                 y *= share
                 got += y
             sums[a : a + BATCH] = got
-        return sums, counts
+        return sums, counted.sum(axis=1)
 
 
 def predict(runner: Runner, texts: list[str]) -> np.ndarray:
     """Each text's label probabilities, the mean over all its bytes' positions (no bytes: zeros)."""
-    parts = [windows(t.encode("utf-8", "replace")) for t in texts]
+    parts = [windows(t.encode("utf-8", "replace"), margin=MARGIN) for t in texts]
     sizes = np.array([len(p) for p in parts])
     out = np.zeros((len(texts), runner.k))
     if not sizes.sum():
         return out
-    sums, counts = runner.pooled(np.concatenate(parts))
+    ends = np.cumsum(sizes)
+    rows = np.arange(ends[-1])
+    first = np.where(np.isin(rows, ends - sizes), 0, MARGIN)
+    last = np.where(np.isin(rows, ends - 1), WINDOW, WINDOW - MARGIN)
+    sums, counts = runner.pooled(np.concatenate(parts), first, last)
     starts, some = np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes > 0
     out[some] = np.add.reduceat(sums, starts[some], axis=0) / np.add.reduceat(counts, starts[some])[:, None]
     return out
@@ -243,8 +255,8 @@ def learn_with_rejects(x: np.ndarray, y: np.ndarray, labels: list[str], hidden:
 
 def training_windows(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, each: int, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """A bounded sample for training: ``each`` windows, at places set by hash, of ``per_label`` documents of each label."""
-    usable = docs.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(label_col).cast("string").alias("label"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("string").alias("text"))
-    few = bounded_sample(usable, "label", per_label, F.xxhash64("id")).where(F.length("text") > 0)
+    usable = docs.where(F.col(label_col).isNotNull() & ~held_out(id_col) & (F.length(F.col(text_col).cast("string")) > 0)).select(F.col(label_col).cast("string").alias("label"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("string").alias("text"))
+    few = bounded_sample(usable, "label", per_label, F.xxhash64("id"))
     size = F.greatest(F.lit(1), F.length("text") - width + 1)
     cuts = F.array(*[F.substring("text", F.pmod(F.xxhash64("id", F.lit(k)), size).cast("int") + 1, width) for k in range(each)])
     rows = few.select("label", F.explode(cuts).alias("cut"), F.col("id")).orderBy("label", "id", "cut").collect()
@@ -258,8 +270,9 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, label_col: str
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 300, each: int = 2, rejects: bool = False, **how) -> Model:
     """A model of the labels of ``docs`` from a bounded sample of the documents that aren't held out.
 
-    At most ``per_label`` documents of each label, ``each`` windows of a
-    document (so 64 * per_label * each windows of 128 bytes reach the driver).
+    At most ``per_label`` documents of each label, fewer where there are more
+    than 64 labels, and ``each`` windows of a document (so 19,200 * each windows
+    of 128 bytes reach the driver at most; see ``neural.bounded_sample``).
     Without labelled texts the model knows no label. With ``rejects`` it also
     learns to tell texts that are in none of the labels.
     """

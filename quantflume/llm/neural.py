@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,25 +29,25 @@ def held_out(id_col, of: int = 4, part: int = 2) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % of == part, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, label: str, per_label: int, order, most_labels: int = 64) -> DataFrame:
-    """About ``per_label`` rows of each label: those with the smallest hashes.
+def bounded_sample(rows: DataFrame, label: str, per_label: int, order, budget: int = 19_200) -> DataFrame:
+    """About ``per_label`` rows of each label, ``budget`` rows in all at most: those with the smallest hashes.
 
-    Labels are counted over all rows; each label then keeps rows whose hash
-    (``order``, a long) lies under the threshold that leaves twice ``per_label``
-    on average, and at most ``per_label`` of those. At most ``most_labels``
-    labels (the most frequent) are learned, so the result is bounded by
-    ``per_label * most_labels`` rows whatever the input.
+    Labels are counted over all rows, by the different hashes (``order``, a
+    long) that they have; each label then keeps rows whose hash lies under the
+    threshold that leaves over twice ``per_label`` on average, and at most
+    ``per_label`` of those. Every label is learned: with more than ``budget /
+    per_label`` of them each has fewer rows. More than ``budget`` labels are an error.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
-    if not counts:
+    counts = rows.groupBy(label).agg(F.approx_count_distinct(order, 0.05).alias("_count"))
+    n = counts.limit(budget + 1).count()
+    if not n:
         return rows.limit(0)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(label) == r[0], F.lit(min(1.0, 2.0 * per_label / r[1]))).otherwise(share)
-    # a hash as a number from 0 to 1
+    if n > budget:
+        raise ValueError(f"more than {budget} labels; a sample of {budget} rows cannot hold them")
+    each = max(1, min(per_label, budget // n))
+    shares = counts.select(F.col(label).alias("_label"), ((2.0 * each + 20) / F.greatest(F.lit(1), F.col("_count"))).alias("_share"))
+    # a hash as a number from 0 to 1; the shares are a row for each label, ``budget`` at most
     at = (F.shiftrightunsigned(order, 11)).cast("double") / float(1 << 53)
-    few = rows.withColumn("_at", at).where(F.col("_at") < share)
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(label).orderBy("_at"))
-    return few.withColumn("_n", n).where(F.col("_n") <= per_label).drop("_n", "_at")
+    few = rows.withColumn("_at", at).join(F.broadcast(shares), F.col(label) == F.col("_label")).where("_at < _share")
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_at"))
+    return few.withColumn("_n", rank).where(F.col("_n") <= each).drop("_n", "_at", "_label", "_share")

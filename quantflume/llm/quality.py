@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     shares = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    few = bounded_sample(known, "label", per_label, F.xxhash64("id"), most_labels=2)
+    few = bounded_sample(known, "label", per_label, F.xxhash64("id"))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("length(text) > 0").join(F.broadcast(few), "id")
     size = F.greatest(F.lit(1), F.length("text") - CHUNK + 1)
     cuts = F.array(*[F.substring("text", F.pmod(F.xxhash64("id", F.lit(k)), size).cast("int") + 1, CHUNK) for k in range(each)])

@@ -1,8 +1,10 @@
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from quantflume.llm import language, queries
+from quantflume.llm import language, neural, queries
 
 
 def test_held_out_accuracy_over_the_whole_table(spark, sf_dir):
@@ -15,28 +17,36 @@ def test_held_out_accuracy_over_the_whole_table(spark, sf_dir):
     assert np.mean(right) > 0.97
 
 
-def reference(model, raw):
-    """One window at a time, one position at a time."""
+def reference(model, raw, width=language.WINDOW, margin=language.MARGIN):
+    """One window at a time, one position at a time; a window's margins count only at the text's ends."""
     p, h = model.params, model.hidden
     sig = lambda x: 1 / (1 + np.exp(-x))
-    total = []
-    for x in language.windows(raw):
+    total, step, start = [], width - 2 * margin, 0
+    while True:
+        x = raw[start : start + width]
         states = np.zeros((len(x), 2 * h))
+        x = [*x, *[256] * (width - len(x))]
         for d in range(2):
             s = np.zeros(h)
-            for t in range(len(x)) if d == 0 else reversed(range(len(x))):
+            for t in range(width) if d == 0 else reversed(range(width)):
                 e, u = p[f"e{d}"][x[t]].astype(float), p[f"u{d}"].astype(float)
                 z, r = sig(e[:h] + s @ u[:, :h]), sig(e[h : 2 * h] + s @ u[:, h : 2 * h])
                 s = z * s + (1 - z) * np.tanh(e[2 * h :] + (r * s) @ u[:, 2 * h :])
-                states[t, d * h : (d + 1) * h] = s
-        y = np.exp(states @ p["w"] + p["b"])
-        total += [a / a.sum() for a, b in zip(y, x, strict=True) if b < 256]
-    return np.mean(total, axis=0)
+                if t < len(states):
+                    states[t, d * h : (d + 1) * h] = s
+        y = states @ p["w"] + p["b"]
+        y = np.exp(y - y.max(axis=1, keepdims=True))
+        end = start + width >= len(raw)
+        total += list((y / y.sum(axis=1, keepdims=True))[margin if start else 0 : None if end else width - margin])
+        if end:
+            assert len(total) == len(raw)
+            return np.mean(total, axis=0)
+        start += step
 
 
 def test_batched_run_equals_the_plain_recurrence():
     model = language.new_model(["a", "b", "c"], 5, 3)
-    texts = ["", "x", "héllo " * 61, "q" * 128, "z" * 129]
+    texts = ["", "x", "héllo " * 61, "q" * 128, "z" * 129, "ab " * 75, "k" * 224, "k" * 225]
     got = language.predict(language.Runner(model), texts)
     assert not got[0].any()
     for g, t in zip(got[1:], texts[1:], strict=True):
@@ -64,3 +74,22 @@ def test_edge_rows(spark):
     none = language.train(docs.limit(0))
     assert [r.lang_pred for r in language.identify(docs, none).collect()] == ["und"] * 7
     assert language.identify(docs.limit(0), model).collect() == []
+
+
+def test_logits_beyond_the_exponent_give_no_nan():
+    model = language.new_model(["a", "b"], 4, 3)
+    model.params["w"] *= 1000
+    got = language.predict(language.Runner(model), ["some text " * 30])[0]
+    assert np.isfinite(got).all() and np.allclose(got, reference(model, b"some text " * 30), atol=1e-3)
+
+
+def test_more_labels_than_the_sample_has_room_for_at_first(spark):
+    """Every label is learned from; empty texts and repeated ids take no label's place."""
+    rows = [(k, f"word{k} " * 5, f"l{k % 70:02d}") for k in range(700) if zlib.crc32(str(k).encode()) % 4 != 2]
+    rows += [(None, "copy " * 9, "copies")] * 300 + [(10_000 + k, "", "l00") for k in range(500)]
+    x, y, labels = language.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 300, 1)
+    assert labels == sorted({lang for _, _, lang in rows}) and set(y.tolist()) == set(range(71))
+    few = neural.bounded_sample(spark.createDataFrame([(k, f"l{k % 50}") for k in range(5000)], "id long, label string"), "label", 10, F.xxhash64("id"), budget=100)
+    assert few.columns == ["id", "label"] and {r["count"] for r in few.groupBy("label").count().collect()} == {2} and few.count() == 100
+    with pytest.raises(ValueError):
+        neural.bounded_sample(spark.range(30).selectExpr("id", "id label"), "label", 10, F.xxhash64("id"), budget=20)
