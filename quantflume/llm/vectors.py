@@ -211,7 +211,10 @@ def shard_links(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, lea
 
 
 def _unit(vectors) -> np.ndarray:
+    """Unit vectors in double precision; scaled by their largest component first, so that no square under- or overflows."""
     x = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    x = np.ldexp(x, -exponent)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -86,3 +86,20 @@ def test_edge_rows(spark):
     want = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 7, 11, 12)] + [(None, 0, None, False), (9, 3, 9, True), (10, 3, 9, False), (10, 3, 9, False), (13, 3, 9, False)]
     assert got == sorted(want, key=str)
     assert vectors.near_duplicates(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n", [30, 700])
+def test_huge_and_tiny_vectors_link_like_any(spark, n):
+    """Components whose squares under- or overflow, below and above a shard's size."""
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 4))
+    near = x + 0.05 * rng.standard_normal((n, 4))
+    sizes = np.array([1e200, 1e-200, 1.0, 1e300, 1e-305])
+    one = np.concatenate([x, near])
+    scaled = one * rng.choice(sizes, (2 * n, 1))
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(scaled)] + [(10**6, [5e-324, 0.0, 0.0, 0.0], 1), (10**6 + 1, [1e308, 1e306, 0.0, 0.0], 1)]
+    plain = [(k, v.tolist(), 1) for k, v in enumerate(one)] + [(10**6, [1.0, 0.0, 0.0, 0.0], 1), (10**6 + 1, [1.0, 0.01, 0.0, 0.0], 1)]
+    want = brute(plain)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got[10**6][0] > 0 and sum(c for c, _ in got.values()) >= 0.95 * sum(c for c, _ in want.values())
+    assert all(got[i][0] <= want[i][0] for i in want)
