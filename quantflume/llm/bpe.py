@@ -1,4 +1,10 @@
-"""Byte-pair encoding by a deterministic token automaton, compiled from the merges."""
+"""Byte-pair encoding by a deterministic token automaton, compiled from the merges.
+
+``Automaton`` holds the states that the merges' gadgets make, and the one
+transition of a state under a token. ``Reader`` drives it by symbols: what it
+has read is the transitions still possible, so that each symbol is one look
+into a table. Nothing is tried and taken back.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +23,8 @@ from quantflume.llm.common import fresh, schema_with, text_blocks
 
 #: Words, and white-space separated runs of them, kept with their ids in a worker; beyond it the caches start anew.
 CACHE_WORDS = 350_000
-#: Arcs kept in a worker's table; beyond it the table is filled anew.
-CACHE_ARCS = 300_000
+#: Transitions kept in a worker's tables, of states under tokens and of readings under symbols; beyond it they are filled anew.
+CACHE_ARCS = 250_000
 
 
 def byte_chars() -> dict[int, str]:
@@ -31,94 +37,148 @@ def byte_chars() -> dict[int, str]:
 class Automaton:
     """The token automaton of an ordered list of merges.
 
-    Its arcs are labelled with tokens, and a sequence of tokens is a path if
-    and only if it is the byte-pair encoding of its text. It is built merge by
-    merge. At first one state loops on every symbol. The gadget of a merge
-    (u, v) -> w: where the arcs u lead, a copy of the state takes its place
-    that lacks the arc v; and wherever u v was a path, an arc w leads to where
-    that path ended. All arcs of one label lead to the same state, so a state
-    is kept as the state it was copied from and the one arc it lacks besides:
-    ``above`` and ``lacks``, with the merge's number in ``since``. An arc w
-    exists where u does, so a state that lacks u when w is made lacks w too; if
-    u is v, the state after u also lacks w, as the leftmost pair merges first.
-
-    ``to``: the state that a token's arcs lead to. ``spelled``: each symbol's
-    and token's text in symbols. States are numbered; 0 lacks nothing.
+    Its arcs are labelled with tokens, and a sequence of tokens is a path from
+    state 0 if and only if it is the byte-pair encoding of its text. It is
+    built merge by merge. At first one state loops on every symbol. The gadget
+    of a merge (u, v) -> w: where the arcs u lead, a copy of the state takes its
+    place that lacks the arc v; and wherever u v was a path, an arc w leads to
+    where that path ended. All arcs of one label lead to the same state, ``to``.
+    An arc w exists where u does, so a state that lacks u when w is made lacks w
+    too; if u is v, the state after u also lacks w, as the leftmost pair merges first.
+
+    A state is kept as the token whose arcs lead to its copies (``owner``), the
+    merge that made it (``since``), and, by token, what its copies lack one
+    after another (``gaps``: the merge's number by owner and label) and the
+    state that the first of them was copied from (``born``). State 0 lacks nothing.
     """
 
     def __init__(self, symbols: list[int], merges: list[tuple[int, int, int]]):
-        self.above, self.lacks, self.since = [0], [-1], [-1]
+        self.owner, self.since = [-1], [-1]
         self.to = dict.fromkeys(symbols, 0)
-        self.parts: dict[int, tuple[int, int]] = {}
+        self.born = dict.fromkeys(symbols, 0)
+        self.gaps: dict[int, int] = {}
+        self.left: dict[int, int] = {}
         self.made = dict.fromkeys(symbols, -1)
         self.live = set(symbols)
-        self.rank: dict[tuple[int, int], int] = {}
         for n, (u, v, w) in enumerate(merges):
             if w in self.made:
                 raise ValueError("a token of two merges")
-            self.parts[w], self.made[w] = (u, v), n
-            if u in self.live and v in self.live and self._has(u, v):
+            if u in self.live and v in self.live and self._leads(self.to[u], v) >= 0:
                 self.live.add(w)
-            self.to[w] = self.to[v]
-            self.above.append(self.to[u])
-            self.lacks.append(v)
+            self.left[w], self.made[w] = u, n
+            self.to[w] = self.born[w] = self.to[v]
+            self.owner.append(u)
             self.since.append(n)
-            self.to[u] = len(self.above) - 1
-            self.rank[u, v] = n
-        self.arcs: dict[int, bool] = {}
-
-    def _has(self, a: int, x: int) -> bool:
-        """Whether the state that the arcs ``a`` lead to has an arc ``x``.
-
-        That state's copies come from merges of ``a`` itself, of its right part
-        before ``a`` was made, and so on; each lacks a token, and with it those
-        begun with it later.
-        """
-        rank, parts, made = self.rank, self.parts, self.made
-        begun, last = [], 1 << 60
-        while True:
-            begun.append((x, last))
-            if x not in parts:
-                break
-            last, x = made[x], parts[x][0]
-        last = 1 << 60
-        while True:
-            for y, before in begun:
-                n = rank.get((a, y))
-                if n is not None and n < last and n <= before:
-                    return False
-            if a not in parts:
-                return True
-            last, a = made[a], parts[a][1]
-
-    def lacking(self, state: int) -> set[int]:
-        """All tokens that a state has no arc for, from its copies; slow, for tests."""
-        direct = {}
+            self.to[u] = len(self.owner) - 1
+            self.gaps[u << 20 | v] = n
+        self.arcs: dict[int, int] = {}
+
+    def _leads(self, state: int, x: int) -> int:
+        """Where the arc ``x`` leads from a state, -1 if it has none: it lacks ``x`` if one of its copies does, or did lack what ``x`` begins with when that was made."""
+        gaps, left, made, get = self.gaps, self.left, self.made, self.gaps.get
+        begun, y, before = [(x, 1 << 60)], x, 1 << 60
+        while y in left:
+            before, y = made[y], left[y]
+            begun.append((y, before))
         while state:
-            direct.setdefault(self.lacks[state], self.since[state])
-            state = self.above[state]
-        out = set()
-        for x in self.to:
-            y, before = x, 1 << 60
-            while True:
-                if direct.get(y, 1 << 61) <= before:
-                    out.add(x)
-                    break
-                if y not in self.parts:
-                    break
-                before, y = self.made[y], self.parts[y][0]
-        return out
-
-    def arc(self, a: int, x: int) -> bool:
-        """``_has`` through the table of arcs met so far."""
-        key = a << 20 | x
+            u, n = self.owner[state] << 20, self.since[state]
+            for y, before in begun:
+                gap = get(u | y)
+                if gap is not None and gap <= n and gap <= before:
+                    return -1
+            state = self.born[u >> 20]
+        return self.to[x]
+
+    def step(self, state: int, x: int) -> int:
+        """``_leads`` through the table of transitions met so far."""
+        key = state << 20 | x
         got = self.arcs.get(key)
         if got is None:
             if len(self.arcs) >= CACHE_ARCS:
                 self.arcs.clear()
-            got = self.arcs[key] = self._has(a, x)
+            got = self.arcs[key] = self._leads(state, x)
+        return got
+
+
+class Reader:
+    """The automaton driven by symbols.
+
+    ``tokens``: texts in symbols by token. Every text of known symbols has one
+    path, so after each symbol exactly one token ends whose arc exists where it
+    began; all that the rest of a text needs are the tokens that may still be
+    under way, each with the state before it. That is a reading. ``moves`` has
+    its transitions by symbol: the next reading, the token that ends and its
+    number of symbols, in one integer. Readings are made as they are met and
+    shared by all words that lead to them, up to ``CACHE_ARCS`` transitions.
+    (Tables of integers, as objects would keep the garbage collector busy.)
+    """
+
+    def __init__(self, machine: Automaton, tokens: dict[int, tuple[str, ...]]):
+        self.machine = machine
+        # a trie over symbols: by node, symbol -> node << 24 | token + 1
+        self.trie: list[dict[str, int]] = [{}]
+        for x, spelled in tokens.items():
+            if len(spelled) > 255:
+                raise ValueError("a token of over 255 symbols")
+            at = 0
+            for c in spelled:
+                got = self.trie[at].get(c)
+                if got is None:
+                    got = self.trie[at][c] = len(self.trie) << 24
+                    self.trie.append({})
+                node, at = at, got >> 24
+            self.trie[node][spelled[-1]] |= x + 1
+        self.reset()
+
+    def reset(self) -> None:
+        self.size, self.readings, self.moves, self.begun = 0, {}, [], []
+        self._reading([], 0)
+
+    def _reading(self, begun: list[int], state: int) -> int:
+        """The reading of tokens begun (node << 40 | state << 8 | symbols so far) and of the state that is reached."""
+        key = (*begun, state << 8)
+        got = self.readings.setdefault(key, len(self.moves))
+        if got == len(self.moves):
+            self.moves.append({})
+            self.begun.append(key)
         return got
 
+    def after(self, reading: int, c: str) -> int:
+        """The transition of a reading under a symbol, made now; -1 if no token ends there."""
+        begun, last, size, trie, step = [], -1, 0, self.trie, self.machine.step
+        for b in self.begun[reading]:
+            found = trie[b >> 40].get(c)
+            if found is not None:
+                node, x = found >> 24, found & 0xFFFFFF
+                if x and last < 0 and step(b >> 8 & 0xFFFFFFFF, x - 1) >= 0:
+                    last, size = x - 1, (b & 255) + 1
+                if trie[node]:
+                    begun.append(node << 40 | (b & 0xFFFFFFFFFF) + 1)
+        got = self.moves[reading][c] = -1 if last < 0 else self._reading(begun, self.machine.to[last]) << 32 | last << 8 | size
+        self.size += 1
+        return got
+
+    def read(self, symbols: list[str]) -> list[int] | None:
+        """The tokens of a text; None if it has an unknown symbol."""
+        if self.size >= CACHE_ARCS:
+            self.reset()
+        reading, ends, moves = 0, [], self.moves
+        for c in symbols:
+            got = moves[reading].get(c)
+            if got is None:
+                got = self.after(reading, c)
+            if got < 0:
+                return None
+            ends.append(got)
+            reading = got >> 32
+        path, i = [], len(ends) - 1
+        while i >= 0:
+            got = ends[i]
+            path.append(got >> 8 & 0xFFFFFF)
+            i -= got & 255
+        path.reverse()
+        return path
+
 
 class Tokenizer:
     """Encoding and decoding with a tokenizer file of the public JSON format (a BPE model over byte-level symbols)."""
@@ -138,64 +198,20 @@ class Tokenizer:
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.word_pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.byte_chars = byte_chars()
-        # the live tokens as a trie over symbols: symbol -> (its symbols, token or -1)
-        self.trie: dict[str, tuple[dict, int]] = {}
-        for t, i in vocab.items():
-            if i in self.machine.live:
-                body = t[: len(t) - len(self.suffix)] if self.suffix and t.endswith(self.suffix) and len(t) > len(self.suffix) else t
-                node = self.trie
-                for s in body[:-1]:
-                    node = node.setdefault(s, ({}, -1))[0]
-                last = body[-1] + t[len(body) :]
-                node[last] = (node[last][0] if last in node else {}, i)
+        ending = len(self.suffix)
+        body = lambda t: t[:-ending] if ending and t.endswith(self.suffix) and len(t) > ending else t
+        self.reader = Reader(self.machine, {i: (*body(t)[:-1], body(t)[-1] + t[len(body(t)) :]) for t, i in vocab.items() if i in self.machine.live})
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {"": b""}
 
     def encode_word(self, word: str) -> bytes:
-        """Ids of one pre-split word of byte-level characters.
-
-        Steps along arcs from the word's begin, the longest label first. No
-        prefix has more than one path, so a place without a way on is never
-        tried again, and each place is met once at most.
-        """
+        """Ids of one pre-split word of byte-level characters; symbols outside the vocabulary are dropped."""
         symbols = list(word)
         symbols[-1] += self.suffix
-        n, trie, arcs, machine = len(symbols), self.trie, self.machine.arcs, self.machine
-        path: list[int] = []
-        back: list[tuple[int, int, list[tuple[int, int]]]] = []
-        dead: set[int] = set()
-        i, a, ways = 0, -1, None
-        while i < n:
-            if ways is None:
-                node, ways, j = trie, [], i
-                for c in symbols[i:] if i else symbols:
-                    step = node.get(c)
-                    if step is None:
-                        break
-                    node, x = step
-                    j += 1
-                    if x >= 0:
-                        ways.append((j, x))
-            while ways:
-                j, x = ways.pop()
-                if not dead or j not in dead:
-                    if a >= 0:
-                        has = arcs.get(a << 20 | x)
-                        if has is None:
-                            has = machine.arc(a, x)
-                        if not has:
-                            continue
-                    back.append((i, a, ways))
-                    path.append(x)
-                    i, a, ways = j, x, None
-                    break
-            else:
-                if not back:  # a symbol outside the vocabulary; such symbols are dropped
-                    known = "".join(c if c in trie else " " for c in word)
-                    return b"".join(map(self.encode_word, filter(None, known.split(" ")))) if " " in known else b""
-                dead.add(i)
-                i, a, ways = back.pop()
-                path.pop()
+        path = self.reader.read(symbols)
+        if path is None:
+            known = "".join(c if c in self.reader.trie[0] else " " for c in word)
+            return b"".join(map(self.encode_word, filter(None, known.split(" ")))) if " " in known else b""
         return pack(f"<{len(path)}I", *path)
 
     def _split(self, part: str) -> list[str]:

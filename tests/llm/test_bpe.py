@@ -54,35 +54,51 @@ def plain_bpe(symbols, merges):
         word = out
 
 
+def random_merges(rng):
+    spelled, merges = {0: (0,), 1: (1,), 2: (2,)}, []
+    while len(merges) < 8:
+        u, v = (int(x) for x in rng.integers(0, len(spelled), 2))
+        text = spelled[u] + spelled[v]
+        if text in spelled.values() or len(text) > 6 or plain_bpe(text, merges) != [u, v]:
+            if rng.random() < 0.02:
+                break
+            continue
+        merges.append((u, v, len(spelled)))
+        spelled[len(spelled)] = text
+    return spelled, merges
+
+
 def test_paths_are_the_encodings():
-    """On random small merge lists every word has exactly one path, its encoding."""
+    """On random small merge lists every word has exactly one path, its encoding, and reading it symbol by symbol finds it."""
     rng = np.random.default_rng(4)
     for _ in range(30):
-        spelled, merges = {0: (0,), 1: (1,), 2: (2,)}, []
-        while len(merges) < 8:
-            u, v = (int(x) for x in rng.integers(0, len(spelled), 2))
-            text = spelled[u] + spelled[v]
-            if text in spelled.values() or len(text) > 6 or plain_bpe(text, merges) != [u, v]:
-                if rng.random() < 0.02:
-                    break
-                continue
-            merges.append((u, v, len(spelled)))
-            spelled[len(spelled)] = text
+        spelled, merges = random_merges(rng)
         machine = bpe.Automaton([0, 1, 2], merges)
-        for a in spelled:
-            assert machine.lacking(machine.to[a]) == {x for x in spelled if not machine.arc(a, x)}
+        reader = bpe.Reader(machine, {x: tuple("abc"[k] for k in t) for x, t in spelled.items()})
         for _ in range(40):
             word = tuple(int(x) for x in rng.integers(0, 3, 9))
-            paths = [(0, [])]
-            full = []
+            paths, full = [(0, 0, [])], []
             while paths:
-                at, path = paths.pop()
+                at, state, path = paths.pop()
                 if at == len(word):
                     full.append(path)
-                for x, s in spelled.items():
-                    if word[at : at + len(s)] == s and at < len(word) and (not path or machine.arc(path[-1], x)):
-                        paths.append((at + len(s), [*path, x]))
-            assert full == [plain_bpe(word, merges)]
+                for x, t in spelled.items():
+                    if at < len(word) and word[at : at + len(t)] == t and machine.step(state, x) >= 0:
+                        paths.append((at + len(t), machine.step(state, x), [*path, x]))
+            assert full == [plain_bpe(word, merges)] == [reader.read(["abc"[k] for k in word])]
+
+
+def test_encoding_follows_the_states(monkeypatch):
+    """Without what the gadgets take from the states, or with tables that start anew all the time."""
+    words = ["hello", "tokenization", "understanding", "internationalization", "zzzzzz"]
+    right = [list(map(int, np.frombuffer(bpe.Tokenizer(PATH).encode_word(w), "<i4"))) for w in words]
+    library = Tokenizer.from_file(PATH)
+    assert right == [library.encode(w, add_special_tokens=False).ids for w in words]
+    broken = bpe.Tokenizer(PATH)
+    broken.reader.machine.gaps.clear()
+    assert [list(map(int, np.frombuffer(broken.encode_word(w), "<i4"))) for w in words] != right
+    monkeypatch.setattr(bpe, "CACHE_ARCS", 3)
+    assert [list(map(int, np.frombuffer(bpe.Tokenizer(PATH).encode_word(w), "<i4"))) for w in words * 2] == right * 2
 
 
 def test_two_merges_of_one_token_are_refused():
