@@ -35,6 +35,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def partitions_for(df: DataFrame, bytes_each: int = 128 << 20) -> int:
+    """Shuffle partitions of about ``bytes_each`` by the optimizer's estimate of ``df``; ``spark.sql.shuffle.partitions`` at least, and where nothing is known."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 1 << 60 else max(least, -(-size // bytes_each))
+
+
 def blocks(sizes: Iterable[int], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """Half-open row ranges whose summed sizes stay near ``limit`` (one row at least)."""
     start = total = i = 0
