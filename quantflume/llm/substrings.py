@@ -169,9 +169,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["piece", "check", "anchor", "key", "word", "size"])
 
     def find_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_blocks(batches, "text"):
+        for rows, texts in text_blocks(batches, text_col):
             e = Edges(texts, window, anchor)
-            asked = rows.column(rows.schema.get_field_index("asked"))
+            asked = rows.column(len(names) + 1)
             doc = np.repeat(np.arange(rows.num_rows), np.diff(asked.offsets.to_numpy()))
             word, size, piece, places = (asked.flatten().field(f).to_numpy() for f in ("word", "size", "piece", "places"))
             # a document of the same key may lack such a piece at that place
@@ -182,7 +182,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if len(edges):
                 same = np.repeat(e.piece_hashes(edges, np.cumsum(size) - size, size) == piece, size)
                 edges, doc, places = edges[same], np.repeat(doc, size)[same], np.repeat(places, size)[same]
-            keys = rows.column(0).to_numpy(zero_copy_only=False)[doc]
+            keys = rows.column(len(names)).to_numpy(zero_copy_only=False)[doc]
             cols = [e.hash[edges], e.checks(e.at[edges], np.full(len(edges), window)), places, keys]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["edge", "check", "places", "key"])
 
@@ -214,7 +214,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = cut_lineage(seen.groupBy("anchor").count().where("count > 1").select("anchor"))
     lists = cut_lineage(seen.join(repeated, "anchor", "left_semi").groupBy(F.col("key").alias(key)).agg(F.collect_set("anchor").alias(anchors_col)))
     dealt = docs.repartition(partitions_for(docs), key)
-    tagged = dealt.join(lists, key, "left")
+    tagged = dealt.join(lists.hint("merge"), key, "left")  # lists are long for their number of rows, which misleads the optimizer
     order = [*names, key, anchors_col]
     pieces = tagged.where(F.col(anchors_col).isNotNull()).select(F.col(key).alias("key"), text, F.col(anchors_col).alias("anchors"))
     pieces = pieces.mapInArrow(find_pieces, "piece long, check long, anchor long, key long, word long, size long")
@@ -223,12 +223,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     branching = cut_lineage(pieces.groupBy("anchor").count().where("count > 1").select("anchor"))
     asked = pieces.where("places > 1").join(branching, "anchor", "left_semi").unionByName(pieces.where("places = 1"))
     asked = asked.select(F.col("source.key").alias(key), F.struct(F.col("source.word").alias("word"), "size", "piece", "places").alias("asked"))
-    asked = dealt.join(asked.groupBy(key).agg(F.collect_list("asked").alias(asked_col)), key).select(F.col(key).alias("key"), text, F.col(asked_col).alias("asked"))
+    # with all columns, so that one shuffle of the texts serves this and the last pass
+    asked = dealt.join(asked.groupBy(key).agg(F.collect_list("asked").alias(asked_col)).hint("merge"), key).select(*names, key, asked_col)
     edges = asked.mapInArrow(find_edges, "edge long, check long, places long, key long")
     unique = edges.groupBy("edge", "check").agg(F.sum("places").alias("places"), F.max("key").alias("key")).where("places = 1")
     unique = unique.groupBy(F.col("key").alias(key)).agg(F.collect_list("edge").alias(edges_col))
     schema = schema_with(docs.select(*names), n_words=T.LongType(), spans=T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])), kept=T.StringType())
-    return tagged.join(unique, key, "left").select(*order, edges_col).mapInArrow(cut, schema)
+    return tagged.join(unique.hint("merge"), key, "left").select(*order, edges_col).mapInArrow(cut, schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
