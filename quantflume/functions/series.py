@@ -52,11 +52,11 @@ def forward_return(x, periods: int, eps: float = 1e-9) -> Column:
     return F.lead(x, periods).over(by_time()) / (x + eps) - 1
 
 
-def rolling(name: str, x, size: int, least: int | None = None, before: bool = False, q: float = 0.5) -> Column:
-    """mean, sum, std (n - 1), max, count or quantile over the last ``size`` rows, the bar's own included unless ``before``."""
+def rolling(name: str, x, size: int, least: int | None = None, before: bool = False) -> Column:
+    """mean, sum, std (n - 1), max or count over the last ``size`` rows, the bar's own included unless ``before``."""
     x = _col(x)
     w = rows(-size, -1) if before else rows(1 - size, 0)
-    value = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "max": F.max, "count": F.count}[name](x) if name != "quantile" else F.percentile(x, F.lit(q))
+    value = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "max": F.max, "count": F.count}[name](x)
     return F.when(F.count(x).over(w) >= (size if least is None else least), value.over(w))
 
 
@@ -86,10 +86,10 @@ def sigma_score(returns, size: int = 60, least: int = 30) -> Column:
     return ratio(_col(returns), rolling("std", returns, size, least, before=True))
 
 
-def relative_activity(volume, size: int = 1500, least: int = 300) -> Column:
-    """Log volume less the median log volume before it."""
-    ell = F.log(F.greatest(_col(volume), F.lit(1e-12)))
-    return ell - rolling("quantile", ell, size, least, before=True)
+def relative_activity(df: DataFrame, volume: str, out: str, size: int = 1500, least: int = 300) -> DataFrame:
+    """``df`` with the log volume less the median log volume before it."""
+    df = rolling_quantile(df.withColumn("_ell", F.log(F.greatest(volume, F.lit(1e-12)))), "_ell", "_median", size, least, before=True)
+    return df.withColumn(out, F.col("_ell") - F.col("_median")).drop("_ell", "_median")
 
 
 def decayed_sums(df: DataFrame, alpha: float, **inputs: Column) -> DataFrame:
@@ -149,7 +149,7 @@ def ewm_std(df: DataFrame, x, out: str, span: int, least: int | None = None) ->
 
 
 def _past(values: np.ndarray, size: int) -> np.ndarray:
-    """For each row the ``size`` values before it, missing ones as NaN."""
+    """For each row the ``size`` values before it, missing ones as NaN (a view)."""
     padded = np.concatenate([np.full(size, np.nan), values])
     return np.lib.stride_tricks.sliding_window_view(padded, size)[: len(values)]
 
@@ -185,23 +185,49 @@ def by_halo(df: DataFrame, columns: list[str], reach: int, kernel, outputs: list
     the ``reach`` rows before it, so that one long series spreads over as many
     tasks as it has blocks and no task holds more than ``block + reach`` rows.
     ``kernel``: arrays of ``columns`` to arrays of ``outputs``.
+
+    Rows that repeat a bar are ordered by ``columns`` and keep a row each; nulls
+    reach the kernel as NaN and its NaN come back as null; an empty table stays empty.
     """
-    n = F.row_number().over(by_time()) - 1
-    at = df.select(KEY, TIME, *columns).withColumn("_n", n.cast("long"))
+    n = F.row_number().over(Window.partitionBy(KEY).orderBy(TIME, *columns)) - 1
+    numbered = df.withColumn("_n", n.cast("long"))
     ahead = F.floor((F.col("_n") + reach) / block)
-    spread = at.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_n") / block), ahead)))
+    spread = numbered.select(KEY, "_n", *[F.col(c).cast("double").alias(c) for c in columns]).withColumn("_block", F.explode(F.sequence(F.floor(F.col("_n") / block), ahead)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_n")
         got = kernel(*[pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in columns])
-        made = pd.DataFrame({KEY: pdf[KEY].to_numpy(), TIME: pdf[TIME].to_numpy()} | {o: np.where(np.isfinite(g), g, np.nan) for o, g in zip(outputs, got, strict=True)})
+        made = pd.DataFrame({KEY: pdf[KEY].to_numpy(), "_n": pdf["_n"].to_numpy()} | {o: np.where(np.isfinite(g), g, np.nan) for o, g in zip(outputs, got, strict=True)})
         return made[(pdf["_n"] // block == pdf["_block"]).to_numpy()]
 
-    kind = dict(df.dtypes)
-    schema = f"{KEY} {kind[KEY]}, {TIME} {kind[TIME]}, " + ", ".join(f"{o} double" for o in outputs)
+    schema = f"{KEY} {dict(df.dtypes)[KEY]}, _n long, " + ", ".join(f"{o} double" for o in outputs)
     made = spread.groupBy(KEY, "_block").applyInPandas(run, schema)
-    made = made.select(KEY, TIME, *[finite(o).alias(o) for o in outputs])
-    return df.join(made, [KEY, TIME], "left")
+    made = made.select(F.col(KEY).alias("_key"), F.col("_n").alias("_m"), *[finite(o).alias(o) for o in outputs])
+    return numbered.join(made, F.col(KEY).eqNullSafe(F.col("_key")) & (F.col("_n") == F.col("_m")), "left").drop("_n", "_m", "_key")
+
+
+def rolling_quantile(df: DataFrame, x: str, out: str, size: int, least: int, q: float = 0.5, before: bool = False) -> DataFrame:
+    """``df`` with the linear-interpolated quantile of the last ``size`` values of a column, the bar's own included unless ``before``.
+
+    Null with fewer than ``least`` values. Windows are sorted in blocks of rows
+    (``by_halo``), so a window's cost is a sort and not an aggregate for each bar.
+    """
+
+    def kernel(values: np.ndarray) -> list[np.ndarray]:
+        got = np.full(len(values), np.nan)
+        # the window after the bar's own value joined the past is that of the next row
+        past = _past(values, size) if before else _past(np.append(values, np.nan), size)[1:]
+        for a in range(0, len(values), 256):
+            part = np.sort(past[a : a + 256], axis=1)
+            n = np.isfinite(part).sum(axis=1)
+            r, at = np.arange(len(part)), q * np.maximum(n - 1, 0)
+            low = np.floor(at).astype(int)
+            high = np.minimum(low + 1, np.maximum(n - 1, 0))
+            value = part[r, low] + (at - low) * (part[r, high] - part[r, low])
+            got[a : a + 256] = np.where((n >= max(least, 1)), value, np.nan)
+        return [got]
+
+    return by_halo(df, [x], size, kernel, [out])
 
 
 def robust_z_causal(df: DataFrame, columns: list[str], size: int = 1500, least: int = 300) -> DataFrame:
@@ -240,7 +266,7 @@ def burst_events(df: DataFrame, short: int = 12, long: int = 96, quantile: float
     df = df.withColumn("_r", pct_change("close"))
     df = ewm_std(ewm_std(df, "_r", "_vs", short), "_r", "_vl", long)
     df = df.withColumn("vol_ratio", ratio(F.col("_vs"), F.col("_vl")))
-    df = df.withColumn("thr", rolling("quantile", "vol_ratio", size, size // 2, q=quantile))
+    df = rolling_quantile(df, "vol_ratio", "thr", size, size // 2, quantile)
     df = df.withColumn("event", F.coalesce(F.col("vol_ratio") > F.col("thr"), F.lit(False)))
     before = F.coalesce(F.lag("event", 1).over(by_time()), F.lit(False))
     recent = F.coalesce(F.max("event").over(rows(-cluster, -1)), F.lit(False))
@@ -255,8 +281,8 @@ def momentum_sign(close, periods: int = 8) -> Column:
 def volatility_regime(df: DataFrame, span: int = 96, size: int = 2000) -> DataFrame:
     """``df`` with ``vol_regime``: whether the weighted volatility exceeds its rolling median."""
     df = ewm_std(df.withColumn("_r", pct_change("close")), "_r", "_v", span)
-    median = rolling("quantile", "_v", size, size // 4)
-    return df.withColumn("vol_regime", F.coalesce(F.col("_v") > median, F.lit(False))).drop("_r", "_v")
+    df = rolling_quantile(df, "_v", "_median", size, size // 4)
+    return df.withColumn("vol_regime", F.coalesce(F.col("_v") > F.col("_median"), F.lit(False))).drop("_r", "_v", "_median")
 
 
 #: Bars in a year by bar length.

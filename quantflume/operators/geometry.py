@@ -70,12 +70,13 @@ def _lam_gradient(kde: Density, lam: np.ndarray, at: np.ndarray, w: np.ndarray,
     return -(mean_lu - lv[:, None] * mean_u) / kde.h
 
 
-def causal_scan(df: DataFrame, columns: list[str], lam: str | None = None, window: int = 1500, refit: int = 60, every: int = 1, h: float | None = None, fisher: bool = True, step: float = 1e-3) -> DataFrame:
+def causal_scan(df: DataFrame, columns: list[str], lam: str | None = None, window: int = 1500, refit: int = 60, every: int = 1, h: float | None = None, fisher: bool = True, step: float = 1e-3, refits: int = 8) -> DataFrame:
     """Geometry of every ``every``-th bar from a density of the ``window`` bars before its block of ``refit`` bars.
 
-    A series is cut into blocks; each block's task gets its own bars and the
-    window before it, so a long series spreads over as many tasks as it has
-    blocks and no task holds more than ``window + refit`` rows. Blocks with
+    A series is cut into runs of ``refits`` blocks; each run's task gets its own
+    bars and the window before them, so a long series spreads over as many
+    tasks as it has runs, no task holds more than ``window + refits * refit``
+    rows, and a bar is shuffled ``1 + window / (refits * refit)`` times. Blocks with
     fewer than half a window of complete bars, and incomplete bars, give no
     row; a metric that can't be inverted gives a row with its flag and nulls.
     Without any block the result is empty.
@@ -84,31 +85,30 @@ def causal_scan(df: DataFrame, columns: list[str], lam: str | None = None, windo
     h = h or scott(window, d)
     n = F.row_number().over(by_time()) - 1
     at = df.select(KEY, TIME, *[F.col(c).cast("double") for c in columns], *([F.col(lam).cast("double").alias("_lam")] if lam else [])).withColumn("_n", n.cast("long"))
-    # bar n lies in block (n - window) / refit and in the histories of the later blocks that begin within a window of it
-    first = F.greatest(F.floor((F.col("_n") - window) / refit), F.lit(0))
-    last = F.floor(F.col("_n") / refit)
-    spread = at.withColumn("_block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    # bar n lies in run (n - window) / length and in the histories of the later runs that begin within a window of it
+    length = refits * refit
+    first = F.greatest(F.floor((F.col("_n") - window) / length), F.lit(0))
+    last = F.floor(F.col("_n") / length)
+    spread = at.withColumn("_run", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    i, j = np.triu_indices(d)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_n")
-        t0 = int(pdf["_block"].iloc[0]) * refit + window
-        k = pdf["_n"].to_numpy()
-        z = pdf[columns].to_numpy(dtype=float)
-        past, own = (k >= t0 - window) & (k < t0), (k >= t0) & (k < t0 + refit) & ((k - t0) % every == 0)
-        ok = past & np.isfinite(z).all(axis=1)
-        own &= np.isfinite(z).all(axis=1)
-        if ok.sum() < window // 2 or not own.any():
-            return pd.DataFrame(columns=[KEY, TIME, *SCAN, "einstein", "stress"])
-        values = pdf["_lam"].to_numpy(dtype=float)[ok] if lam else None
-        if values is not None:
-            values = np.where(np.isfinite(values), values, 0.0)
-        got, g, t = evaluate(z[ok], values, z[own], h, step, fisher)
-        i, j = np.triu_indices(d)
-        return pd.DataFrame({KEY: pdf[KEY].to_numpy()[own], TIME: pdf[TIME].to_numpy()[own]} | got | {"einstein": list(g[:, i, j]), "stress": list(t[:, i, j])})
+        pdf = pdf.sort_values(["_n"])
+        k, z = pdf["_n"].to_numpy(), pdf[columns].to_numpy(dtype=float)
+        whole, out = np.isfinite(z).all(axis=1), []
+        values = np.nan_to_num(pdf["_lam"].to_numpy(dtype=float), nan=0.0, posinf=0.0, neginf=0.0) if lam else None
+        for block in range(refits):
+            t0 = int(pdf["_run"].iloc[0]) * length + block * refit + window
+            past, own = (k >= t0 - window) & (k < t0) & whole, (k >= t0) & (k < t0 + refit) & ((k - t0) % every == 0) & whole
+            if past.sum() < window // 2 or not own.any():
+                continue
+            got, g, t = evaluate(z[past], None if values is None else values[past], z[own], h, step, fisher)
+            out.append(pd.DataFrame({KEY: pdf[KEY].to_numpy()[own], TIME: pdf[TIME].to_numpy()[own]} | got | {"einstein": list(g[:, i, j]), "stress": list(t[:, i, j])}))
+        return pd.concat(out) if out else pd.DataFrame(columns=[KEY, TIME, *SCAN, "einstein", "stress"])
 
     kinds = dict(df.dtypes)
     schema = f"{KEY} {kinds[KEY]}, {TIME} {kinds[TIME]}, " + ", ".join(f"{c} double" for c in SCAN) + ", einstein array<double>, stress array<double>"
-    out = spread.groupBy(KEY, "_block").applyInPandas(run, schema)
+    out = spread.groupBy(KEY, "_run").applyInPandas(run, schema)
     return out.select(KEY, TIME, *[finite(c).alias(c) for c in SCAN], "einstein", "stress")
 
 

@@ -63,12 +63,13 @@ def design_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("ok", whole)
 
 
-def evaluations(df: DataFrame, window: int, step: int, nu: float, split: str | None = None, target: bool = True, halves: float = 0.5, since_ms: int | None = None) -> DataFrame:
+def evaluations(df: DataFrame, window: int, step: int, nu: float, split: str | None = None, target: bool = True, halves: float = 0.5, since_ms: int | None = None, per_task: int = 32) -> DataFrame:
     """Fisher-Rao speed between the two parts of a sliding window, every ``step`` bars, with controls and the target.
 
     ``split``: "even" or "odd" rows only (for reliability); ``halves``: where
-    the window is cut. An evaluation is a task of ``window + step`` rows at
-    most; a row goes to the few evaluations whose window or target holds it.
+    the window is cut. A task has ``per_task`` evaluations that follow each
+    other, and ``window + (per_task + 1) * step`` rows at most; a row goes to
+    the few tasks whose windows or targets hold it.
     """
     first = window + 2 * step + 61
     rows = design_rows(df).withColumn("_n", (F.row_number().over(by_time()) - 1).cast("long"))
@@ -76,44 +77,49 @@ def evaluations(df: DataFrame, window: int, step: int, nu: float, split: str | N
     ahead = step if target else 0
     low = F.greatest(F.ceil((F.col("_n") - ahead + 1 - first) / step), F.lit(0)).cast("long")
     high = F.floor((F.col("_n") + window - first) / step).cast("long")
-    used = rows.where(high >= low).withColumn("_k", F.explode(F.sequence(low, high))).withColumn("t", F.col("_k") * step + first)
-    used = used.where((F.col("t") <= F.col("_size") - ahead))
+    used = rows.where(high >= low).withColumn("_task", F.explode(F.sequence(F.floor(low / per_task), F.floor(high / per_task))))
     cut = window - int(window * halves)
     cols = ["r", "z", "star", "star_before", "ell", "ell_before"]
+    names = [KEY, TIME, "t", "v_flow", "v_total", "dlog_sigma", "da1", "log_rv_S", "log_rv_W", "abs_dlog_rv", "y"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [KEY, TIME, "t", "v_flow", "v_total", "dlog_sigma", "da1", "log_rv_S", "log_rv_W", "abs_dlog_rv", "y"]
-        none = pd.DataFrame(columns=names)
         pdf = pdf.sort_values("_n")
-        t, n, ok = int(pdf["t"].iloc[0]), pdf["_n"].to_numpy(), pdf["ok"].to_numpy(dtype=bool)
+        start, task, n, ok = int(pdf["_n"].iloc[0]), int(pdf["_task"].iloc[0]), pdf["_n"].to_numpy(), pdf["ok"].to_numpy(dtype=bool)
         r, z, star, star0, ell, ell0 = (pdf[c].to_numpy(dtype=float) for c in cols)
-        last = pdf[TIME].to_numpy()[n == t - 1]
-        if not len(last) or since_ms is not None and last[0] < since_ms:
-            return none
-        fits = []
-        for lo, hi in ((t - window, t - cut), (t - cut, t)):
-            part = (n >= lo) & (n < hi)
-            if split:
-                part &= n % 2 == (0 if split == "even" else 1)
-            if (part & ok).sum() < 0.8 * part.sum() or not part.any():
-                return none
-            i = part & ok
-            one = np.ones(i.sum())
-            fits.append(vol.fit_local(r[i], np.column_stack([one, z[i], star0[i]]), star[i], np.column_stack([one, ell0[i], np.abs(z[i]), z[i]]), ell[i], nu))
+        times, size, out = pdf[TIME].to_numpy(), int(pdf["_size"].iloc[0]), []
+        at = lambda i: min(max(i - start, 0), len(n))  # noqa: E731  rows follow each other
 
         def rv(lo: int, hi: int) -> float:
-            x = r[(n >= lo) & (n < hi)]
+            x = r[at(lo) : at(hi)]
             x = x[np.isfinite(x)]
             return float(np.sqrt((x * x).sum())) if len(x) else np.nan
 
-        with np.errstate(divide="ignore", invalid="ignore"):
-            now = rv(t - step, t)
-            row = {KEY: pdf[KEY].iloc[0], TIME: int(last[0]), "t": t} | vol.speed(*fits, nu)
-            row |= {"log_rv_S": np.log(now), "log_rv_W": np.log(rv(t - window, t)), "abs_dlog_rv": abs(np.log(now / rv(t - 2 * step, t - step))), "y": abs(np.log(rv(t, t + step) / now)) if target else np.nan}
-        return pd.DataFrame([row])[names]
+        def fitted(lo: int, hi: int) -> dict | None:
+            part = np.arange(at(lo), at(hi))
+            if split:
+                part = part[n[part] % 2 == (0 if split == "even" else 1)]
+            i = part[ok[part]]
+            if len(i) < 0.8 * len(part) or not len(part):
+                return None
+            one = np.ones(len(i))
+            return vol.fit_local(r[i], np.column_stack([one, z[i], star0[i]]), star[i], np.column_stack([one, ell0[i], np.abs(z[i]), z[i]]), ell[i], nu)
+
+        for t in range(task * per_task * step + first, (task + 1) * per_task * step + first, step):
+            if t > size - ahead or t > n[-1] + 1 or since_ms is not None and times[at(t - 1)] < since_ms:
+                continue
+            before = fitted(t - window, t - cut)
+            after = fitted(t - cut, t) if before else None
+            if not after:
+                continue
+            with np.errstate(divide="ignore", invalid="ignore"):
+                now = rv(t - step, t)
+                row = {KEY: pdf[KEY].iloc[0], TIME: int(times[at(t - 1)]), "t": t} | vol.speed(before, after, nu)
+                row |= {"log_rv_S": np.log(now), "log_rv_W": np.log(rv(t - window, t)), "abs_dlog_rv": abs(np.log(now / rv(t - 2 * step, t - step))), "y": abs(np.log(rv(t, t + step) / now)) if target else np.nan}
+            out.append(row)
+        return pd.DataFrame(out, columns=names)
 
     kinds = dict(df.dtypes)
-    out = used.select(KEY, TIME, "_n", "t", "ok", *cols).groupBy(KEY, "t").applyInPandas(run, f"{KEY} {kinds[KEY]}, {TIME} {kinds[TIME]}, t long, v_flow double, v_total double, dlog_sigma double, da1 double, log_rv_S double, log_rv_W double, abs_dlog_rv double, y double")
+    out = used.select(KEY, TIME, "_n", "_size", "_task", "ok", *cols).groupBy(KEY, "_task").applyInPandas(run, f"{KEY} {kinds[KEY]}, {TIME} {kinds[TIME]}, t long, v_flow double, v_total double, dlog_sigma double, da1 double, log_rv_S double, log_rv_W double, abs_dlog_rv double, y double")
     return out.select(KEY, TIME, "t", *[finite(c).alias(c) for c in ("v_flow", "v_total", "dlog_sigma", "da1", "log_rv_S", "log_rv_W", "abs_dlog_rv", "y")])
 
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantflume.functions.scalar import finite
 from quantflume.functions.series import KEY, TIME, by_time
 
 
@@ -79,16 +80,28 @@ def residuals(df: DataFrame, columns: list[str], controls: list[str], season: st
 def circular_shift_test(df: DataFrame, x: str, y: str, shifts: list[int]) -> DataFrame:
     """Per symbol: the correlation of x and y, and the share of shifted copies of x that correlate as much (one-sided p).
 
-    Every shift is an equi-join of the series with itself on the moved position.
+    A symbol is one task of two columns: all circular correlations come from
+    one Fourier transform, whatever the number of shifts. Rows with a null are
+    left out; rows that repeat a bar are ordered by their values; without a row
+    a symbol gives none, and a constant column a null.
     """
-    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    n = F.count(F.lit(1)).over(Window.partitionBy(KEY))
-    at = df.select(KEY, (F.row_number().over(by_time()) - 1).cast("long").alias("_i"), n.alias("_n"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    moved = at.withColumn("_s", F.explode(F.array(*[F.lit(s) for s in [0, *shifts]]))).select(KEY, "_s", ((F.col("_i") + F.col("_s")) % F.col("_n")).alias("_i"), "_x")
-    rho = moved.join(at.select(KEY, "_i", "_y"), [KEY, "_i"]).groupBy(KEY, "_s").agg(F.corr("_x", "_y").alias("_rho"))
-    own = rho.where("_s = 0").select(KEY, F.col("_rho").alias("rho"))
-    null = rho.where("_s <> 0").join(own, KEY).groupBy(KEY, "rho").agg(F.count(F.lit(1)).alias("n_perm"), F.sum((F.col("_rho") >= F.col("rho")).cast("long")).alias("_hits"), F.percentile("_rho", F.lit(0.95)).alias("null_p95"))
-    return null.select(KEY, "rho", ((1 + F.col("_hits")) / (1 + F.col("n_perm"))).alias("p"), "n_perm", "null_p95")
+    kind = dict(df.dtypes)[KEY]
+    names = [KEY, "rho", "p", "n_perm", "null_p95"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([TIME, "_x", "_y"])
+        a, b = (pdf[c].to_numpy() - pdf[c].mean() for c in ("_x", "_y"))
+        scale = np.sqrt((a * a).sum() * (b * b).sum())
+        if not scale > 0:
+            return pd.DataFrame([[pdf[KEY].iloc[0], np.nan, np.nan, len(shifts), np.nan]], columns=names)
+        rho = np.fft.irfft(np.conj(np.fft.rfft(a)) * np.fft.rfft(b), len(a)) / scale
+        null = rho[np.array(shifts) % len(a)]
+        p = (1 + (null >= rho[0]).sum()) / (1 + len(null))
+        return pd.DataFrame([[pdf[KEY].iloc[0], rho[0], p, len(null), np.quantile(null, 0.95)]], columns=names)
+
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(KEY, TIME, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    out = pairs.groupBy(KEY).applyInPandas(run, f"{KEY} {kind}, rho double, p double, n_perm long, null_p95 double")
+    return out.select(KEY, finite("rho").alias("rho"), finite("p").alias("p"), "n_perm", finite("null_p95").alias("null_p95"))
 
 
 def replica_test(observed: DataFrame, replicas: DataFrame, value: str, by: str) -> DataFrame:

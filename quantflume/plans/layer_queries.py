@@ -346,7 +346,7 @@ def existence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flow_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geometry in order-flow coordinates of a synthetic series, freed of what position alone explains."""
-    df = models.design_rows(models.synthetic(spark, "flow", 2500, [1, 2])).withColumn("nu", series.relative_activity("volume", 500, 160))
+    df = series.relative_activity(models.design_rows(models.synthetic(spark, "flow", 2500, [1, 2])), "volume", "nu", 500, 160)
     df = series.rank_causal(df, ["z", "star", "nu"], 500, 160)
     scan = geometry.delta_f(geometry.causal_scan(df, ["z_gauss", "star_gauss", "nu_gauss"], None, window=500, refit=120, every=20)).where("dF is not null")
     a, b = scan.where("symbol = 'flow1'").withColumn("symbol", F.lit("flow")), scan.where("symbol = 'flow2'").withColumn("symbol", F.lit("flow"))

@@ -113,7 +113,7 @@ def flow_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flow_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b15(spark, sf_dir).select(*KEYS, rd(series.relative_activity("volume", 300, 60), "nu"))
+    return series.relative_activity(b15(spark, sf_dir), "volume", "nu", 300, 60).select(*KEYS, rd("nu", "nu"))
 
 
 def flow_z(spark: SparkSession, sf_dir: str) -> DataFrame:
