@@ -7,11 +7,8 @@ price against its memory is ``E_gap``, that of motion (v^2 + a^2) is ``E``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,50 +100,68 @@ def attractor_layer(df: DataFrame, x: str = "E_gap", y: str = "jerk") -> DataFra
 _STENCIL = np.array([(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)], dtype=float)
 
 
-def density_layer(df: DataFrame, x: str = "E_gap", y: str = "jerk", fitted: str | None = "displacement", h: float = BANDWIDTH, step: float = DELTA, tile: int = 512) -> DataFrame:
+def density_layer(df: DataFrame, x: str = "E_gap", y: str = "jerk", fitted: str | None = "displacement", h: float = BANDWIDTH, step: float = DELTA, tile: int = 2048, together: int = 32) -> DataFrame:
     """``df`` with the log density of (x, y) over the symbol's whole series, numerical gradient and Hessian, and basin depth. Looks ahead.
 
     Samples are the bars whose ``fitted`` isn't null. Every bar meets every
-    sample by the definition; bars and samples come in tiles, tile pairs meet by
-    an equi-join on the symbol, and each pair adds partial log sums, so no task
-    holds more than two tiles and what is shuffled grows with the tiles.
+    sample by the definition. Bars and samples come in tiles; a task has one
+    tile of bars and up to ``together`` tiles of samples, whose sums it adds
+    up, so that a symbol's pairs spread over (tiles * tiles / together) tasks
+    and a bar leaves each with one partial sum for each point of the stencil.
+
+    Bars with a null x or y have nulls; bars that repeat a time are rows of
+    their own; without a sample a symbol's densities are null.
     """
-    part = F.floor((F.row_number().over(by_time()) - 1) / tile)
-    at = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(KEY, TIME, F.col(x).alias("x"), F.col(y).alias("y"), part.alias("_t"), F.col(fitted).isNotNull().alias("s") if fitted else F.lit(True).alias("s"))
-    tiles = at.groupBy(KEY, "_t").agg(F.collect_list(F.struct(TIME, "x", "y", "s")).alias("p"))
-    pairs = tiles.select(KEY, F.col("p").alias("a")).join(tiles.select(KEY, F.col("p").alias("b")), KEY)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                a, b = batch.column(1)[k].values, batch.column(2)[k].values
-                points = np.column_stack([a.field("x").to_numpy(), a.field("y").to_numpy()])
-                keep = b.field("s").to_numpy(zero_copy_only=False)
-                sample = np.column_stack([b.field("x").to_numpy(), b.field("y").to_numpy()])[keep]
-                if not len(sample):
-                    continue
-                spots = (points[:, None, :] + step * _STENCIL[None]).reshape(-1, 2)
-                q = -((spots[:, None, :] - sample[None]) ** 2).sum(axis=2) / (2 * h * h)
-                top = q.max(axis=1)
-                logs = (top + np.log(np.exp(q - top[:, None]).sum(axis=1))).reshape(len(points), 9)
-                out.append(pd.DataFrame({KEY: batch.column(0)[k].as_py(), TIME: a.field(TIME).to_numpy(), "n": len(sample)} | {f"l{c}": logs[:, c] for c in range(9)}))
-            if out:
-                yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
-
-    kinds = dict(df.dtypes)
-    sums = pairs.mapInArrow(run, f"{KEY} {kinds[KEY]}, {TIME} {kinds[TIME]}, n long, " + ", ".join(f"l{c} double" for c in range(9)))
+    n = F.row_number().over(Window.partitionBy(KEY).orderBy(TIME, x, y)) - 1
+    numbered = df.withColumn("_n", n.cast("long"))
+    at = numbered.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(KEY, "_n", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.floor(F.col("_n") / tile).alias("_t"), F.col(fitted).isNotNull().alias("s") if fitted else F.lit(True).alias("s"))
+    tiles = at.groupBy(KEY, "_t").agg(F.collect_list("_n").alias("n"), F.collect_list("x").alias("x"), F.collect_list("y").alias("y"), F.collect_list("s").alias("s"))
+    tiles = tiles.withColumn("_last", F.max("_t").over(Window.partitionBy(KEY)))
+    group = F.floor(F.col("_t") / together)
+    points = tiles.withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / together)))).select(KEY, F.col("_t").alias("_a"), "_g", F.lit(True).alias("of"), "n", "x", "y", "s")
+    samples = tiles.withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).select(KEY, "_a", group.alias("_g"), F.lit(False).alias("of"), "n", "x", "y", "s")
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, others = pdf[pdf["of"]], pdf[~pdf["of"]]
+        names = [KEY, "_n", "m", "top", "sum"]
+        if not len(own):
+            return pd.DataFrame(columns=names)
+        px, py = (np.asarray(own[c].iloc[0], dtype=float) for c in "xy")
+        sx, sy = (np.concatenate([np.asarray(v, dtype=float)[np.asarray(s, dtype=bool)] for v, s in zip(others[c], others["s"], strict=True)] or [np.zeros(0)]) for c in "xy")
+        if not len(sx):
+            return pd.DataFrame(columns=names)
+        top, total = np.full((len(px), 9), -np.inf), np.zeros((len(px), 9))
+        for a in range(0, len(px), 64):
+            part = slice(a, a + 64)
+            for b in range(0, len(sx), 4096):
+                # squares along each axis once for each of its three offsets
+                qx, qy = ({d: -((p[part, None] + step * d - v[None, b : b + 4096]) ** 2) / (2 * h * h) for d in (-1, 0, 1)} for p, v in ((px, sx), (py, sy)))
+                for c, (i, j) in enumerate(_STENCIL.astype(int).tolist()):
+                    q = qx[i] + qy[j]
+                    new = np.maximum(top[part, c], q.max(axis=1))
+                    total[part, c] = total[part, c] * np.exp(top[part, c] - new) + np.exp(q - new[:, None]).sum(axis=1)
+                    top[part, c] = new
+        return pd.DataFrame({KEY: own[KEY].iloc[0], "_n": own["n"].iloc[0], "m": len(sx), "top": list(top), "sum": list(total)})
+
+    kind = dict(df.dtypes)[KEY]
+    sums = points.unionByName(samples).groupBy(KEY, "_a", "_g").applyInPandas(partial, f"{KEY} {kind}, _n long, m long, top array<double>, sum array<double>")
     # log of a sum of exponentials of partial logs, around their maximum
-    tops = sums.groupBy(KEY, TIME).agg(F.sum("n").alias("_n"), *[F.max(f"l{c}").alias(f"_t{c}") for c in range(9)])
-    total = sums.join(tops, [KEY, TIME]).groupBy(KEY, TIME, "_n", *[f"_t{c}" for c in range(9)]).agg(*[F.sum(F.exp(F.col(f"l{c}") - F.col(f"_t{c}"))).alias(f"_e{c}") for c in range(9)])
-    lp = [F.col(f"_t{c}") + F.log(f"_e{c}") - F.log(F.col("_n") * (2 * np.pi * h * h)) for c in range(9)]
-    out = total.select(KEY, TIME, *[c.alias(f"_p{k}") for k, c in enumerate(lp)])
+    tops = [F.max(F.col("top")[c]).alias(f"_t{c}") for c in range(9)]
+    parts = F.collect_list(F.struct("top", "sum")).alias("_parts")  # one for each group of sample tiles
+    total = sums.groupBy(KEY, "_n").agg(F.sum("m").alias("_m"), *tops, parts)
+
+    def log_density(c: int) -> Column:
+        raised = F.aggregate("_parts", F.lit(0.0), lambda s, v: s + v["sum"][c] * F.exp(v["top"][c] - F.col(f"_t{c}")))
+        return F.col(f"_t{c}") + F.log(raised) - F.log(F.col("_m") * (2 * np.pi * h * h))
+
+    out = total.select(F.col(KEY).alias("_key"), F.col("_n").alias("_k"), *[c.alias(f"_p{k}") for k, c in enumerate(map(log_density, range(9)))])
     p = [F.col(f"_p{k}") for k in range(9)]
-    out = out.select(KEY, TIME, p[0].alias("log_density"), ((p[1] - p[2]) / (2 * step)).alias("grad_logp_E"), ((p[3] - p[4]) / (2 * step)).alias("grad_logp_jerk"), ((p[1] - 2 * p[0] + p[2]) / step**2).alias("_h11"), ((p[3] - 2 * p[0] + p[4]) / step**2).alias("_h22"), ((p[5] - p[6] - p[7] + p[8]) / (4 * step**2)).alias("_h12"))
+    out = out.select("_key", "_k", p[0].alias("log_density"), ((p[1] - p[2]) / (2 * step)).alias("grad_logp_E"), ((p[3] - p[4]) / (2 * step)).alias("grad_logp_jerk"), ((p[1] - 2 * p[0] + p[2]) / step**2).alias("_h11"), ((p[3] - 2 * p[0] + p[4]) / step**2).alias("_h22"), ((p[5] - p[6] - p[7] + p[8]) / (4 * step**2)).alias("_h12"))
     mid, half = (F.col("_h11") + F.col("_h22")) / 2, F.sqrt(((F.col("_h11") - F.col("_h22")) / 2) ** 2 + F.col("_h12") ** 2)
     norm = F.sqrt(F.col("grad_logp_E") ** 2 + F.col("grad_logp_jerk") ** 2)
-    out = out.withColumn("curvature", norm).withColumn("hessian_trace", 2 * mid).withColumn("hessian_maxeig_abs", F.greatest(F.abs(mid + half), F.abs(mid - half)))
-    return df.join(out.withColumn("basin_depth", F.col("log_density") - DEPTH * F.col("curvature")).drop("_h11", "_h22", "_h12"), [KEY, TIME], "left")
+    out = out.select("*", norm.alias("curvature"), (2 * mid).alias("hessian_trace"), F.greatest(F.abs(mid + half), F.abs(mid - half)).alias("hessian_maxeig_abs"))
+    out = out.withColumn("basin_depth", F.col("log_density") - DEPTH * F.col("curvature")).drop("_h11", "_h22", "_h12")
+    return numbered.join(out, F.col(KEY).eqNullSafe(F.col("_key")) & (F.col("_n") == F.col("_k")), "left").drop("_n", "_k", "_key")
 
 
 def terrain_score(df: DataFrame) -> DataFrame:

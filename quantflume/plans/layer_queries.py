@@ -39,49 +39,22 @@ def local_attractor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attractor(spark, sf_dir).select(*KEYS, *[rd(n, n, 5) for n in names])
 
 
-#: The bars that the SQL of global_density, terrain_score and terrain_state is given for.
-_OF_SQL = "symbol = 'R' and bar_ms >= 915148800000"
-
-
-def _density(df: DataFrame) -> DataFrame:
-    out = layers.density_layer(df)
+def global_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Densities of every symbol's whole series."""
+    out = layers.density_layer(_attractor(spark, sf_dir))
     return out.select(*KEYS, *[rd(n, n, 5) for n in ("log_density", "grad_logp_E", "grad_logp_jerk", "curvature", "basin_depth")], *[rd(n, n, 3) for n in ("hessian_trace", "hessian_maxeig_abs")])
 
 
-def _score(df: DataFrame) -> DataFrame:
-    return layers.terrain_score(layers.density_layer(df)).select(*KEYS, *[rd(n, n, 4) for n in ("z_disp", "z_curv", "z_basin", "z_hyst", "transition_score_raw", "transition_score")])
-
-
-def _state(df: DataFrame) -> DataFrame:
-    return layers.terrain_score(layers.density_layer(df)).select(*KEYS, "terrain_state")
-
-
-def global_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the bars of its SQL, R from 1999 on; ``global_density_whole`` has all."""
-    return _density(_attractor(spark, sf_dir).where(_OF_SQL))
+def _terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.terrain_score(layers.density_layer(_attractor(spark, sf_dir)))
 
 
 def terrain_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the bars of its SQL, R from 1999 on; ``terrain_score_whole`` has all."""
-    return _score(_attractor(spark, sf_dir).where(_OF_SQL))
+    return _terrain(spark, sf_dir).select(*KEYS, *[rd(n, n, 4) for n in ("z_disp", "z_curv", "z_basin", "z_hyst", "transition_score_raw", "transition_score")])
 
 
 def terrain_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the bars of its SQL, R from 1999 on; ``terrain_state_whole`` has all."""
-    return _state(_attractor(spark, sf_dir).where(_OF_SQL))
-
-
-def global_density_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Densities of every symbol's whole series."""
-    return _density(_attractor(spark, sf_dir))
-
-
-def terrain_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _score(_attractor(spark, sf_dir))
-
-
-def terrain_state_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _state(_attractor(spark, sf_dir))
+    return _terrain(spark, sf_dir).select(*KEYS, "terrain_state")
 
 
 def state_by_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +207,7 @@ def synthetic_garch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.synthetic(spark, "garch", 2000, [0, 1]).select(*KEYS, "open", "high", "low", "close", "volume")
 
 
-QUERIES = {f.__name__: f for f in (state_by_energy, input_layer, info_density, local_attractor, global_density, terrain_score, terrain_state, global_density_whole, terrain_score_whole, terrain_state_whole, expected_value, edge_signal, edge_fallback, singularity_scores, dominant_type, stage, garch_filter, flow_design, curvature_scan, delta_f, scan_field_equation, reliability, grid_geometry_2d, grid_geometry_3d, garch_fit, sf1_fit, evaluations_hop, fisher_rao_speed, surrogate_iaaft, synthetic_garch)}
+QUERIES = {f.__name__: f for f in (state_by_energy, input_layer, info_density, local_attractor, global_density, terrain_score, terrain_state, expected_value, edge_signal, edge_fallback, singularity_scores, dominant_type, stage, garch_filter, flow_design, curvature_scan, delta_f, scan_field_equation, reliability, grid_geometry_2d, grid_geometry_3d, garch_fit, sf1_fit, evaluations_hop, fisher_rao_speed, surrogate_iaaft, synthetic_garch)}
 
 _IN = f"""{DAILY}, {ema_sql("daily", "close", "em")},
 i0 AS (SELECT d.*, em.ema AS memory_close, {_V.replace("PARTITION BY symbol ORDER BY bar_ms", "PARTITION BY d.symbol ORDER BY d.bar_ms")} AS ret FROM daily d JOIN em USING (symbol, bar_ms)),
@@ -259,23 +232,23 @@ ad AS (SELECT symbol, bar_ms, n, x, y, close, CASE WHEN n >= 80 THEN mx END AS m
 att AS (SELECT *, greatest(0, ((x - mx) * (x - mx) * c22 - 2 * (x - mx) * (y - my) * c12 + (y - my) * (y - my) * c11) / (c11 * c22 - c12 * c12)) AS d0,
   sqrt(pow(mx - lag(mx, 10) OVER {W}, 2) + pow(my - lag(my, 10) OVER {W}, 2)) AS hy FROM ad)"""
 
-_DEN = f"""{_ATT}, q AS (SELECT * FROM att WHERE symbol = 'R' AND bar_ms >= 915148800000),
+_DEN = f"""{_ATT}, q AS (SELECT * FROM att),
 st AS (SELECT * FROM (VALUES (0,0.0,0.0),(1,0.03,0.0),(2,-0.03,0.0),(3,0.0,0.03),(4,0.0,-0.03),(5,0.03,0.03),(6,0.03,-0.03),(7,-0.03,0.03),(8,-0.03,-0.03)) t(k, dx, dy)),
 kd AS (SELECT a.symbol, a.bar_ms, k, ln(sum(exp(-(pow(a.x + dx - b.x, 2) + pow(a.y + dy - b.y, 2)) / (2 * 0.35 * 0.35))) / count(*) / (2 * pi() * 0.35 * 0.35)) AS lp
-  FROM q a, st, q b WHERE b.mx IS NOT NULL GROUP BY ALL),
+  FROM q a JOIN q b ON a.symbol = b.symbol AND b.mx IS NOT NULL, st GROUP BY ALL),
 kp AS (SELECT symbol, bar_ms, max(lp) FILTER (k = 0) AS p0, max(lp) FILTER (k = 1) AS p1, max(lp) FILTER (k = 2) AS p2, max(lp) FILTER (k = 3) AS p3, max(lp) FILTER (k = 4) AS p4, max(lp) FILTER (k = 5) AS p5, max(lp) FILTER (k = 6) AS p6, max(lp) FILTER (k = 7) AS p7, max(lp) FILTER (k = 8) AS p8 FROM kd GROUP BY ALL),
 kg AS (SELECT *, (p1 - p2) / 0.06 AS ge, (p3 - p4) / 0.06 AS gj, (p1 - 2 * p0 + p2) / 0.0009 AS h11, (p3 - 2 * p0 + p4) / 0.0009 AS h22, (p5 - p6 - p7 + p8) / 0.0036 AS h12 FROM kp),
-den AS (SELECT q.*, p0, ge, gj, sqrt(ge * ge + gj * gj) AS gn, h11 + h22 AS tr, greatest(abs((h11 + h22) / 2 + sqrt(pow((h11 - h22) / 2, 2) + h12 * h12)), abs((h11 + h22) / 2 - sqrt(pow((h11 - h22) / 2, 2) + h12 * h12))) AS me, p0 - 0.6 * sqrt(ge * ge + gj * gj) AS basin, ln(1 + d0) AS disp FROM q JOIN kg USING (symbol, bar_ms))"""
+den AS (SELECT q.*, p0, ge, gj, sqrt(ge * ge + gj * gj) AS gn, h11 + h22 AS tr, greatest(abs((h11 + h22) / 2 + sqrt(pow((h11 - h22) / 2, 2) + h12 * h12)), abs((h11 + h22) / 2 - sqrt(pow((h11 - h22) / 2, 2) + h12 * h12))) AS me, p0 - 0.6 * sqrt(ge * ge + gj * gj) AS basin, CASE WHEN mx IS NOT NULL THEN ln(1 + d0) END AS disp FROM q JOIN kg USING (symbol, bar_ms))"""
 
 _fill = lambda c: f"coalesce({c}, first_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_ms ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
 _PARTS = ("disp", "gn", "basin", "hy")
 _TER = f"""{_DEN}, tf AS (SELECT symbol, bar_ms, {", ".join(f"{_fill(c)} AS {c}" for c in _PARTS)} FROM den),
-tq AS (SELECT {", ".join(f"quantile_cont({c}, 0.005) AS {c}_lo, quantile_cont({c}, 0.995) AS {c}_hi" for c in _PARTS)} FROM tf),
-tw AS (SELECT symbol, bar_ms, {", ".join(f"greatest({c}_lo, least({c}_hi, {c})) AS {c}" for c in _PARTS)} FROM tf, tq),
-tm AS (SELECT {", ".join(f"median({c}) AS {c}_m" for c in _PARTS)} FROM tw), td AS (SELECT {", ".join(f"median(abs({c} - {c}_m)) AS {c}_d" for c in _PARTS)} FROM tw, tm),
-tz AS (SELECT symbol, bar_ms, {", ".join(f"CASE WHEN {c}_d < 1e-12 THEN 0 ELSE 0.6745 * ({c} - {c}_m) / {c}_d END AS z_{c}" for c in _PARTS)} FROM tw, tm, td),
-tr AS (SELECT *, z_disp + z_gn - z_basin + z_hy AS raw FROM tz), tl AS (SELECT quantile_cont(raw, 0.005) AS lo, quantile_cont(raw, 0.995) AS hi FROM tr),
-ter AS (SELECT tr.*, greatest(lo, least(hi, raw)) AS score FROM tr, tl)"""
+tq AS (SELECT symbol, {", ".join(f"quantile_cont({c}, 0.005) AS {c}_lo, quantile_cont({c}, 0.995) AS {c}_hi" for c in _PARTS)} FROM tf GROUP BY 1),
+tw AS (SELECT symbol, bar_ms, {", ".join(f"greatest({c}_lo, least({c}_hi, {c})) AS {c}" for c in _PARTS)} FROM tf JOIN tq USING (symbol)),
+tm AS (SELECT symbol, {", ".join(f"median({c}) AS {c}_m" for c in _PARTS)} FROM tw GROUP BY 1), td AS (SELECT symbol, {", ".join(f"median(abs({c} - {c}_m)) AS {c}_d" for c in _PARTS)} FROM tw JOIN tm USING (symbol) GROUP BY 1),
+tz AS (SELECT symbol, bar_ms, {", ".join(f"CASE WHEN {c}_d < 1e-12 THEN 0 ELSE 0.6745 * ({c} - {c}_m) / {c}_d END AS z_{c}" for c in _PARTS)} FROM tw JOIN tm USING (symbol) JOIN td USING (symbol)),
+tr AS (SELECT *, z_disp + z_gn - z_basin + z_hy AS raw FROM tz), tl AS (SELECT symbol, quantile_cont(raw, 0.005) AS lo, quantile_cont(raw, 0.995) AS hi FROM tr GROUP BY 1),
+ter AS (SELECT tr.*, greatest(lo, least(hi, raw)) AS score FROM tr JOIN tl USING (symbol))"""
 
 _STATE = "CASE WHEN {0} IS NULL THEN 'UNDEFINED' WHEN {0} < q1 THEN 'COHERENT' WHEN {0} < q2 THEN 'TENSIONED' WHEN {0} < q3 THEN 'TRANSITION_EDGE' ELSE 'RUPTURE_CORRIDOR' END"
 
@@ -312,7 +285,7 @@ ORACLES = {
     "local_attractor": f"WITH {_ATT} SELECT symbol, bar_ms, {r('mx', 5)} AS attractor_E, {r('my', 5)} AS attractor_jerk, {r('c11', 5)} AS cov_11, {r('c12', 5)} AS cov_12, {r('c22', 5)} AS cov_22, {r('CASE WHEN mx IS NOT NULL THEN d0 END', 5)} AS displacement_raw, {r('CASE WHEN mx IS NOT NULL THEN ln(1 + d0) END', 5)} AS displacement, {r('hy', 5)} AS hysteresis FROM att",
     "global_density": f"WITH {_DEN} SELECT symbol, bar_ms, {r('p0', 5)} AS log_density, {r('ge', 5)} AS grad_logp_E, {r('gj', 5)} AS grad_logp_jerk, {r('gn', 5)} AS curvature, {r('basin', 5)} AS basin_depth, {r('tr', 3)} AS hessian_trace, {r('me', 3)} AS hessian_maxeig_abs FROM den",
     "terrain_score": f"WITH {_TER} SELECT symbol, bar_ms, {r('z_disp', 4)} AS z_disp, {r('z_gn', 4)} AS z_curv, {r('z_basin', 4)} AS z_basin, {r('z_hy', 4)} AS z_hyst, {r('raw', 4)} AS transition_score_raw, {r('score', 4)} AS transition_score FROM ter",
-    "terrain_state": f"WITH {_TER}, sq AS (SELECT quantile_cont(score, 0.5) AS q1, quantile_cont(score, 0.8) AS q2, quantile_cont(score, 0.93) AS q3 FROM ter) SELECT symbol, bar_ms, {_STATE.format('score')} AS terrain_state FROM ter, sq",
+    "terrain_state": f"WITH {_TER}, sq AS (SELECT symbol, quantile_cont(score, 0.5) AS q1, quantile_cont(score, 0.8) AS q2, quantile_cont(score, 0.93) AS q3 FROM ter GROUP BY 1) SELECT symbol, bar_ms, {_STATE.format('score')} AS terrain_state FROM ter JOIN sq USING (symbol)",
     "expected_value": f"WITH {_EV} SELECT symbol, bar_ms, sl AS signal_long, ss AS signal_short, " + ", ".join(f"{r(f'ev_{s}_{k}')} AS ev_{s}_{k}" for s in ("long", "short") for k in (1, 3, 5)) + f", {r('prob_long')} AS prob_long, {r('prob_short')} AS prob_short, {r('evs', 8)} AS expected_value_score FROM ev",
     "edge_signal": f"WITH {_EDGE} SELECT symbol, bar_ms, {r('sc', 8)} AS edge_score, coalesce(evs > 0 AND cos > 0.25, false)::INTEGER AS edge_valid_long, coalesce(evs > 0 AND cos < -0.25, false)::INTEGER AS edge_valid_short, coalesce(evs > 0 AND cos > 0.5, false)::INTEGER AS edge_strong_long, coalesce(evs > 0 AND cos < -0.5, false)::INTEGER AS edge_strong_short, CASE WHEN sc > 0 THEN 'LONG' WHEN sc < 0 THEN 'SHORT' ELSE 'NEUTRAL' END AS edge_direction, sign(sc)::INTEGER AS edge_signal, CASE WHEN sc <> 0 THEN 'ACTIVE' ELSE 'NEUTRAL' END AS edge_bucket FROM ed",
     "singularity_scores": f"WITH {_SING} SELECT symbol, bar_ms, {r('t1')} AS sing_rigidity, {r('t2')} AS sing_curvature, {r('t3')} AS sing_stress, {r('t4')} AS sing_gravity, {r('sing')} AS singularity_score, {r('crit')} AS criticality_score, {r('sz')} AS singularity_z, {r('s01')} AS singularity_01, {r('1 / (1 + exp(-sz))')} AS singularity_prob, {r('cz')} AS criticality_z, {r('c01')} AS criticality_01, {r('1 / (1 + exp(-cz))')} AS criticality_prob, {r('grav')} AS field_gravity FROM sz",
