@@ -151,6 +151,70 @@ def reliability(df: DataFrame, columns: list[str], lam: str | None = None, windo
     return out.select(KEY, TIME, "half", "scale", *[finite(c).alias(c) for c in ("phi", "H_R", "F_R", "Fref_R")])
 
 
+def density_at(df: DataFrame, columns: list[str], by: str, id_col: str, h: float | None = None) -> DataFrame:
+    """At every row the density of its group's rows: log density, gradient and Hessian of the surprise, own score without itself, local Fisher matrix.
+
+    ``h`` None: Scott's bandwidth of the group's size. A group is one task, as
+    its density is of all its rows. Rows with a null among ``columns`` give
+    none; repeated rows count as often as they occur; matrices are upper triangles, row by row.
+    """
+    d = len(columns)
+    i, j = np.triu_indices(d)
+    kinds = dict(df.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[columns].to_numpy(dtype=float)
+        kde = Density(x, h or scott(len(x), d))
+        w, _ = kde.weights(x)
+        scores = kde.scores()
+        return pd.DataFrame({by: pdf[by], id_col: pdf[id_col], "h": kde.h, "log_density": kde.log_density(x), "gradient": list(kde.gradient(x, w)), "hessian": list(kde.hessian(x, w)[:, i, j]), "score": list(scores), "fisher": list(kde.fisher(scores, w)[:, i, j])})
+
+    rows = df.where(" and ".join(f"{c} is not null" for c in columns)).select(by, id_col, *[F.col(c).cast("double").alias(c) for c in columns])
+    return rows.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {id_col} {kinds[id_col]}, h double, log_density double, gradient array<double>, hessian array<double>, score array<double>, fisher array<double>")
+
+
+def sphere_curvature(df: DataFrame, columns: list[str], id_col: str, radius: float) -> DataFrame:
+    """Curvature of a sphere's metric at every row's stereographic coordinates: scalar, first entries of metric, connection and Einstein tensor. A row without a coordinate gives nulls."""
+    kind = dict(df.dtypes)[id_col]
+
+    def run(pdfs):
+        for pdf in pdfs:
+            x = pdf[columns].to_numpy(dtype=float)
+            ok = np.isfinite(x).all(axis=1)
+            c = cv.curvature(cv.sphere(radius), np.where(ok[:, None], x, 0.0))
+            values = {"R": c.scalar, "g_11": c.g[:, 0, 0], "gamma_1_11": c.gamma[:, 0, 0, 0], "einstein_11": c.einstein[:, 0, 0]}
+            yield pd.DataFrame({id_col: pdf[id_col]} | {k: np.where(ok, v, np.nan) for k, v in values.items()})
+
+    out = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(run, f"{id_col} {kind}, R double, g_11 double, gamma_1_11 double, einstein_11 double")
+    return out.select(id_col, *[finite(c).alias(c) for c in ("R", "g_11", "gamma_1_11", "einstein_11")])
+
+
+def flat_stress(df: DataFrame, grad_phi: list[str], grad_lam: list[str], lam: str, id_col: str) -> DataFrame:
+    """The information stress tensor (upper triangle) and its norm under the flat metric, from columns; all JVM-side. Nulls give nulls."""
+    square = lambda cols: sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
+    trace = cv.W_PHI * square(grad_phi) + cv.W_LAM_GRAD * square(grad_lam)
+    own = cv.W_LAM * F.col(lam) - 0.5 * trace
+    d = len(grad_phi)
+    at = lambda a, b: cv.W_PHI * F.col(grad_phi[a]) * F.col(grad_phi[b]) + cv.W_LAM_GRAD * F.col(grad_lam[a]) * F.col(grad_lam[b]) + (own if a == b else 0.0)
+    norm = sum((at(a, b) * at(a, b) for a in range(d) for b in range(d)), F.lit(0.0))
+    return df.select(id_col, *[at(a, b).alias(f"t_{a + 1}{b + 1}") for a in range(d) for b in range(a, d)], F.sqrt(norm).alias("norm"))
+
+
+def summary(scan: DataFrame) -> DataFrame:
+    """Per symbol of a causal scan: bars, shares of negative directions and of their changes, medians and mean of dF, its autocorrelation, and its rank correlation with the distance from the centre.
+
+    Bars without a value are left out of its statistic; a symbol with none has a null.
+    """
+    df = delta_f(scan)
+    before = F.lag("H_neg").over(by_time())
+    at = df.withColumn("_turn", F.when(before.isNotNull() & F.col("H_neg").isNotNull(), (F.col("H_neg") != before).cast("double")))
+    at = at.withColumn("_d0", F.lag("dF").over(by_time()))
+    out = at.groupBy(KEY).agg(F.count(F.lit(1)).alias("bars"), F.avg((F.col("H_neg") > 0).cast("double")).alias("indefinite"), F.avg("_turn").alias("turns"), F.median("H_R").alias("median_H_R"), F.median("F_R").alias("median_F_R"), F.avg("dF").alias("mean_dF"), F.median("dF").alias("median_dF"), F.corr("dF", "_d0").alias("autocorr_dF"))
+    from quantflume.operators import stats
+
+    return out.join(stats.spearman(df, "dF", "mahalanobis").select(KEY, F.col("rho").alias("rho_distance")), KEY, "left")
+
+
 FIELD_2D = ["rho_field", "phi_field", "grad_phi_e", "grad_phi_j", "grad_phi_norm", "hess_phi_ee", "hess_phi_ej", "hess_phi_jj", "g_ee", "g_ej", "g_jj", "g_trace", "g_det", "g_det_safe", "g_inv_ee", "g_inv_ej", "g_inv_jj", "field_curvature", "dE_g_ee", "dJ_g_ee", "dE_g_ej", "dJ_g_ej", "dE_g_jj", "dJ_g_jj", "gamma_e_ee", "gamma_e_ej", "gamma_e_jj", "gamma_j_ee", "gamma_j_ej", "gamma_j_jj"]
 FIELD_3D = ["field_curvature_scalar", "field_stress_tensor_norm", "field_einstein_norm", "field_gravity"]
 TENSORS = [f"{t}_info_{i}{j}" for t in "GT" for i in range(3) for j in range(3)]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantflume.functions import series
 from quantflume.functions.robust import over_all, quantiles
-from quantflume.functions.scalar import clip
+from quantflume.functions.scalar import clip, finite
 from quantflume.functions.series import KEY
+from quantflume.kernels import gridfield
 
 
 def line(low: Column, high: Column, k: Column, size: int) -> Column:
@@ -112,3 +115,20 @@ def bilinear(df: DataFrame, nodes: DataFrame, x: str, y: str, value: str, low: t
     wx, wy = F.col("_wx"), F.col("_wy")
     z = (1 - wx) * (1 - wy) * F.col("_v00") + wx * (1 - wy) * F.col("_v10") + (1 - wx) * wy * F.col("_v01") + wx * wy * F.col("_v11")
     return out.withColumn(value, z).drop("_ix", "_iy", "_wx", "_wy", "_v00", "_v01", "_v10", "_v11")
+
+
+def multilinear(df: DataFrame, columns: list[str], axes: list[np.ndarray], values: np.ndarray, out: str) -> DataFrame:
+    """``df`` with ``out``: a grid's values at the points (columns), linear along every axis; points outside are moved to the edge.
+
+    The grid goes to every task, so its size should be that of a lookup table. A null coordinate gives null.
+    """
+    kept = df.drop(out)
+
+    def run(pdfs):
+        for pdf in pdfs:
+            p = pdf[columns].to_numpy(dtype=float)
+            got = gridfield.interpolate(axes, values, np.nan_to_num(p))
+            yield pdf.assign(**{out: np.where(np.isfinite(p).all(axis=1), got, np.nan)})
+
+    schema = T.StructType([*kept.schema, T.StructField(out, T.DoubleType())])
+    return kept.mapInPandas(run, schema).withColumn(out, finite(out))

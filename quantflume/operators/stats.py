@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quantflume.functions.scalar import finite
 from quantflume.functions.series import KEY, TIME, by_time
+from quantflume.kernels import boosting
 
 
 def run_lengths(df: DataFrame, state: str) -> DataFrame:
@@ -157,6 +158,35 @@ def changed_share(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("changed")) for c in columns])).alias("_e")).select("_e.column", "_e.changed")
 
 
+def periodogram(df: DataFrame, x: str, count: int) -> DataFrame:
+    """Per symbol the power |sum x exp(-2 pi i k n / N)|^2 / N at the first ``count`` frequencies k, nulls left out.
+
+    A symbol is one task of one column, as every frequency needs all of it; rows
+    that repeat a bar are ordered by value; frequencies above N / 2 give no row.
+    """
+    kind = dict(df.dtypes)[KEY]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x_ = pdf.sort_values([TIME, "_x"])["_x"].to_numpy()
+        power = np.abs(np.fft.rfft(x_)[:count]) ** 2 / len(x_)
+        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "k": np.arange(len(power)), "power": power})
+
+    rows = df.where(F.col(x).isNotNull()).select(KEY, TIME, F.col(x).cast("double").alias("_x"))
+    return rows.groupBy(KEY).applyInPandas(run, f"{KEY} {kind}, k long, power double")
+
+
+def pivoted(df: DataFrame, row: str, column: str, values: list, value: str) -> DataFrame:
+    """Means of ``value`` as a table: a row for each value of ``row``, a column for each of ``values``; null where there is none. One aggregate."""
+    return df.groupBy(row).agg(*[F.avg(F.when(F.col(column) == v, F.col(value))).alias(f"{column}_{v}") for v in values])
+
+
+def reproduction(df: DataFrame, published: dict[str, float], tolerance: dict[str, float], *by: str) -> DataFrame:
+    """Each row's metrics beside their published values: (by, metric, value, published, ok); a null value isn't ok."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(v)).alias("published"), F.lit(float(tolerance[m])).alias("_tol")) for m, v in published.items()])).alias("_e")
+    out = df.select(*by, each).select(*by, "_e.*")
+    return out.select(*by, "metric", "value", "published", F.coalesce(F.abs(F.col("value") - F.col("published")) <= F.col("_tol"), F.lit(False)).alias("ok"))
+
+
 def field_equation(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
     """Per symbol the single factor kappa in left = kappa * right over all bars and components, and its R squared."""
     gt = sum((F.sum(F.col(a) * F.col(b)) for a, b in zip(left, right, strict=True)), F.lit(0.0))
@@ -174,22 +204,31 @@ def simple_regression(df: DataFrame, x: str, y: str) -> DataFrame:
     return ok.groupBy(KEY).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
-def fold_r2(df: DataFrame, features: list[str], target: str, folds: int = 5, rounds: int = 20, depth: int = 4) -> DataFrame:
-    """R squared of boosted trees out of fold; folds are equal runs of time."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    ok = df.where(" and ".join(f"{c} is not null" for c in [*features, target]))
-    ok = ok.withColumn("_fold", F.ntile(folds).over(by_time()) - 1)
-    ok = VectorAssembler(inputCols=features, outputCol="_x").transform(ok).select(KEY, TIME, "_fold", "_x", F.col(target).cast("double").alias("_y"))
-    parts = []
-    for k in range(folds):
-        model = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=rounds, maxDepth=depth, stepSize=0.05, seed=1).fit(ok.where(F.col("_fold") != k))
-        parts.append(model.transform(ok.where(F.col("_fold") == k)).select(KEY, "_y", "_p"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), (1 - F.sum((F.col("_y") - F.col("_p")) ** 2) / (F.var_pop("_y") * F.count(F.lit(1)))).alias("r2"))
+def fold_r2(df: DataFrame, features: list[str], targets: str | list[str], folds: int = 5, rounds: int = 200, rate: float = 0.05, leaves: int = 15, least: int = 20) -> DataFrame:
+    """Per symbol (and target, if several are listed) the R squared of boosted trees out of fold; folds are equal runs of time.
+
+    A (symbol, target, fold) is a task that fits on the symbol's other folds, so
+    fits run beside each other and a task holds one symbol's complete rows.
+    Rows with a null among features or target are left out; rows that repeat a
+    bar are ordered by target; a symbol with fewer than ``2 * least`` rows to fit on, or a constant target, has a null.
+    """
+    many = not isinstance(targets, str)
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("_y")) for t in (targets if many else [targets])])).alias("_e")
+    ok = df.where(" and ".join(f"{c} is not null" for c in features)).select(KEY, TIME, *[F.col(c).cast("double").alias(c) for c in features], each).select(KEY, TIME, *features, "_e.*").where("_y is not null")
+    ok = ok.withColumn("_fold", F.ntile(folds).over(Window.partitionBy(KEY, "target").orderBy(TIME, "_y")) - 1)
+    spread = ok.withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = (pdf["_fold"] == pdf["_out"]).to_numpy()
+        x, y = pdf[features].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float)
+        fine = out.any() and (~out).sum() >= 2 * least
+        got = boosting.predictions(x[~out], y[~out], x[out], rounds, rate, leaves, least) if fine else np.full(out.sum(), np.nan)
+        return pd.DataFrame({KEY: pdf[KEY].to_numpy()[out], "target": pdf["target"].to_numpy()[out], "_y": y[out], "_p": got})
+
+    found = spread.groupBy(KEY, "target", "_out").applyInPandas(run, f"{KEY} {dict(df.dtypes)[KEY]}, target string, _y double, _p double")
+    whole = F.var_pop("_y") * F.count(F.lit(1))
+    out = found.groupBy(KEY, "target").agg(F.count(F.lit(1)).alias("n"), finite(1 - F.try_divide(F.sum((F.col("_y") - F.col("_p")) ** 2), whole)).alias("r2"))
+    return out if many else out.drop("target")
 
 
 def sample_by_hash(df: DataFrame, n: int, seed: int = 0) -> DataFrame:

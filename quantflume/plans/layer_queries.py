@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantflume.functions import series
-from quantflume.functions.scalar import clip
+from quantflume.functions.scalar import clip, signed_log
 from quantflume.operators import geometry, grid, layers, models, stats
 from quantflume.plans import chains
 from quantflume.plans.join_queries import _ALIGN_BODY, _MAP_BODY, b1h
@@ -157,7 +157,7 @@ def scan_field_equation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation between even and odd halves of the window by bandwidth."""
-    out = geometry.reliability(_coordinates(spark, sf_dir, 500), ["E_gauss", "jerk_gauss", "m_flux_gauss"], window=500, bars=40, scales=(1.0, 2.0))
+    out = geometry.reliability(_coordinates(spark, sf_dir, 500), ["E_gauss", "jerk_gauss", "m_flux_gauss"], window=500)
     a, b = (out.where(F.col("half") == k).select(*KEYS, "scale", F.col("phi").alias(f"p{k}"), F.col("F_R").alias(f"f{k}")) for k in (0, 1))
     both = a.join(b, [*KEYS, "scale"])
     return stats.spearman(both, "p0", "p1", "symbol", "scale")
@@ -165,37 +165,41 @@ def reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_geometry_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = layers.motion(daily(spark, sf_dir)).where("m_flux is not null and lam is not null")
-    return layers.geodesic_outputs(geometry.grid_fields(df, m=None, size=60).drop("mem_e")).select(*KEYS, *geometry.FIELD_2D, "field_stress_geodesic", "rupture_prob_geodesic", "geodesic_valid")
+    return layers.geodesic_outputs(geometry.grid_fields(df, m=None).drop("mem_e")).select(*KEYS, *geometry.FIELD_2D, "field_stress_geodesic", "rupture_prob_geodesic", "geodesic_valid")
 
 
 def grid_geometry_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = layers.motion(daily(spark, sf_dir)).where("m_flux is not null and lam is not null")
-    return geometry.grid_fields(df, size=40, shape=(16, 16, 12)).select(*KEYS, *geometry.FIELD_3D, *geometry.TENSORS)
+    return geometry.grid_fields(df).select(*KEYS, *geometry.FIELD_3D, *geometry.TENSORS)
 
 
 def garch_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = daily(spark, sf_dir).withColumn("r", F.tanh(F.log("close") - F.log("open")) / 50)
-    return models.garch_fit(df, "r", 600)
+    return models.garch_fit(df, "r")
 
 
 def sf1_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.flow_fit(models.synthetic(spark, "flow", 3000, [1, 2, 3]), 600)
+    return models.flow_fit(models.synthetic(spark, "flow", 3000, [1, 2, 3]))
 
 
 def evaluations_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.evaluations(b1h(spark, sf_dir), 120, 12, 4.0)
 
 
+#: Circular shifts of a speed test.
+SHIFTS = list(range(1, 1000))
+
+
 def fisher_rao_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speed against the next change of volatility on planted series, tested by circular shifts."""
     ev = models.evaluations(models.synthetic(spark, "planted", 4000, [1, 2], step=40), 400, 40, 4.0)
-    return models.speed_test(ev, "hour", list(range(10, 60)))
+    return models.speed_test(ev, "hour", SHIFTS)
 
 
 def surrogate_iaaft(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lag-1 autocorrelation of |r| against three families of surrogates."""
     df = daily(spark, sf_dir).withColumn("r", F.tanh(F.log("close") - F.log("open")) / 50)
-    reps = models.surrogates(df, "r", replicas=5, rounds=20)
+    reps = models.surrogates(df, "r")
     lagged = F.lag(F.abs("ret")).over(series.by_time().partitionBy("symbol", "kind", "replica").orderBy("bar_ms"))
     null = reps.withColumn("_l", lagged).groupBy("symbol", "kind", "replica").agg(F.corr(F.abs("ret"), "_l").alias("v"))
     own = stats.autocorrelation(df.withColumn("ar", F.abs("r")), "ar").select("symbol", F.col("rho").alias("v"))
@@ -300,7 +304,7 @@ ORACLES = {
 def existence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean |dF| of each series' geometry against that of surrogate series, by family; replicas are symbols of one scan."""
     base = daily(spark, sf_dir).withColumn("r", F.tanh(F.log("close") - F.log("open")) / 50)
-    reps = models.surrogates(base, "r", replicas=3, rounds=20).withColumn("symbol", F.concat_ws("|", "kind", F.col("replica").cast("string"), "symbol"))
+    reps = models.surrogates(base, "r", replicas=9).withColumn("symbol", F.concat_ws("|", "kind", F.col("replica").cast("string"), "symbol"))
     own = base.select(F.concat(F.lit("own|0|"), "symbol").alias("symbol"), "bar_ms", F.col("r").alias("ret"))
     paths = reps.select("symbol", "bar_ms", "ret").unionByName(own)
     paths = paths.withColumn("close", 100 * F.exp(F.sum("ret").over(series.by_time())))
@@ -317,15 +321,36 @@ def existence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(at[1].alias("symbol"), at[0].alias("kind"), "n_null", "z", "p")
 
 
+_FLOW = ["z_gauss", "star_gauss", "nu_gauss"]
+
+
+def _flow_coordinates(spark: SparkSession, seeds: list[int]) -> DataFrame:
+    df = series.relative_activity(models.design_rows(models.synthetic(spark, "flow", 6000, seeds)), "volume", "nu")
+    return series.rank_causal(df, ["z", "star", "nu"])
+
+
 def flow_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geometry in order-flow coordinates of a synthetic series, freed of what position alone explains."""
-    df = series.relative_activity(models.design_rows(models.synthetic(spark, "flow", 2500, [1, 2])), "volume", "nu", 500, 160)
-    df = series.rank_causal(df, ["z", "star", "nu"], 500, 160)
-    scan = geometry.delta_f(geometry.causal_scan(df, ["z_gauss", "star_gauss", "nu_gauss"], None, window=500, refit=120, every=20)).where("dF is not null")
+    scan = geometry.delta_f(geometry.causal_scan(_flow_coordinates(spark, [1, 2]), _FLOW, None, every=2)).where("dF is not null")
     a, b = scan.where("symbol = 'flow1'").withColumn("symbol", F.lit("flow")), scan.where("symbol = 'flow2'").withColumn("symbol", F.lit("flow"))
     return stats.position_matched(a, b, "mahalanobis", "dF")
 
 
+def flow_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate's checks of order-flow geometry: reliable between halves, not the distance from the centre, not volatility; and all of them."""
+    df = _flow_coordinates(spark, [1])
+    halves = geometry.delta_f(geometry.reliability(df, _FLOW, scales=(2.0,)))
+    a, b = (halves.where(F.col("half") == k).select(*KEYS, F.col("dF").alias(f"d{k}")) for k in (0, 1))
+    reliable = stats.spearman(a.join(b, list(KEYS)), "d0", "d1").select("symbol", F.col("rho").alias("reliability"))
+    scan = geometry.delta_f(geometry.causal_scan(df, _FLOW, None, every=2))
+    distance = stats.spearman(scan, "dF", "mahalanobis").select("symbol", F.col("rho").alias("rho_distance"))
+    past = df.select(*KEYS, *[series.log_volatility("r", w).alias(f"vol_{w}") for w in (10, 30, 60)])
+    share = stats.fold_r2(scan.join(past, list(KEYS)), ["vol_10", "vol_30", "vol_60"], "dF").select("symbol", F.col("r2").alias("r2_volatility"))
+    out = reliable.join(distance, "symbol").join(share, "symbol")
+    checks = {"ok_reliable": F.col("reliability") >= 0.8, "ok_distance": F.abs("rho_distance") < 0.5, "ok_volatility": F.col("r2_volatility") <= 0.5}
+    return out.select("*", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in checks.items()]).withColumn("passed", F.col("ok_reliable") & F.col("ok_distance") & F.col("ok_volatility"))
+
+
 def speed_measurability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of the speeds from even and from odd bars."""
     df = models.synthetic(spark, "planted", 4000, [1, 2], step=40)
@@ -334,14 +359,63 @@ def speed_measurability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speed_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of seeds whose speed test passes at 5 %, without and with a planted regime."""
+    """Share of thirty seeds whose speed test passes at 5 %, without and with a planted regime."""
     parts = []
     for planted in (False, True):
-        ev = models.evaluations(models.synthetic(spark, "planted", 3000, list(range(6)), step=40, planted=planted), 400, 40, 4.0)
-        parts.append(models.speed_test(ev, "hour", list(range(10, 50))).select(F.lit(planted).alias("planted"), "p"))
+        ev = models.evaluations(models.synthetic(spark, "planted", 3000, list(range(30)), step=40, planted=planted), 400, 40, 4.0)
+        parts.append(models.speed_test(ev, "hour", SHIFTS).select(F.lit(planted).alias("planted"), "p"))
     return parts[0].unionByName(parts[1]).groupBy("planted").agg(F.count(F.lit(1)).alias("seeds"), F.avg((F.col("p") <= 0.05).cast("double")).alias("passed"))
 
 
+def speed_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The speed test under other designs: steps, windows, where the window is cut, and the season."""
+    df, out = models.synthetic(spark, "planted", 4000, [1, 2], step=40), []
+    for name, window, step, halves, season in (("base", 400, 40, 0.5, "hour"), ("long", 800, 40, 0.5, "hour"), ("sparse", 400, 80, 0.5, "hour"), ("late", 400, 40, 0.75, "hour"), ("weekday", 400, 40, 0.5, "weekday")):
+        ev = models.evaluations(df, window, step, 4.0, halves=halves)
+        out.append(models.speed_test(ev, season, SHIFTS).withColumn("variant", F.lit(name)))
+    every = out[0]
+    for part in out[1:]:
+        every = every.unionByName(part)
+    return every
+
+
+def geometry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the exact geometry of every daily series comes to."""
+    return geometry.summary(curvature_scan(spark, sf_dir))
+
+
+#: Quantities of the scan that volatility might explain.
+TARGETS = ["mahalanobis", "grad_phi_norm", "H_neg", "slog_H_det", "slog_H_R", "log_H_G", "slog_F_R", "log_F_det", "slog_Fref_R", "dF"]
+
+
+def volatility_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of ten quantities of the geometry past volatility explains out of fold."""
+    scan = geometry.delta_f(curvature_scan(spark, sf_dir))
+    log = {"log_H_G": F.log(F.col("H_G_norm") + 1e-12), "log_F_det": F.log(F.greatest("F_det", F.lit(1e-300)))}
+    scan = scan.select(*KEYS, "mahalanobis", "grad_phi_norm", "H_neg", "dF", *[signed_log(F.col(c[5:])).alias(c) for c in TARGETS if c.startswith("slog_")], *[v.alias(k) for k, v in log.items()])
+    df = daily(spark, sf_dir).withColumn("r", series.log_return("close"))
+    df = df.select(*KEYS, *[series.log_volatility("r", w).alias(f"vol_{w}") for w in (10, 30, 60)], F.log(F.abs("r") + 1e-12).alias("log_v"), F.log(F.abs(series.difference("r")) + 1e-12).alias("log_a"))
+    both = scan.join(df, list(KEYS))
+    return stats.fold_r2(both, ["vol_10", "vol_30", "vol_60", "log_v", "log_a"], TARGETS)
+
+
+def chain_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile of every numeric column of the offline chain."""
+    out = offline_chain(spark, sf_dir)
+    return stats.column_profile(out, [c for c, t in out.dtypes if t in ("double", "int", "bigint") and c != "bar_ms"])
+
+
+def chain_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of bars on which the chain of the first three quarters differs from that of the whole series, and of the live tail's bars that are painted anew."""
+    df = daily(spark, sf_dir)
+    n, size = F.row_number().over(series.by_time()), F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    first = df.withColumn("_n", n).withColumn("_size", size).where(F.col("_n") <= F.floor(F.col("_size") * 3 / 4)).drop("_n", "_size")
+    columns = ["memory_close", "E_gap", "transition_score", "expected_value_score", "edge_score", "information_density", "field_curvature_scalar", "singularity_score"]
+    whole = chains.offline_chain(df)
+    offline = stats.changed_share(whole, chains.offline_chain(first), columns).withColumn("run", F.lit("offline"))
+    return offline.unionByName(stats.changed_share(whole, chains.live(first), columns).withColumn("run", F.lit("live")))
+
+
 def uneven_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speeds with the window cut at a quarter from its end."""
     return models.evaluations(models.synthetic(spark, "planted", 3000, [3], step=40), 400, 40, 4.0, halves=0.75)
@@ -349,11 +423,11 @@ def uneven_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def offline_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nine layers over the daily series."""
-    return chains.offline_chain(daily(spark, sf_dir), 60, (16, 16, 12))
+    return chains.offline_chain(daily(spark, sf_dir))
 
 
 def live_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chains.live(daily(spark, sf_dir), 60, (16, 16, 12)).select(*KEYS, "terrain_state", "edge_signal", "edge_bucket", *chains.GEOMETRIC, "is_high_critical")
+    return chains.live(daily(spark, sf_dir)).select(*KEYS, "terrain_state", "edge_signal", "edge_bucket", *chains.GEOMETRIC, "is_high_critical")
 
 
 def portfolio_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,12 +436,12 @@ def portfolio_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_vs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation and median error of grid curvatures at two resolutions."""
+    """Rank correlation and median error of grid curvatures at four resolutions."""
     df = _coordinates(spark, sf_dir, 500).where("E_gauss is not null and jerk_gauss is not null and m_flux_gauss is not null and lam is not null").select(*KEYS, F.col("E_gauss").alias("c0"), F.col("jerk_gauss").alias("c1"), F.col("m_flux_gauss").alias("c2"), "lam")
-    both = chains.grid_against_exact(df, ["c0", "c1", "c2"], "lam", [(16, 16, 12), (24, 24, 16)])
+    both = chains.grid_against_exact(df, ["c0", "c1", "c2"], "lam", [(16, 16, 12), (24, 24, 16), (32, 32, 24), (48, 48, 32)])
     rho = stats.spearman(both, "on_grid", "exact", "symbol", "grid")
     err = both.groupBy("symbol", "grid").agg(F.median(F.abs(F.col("on_grid") - F.col("exact"))).alias("median_error"))
     return rho.join(err, ["symbol", "grid"])
 
 
-QUERIES |= {f.__name__: f for f in (existence, flow_gate, speed_measurability, speed_calibration, uneven_halves, offline_chain, live_tail, portfolio_phase1, grid_vs_exact)}
+QUERIES |= {f.__name__: f for f in (existence, flow_gate, flow_verdict, speed_measurability, speed_calibration, speed_variants, geometry_summary, volatility_share, chain_inventory, chain_prefix, uneven_halves, offline_chain, live_tail, portfolio_phase1, grid_vs_exact)}

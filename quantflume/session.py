@@ -21,6 +21,20 @@ def session(app: str = "quantflume", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that all of a cluster's machines share: the context's checkpoint folder, or what ``spark.checkpoint.dir`` names.
+
+    A temporary folder serves a local master only; elsewhere every machine would have its own, so that is an error.
+    """
+    import tempfile
+
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return named or tempfile.mkdtemp(prefix="quantflume-")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a context, so that they need no installation of it."""
     import shutil

@@ -135,14 +135,14 @@ def test_whole_densities_and_existence_cover_every_symbol(spark, sf_dir):
     from quantflume.plans import layer_queries
 
     df = layer_queries._attractor(spark, sf_dir).select("symbol", "bar_ms", "E_gap", "jerk", "displacement").toPandas().sort_values(["symbol", "bar_ms"])
-    got = layer_queries.global_density_whole(spark, sf_dir).toPandas().sort_values(["symbol", "bar_ms"])
+    got = layer_queries.global_density(spark, sf_dir).toPandas().sort_values(["symbol", "bar_ms"])
     assert len(got) == len(df) and set(got.symbol) == {"A", "N", "R"}
     for symbol, part in df.groupby("symbol"):
         xy = part[["E_gap", "jerk"]].to_numpy(dtype=float)
         want = Density(xy[part.displacement.notna()], 0.35).log_density(xy)
         have = got[got.symbol == symbol].log_density.to_numpy(dtype=float)
         assert np.allclose(have, want, atol=2e-5)
-    states = layer_queries.terrain_state_whole(spark, sf_dir).groupBy("symbol").count().collect()
+    states = layer_queries.terrain_state(spark, sf_dir).groupBy("symbol").count().collect()
     assert {r["symbol"]: r["count"] for r in states} == df.groupby("symbol").size().to_dict()
     assert {(r.symbol, r.kind) for r in layer_queries.existence(spark, sf_dir).collect()} == {(s, k) for s in "ANR" for k in ("shuffle", "spectrum", "garch")}
 
