@@ -12,10 +12,15 @@ def brute(files, templates=licenses.TEMPLATES):
     n = len(files)
     idf = lambda w: log((1 + n) / (1 + sum(w in d for d in docs))) + 1
     notices = [(name, licenses.tokens(x)) for name, xs in templates.items() for x in xs]
-    vocabulary = {w: idf(w) for _, x in notices for w in x}
+    seen = {}
+
+    def idf_of(w):
+        if w not in seen:
+            seen[w] = idf(w)
+        return seen[w]
 
     def weigh(words):
-        return {w: c * vocabulary.get(w, log(1 + n) + 1) for w, c in Counter(words).items()}
+        return {w: c * idf_of(w) for w, c in Counter(words).items()}
 
     def cosine(a, b):
         a, b = weigh(a), weigh(b)
@@ -23,15 +28,16 @@ def brute(files, templates=licenses.TEMPLATES):
 
     own = []
     for _, text in files:
-        best = (0.0, None)
-        for line in (text or "").split("\n"):
-            words = licenses.tokens(line)
-            for name, x in notices if words else []:
-                for a in range(max(1, len(words) - len(x) + 1)):
-                    c = cosine(words[a : a + len(x)], x)
-                    if c > best[0] + 1e-12:
-                        best = (c, name)
-        own.append(best if best[0] >= LEAST else (0.0, None))
+        words = licenses.tokens(text or "")
+        each = []
+        for name, x in notices if words else []:
+            each.append((max(cosine(words[a : a + len(x)], x) for a in range(max(1, len(words) - len(x) + 1))), len(x), name))
+        each = [e for e in each if e[0] >= LEAST]
+        choice, among = (0.0, 0, None), each
+        while among:
+            choice = max(among, key=lambda e: (round(e[0], 9), e[1]))
+            among = [e for e in each if e[1] >= 2 * choice[1] and e[0] >= choice[0] - licenses.NEAR]
+        own.append((choice[0], choice[2]))
     by_folder = {}
     for (path, _), (score, name) in zip(files, own, strict=True):
         if name and path is not None and path.split("/")[-1].lower().startswith(("license", "copying", "notice")):
@@ -107,3 +113,36 @@ def test_every_word_counts_over_the_corpus(spark):
         # the best window of the template's five words, whichever of the two it is
         want = max(true_cosine(" ".join(line.split()[a : a + 5]), notice, texts) for a in range(2))
         assert got.own_license == "MIT" and abs(got.own_score - want) < 1e-6
+
+
+HEADS = {
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n",
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n      \"License\" shall mean the terms and conditions for use, reproduction,\n      and distribution as defined by Sections 1 through 9 of this document.\n",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint main;",
+}
+
+
+def test_wrapped_headers_and_licence_files(spark):
+    """Texts over many lines, with comment signs before them, among other text; a long licence wins over a shorter one that it holds."""
+    import textwrap
+
+    wrap = lambda text, sign: "\n".join(sign + x for x in textwrap.wrap(text, 72))
+    rows = [(f"h/{name}", name, text) for name, text in HEADS.items()]
+    for name, notices in licenses.TEMPLATES.items():
+        rows += [(f"t/{name}{k}{len(sign)}", name, f"Copyright 2020 somebody\n\n{wrap(t, sign)}\n\nother code x = y + z\n") for k, t in enumerate(notices) for sign in ("", " * ", "# ")]
+    files = [(p, t) for p, _, t in rows] + [(f"x/{k}", f"plain words of file {k} and more of them") for k in range(300)]
+    got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    wrong = {p: got[p].own_license for p, name, _ in rows if got[p].own_license != name}
+    assert not wrong
+    assert all(got[p].own_license is None for p, _ in files if p.startswith("x/"))
+    assert got["t/MIT00"].own_line == 2
+
+
+def test_whole_table_against_brute_force(spark, sf_dir):
+    """Every window of every document and every word counted, on the documents that hold a template's word of three letters and more."""
+    small = {k: v for k, v in licenses.TEMPLATES.items() if k in ("MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0", "Proprietary")}
+    short = {k: [t for t in v if len(t) < 100] for k, v in small.items()}
+    docs = [(str(r.doc_id), r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    got = {r.path: r.own_license for r in licenses.scan_licenses(spark.createDataFrame(docs, "path string, text string"), templates=short).collect()}
+    own = dict(zip((p for p, _ in docs), (w[0] for w in brute(docs, short)), strict=True))
+    assert got == own and sum(v is not None for v in own.values()) > 10
