@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantflume.llm.common import BLOCK_CHARS, schema_with, text_blocks
+from quantflume.llm.common import BLOCK_CHARS, partitions_for, schema_with, text_blocks
 from quantflume.llm.hashing import U, Words, mix
 
 #: Words in a shingle; a shorter text is one shingle.
@@ -98,19 +98,22 @@ def in_descending_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     also goes, as ``extra``, behind the last row of the range before it, and
     the very first row behind the very last. So one shuffle of the texts by
     range gives every row its successor; to the driver go the quantiles and
-    each range's first id. Ties of an id go by the text's hash; nulls come last.
+    each range's first id. Ties of an id go by the text's hash; nulls come
+    last. Ids must be integers (TypeError otherwise).
     """
     spark = docs.sparkSession
-    runs = runs or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type, as its order is by number")
+    n = partitions_for(docs)
+    runs = runs or 4 * n
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     cuts = sorted(set(rows.approxQuantile("id", [k / runs for k in range(1, runs)], 0.2 / runs))) if runs > 1 else []
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(dtype=float, na_value=-np.inf), side="right"), dtype="int32")
-
-    rows = rows.withColumn("run", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(place("id")))
+    if cuts:
+        ranged = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="at", outputCol="bucket", handleInvalid="keep").transform(rows.withColumn("at", F.col("id").cast("double")))
+        rows = ranged.withColumn("run", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.col("bucket").cast("int"))).drop("at", "bucket")
+    else:
+        rows = rows.withColumn("run", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.lit(0)))
     heads = rows.groupBy("run").agg(F.max(F.struct(F.col("id"), F.col("h"))).alias("head")).orderBy(F.desc("run")).collect()
     if not heads:
         return rows.select("run", F.lit(False).alias("extra"), "id", "text")
@@ -120,8 +123,9 @@ def in_descending_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.join(heads_df, F.col("id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h")), "left")
     there = F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("extra")), F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("run"), F.lit(True).alias("extra"))))
     rows = rows.select(F.explode(F.array_compact(there)).alias("at"), "id", "h", "text").select("at.run", "at.extra", "id", "h", "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "run").sortWithinPartitions("run", "extra", F.col("id").desc_nulls_last(), F.desc("h")).select("run", "extra", "id", "text")
+    # neighbouring ranges share a partition, so that each has as many
+    each = -(-(len(cuts) + 2) // n)
+    return rows.repartitionById(n, ((F.col("run") + 1) / each).cast("int")).sortWithinPartitions("run", "extra", F.col("id").desc_nulls_last(), F.desc("h")).select("run", "extra", "id", "text")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

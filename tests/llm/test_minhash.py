@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from quantflume.llm import minhash, queries
 from quantflume.llm.hashing import Words
@@ -85,3 +87,18 @@ def test_edge_rows(spark):
     marked = minhash.fingerprint_documents(docs)
     assert sorted(marked.columns) == sorted(docs.columns) and marked.count() == 6
     assert {r.fingerprint for r in marked.where("doc_id in (2, 9)").collect()} == {""}
+    with pytest.raises(TypeError):
+        minhash.compare_with_next(docs.selectExpr("cast(doc_id as string) doc_id", "text"))
+
+
+def test_many_ranges_with_ties_and_nulls(spark):
+    """More ranges than partitions and than ids; every row has its successor whatever the ranges."""
+    rng = np.random.default_rng(0)
+    ids = [None if k % 17 == 0 else int(x) for k, x in enumerate(rng.integers(-50, 50, 400))]
+    docs = spark.createDataFrame([(i, f"text {k} of the table") for k, i in enumerate(ids)], "doc_id long, text string")
+    for runs in (1, 3, 40, 500):
+        at = minhash.in_descending_runs(docs, runs=runs).withColumn("part", F.spark_partition_id()).collect()
+        assert sorted((r.id is None, r.id, r.text) for r in at if not r.extra) == sorted((i is None, i, f"text {k} of the table") for k, i in enumerate(ids))
+        owner = {}
+        assert all(owner.setdefault(r.run, r.part) == r.part for r in at)
+    assert minhash.compare_with_next(docs).count() == 400
