@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quantflume.session import scratch_dir
+
 #: Bytes of text handled at once inside a Python worker.
 BLOCK_CHARS = 800_000
 
@@ -22,11 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; a temporary one only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quantflume-checkpoint-"))
+    """Use the shared folder of ``spark.checkpoint.dir``; a temporary one only where none is named and the master is local."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -96,15 +95,21 @@ def schema_with(df: DataFrame, **added: T.DataType) -> T.StructType:
     return T.StructType([*(T.StructField(f.name, f.dataType, True) for f in df.schema), *(T.StructField(k, v, True) for k, v in added.items())])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges from which on a round's aggregates are written before they are joined.
+WRITE_EDGES = 1_000_000
+
+
+def components(edges: DataFrame, max_rounds: int = 60, write_edges: int = WRITE_EDGES) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     ``edges``: long columns ``src`` and ``dst``; nulls and self loops are
     ignored. Returns ``node``, ``component`` (smallest node reachable) for every
     node that has an edge to another node. Each round's edges go to the shared
     checkpoint folder, so lineage stays short and a lost executor costs one
-    round at most. Aggregates combine before the shuffle, which keeps hubs
-    cheap; only a count and a checksum reach the driver.
+    round at most. Aggregates combine before the shuffle; from ``write_edges``
+    edges on they are also written before the join, whose sides are two plain
+    shuffles then, so that a hub's edges can be split over tasks. Only a count
+    and a checksum reach the driver.
     """
     now = cut_lineage(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
 
@@ -115,10 +120,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
+        plain = cut_lineage if before[0] >= write_edges else lambda df: df
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = plain(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = plain(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        m = plain(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(m, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = cut_lineage(small)

@@ -112,8 +112,9 @@ def links(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     ``prints``: distinct longs in ``fingerprint``. Fingerprints lie in tiles of
     equal lane counts, cut by hash to ``tile`` each. Tile pairs whose counts
     differ beyond the radius are skipped; the others are met by an equi-join on
-    the partner's cell and compared bit by bit. Of a tile pair's links a
-    spanning forest is kept, which leaves the groups as they are.
+    the partner's cell and cut and compared bit by bit, so that a common cell's
+    tiles are as many keys. Of a tile pair's links a spanning forest is kept,
+    which leaves the groups as they are.
     """
     sizes = prints.groupBy(cell_of(F.col("fingerprint")).alias("cell")).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("cuts"))
     # (LANE_BITS + 1) ** LANES = 83,521 cells of 8 bytes at most, at any input size
@@ -126,7 +127,8 @@ def links(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     )
     tiles = cut_lineage(tiles)
     one = tiles.select(F.col("cell").alias("cell_a"), F.col("cut").alias("cut_a"), F.col("prints").alias("prints_a"), F.explode(partner_cells(F.col("cell"), radius)).alias("cell"))
-    pairs = one.join(tiles, "cell").where("cell <> cell_a or cut >= cut_a").select("prints_a", "prints")
+    one = one.join(F.broadcast(sizes), "cell").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).where("cell <> cell_a or cut >= cut_a")
+    pairs = one.join(tiles, ["cell", "cut"]).select("prints_a", "prints")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
