@@ -1,4 +1,10 @@
-"""Near-duplicate embeddings through robust-pruned flat graphs on overlapping cluster shards."""
+"""Near-duplicate embeddings through robust-pruned flat graphs on overlapping cluster shards.
+
+Clusters are split again and again, in tasks, until they are small enough for a
+graph, so their number grows with the table. Very dense groups never become a
+shard: vectors so near a common centre that any two of them link, by the
+triangle inequality of angles, form a ball, which is counted at once.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +12,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantflume.llm.common import Groups, components, cut_lineage
 
-#: Vectors that a cluster is planned for; clusters of over twice as many members are cut by hash.
+#: Vectors that a cluster is planned for; clusters of over twice as many members are split.
 SHARD = 512
-#: Clusters that a vector belongs to: its nearest, its home, and so many in all.
-OVERLAP = 2
-#: Vectors of the sample that cluster centres are fitted on, in all.
-FIT_ROWS = 40_000
+#: Clusters that one is split into at most, and how often; what is still over four shards then is cut by hash.
+FAN, LEVELS = 64, 8
+#: Vectors of a cluster that its parts' centres are fitted on, about.
+FIT_ROWS = 4096
 #: Graph: neighbours kept, nearest and random candidates looked at, and how much nearer a detour must be to prune.
 DEGREE, NEAR, FAR, ALPHA = 24, 48, 16, 1.2
 #: Search: beam, and how far below the asked similarity the range is still expanded.
@@ -218,24 +225,18 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_centres(classes: DataFrame, shard: int, fit_rows: int) -> dict[str, np.ndarray]:
-    """Cluster centres of every group with more than ``shard`` vectors, from a sample of ``fit_rows`` in all at most."""
-    sizes = {r.grp: r["count"] for r in classes.groupBy("grp").count().where(F.col("count") > shard).orderBy(F.desc("count"), "grp").limit(fit_rows // 32).collect()}
-    if not sizes:
-        return {}
-    each = fit_rows // len(sizes)
-    share = F.lit(0.0)
-    for g, n in sizes.items():
-        share = F.when(F.col("grp") == g, F.lit(min(1.0, each / n))).otherwise(share)
-    at = F.shiftrightunsigned(F.xxhash64("class"), 11).cast("double") / float(1 << 53)
-    rows = classes.where(at < share).select("grp", "vec").limit(2 * fit_rows).collect()
-    out = {}
-    for g, n in sizes.items():
-        x = _unit([r.vec for r in rows if r.grp == g] or [[1.0]])
-        k = min(-(-n // shard), max(1, len(x) // 8))
-        if k > 1:
-            out[g] = kmeans(x, k)
-    return out
+def fit_parts(x: np.ndarray, count: int, shard: int, half: float) -> tuple[np.ndarray, np.ndarray | None]:
+    """Centres of a cluster's parts from a sample of its ``count`` vectors, and the centre of a ball of ``shard`` members or more, if there seems to be one."""
+    k = max(1, min(FAN, -(-count // shard), len(x) // 8))
+    centres, ball = kmeans(x, k), None
+    inside = x @ centres.T >= half
+    near = inside[:, inside.sum(axis=0).argmax()]
+    for _ in range(2):
+        if near.any():
+            ball = x[near].mean(axis=0)
+            ball /= np.linalg.norm(ball)
+            near = x @ ball >= half
+    return centres, ball if ball is not None and near.mean() * count >= shard else None
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, shard: int = SHARD, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -243,12 +244,19 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Vectors link if their labels (and lengths) are equal and their cosine is
     ``least`` or more. Equal vectors are one class, compared once; ``n_links``
-    counts their rows. Classes of a label are clustered; each belongs to its
-    home cluster and to the next nearest. On every cluster's shard (cut by hash
-    where it is too large, so that tasks stay bounded) a graph is built; the
+    counts their rows.
+
+    Classes of a label are clustered, level by level, with centres that tasks
+    fit on about ``fit_rows`` members of a cluster; each class belongs to its
+    home, the nearest cluster at every level, and at every level of its home
+    also to the next nearest. On every cluster's shard a graph is built; the
     adjacency lists of a class from its shards are united; and every class
     searches its home's shard in the united graph. Links are verified in double
-    precision, and each shard audits its recall.
+    precision, and each shard audits its recall. A ball's members, all within
+    half the angle of its centre, link with each other; the vectors of its
+    cluster that may link with some of them, by their angle to the centre, are
+    compared with all of them, in blocks. A shard that can't be split is cut by
+    hash, and its cuts all meet each other.
 
     Null ids, null labels, and vectors that are null, empty, zero or hold null
     or non-finite components link with nothing: n_links 0, their own component,
@@ -256,30 +264,64 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     each and link with each other. An empty table gives no rows; other columns
     aren't read.
     """
-    vec = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    kind = rows.schema[vector_col].dataType.elementType
+    vec = F.col(vector_col) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    vector = "array<float>" if isinstance(kind, T.FloatType) else "array<double>"
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), vec.alias("vec"))
     finite = ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    valid = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vec", lambda v: v != 0)
-    base = base.withColumn("class", F.when(F.coalesce(valid, F.lit(False)), F.xxhash64("label", "vec")))
-    classes = base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-    classes = cut_lineage(classes.select("class", "least_id", "n", "vec", F.concat_ws("/", F.size("vec").cast("string"), "label").alias("grp")))
-    centres = fit_centres(classes, shard, fit_rows)
-
-    def assign(batches):
-        for pdf in batches:
-            homes = [[0]] * len(pdf)
-            for g, at in pdf.groupby("grp").indices.items():
-                if g in centres:
-                    sims = _unit(pdf["vec"].to_numpy()[at]) @ centres[g].T
-                    m = min(OVERLAP, sims.shape[1])
-                    for i, own in zip(at, np.argsort(-sims, axis=1, kind="stable")[:, :m].tolist(), strict=True):
-                        homes[i] = own
-            yield pdf.assign(clusters=homes)
-
-    placed = cut_lineage(classes.mapInPandas(assign, "class long, least_id long, n long, vec array<double>, grp string, clusters array<int>"))
-    members = placed.select("class", "n", "vec", "grp", "clusters", F.explode("clusters").alias("cluster"))
-    cuts = members.groupBy("grp", "cluster").agg(F.ceil(F.count(F.lit(1)) / (4 * shard)).cast("int").alias("cuts"))
-    members = cut_lineage(members.join(cuts, ["grp", "cluster"]).withColumn("cut", F.pmod("class", F.col("cuts")).cast("int")))
+    valid = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vec", lambda v: v != 0), F.lit(False))
+    # two hashes of 64 bits tell vectors apart; a class is numbered once its row is written
+    base = base.withColumn("h1", F.when(valid, F.xxhash64("label", "vec"))).withColumn("h2", F.when(valid, F.xxhash64(F.lit(1), "label", "vec")))
+    classes = base.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+    classes = cut_lineage(classes.select(F.monotonically_increasing_id().alias("class"), "h1", "h2", "least_id", "n", "vec", F.concat_ws("/", F.size("vec").cast("string"), "label").alias("node")))
+    # half the angle of the least cosine, one and a half of it, and slack against rounding
+    half, far = ((1 + least) / 2) ** 0.5 + 1e-9, np.cos(min(np.pi, 1.5 * np.arccos(least))) - 1e-9
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        centres, ball = fit_parts(_unit(pdf["vec"]), int(pdf["size"].iloc[0]), shard, half)
+        return pd.DataFrame({"node": [pdf["node"].iloc[0]], "centres": [centres.ravel().tolist()], "ball": [None if ball is None else ball.tolist()]})
+
+    def assign(pdfs):
+        for pdf in pdfs:
+            for node, part in pdf.groupby("node", sort=False):
+                x, home = _unit(part["vec"]), part["home"].to_numpy()
+                centres = np.asarray(part["centres"].iloc[0]).reshape(-1, x.shape[1])
+                out = [np.empty(0, dtype=int)] * 4
+                inside = np.zeros(len(x), dtype=bool)
+                names, homes, kinds = [], [], []
+                if part["ball"].iloc[0] is not None:
+                    to_ball = x @ np.asarray(part["ball"].iloc[0])
+                    inside = home & (to_ball >= half)
+                    out[0], out[1] = np.flatnonzero(inside), np.flatnonzero(~inside & (to_ball >= far))
+                order = np.argsort(-(x @ centres.T), axis=1, kind="stable")
+                out[2] = np.flatnonzero(~inside)
+                out[3] = np.flatnonzero(~inside & home) if len(centres) > 1 else out[3]
+                for k, at in enumerate(out):
+                    names += [f"*{node}"] * len(at) if k < 2 else [f"{node}/{c}" for c in order[at, min(k - 2, len(centres) - 1)].tolist()]
+                    homes.append(np.full(len(at), k == 0) if k < 2 else home[at] & (k == 2))
+                    kinds.append(np.full(len(at), min(k, 2)))
+                at = np.concatenate(out)
+                yield pd.DataFrame({"class": part["class"].to_numpy()[at], "n": part["n"].to_numpy()[at], "vec": part["vec"].to_numpy()[at], "node": names, "home": np.concatenate(homes), "kind": np.concatenate(kinds)})
+
+    members, balls = classes.select("class", "n", "vec", "node", F.lit(True).alias("home")), None
+    for level in range(LEVELS):
+        sizes = cut_lineage(members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * shard))
+        if sizes.isEmpty():
+            break
+        large = members.join(sizes, "node")
+        at = F.shiftrightunsigned(F.xxhash64("class", F.lit(level)), 11).cast("double") / float(1 << 53)
+        parts = cut_lineage(large.where(at < F.lit(float(fit_rows)) / F.col("size")).groupBy("node").applyInPandas(fit, "node string, centres array<double>, ball array<double>"))
+        moved = cut_lineage(large.join(parts, "node").mapInPandas(assign, f"class long, n long, vec {vector}, node string, home boolean, kind int"))
+        # a cluster whose sample was empty stays as it is
+        members = members.join(parts.select("node"), "node", "left_anti").select("class", "n", "vec", "node", "home").union(moved.where("kind = 2").drop("kind"))
+        members = cut_lineage(members)
+        found = moved.where("kind < 2")
+        balls = found if balls is None else balls.union(found)
+    seats = members.select("class", "node", "home")
+    seats = (seats if balls is None else seats.union(balls.select("class", "node", "home"))).groupBy("class")
+    seats = cut_lineage(seats.agg(F.concat(F.array(F.max(F.when(F.col("home"), F.col("node")))), F.collect_list(F.when(~F.col("home"), F.col("node")))).alias("clusters")))
+    cuts = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / (4 * shard)).cast("int").alias("cuts"))
+    members = cut_lineage(members.drop("home").join(cut_lineage(cuts), "node").withColumn("cut", F.pmod("class", F.col("cuts")).cast("int")).join(seats, "class"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("class", kind="stable")
@@ -287,24 +329,29 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         graph = build_graph(_unit(pdf["vec"]).astype(np.float32)) if len(ids) > 1 else [np.zeros(0, dtype=int)]
         return pd.DataFrame({"class": ids, "near": [ids[g] for g in graph]})
 
-    lists = members.groupBy("grp", "cluster", "cut").applyInPandas(build, "class long, near array<long>")
+    lists = members.groupBy("node", "cut").applyInPandas(build, "class long, near array<long>")
     united = lists.groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     graph = members.join(united, "class")
     # a cut's graph meets the queries of each cut of its cluster; its own are among its rows
     ask = graph.withColumn("asks", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("guest", F.lit(False))
-    guests = members.where((F.col("cuts") > 1) & (F.col("clusters")[0] == F.col("cluster"))).withColumn("near", F.lit(None).cast("array<long>"))
+    guests = members.where((F.col("cuts") > 1) & (F.col("clusters")[0] == F.col("node"))).withColumn("near", F.lit(None).cast("array<long>"))
     guests = guests.withColumn("asks", F.col("cut")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).where("cut <> asks").withColumn("guest", F.lit(True))
     tasks = ask.unionByName(guests)
 
+    def rows_of(links: dict[int, int], tree: list[tuple[int, int]]) -> pd.DataFrame:
+        """What a task found: links by class (b is null), and as many pairs as connect them."""
+        b = [None] * len(links) + [t[1] for t in tree]
+        return pd.DataFrame({"a": [*links, *(t[0] for t in tree)], "b": pd.array(b, dtype="Int64"), "links": [*links.values(), *[0] * len(tree)]})
+
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         here = pdf[~pdf["guest"]].sort_values("class", kind="stable")
-        ids, x, cluster = here["class"].to_numpy(), _unit(here["vec"]), int(pdf["cluster"].iloc[0])
+        ids, x, node = here["class"].to_numpy(), _unit(here["vec"]), pdf["node"].iloc[0]
         weight, seats = here["n"].to_numpy(), here["clusters"].tolist()
-        home = np.array([s[0] for s in seats])
+        home = np.array([s[0] for s in seats], dtype=object)
         own_cut = bool((here["cut"] == here["asks"]).iloc[0])
-        asking = here[home == cluster] if own_cut else pdf[pdf["guest"]]
+        asking = here[home == node] if own_cut else pdf[pdf["guest"]]
         if not len(asking):
-            return pd.DataFrame({"a": [], "b": [], "links": []})
+            return rows_of({}, [])
         near = []
         for own in here["near"]:
             at = np.searchsorted(ids, own)
@@ -315,23 +362,58 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         links, tree, groups = {}, [], Groups(len(ids) + len(asking))
         own_at = np.searchsorted(ids, asking["class"].to_numpy())
         for k, (q, n, seat, got) in enumerate(zip(asking["class"].tolist(), asking["n"].tolist(), asking["clusters"].tolist(), found, strict=True)):
-            got = got[ids[got] != q]
+            # the members of a ball that q is compared with anyway are left to the ball
+            got = got[(ids[got] != q) & np.array([not (home[j][0] == "*" and home[j] in seat) for j in got.tolist()], dtype=bool)]
             links[q] = links.get(q, 0) + int(weight[got].sum())
             inside = own_cut and ids[own_at[k]] == q
             tree += [(q, int(ids[j])) for j in groups.join(int(own_at[k]) if inside else len(ids) + k, got).tolist()] if len(got) else []
-            for j in got[home[got] != cluster].tolist():
+            for j in got[home[got] != node].tolist():
                 if home[j] not in seat:  # that one's own search doesn't meet q
                     links[int(ids[j])] = links.get(int(ids[j]), 0) + n
-        a = [*links, *(t[0] for t in tree)]
-        b = [None] * len(links) + [t[1] for t in tree]
-        return pd.DataFrame({"a": a, "b": pd.array(b, dtype="Int64"), "links": [*links.values(), *[0] * len(tree)]})
+        return rows_of(links, tree)
 
-    found = cut_lineage(tasks.groupBy("grp", "cluster", "cut", "asks").applyInPandas(search, "a long, b long, links long"))
+    found = tasks.groupBy("node", "cut", "asks").applyInPandas(search, "a long, b long, links long")
+    if balls is not None:
+        found = found.union(_ball_links(cut_lineage(balls.join(seats, "class")), least, 4 * shard, rows_of))
+    found = cut_lineage(found)
     linked = components(found.where("b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     counts = found.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
-    grouped = placed.select("class", "least_id", "n").join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least_ids = grouped.groupBy("component").agg(F.min("least_id").alias("group_least"))
-    named = grouped.join(least_ids, "component").join(counts, "class", "left").select("class", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("group_least"))
-    out = base.select("id", "class").join(cut_lineage(named), "class", "left")
+    grouped = classes.select("class", "h1", "h2", "least_id", "n").join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least_ids = cut_lineage(grouped.groupBy("component").agg(F.min("least_id").alias("group_least")))
+    named = grouped.join(least_ids, "component").join(counts, "class", "left").select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("group_least"))
+    out = base.select("id", "h1", "h2").join(cut_lineage(named), ["h1", "h2"], "left")
     component = F.coalesce("group_least", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+
+
+def _ball_links(balls: DataFrame, least: float, block: int, rows_of) -> DataFrame:
+    """Links of balls' members (``kind`` 0) with each other, all of them, and with the vectors near the ball (1), compared in blocks of ``block`` by ``block``."""
+    core, near = balls.where("kind = 0"), balls.where("kind = 1")
+    sums = cut_lineage(core.groupBy("node").agg(F.sum("n").alias("weight"), F.min("class").alias("pivot"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cuts")))
+    beside = cut_lineage(near.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("others")))
+    inner = core.join(sums, "node").select(F.col("class").alias("a"), F.col("pivot").alias("b"), (F.col("weight") - F.col("n")).alias("links"))
+    inner = inner.select("a", F.lit(None).cast("long").alias("b"), "links").union(inner.where("a <> b").select("a", "b", F.lit(0).cast("long")))
+    both = sums.select("node", "cuts").join(beside, "node")
+    pieces = core.join(both, "node").withColumn("cut", F.pmod("class", F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    guests = near.join(both, "node").withColumn("other", F.pmod("class", F.col("others")).cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+
+    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, asking, node = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1], pdf["node"].iloc[0]
+        if not len(own) or not len(asking):
+            return rows_of({}, [])
+        x, ids, weight, seats = _unit(own["vec"]), own["class"].to_numpy(), own["n"].to_numpy(), own["clusters"].tolist()
+        links, tree, groups = {}, [], Groups(len(ids) + len(asking))
+        for k, (q, n, seat, v) in enumerate(zip(asking["class"].tolist(), asking["n"].tolist(), asking["clusters"].tolist(), _unit(asking["vec"]), strict=True)):
+            got = np.flatnonzero(x @ v >= least)
+            if seat[0][0] == "*" and seat[0] < node:  # q's own ball compares these with it
+                got = got[[seat[0] not in seats[j] for j in got.tolist()]] if len(got) else got
+            if len(got):
+                links[q] = links.get(q, 0) + int(weight[got].sum())
+                for j in got.tolist():
+                    links[int(ids[j])] = links.get(int(ids[j]), 0) + n
+                tree += [(q, int(ids[j])) for j in groups.join(len(ids) + k, got).tolist()]
+        return rows_of(links, tree)
+
+    columns = ["node", "cut", "other", "kind", "class", "n", "vec", "clusters"]
+    met = pieces.select(*columns).union(guests.select(*columns)).groupBy("node", "cut", "other").applyInPandas(cross, "a long, b long, links long")
+    return inner.union(met)

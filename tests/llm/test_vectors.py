@@ -64,6 +64,36 @@ def test_groups_of_copies_and_near_copies_in_cut_shards(spark):
         assert all(got[i][0] <= want[i][0] for i in want)
 
 
+def test_balls_beside_each_other(spark):
+    """Dense groups, some near each other and with vectors around them, in clusters that are split: every link counted once."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    a = unit(rng.standard_normal(12))
+    b = unit(a + 0.36 * unit(rng.standard_normal(12)))  # some 20 degrees off
+    parts = [unit(rng.standard_normal((300, 12)))]
+    parts += [unit(c + s * unit(rng.standard_normal((k, 12)))) for c, s, k in ((a, 0.08, 150), (b, 0.08, 130), (a, 0.3, 60), (b, 0.25, 60), (unit(rng.standard_normal(12)), 0.05, 100))]
+    x = np.concatenate(parts)
+    rows = [(int(i), x[i].tolist(), 1) for i in range(len(x))] + [(10_000 + i, x[310 + i].tolist(), 1) for i in range(40)]
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for shard in (60, 30):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, shard=shard).collect()}
+        assert all(got[i][0] <= want[i][0] for i in want)
+        assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values())
+        assert np.mean([got[i][1] == want[i][1] for i in want]) > 0.98
+
+
+def test_more_large_labels_than_any_bound(spark):
+    """Every label over a shard is clustered, however many there are, and samples stay small."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60 * 30, 8))
+    x[1::2] = x[::2] + 0.05 * rng.standard_normal((900, 8))
+    rows = [(k, x[k].tolist(), k // 30) for k in range(len(x))]
+    want = brute(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=8, fit_rows=20).collect()}
+    assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values()) and all(got[i][0] <= want[i][0] for i in want)
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(1)
     centre = rng.standard_normal((60, 32))
