@@ -79,6 +79,8 @@ def integrity_report(bars: DataFrame, step: int) -> DataFrame:
     )
 
 
-def months(spark: SparkSession, first: str, last: str) -> DataFrame:
-    """The months from ``first`` to ``last`` (dates as text), one row each."""
+def months(spark: SparkSession, first: str, last: str, reserved: str | None = None) -> DataFrame:
+    """The months from ``first`` to ``last`` (dates as text), one row each; ValueError if any is ``reserved`` (a month as text) or later."""
+    if reserved is not None and last[:7] >= reserved[:7]:
+        raise ValueError(f"months from {reserved[:7]} on are reserved")
     return spark.range(1).select(F.explode(F.sequence(F.trunc(F.lit(first).cast("date"), "month"), F.trunc(F.lit(last).cast("date"), "month"), F.expr("interval 1 month"))).alias("month")).select(F.date_format("month", "yyyy-MM").alias("month"))

@@ -166,7 +166,11 @@ def test_scan_summary(spark):
 
 
 def test_checks_of_files_and_figures(spark):
-    from quantflume.sources import klines
+    from quantflume.sources import bars, klines
+
+    assert [r.month for r in bars.months(spark, "2024-11-05", "2025-01-31", "2025-02").collect()] == ["2024-11", "2024-12", "2025-01"]
+    with pytest.raises(ValueError):
+        bars.months(spark, "2024-11-05", "2025-02-01", "2025-02")
 
     files = spark.createDataFrame([("a", bytearray(b"x")), ("b", None), ("c", bytearray(b""))], "path string, content binary")
     published = spark.createDataFrame([("a", "2D711642B726B04401627CA9FBAC32F5C8530FB1903CC4DB02258717921A4881"), ("b", "00"), ("d", "11")], "path string, sha256 string")
