@@ -61,38 +61,47 @@ def _of_strings(strings: frozenset[str]) -> Query:
     return _all("or", [_all("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in raw])
 
 
-def _members(items: list) -> frozenset[str] | None:
-    """The lower-cased characters of a class, if they are few."""
-    got: set[str] = set()
+def _character(code: int, folded: bool) -> str | None:
+    """A literal as it stands in ASCII-lower-cased text; None where case folding beyond ASCII may match another (``folded``)."""
+    c = chr(code)
+    if not c.isascii():
+        return None if folded else c
+    return None if folded and c in "kKsS" else c.lower()
+
+
+def _members(items: list, folded: bool) -> frozenset[str] | None:
+    """The characters of a class, if they are few."""
+    got: set[str | None] = set()
     for op, arg in items:
         if op is C.LITERAL:
-            got.add(chr(arg).lower())
+            got.add(_character(arg, folded))
         elif op is C.RANGE and arg[1] - arg[0] < MOST_STRINGS:
-            got |= {chr(c).lower() for c in range(arg[0], arg[1] + 1)}
+            got |= {_character(c, folded) for c in range(arg[0], arg[1] + 1)}
         else:
             return None
-    return frozenset(got) if len(got) <= 8 else None
+    return frozenset(got) if len(got) <= 8 and None not in got else None
 
 
-def _exact(op, arg) -> tuple[frozenset[str] | None, Query]:
-    """All strings that a node stands for (None: too many to list), and a query that holds wherever it matches."""
+def _exact(op, arg, folded: bool) -> tuple[frozenset[str] | None, Query]:
+    """All strings that a node stands for (None: too many to list, or unknown), and a query that holds wherever it matches."""
     if op is C.LITERAL:
-        return frozenset([chr(arg).lower()]), True
+        c = _character(arg, folded)
+        return (None if c is None else frozenset([c])), True
     if op is C.IN:
-        return _members(arg), True
+        return _members(arg, folded), True
     if op is C.AT:
         return frozenset([""]), True
     if op is C.SUBPATTERN:
-        return _sequence(arg[-1])
+        return _sequence(arg[-1], folded or bool(arg[1] & re.IGNORECASE and not arg[1] & re.ASCII))
     if op is C.BRANCH:
-        parts = [_sequence(p) for p in arg[1]]
+        parts = [_sequence(p, folded) for p in arg[1]]
         if all(e is not None for e, _ in parts) and len(both := frozenset().union(*(e for e, _ in parts))) <= MOST_STRINGS:
             return both, True
         return None, _all("or", [_of_strings(e) if e is not None else q for e, q in parts])
     if op in (C.MAX_REPEAT, C.MIN_REPEAT):
         low, high, body = arg
-        e, q = _sequence(body)
-        if e is not None and high <= 4 and (few := frozenset(["".join(x) for n in range(low, high + 1) for x in _powers(e, n)])) and len(few) <= MOST_STRINGS:
+        e, q = _sequence(body, folded)
+        if e is not None and high <= 4 and (few := _repeated(e, low, high)) is not None:
             return few, True
         if low == 0:
             return None, True
@@ -100,17 +109,22 @@ def _exact(op, arg) -> tuple[frozenset[str] | None, Query]:
     return None, True
 
 
-def _powers(strings: frozenset[str], n: int) -> list[tuple[str, ...]]:
-    out: list[tuple[str, ...]] = [()]
-    for _ in range(n):
-        out = [(*x, s) for x in out for s in strings][: MOST_STRINGS + 1]
+def _repeated(strings: frozenset[str], low: int, high: int) -> frozenset[str] | None:
+    """All strings of ``low`` to ``high`` of the given ones; None if they are too many."""
+    now, out = frozenset([""]), frozenset()
+    for n in range(high + 1):
+        if n >= low:
+            out |= now
+        if len(out) > MOST_STRINGS or len(now) > MOST_STRINGS:
+            return None
+        now = frozenset(a + b for a in now for b in strings)
     return out
 
 
-def _sequence(nodes) -> tuple[frozenset[str] | None, Query]:
+def _sequence(nodes, folded: bool) -> tuple[frozenset[str] | None, Query]:
     now, found, whole = frozenset([""]), [], True
     for op, arg in nodes:
-        e, q = _exact(op, arg)
+        e, q = _exact(op, arg, folded)
         if e is not None and len(now) * len(e) <= MOST_STRINGS:
             now = frozenset(a + b for a in now for b in e)
             continue
@@ -125,8 +139,14 @@ def _sequence(nodes) -> tuple[frozenset[str] | None, Query]:
 
 @lru_cache(maxsize=256)
 def trigram_query(pattern: str) -> Query:
-    """Boolean query over ASCII-lower-cased UTF-8 trigrams that every text with a match fulfils; True: none can be derived."""
-    e, q = _sequence(P.parse(pattern))
+    """Boolean query over ASCII-lower-cased UTF-8 trigrams that every text with a match fulfils; True: none can be derived.
+
+    Without the ASCII flag, ignored case reaches beyond ASCII (the Kelvin sign
+    matches k, the long s matches s); such letters don't count.
+    """
+    tree = P.parse(pattern)
+    flags = tree.state.flags
+    e, q = _sequence(tree, bool(flags & re.IGNORECASE and not flags & re.ASCII))
     return _of_strings(e) if e is not None else q
 
 

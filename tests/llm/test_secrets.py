@@ -50,6 +50,26 @@ def test_queries_hold_for_every_match():
     assert secrets.trigram_query("ab(c|d)e?") in (("or", (b"abc", b"abd")), ("or", (("and", (b"abc", b"bce")), b"abc", ("and", (b"abd", b"bde")), b"abd")), ("or", (b"abc", ("and", (b"abc", b"bce")), b"abd", ("and", (b"abd", b"bde")))))
     assert secrets.trigram_query("(foo)+x*bar") == ("and", (b"foo", b"bar"))
     assert secrets.trigram_query("(foo)?x") is True
+    # ignored case beyond ASCII: the Kelvin sign is a k, the long s an s
+    assert secrets.trigram_query("(?i)token") is True and secrets.trigram_query("(?ai)token") == ("and", (b"tok", b"oke", b"ken"))
+    assert secrets.trigram_query("(?i)password") == ("and", (b"wor", b"ord"))
+    assert secrets.trigram_query("xÉy") == ("and", tuple(sorted({"xÉy".encode()[i : i + 3] for i in range(2)}, key="xÉy".encode().index)))
+
+
+def _fulfils(query, text):
+    low = text.encode()
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in low)
+    if query is True or isinstance(query, bytes):
+        return query is True or query in low
+    return (all if query[0] == "and" else any)(_fulfils(q, text) for q in query[1])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="kKsSaAb\u212a\u017féÉ", max_size=14))
+def test_every_match_fulfils_its_query(text):
+    for pattern in ("(?i)kas", "(?i:ask)b", "(a|b|k|s){1,4}AAA", "(ab?){2,3}k", "[kKs]{2}a[éÉ]", "(?i)É?sab", "(aa|a){4}"):
+        if re.search(pattern, text):
+            assert _fulfils(secrets.trigram_query(pattern), text), pattern
 
 
 def test_edge_rows_and_redaction(spark):
