@@ -43,22 +43,35 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each near-duplicate group."""
+    """Keeps the document of the smallest id of each near-duplicate group.
+
+    Null ids come last; of rows with the kept id in a group one stays (see
+    ``simhash.keep_one_each``). Null and wordless texts are copies of each
+    other; an empty table stays empty.
+    """
     return _documents(simhash.keep_one_each(docs.select(*COLUMNS)))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of 35 words and more that occur elsewhere; texts may end up empty, rows all stay."""
+    """Removes passages of 35 words and more that occur elsewhere; texts may end up empty, rows all stay.
+
+    Repeated rows repeat each other, whatever their ids; null texts stay null
+    and null ids null; an empty table stays empty.
+    """
     return _documents(substrings.remove_repeats(docs.select(*COLUMNS)))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by their kind; all rows stay."""
+    """Replaces secrets by their kind; all rows stay, with null texts null; of overlapping secrets the one that starts first counts. An empty table stays empty."""
     return _documents(secrets.redact_secrets(docs.select(*COLUMNS)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences of 4096 tokens: a row for each piece, with its ids."""
+    """Packs all documents into sequences of 4096 tokens: a row for each piece, with its ids.
+
+    Null texts count as empty and give the end token alone; null ids stay null;
+    repeated rows are packed each; an empty table gives no rows.
+    """
     return packing.pack_documents(docs, tokenizer_path())
 
 
