@@ -20,6 +20,8 @@ WINDOW, MARGIN = 128, 16
 #: Windows run through the network together.
 BATCH = 2048
 UNDETERMINED = "und"
+#: Bytes of doubt before a text is rejected.
+DOUBT = 8
 
 
 @dataclass
@@ -30,7 +32,7 @@ class Model:
     part; columns are update, reset and candidate, each of the hidden size.
 
     ``limits``: the output layer has a last column, for text in none of the
-    labels; a document is rejected whose share of it exceeds its best label's limit.
+    labels; a document is rejected whose share of it, less ``DOUBT``, exceeds its best label's limit.
     """
 
     labels: list[str]
@@ -299,7 +301,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             prob = predict(runner, texts) if runner else np.zeros((len(texts), 1))
             ok &= bool(runner)
             if model.limits is not None:
-                prob, none = prob[:, :-1], prob[:, -1]
+                # a few bytes say little: the share counts as if so many bytes of the label came besides
+                size = np.array([len(t.encode("utf-8", "replace")) for t in texts])
+                prob, none = prob[:, :-1], prob[:, -1] * size / (size + DOUBT)
                 ok &= none <= model.limits[prob.argmax(axis=1)]
             best = prob.argmax(axis=1)
             label = [model.labels[b] if o else UNDETERMINED for b, o in zip(best.tolist(), ok.tolist(), strict=True)]
