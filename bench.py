@@ -39,7 +39,7 @@ def published(spark) -> dict:
         # 66 to 72 s published: nine layers over 4,000 bars at full grid sizes
         "offline_chain_4000": lambda: chains.offline_chain(few),
         # 5 to 6 s published: one live call on the last 220 bars
-        "live_call_220": lambda: chains.live(few),
+        "live_call_220": lambda: chains.live_call(few),
         # 65 to 73 s published: 240 bars, five bandwidths, two halves
         "reliability_240": lambda: geometry.reliability(ranked, columns, window=1500, bars=240),
         # 63 s published: 30 seeds of 1,464 evaluations, each tested by 999 circular shifts

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantflume.functions import series
+from quantflume.functions.scalar import finite
 from quantflume.functions.series import KEY, TIME
+from quantflume.kernels import live as live_kernel
 from quantflume.operators import asof, backtest, geometry, grid, layers
 from quantflume.sources import bars as bar_sources
 
@@ -50,6 +53,28 @@ def live(bars: DataFrame, size: int = 200, shape: tuple[int, int, int] = (48, 48
     return out.select("*", *[c.alias(n) for n, c in layers.criticality_flags(F.col("criticality_score")).items()])
 
 
+def live_call(bars: DataFrame, size: int = 200, shape: tuple[int, int, int] = (48, 48, 32)) -> DataFrame:
+    """The states and geometric values of ``live``, a task of arrays for each symbol's last bars instead of a plan of dozens of windows.
+
+    Bars without a finite close give no row; a symbol's tail is ``LIVE_TAIL``
+    bars, so that a task's work is bounded; an empty table stays empty.
+    """
+    fixed = {"window": layers.WINDOW, "decay": layers.DECAY, "eps": layers.COV_EPS, "h": layers.BANDWIDTH, "step": layers.DELTA, "depth": layers.DEPTH, "lag": layers.HYST, "states": layers.STATES, "stress": layers.STRESS, "rupture": layers.RUPTURE, "rupture_base": layers.RUPTURE_BASE, "scores": layers.SCORES, "composite": layers.COMPOSITE, "critical": layers.CRITICAL, "types": layers.TYPES, "dominance": layers.DOMINANCE}
+    kinds = dict(bars.dtypes)
+    text = ("terrain_state", "edge_direction", "edge_bucket", "singularity_type", "stage")
+    whole = ("edge_signal", "is_high_critical", "is_extreme_critical")
+    names = ["close", *live_kernel.STATES, *GEOMETRIC, "is_high_critical", "is_extreme_critical"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([TIME, "close"], kind="stable")
+        got = live_kernel.call(pdf[TIME].to_numpy(), pdf["close"].to_numpy(dtype=float), fixed, size, shape)
+        return got.assign(**{KEY: pdf[KEY].iloc[0]})[[KEY, TIME, *names]]
+
+    schema = f"{KEY} {kinds[KEY]}, {TIME} {kinds[TIME]}, " + ", ".join(f"{n} {'string' if n in text else 'int' if n in whole else 'double'}" for n in names)
+    out = series.tail(bars, LIVE_TAIL).select(KEY, TIME, F.col("close").cast("double").alias("close")).groupBy(KEY).applyInPandas(run, schema)
+    return out.select(KEY, TIME, *[n if n in text or n in whole else finite(n).alias(n) for n in names])
+
+
 def three_sleeves(base: DataFrame, funding: DataFrame | None = None, cfg: backtest.Config = backtest.DEFAULT, weights: dict[str, float] | None = None) -> dict[str, DataFrame]:
     """The backtest of all sleeves from fine bars: trades, sleeve returns, the portfolio with its breaker, gates and metrics."""
     weights = weights or {"trend": 0.50, "collapse": 0.30, "carry": 0.20}

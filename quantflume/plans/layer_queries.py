@@ -427,7 +427,8 @@ def offline_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chains.live(daily(spark, sf_dir)).select(*KEYS, "terrain_state", "edge_signal", "edge_bucket", *chains.GEOMETRIC, "is_high_critical")
+    """One live call over each daily series' tail."""
+    return chains.live_call(daily(spark, sf_dir)).select(*KEYS, "terrain_state", "edge_signal", "edge_bucket", *chains.GEOMETRIC, "is_high_critical")
 
 
 def portfolio_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:

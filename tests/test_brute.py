@@ -178,3 +178,23 @@ def test_checks_of_files_and_figures(spark):
     df = spark.createDataFrame([("s", 1.0, None)], "symbol string, x double, y double")
     assert [(r.metric, r.ok) for r in stats.reproduction(df, {"x": 1.05, "y": 0.0}, {"x": 0.1, "y": 0.1}, "symbol").orderBy("metric").collect()] == [("x", True), ("y", False)]
     assert stats.pivoted(df.withColumn("k", F.lit(1)), "symbol", "k", [1, 2], "x").collect()[0].asDict() == {"symbol": "s", "k_1": 1.0, "k_2": None}
+
+
+def test_live_call_is_the_chain(spark, sf_dir):
+    """The arrays of one task against the plan of all layers, on two symbols, one of them short and with a gap in its closes."""
+    from quantflume.plans import chains
+
+    # moves of some size: of tiny ones the grids' derivatives are rounding errors
+    rng = np.random.default_rng(11)
+    close = np.exp(np.cumsum(0.4 * rng.standard_normal(300)))
+    rows = [("long", 60_000 * k, float(c)) for k, c in enumerate(close)] + [("short", 60_000 * k, None if k % 7 == 3 else float(c)) for k, c in enumerate(close[:130])] + [("few", 60_000 * k, float(c)) for k, c in enumerate(close[:7])]
+    both = spark.createDataFrame(rows, "symbol string, bar_ms long, close double").select("*", *[F.col("close").alias(c) for c in ("open", "high", "low", "volume")])
+    keys = ["symbol", "bar_ms"]
+    a = chains.live(both, 40, (12, 12, 10)).toPandas().sort_values(keys).reset_index(drop=True)
+    b = chains.live_call(both, 40, (12, 12, 10)).toPandas().sort_values(keys).reset_index(drop=True)
+    assert (a[keys] == b[keys]).all().all() and len(a) > 300
+    for c in ("terrain_state", "edge_direction", "edge_bucket", "singularity_type", "stage", "edge_signal", "is_high_critical", "is_extreme_critical"):
+        assert (a[c].fillna("") == b[c].fillna("")).all(), c
+    for c in ("edge_score", "expected_value_score", "transition_score", *chains.GEOMETRIC[:-2]):
+        assert np.allclose(a[c].to_numpy(dtype=float), b[c].to_numpy(dtype=float), rtol=1e-6, atol=1e-9, equal_nan=True), c
+    assert chains.live_call(both.limit(0)).collect() == []
