@@ -53,6 +53,24 @@ def test_batched_run_equals_the_plain_recurrence():
         assert np.allclose(g, reference(model, t.encode()), atol=1e-4)
 
 
+def test_whole_table_against_the_plain_recurrence(spark):
+    """The query's languages and scores of every document of the small table, a position at a time."""
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language.train(docs)
+    got = {r.doc_id: r for r in queries.op1_language(spark, small).collect()}
+    rows = docs.collect()
+    assert len(rows) == len(got) and rows
+    for r in rows:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == (language.UNDETERMINED, 0)
+            continue
+        want = reference(model, r.text.encode())
+        assert abs(got[r.doc_id].score - want.max()) < 1e-3
+        best = np.sort(want)
+        assert got[r.doc_id].lang_pred == model.labels[int(want.argmax())] or best[-1] - best[-2] < 1e-3
+
+
 def test_gradients_reduce_the_loss():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.integers(97, 105, (60, 32)), rng.integers(101, 109, (60, 32))]).astype(np.int16)

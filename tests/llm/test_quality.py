@@ -38,6 +38,32 @@ def test_batched_scores_equal_a_plain_convolution():
         assert abs(quality.score_texts(model, [text])[0] - 1 / (1 + np.exp(-np.mean(z)))) < 1e-4
 
 
+def test_whole_table_against_a_plain_convolution(spark):
+    """The query's scores of every document of the small table, a chunk, a place and a filter at a time."""
+    small = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    p = {k: v.astype(float) for k, v in model.params.items()}
+    got = {r.doc_id: r for r in queries.op8_quality(spark, small).collect()}
+    rows = docs.collect()
+    assert len(rows) == len(got) and rows
+    for r in rows:
+        raw = (r.text or "").encode()
+        z, start = [], 0
+        while True:
+            part = [*raw[start : start + quality.CHUNK]]
+            part += [256] * (quality.CHUNK - len(part))
+            places = quality.CHUNK - quality.WIDTH + 1
+            response = sum(p["t"][j][part[j : j + places]] for j in range(quality.WIDTH))
+            features = np.maximum(response.max(axis=0) + p["c"], 0)
+            z.append(float(np.tanh(features @ p["w1"] + p["b1"]) @ p["w2"] + p["b2"][0]))
+            if start + quality.CHUNK >= len(raw):
+                break
+            start += quality.CHUNK - quality.OVERLAP
+        want = 1 / (1 + np.exp(-(np.mean(z) + model.shift)))
+        assert abs(got[r.doc_id].score - want) < 1e-4 and (got[r.doc_id].predicted == int(want >= 0.7) or abs(want - 0.7) < 1e-4)
+
+
 def test_edge_rows(spark):
     rows = [(1, None, 0.1), (2, "", 0.1), (None, "x", 0.1), (4, "some text here " * 50, 0.2), (4, "some text here " * 50, 0.2), (5, "long words " * 20000, 0.3), (6, "%%% &&& *** " * 40, 0.4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
