@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantflume.llm import bpe, language, licenses, minhash, packing, quality, secrets, simhash, substrings, vectors
+from quantflume.llm import bpe, divergence, language, licenses, minhash, packing, quality, repair, secrets, simhash, substrings, tries, vectors
 from quantflume.llm.common import table
 from quantflume.llm.neural import held_out
 
@@ -90,6 +90,21 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents and the row of each that stays; see ``tries.exact_duplicates``."""
+    return tries.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far all sources of all languages part from each other; see ``divergence.source_divergence``."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repairs of all conversations; see ``repair.repair_conversations``."""
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_minhash": op2_minhash,
@@ -101,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_substrings": op10_substrings,
+    "op11_tries": op11_tries,
+    "op12_divergence": op12_divergence,
+    "op13_repair": op13_repair,
 }
 
 def _either_case(word: str) -> str:
@@ -144,4 +162,18 @@ c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM r),
 x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d),
 y AS (SELECT x.doc_id, count(*) FILTER (c.k IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY x.k) FILTER (c.k IS NULL) AS kept FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.k = x.k GROUP BY x.doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y ON y.doc_id = d.doc_id""",
+    "op11_tries": """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents),
+g AS (SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g""",
+    "op12_divergence": """WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+n AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+l AS (SELECT lang, count(*) AS v, sum(total)::BIGINT AS ln FROM kept GROUP BY lang),
+s AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(any_value(ln), 0) AS ln, coalesce(sum(c), 0)::BIGINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source) LEFT JOIN l USING (lang) GROUP BY lang, source),
+p AS (SELECT lang, source, term, coalesce(c, 0) AS c, (1 + 1000000000::HUGEINT * (coalesce(c, 0) + 1) // (s.n + v))::BIGINT AS p, (1 + 1000000000::HUGEINT * (total + 1) // (ln + v))::BIGINT AS q FROM s JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p)::HUGEINT * (x.p - y.p) // y.p), 0)::BIGINT AS value FROM s AS a JOIN s AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p AS x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p AS y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+terms AS (SELECT lang, source, term AS item, ((p - q)::HUGEINT * (p - q) // q)::BIGINT AS value FROM p WHERE c > 0 AND p > q),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT * FROM (SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM u) WHERE part = 'pair' OR rank <= 200""",
 }
