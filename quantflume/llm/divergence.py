@@ -26,6 +26,8 @@ from quantflume.llm.common import cut_lineage, text_blocks
 LEAST_DOCUMENTS, LISTED = 3, 200
 #: Distinct columns of a language that one task evaluates, about, and entries that a task's counts may have before they leave it.
 COLUMNS, ENTRIES = 8192, 300_000
+#: Bytes of listed columns up to which they are broadcast.
+LISTED_BYTES = 16 << 20
 #: Shares are in parts of this.
 UNIT = 1_000_000_000
 
@@ -191,9 +193,10 @@ def _terms(groups: DataFrame, distinct: DataFrame, terms: DataFrame, listed: int
     valued = entries.select("lang", "source", "column", F.expr("(p - q) * (p - q) div q").alias("value"))
     best = F.rank().over(Window.partitionBy("lang", "source").orderBy(F.desc("value")))
     valued = valued.withColumn("at", best).where(F.col("at") <= listed).drop("at")
-    # a column's terms all have one value, so only its first ones can be listed
-    first = F.row_number().over(Window.partitionBy("lang", "column").orderBy("term"))
-    named = terms.select("lang", "column", "term").withColumn("at", first).where(F.col("at") <= listed).drop("at")
+    # groups times listed columns, and ties; beyond the checked size the terms are shuffled to them
+    valued = cut_lineage(valued)
+    held = valued.agg(F.coalesce(F.sum(F.aggregate("column", F.lit(64).cast("long"), lambda n, e: n + F.length(e["source"]) + 32)), F.lit(0))).first()[0]
+    valued = F.broadcast(valued) if held <= LISTED_BYTES else valued.hint("merge")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "term"))
-    ranked = valued.join(named, ["lang", "column"]).select("lang", "source", "value", "term", rank.alias("rank")).where(F.col("rank") <= listed)
+    ranked = terms.select("lang", "column", "term").join(valued, ["lang", "column"]).select("lang", "source", "value", "term", rank.alias("rank")).where(F.col("rank") <= listed)
     return ranked.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
