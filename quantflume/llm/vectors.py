@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 
 from quantflume.llm.common import Groups, components, cut_lineage
 
-#: Vectors that a cluster is planned for; clusters of over twice as many members are split.
-SHARD = 512
+#: Vectors that a cluster is planned for; clusters that are home to over twice as many are split.
+SHARD = 2048
+#: A split must leave less than this share of a cluster's comparisons; rows of a cluster that a task assigns at once.
+LEAST_GAIN, ASSIGN_ROWS = 0.75, 8192
 #: Clusters that one is split into at most, and how often; what is still over four shards then is cut by hash.
 FAN, LEVELS = 64, 8
 #: Vectors of a cluster that its parts' centres are fitted on, about.
@@ -27,7 +29,7 @@ DEGREE, NEAR, FAR, ALPHA = 24, 48, 16, 1.2
 #: Search: beam, and how far below the asked similarity the range is still expanded.
 BEAM, SLACK = 40, 0.06
 #: Queries of a shard that are audited against all its vectors, and the least recall.
-AUDIT, LEAST_RECALL = 24, 0.95
+AUDIT, LEAST_RECALL = 32, 0.98
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -239,6 +241,35 @@ def fit_parts(x: np.ndarray, count: int, shard: int, half: float) -> tuple[np.nd
     return centres, ball if ball is not None and near.mean() * count >= shard else None
 
 
+def parts_of(x: np.ndarray, home: np.ndarray, centres: np.ndarray, link: float, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, part, is nearest) for every part where a unit vector may meet one that it links with, within the angle ``link``.
+
+    Vectors nearest to different centres lie on either side of the plane halfway
+    between these, so if they link the nearer of the two is within half the
+    angle of it, and it goes to the other's part. No linked vector is further
+    than the whole angle beyond any plane that bounds its partner's part. Guests
+    (not ``home``), whom nobody follows, go by the second rule alone.
+    """
+    gap = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+    apart = gap > 1e-9
+    whole, half = (np.sin(min(np.pi / 2, a)) + 1e-9 for a in (link, link / 2))
+    rows, parts, first = [], [], []
+    for a in range(0, len(x), block):
+        near = x[a : a + block] @ centres.T
+        own = near.argmax(axis=1)
+        # how far beyond the plane between two centres the vector is, seen from the first
+        beyond = (near[:, None, :] - near[:, :, None]) / np.where(apart, gap, np.inf)
+        to_own = beyond[np.arange(len(own)), :, own]
+        ok = (beyond.max(axis=2) <= whole) & ((to_own <= half) | ~home[a : a + block, None])
+        ok[np.arange(len(own)), own] = True
+        r, p = np.nonzero(ok)
+        rows.append(r + a)
+        parts.append(p)
+        first.append(p == own[r])
+    none = np.zeros(0, dtype=int)
+    return np.concatenate([none, *rows]), np.concatenate([none, *parts]), np.concatenate([none.astype(bool), *first])
+
+
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, shard: int = SHARD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``id_col``, ``n_links``, ``component_id`` and ``kept`` of every vector.
 
@@ -248,11 +279,13 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Classes of a label are clustered, level by level, with centres that tasks
     fit on about ``fit_rows`` members of a cluster; each class belongs to its
-    home, the nearest cluster at every level, and at every level of its home
-    also to the next nearest. On every cluster's shard a graph is built; the
-    adjacency lists of a class from its shards are united; and every class
-    searches its home's shard in the united graph. Links are verified in double
-    precision, and each shard audits its recall. A ball's members, all within
+    home, the nearest cluster at every level, and as a guest to all clusters
+    that may be home to a class that it links with and that doesn't come to it
+    (``parts_of``), so that no pair is lost between clusters. A cluster whose
+    parts would save too few comparisons stays whole. On every cluster's shard
+    a graph is built; the adjacency lists of a class from its shards are
+    united; and every class searches its home's shard in the united graph.
+    Links are verified in double precision, and each shard audits its recall. A ball's members, all within
     half the angle of its centre, link with each other; the vectors of its
     cluster that may link with some of them, by their angle to the centre, are
     compared with all of them, in blocks. A shard that can't be split is cut by
@@ -281,41 +314,52 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         centres, ball = fit_parts(_unit(pdf["vec"]), int(pdf["size"].iloc[0]), shard, half)
         return pd.DataFrame({"node": [pdf["node"].iloc[0]], "centres": [centres.ravel().tolist()], "ball": [None if ball is None else ball.tolist()]})
 
-    def assign(pdfs):
-        for pdf in pdfs:
-            for node, part in pdf.groupby("node", sort=False):
-                x, home = _unit(part["vec"]), part["home"].to_numpy()
-                centres = np.asarray(part["centres"].iloc[0]).reshape(-1, x.shape[1])
-                out = [np.empty(0, dtype=int)] * 4
-                inside = np.zeros(len(x), dtype=bool)
-                names, homes, kinds = [], [], []
-                if part["ball"].iloc[0] is not None:
-                    to_ball = x @ np.asarray(part["ball"].iloc[0])
-                    inside = home & (to_ball >= half)
-                    out[0], out[1] = np.flatnonzero(inside), np.flatnonzero(~inside & (to_ball >= far))
-                order = np.argsort(-(x @ centres.T), axis=1, kind="stable")
-                out[2] = np.flatnonzero(~inside)
-                out[3] = np.flatnonzero(~inside & home) if len(centres) > 1 else out[3]
-                for k, at in enumerate(out):
-                    names += [f"*{node}"] * len(at) if k < 2 else [f"{node}/{c}" for c in order[at, min(k - 2, len(centres) - 1)].tolist()]
-                    homes.append(np.full(len(at), k == 0) if k < 2 else home[at] & (k == 2))
-                    kinds.append(np.full(len(at), min(k, 2)))
-                at = np.concatenate(out)
-                yield pd.DataFrame({"class": part["class"].to_numpy()[at], "n": part["n"].to_numpy()[at], "vec": part["vec"].to_numpy()[at], "node": names, "home": np.concatenate(homes), "kind": np.concatenate(kinds)})
-
+    def assign(part: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        columns = ["class", "n", "vec", "node", "parent", "home", "kind"]
+        if not len(part) or not len(fitted):
+            return pd.DataFrame(columns=columns)
+        node, x, home = part["node"].iloc[0], _unit(part["vec"]), part["home"].to_numpy()
+        centres, ball = np.asarray(fitted["centres"].iloc[0]).reshape(-1, x.shape[1]), fitted["ball"].iloc[0]
+        inside, close = np.zeros(len(x), dtype=bool), np.zeros(0, dtype=int)
+        if ball is not None:
+            to_ball = x @ np.asarray(ball)
+            inside = home & (to_ball >= half)
+            close = np.flatnonzero(~inside & (to_ball >= far))
+        core, rest = np.flatnonzero(inside), np.flatnonzero(~inside)
+        row, to, nearest = parts_of(x[rest], home[rest], centres, link)
+        row = rest[row]
+        at = np.concatenate([core, close, row])
+        names = [f"*{node}"] * (len(core) + len(close)) + [f"{node}/{k}" for k in to.tolist()]
+        homes = np.concatenate([np.ones(len(core), dtype=bool), np.zeros(len(close), dtype=bool), home[row] & nearest])
+        kinds = np.repeat([0, 1, 2], [len(core), len(close), len(row)])
+        return pd.DataFrame({"class": part["class"].to_numpy()[at], "n": part["n"].to_numpy()[at], "vec": part["vec"].to_numpy()[at], "node": names, "parent": node, "home": homes, "kind": kinds})[columns]
+
+    link = float(np.arccos(least))
+    hosts, every = F.sum(F.col("home").cast("long")), F.count(F.lit(1))
     members, balls = classes.select("class", "n", "vec", "node", F.lit(True).alias("home")), None
     for level in range(LEVELS):
-        sizes = cut_lineage(members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * shard))
+        # "!" marks clusters that no split helps
+        sizes = cut_lineage(members.where(~F.col("node").endswith("!")).groupBy("node").agg(hosts.alias("size"), every.alias("all")).where(F.col("size") > 2 * shard))
         if sizes.isEmpty():
             break
         large = members.join(sizes, "node")
         at = F.shiftrightunsigned(F.xxhash64("class", F.lit(level)), 11).cast("double") / float(1 << 53)
-        parts = cut_lineage(large.where(at < F.lit(float(fit_rows)) / F.col("size")).groupBy("node").applyInPandas(fit, "node string, centres array<double>, ball array<double>"))
-        moved = cut_lineage(large.join(parts, "node").mapInPandas(assign, f"class long, n long, vec {vector}, node string, home boolean, kind int"))
-        # a cluster whose sample was empty stays as it is
-        members = members.join(parts.select("node"), "node", "left_anti").select("class", "n", "vec", "node", "home").union(moved.where("kind = 2").drop("kind"))
-        members = cut_lineage(members)
-        found = moved.where("kind < 2")
+        parts = large.where(F.col("home") & (at < F.lit(float(fit_rows)) / F.col("size"))).groupBy("node").applyInPandas(fit, "node string, centres array<double>, ball array<double>")
+        salts = F.ceil(F.col("all") / ASSIGN_ROWS).cast("int")
+        parts = cut_lineage(parts.join(sizes, "node").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("node", "salt", "centres", "ball"))
+        dealt = large.withColumn("salt", F.pmod(F.xxhash64("class"), salts).cast("int")).select("class", "n", "vec", "node", "home", "salt")
+        moved = dealt.groupBy("node", "salt").cogroup(parts.groupBy("node", "salt")).applyInPandas(assign, f"class long, n long, vec {vector}, node string, parent string, home boolean, kind int")
+        moved = cut_lineage(moved)
+        after = moved.where("kind = 2").groupBy("parent", "node").agg((hosts * every).alias("work")).groupBy("parent").agg(F.sum("work").alias("work"))
+        plan = sizes.join(parts.where("salt = 0").select("node", F.col("node").alias("split")), "node", "left").join(after.withColumnRenamed("parent", "node"), "node", "left")
+        # a cluster whose sample was empty, or whose parts would save too little, stays as it is
+        splits = F.col("split").isNotNull() & (F.coalesce("work", F.lit(0)) < LEAST_GAIN * F.col("size") * F.col("all"))
+        plan = cut_lineage(plan.select("node", splits.alias("splits")))
+        moved = moved.join(plan.where("splits").select(F.col("node").alias("parent")), "parent", "left_semi")
+        stay = members.join(plan, "node", "left").where(~F.coalesce("splits", F.lit(False)))
+        stay = stay.select("class", "n", "vec", F.when(F.col("splits").isNotNull(), F.concat("node", F.lit("!"))).otherwise(F.col("node")).alias("node"), "home")
+        members = cut_lineage(stay.union(moved.where("kind = 2").select("class", "n", "vec", "node", "home")))
+        found = cut_lineage(moved.where("kind < 2").select("class", "n", "vec", "node", "home", "kind"))
         balls = found if balls is None else balls.union(found)
     seats = members.select("class", "node", "home")
     seats = (seats if balls is None else seats.union(balls.select("class", "node", "home"))).groupBy("class")

@@ -133,3 +133,36 @@ def test_huge_and_tiny_vectors_link_like_any(spark, n):
     got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got[10**6][0] > 0 and sum(c for c, _ in got.values()) >= 0.95 * sum(c for c, _ in want.values())
     assert all(got[i][0] <= want[i][0] for i in want)
+
+
+def test_linked_vectors_share_a_part():
+    """Of any two that link, one sits in the other's part, whatever the centres."""
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    for dims, least in ((3, 0.93), (6, 0.93), (6, 0.5), (2, 0.99)):
+        x = unit(rng.standard_normal((600, dims)))
+        centres = unit(np.concatenate([rng.standard_normal((12, dims)), x[:5], x[:2]]))
+        link = float(np.arccos(least))
+        seats = {}
+        for home in (True, False):
+            row, part, first = vectors.parts_of(x, np.full(len(x), home), centres, link)
+            seats[home] = np.zeros((len(x), len(centres)), dtype=bool)
+            seats[home][row, part] = True
+            own = np.empty(len(x), dtype=int)
+            own[row[first]] = part[first]
+        a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
+        assert (seats[True][a, own[b]] | seats[True][b, own[a]]).all()
+        assert seats[False][a, own[b]].all()
+
+
+@pytest.mark.parametrize(("inner", "dims", "n"), [(4, 64, 3000), (6, 96, 3000), (3, 128, 2000)])
+def test_vectors_without_clusters(spark, inner, dims, n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, inner))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ np.linalg.qr(rng.standard_normal((dims, inner)))[0].T
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=150).collect()}
+    found = np.array([got[i] for i in range(n)])
+    assert (found <= want).all()
+    assert found.sum() >= 0.99 * want.sum()
