@@ -19,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quantflume.llm.common import fresh, schema_with, text_blocks
+from quantflume.llm.common import Remembered, fresh, schema_with, text_blocks
 
-#: Words, and white-space separated runs of them, kept with their ids in a worker; beyond it the caches start anew.
-CACHE_WORDS = 350_000
+#: Bytes of words, and of white-space separated runs of them, kept with their ids in a worker; beyond it the caches start anew.
+CACHE_BYTES = 80 << 20
 #: Transitions kept in a worker's tables, of states under tokens and of readings under symbols; beyond it they are filled anew.
 CACHE_ARCS = 250_000
 
@@ -201,8 +201,8 @@ class Tokenizer:
         ending = len(self.suffix)
         body = lambda t: t[:-ending] if ending and t.endswith(self.suffix) and len(t) > ending else t
         self.reader = Reader(self.machine, {i: (*body(t)[:-1], body(t)[-1] + t[len(body(t)) :]) for t, i in vocab.items() if i in self.machine.live})
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
+        self.words = Remembered(self._word, CACHE_BYTES)
+        self.runs = Remembered(self._run, CACHE_BYTES)
 
     def encode_word(self, word: str) -> bytes:
         """Ids of one pre-split word of byte-level characters; symbols outside the vocabulary are dropped."""
@@ -222,6 +222,10 @@ class Tokenizer:
             return [part[:-1], part[-1]]
         return self.word_pattern.findall(part)
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of a normalized text."""
+        return self.encode_word(word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.byte_chars))
+
     def _run(self, run: str) -> bytes:
         """Ids of a text without spaces."""
         out = []
@@ -232,28 +236,13 @@ class Tokenizer:
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # sigma in lower case, whatever follows
             part = part.lower()
-            for word in self._split(part):
-                got = self.words.get(word)
-                if got is None:
-                    got = self.words[word] = self.encode_word(word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.byte_chars))
-                out.append(got)
+            out += map(self.words.__getitem__, self._split(part))
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        if len(self.runs) > CACHE_WORDS:
-            self.runs = {"": b""}
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        runs, get = self.runs, self.runs.__getitem__
-        out = []
-        for text in texts:
-            split = text.replace("\n", " ").split(" ")
-            for r in split:
-                if r not in runs:
-                    runs[r] = self._run(r)
-            out.append(b"".join(map(get, split)))
-        return out
+        get = self.runs.__getitem__
+        return [b"".join(map(get, text.replace("\n", " ").split(" "))) for text in texts]
 
 
 class Labels:

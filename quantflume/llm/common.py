@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,28 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+class Remembered(dict):
+    """Values of strings, learned when they are first asked for.
+
+    Strings of over ``longest`` characters are learned anew each time, and all
+    are forgotten once keys and values take ``limit`` bytes, about.
+    """
+
+    def __init__(self, learn: Callable[[str], bytes], limit: int, longest: int = 64):
+        super().__init__({"": b""})
+        self.learn, self.limit, self.longest, self.bytes = learn, limit, longest, 0
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.learn(key)
+        if len(key) <= self.longest:
+            if self.bytes > self.limit:
+                self.clear()
+                self[""], self.bytes = b"", 0
+            self[key] = got
+            self.bytes += getsizeof(key) + getsizeof(got) + 100
+        return got
+
+
 class Groups:
     """Which of n local nodes are already connected; keeps as many links as connect them, not all there are."""
 

@@ -13,10 +13,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quantflume.llm.bpe import byte_chars
-from quantflume.llm.common import text_blocks
+from quantflume.llm.common import Remembered, text_blocks
 
-#: Words kept with their ids in a worker; beyond it the cache starts anew.
-CACHE_WORDS = 200_000
+#: Bytes of words kept with their ids in a worker; beyond it the cache starts anew.
+CACHE_BYTES = 96 << 20
 #: ASCII signs that the tokenizer keeps together in a run (apostrophes may begin a word).
 SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Tokens packed together: bounds a worker's memory, whatever the input.
@@ -38,7 +38,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known = Known(self.learn)
+        self.known = Remembered(self.learn, CACHE_BYTES)
         self.byte_chars = byte_chars()
         self.tails: dict[str, bytes] = {}
         self.merge = self.tokenizer.model.tokenize
@@ -80,24 +80,10 @@ class WordEncoder:
         return (self._letters(low) if got is None else got) + self._tail(word[len(stem) :])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known = Known(self.learn)
         get = self.known.__getitem__
         return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
-class Known(dict):
-    """Words' ids, learned when they are first asked for."""
-
-    def __init__(self, learn):
-        super().__init__({"": b""})
-        self.learn = learn
-
-    def __missing__(self, word: str) -> bytes:
-        got = self[word] = self.learn(word)
-        return got
-
-
 _encoders: dict[str, WordEncoder] = {}
 
 

@@ -116,3 +116,20 @@ def test_edge_rows(spark):
     odd = spark.createDataFrame([(None, "a"), ([None, 320, 10**6, -1], "b")], "ids array<int>, decoded string")
     assert sorted(r.decoded for r in bpe.decode(odd, PATH).collect()) == ["", "a</w>"]
     assert bpe.encode(docs.limit(0), PATH).collect() == [] == bpe.decode(made.limit(0), PATH).collect()
+
+
+def test_unspaced_texts_dont_fill_a_worker():
+    from quantflume.llm.common import Remembered
+
+    rng = np.random.default_rng(5)
+    own = bpe.Tokenizer(PATH)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789+/"))
+    for _ in range(40):
+        own.encode(["".join(rng.choice(letters, 2000)) for _ in range(10)])
+    assert all(len(k) <= own.runs.longest for cache in (own.runs, own.words) for k in cache)
+    learned = []
+    small = Remembered(lambda w: learned.append(w) or w.encode(), 5000)
+    for k in range(1000):
+        assert small[f"word{k % 300}"] == f"word{k % 300}".encode()
+        assert sum(len(v) + 190 for v in small.values()) <= 6000
+    assert small["x" * 65] == b"x" * 65 and "x" * 65 not in small and small[""] == b""
