@@ -7,6 +7,9 @@ import numpy as np
 _Q = 0xC2B2AE3D27D4EB4F
 U = np.uint64
 
+#: Bytes of words hashed at once.
+SLICE = 1 << 20
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -51,14 +54,27 @@ class Words:
         different words; other seeds give independent hashes.
         """
         n = len(self.start)
-        if not n:
-            return np.zeros(0, dtype=np.uint64)
+        out = np.zeros(n, dtype=np.uint64)
         size = self.end - self.start
-        inside = ~_SPACE[self.data]
-        ends = np.cumsum(size)
-        place = np.arange(ends[-1]) - np.repeat(ends - size, size)
-        own = mix((place.astype(np.uint64) << U(8) | self.data[inside]) + U(mix_one(seed)))
-        return mix(np.add.reduceat(own, ends - size) + size.astype(np.uint64))
+        ends, own_seed = np.cumsum(size), U(mix_one(seed))
+        a = 0
+        while a < n:  # in slices of words, so that a long text's numbers aren't all held at once
+            before = int(ends[a] - size[a])
+            b = max(a + 1, int(np.searchsorted(ends, before + SLICE, side="right")))
+            for first in range(int(self.start[a]), int(self.end[b - 1]), SLICE) if b == a + 1 else [int(self.start[a])]:
+                # a word longer than a slice is summed in several
+                last = min(int(self.end[b - 1]), first + SLICE) if b == a + 1 else int(self.end[b - 1])
+                part = self.data[first:last]
+                if b > a + 1:
+                    part = part[~_SPACE[part]]
+                    begins = ends[a:b] - size[a:b] - before
+                    place = np.arange(len(part)) - np.repeat(begins, size[a:b])
+                else:
+                    begins, place = np.zeros(1, dtype=np.int64), np.arange(first, last) - int(self.start[a])
+                own = mix((place.astype(np.uint64) << U(8) | part) + own_seed)
+                out[a:b] += np.add.reduceat(own, begins)
+            a = b
+        return mix(out + size.astype(np.uint64))
 
     def runs(self, n: int, seed: int = 0) -> np.ndarray:
         """For each word the hash of the n words from it on; it means nothing where a text (or the block) ends before. Other seeds hash the bytes anew."""

@@ -102,3 +102,13 @@ def test_many_ranges_with_ties_and_nulls(spark):
         owner = {}
         assert all(owner.setdefault(r.run, r.part) == r.part for r in at)
     assert minhash.compare_with_next(docs).count() == 400
+
+
+def test_slices_of_long_texts_hash_alike(monkeypatch):
+    from quantflume.llm import hashing
+
+    words = hashing.Words(["one two  three\tfour " * 30, "", "x" * 5000 + " y", "é ü\n日本" * 9], lower=False)
+    whole = words.hashes(0), words.hashes(9)
+    for size in (1, 7, 64, 4096):
+        monkeypatch.setattr(hashing, "SLICE", size)
+        assert (words.hashes(0) == whole[0]).all() and (words.hashes(9) == whole[1]).all()
