@@ -8,7 +8,9 @@ from collections import Counter
 from collections.abc import Iterator
 from math import log, sqrt
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +79,8 @@ TEMPLATES = {
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.\-_].*)?$"
 #: A template of twice the tokens wins over one whose cosine is so little better: licences stand beside one-line notices.
 NEAR = 0.1
+#: Words that the driver, or a task's counts, may hold at once; bits of the filter that stands for more of them.
+HELD_WORDS, SKETCH = 200_000, 1 << 24
 
 _TOKEN = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
@@ -96,8 +100,8 @@ class Matcher:
     """
 
     def __init__(self, templates: dict[str, list[str]], df: dict[str, int], n: int, least: float):
-        self.least = least
-        self.idf = {w: log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary(templates) | df.keys()}
+        self.least, self.n = least, n
+        self.idf = {w: self.weight(df.get(w, 0)) for w in vocabulary(templates) | df.keys()}
         self.vectors, self.names = [], []
         for name, notices in templates.items():
             for notice in notices:
@@ -115,8 +119,12 @@ class Matcher:
         self.heavy = set().union(*(h for _, _, h in self.vectors)) if self.vectors else set()
         self.any = re.compile("|".join(map(re.escape, sorted(self.heavy)))) if self.heavy else None
 
-    def matches(self, words: list[str], whole: bool = True) -> Iterator[tuple[int, int, float]]:
-        """(template, first token, cosine) of all windows of ``least`` or more; ``whole``: the words are a text, so that it may be shorter than a template."""
+    def weight(self, df: int) -> float:
+        """The inverse document frequency of a word that ``df`` texts have."""
+        return log((1 + self.n) / (1 + df)) + 1
+
+    def matches(self, words: list[str], whole: bool = True, df: dict[str, int] | None = None) -> Iterator[tuple[int, int, float]]:
+        """(template, first token, cosine) of all windows of ``least`` or more; ``whole``: the words are a text, so that it may be shorter than a template; ``df``: counts of words beside those known."""
         places: dict[str, list[int]] = {}
         for k, w in enumerate(words):
             if w in self.heavy:
@@ -124,6 +132,8 @@ class Matcher:
         if not places:
             return
         idf, n = self.idf, len(words)
+        if df:
+            idf = {w: self.weight(c) for w, c in df.items()} | idf
         for t, (size, v, heavy) in enumerate(self.vectors):
             if size > n and not whole:
                 continue
@@ -187,20 +197,57 @@ def vocabulary(templates: dict[str, list[str]]) -> set[str]:
     return {w for t in templates.values() for notice in t for w in tokens(notice)}
 
 
-def corpus_counts(files: DataFrame, text_col: str, words: set[str]) -> tuple[dict[str, int], int]:
-    """In how many texts each of ``words`` occurs, and the number of texts; counted over all of them."""
+class Listed:
+    """A set of words, and which of a text's words it has."""
+
+    def __init__(self, words: set[str]):
+        self.words = words
+
+    def pick(self, found: list[str]) -> set[str]:
+        return self.words.intersection(found)
+
+
+class Sketched:
+    """A Bloom filter of words: it has all of them and a few others, in a fixed number of bits."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def pick(self, found: list[str]) -> set[str]:
+        bits, digest, out = self.bits, xxhash.xxh64_intdigest, set()
+        for w in set(found):
+            h = digest(w, 42)
+            if all(int(bits[(h >> at & SKETCH - 1) >> 6]) >> (h >> at & 63) & 1 for at in (0, 32)):
+                out.add(w)
+        return out
+
+
+def sketch(words: DataFrame) -> Sketched:
+    """The filter of a column ``word``; what reaches the driver are its ``SKETCH`` bits at most."""
+    at = F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64("word"), k).bitwiseAND(F.lit(SKETCH - 1).cast("long")) for k in (0, 32)]))
+    cells = words.select(at.alias("at")).distinct().groupBy(F.shiftright("at", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits"))
+    out = np.zeros(SKETCH >> 6, dtype=np.int64)
+    for r in cells.collect():
+        out[r.cell] = r.bits
+    return Sketched(out.view(np.uint64))
+
+
+def corpus_counts(files: DataFrame, text_col: str, words: Listed | Sketched) -> DataFrame:
+    """``word`` and ``n``, in how many texts each of ``words`` occurs; the empty word counts all texts. Counted over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
         count: Counter = Counter()
         for _, texts in text_blocks(batches, "text"):
             count[""] += len(texts)
             for text in texts:
-                count.update(words.intersection(tokens(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+                count.update(words.pick(tokens(text)))
+            if len(count) > HELD_WORDS:
+                yield rows(count)
+                count = Counter()
+        yield rows(count)
 
-    rows = files.select(files[text_col].cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    df = {r.word: r.n for r in rows}
-    return df, df.pop("", 0)
+    return files.select(files[text_col].cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = 0.7) -> DataFrame:
@@ -218,8 +265,9 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     Three passes over the texts: one counts the templates' words; one finds the
     stretches whose windows may reach ``least`` if words outside the templates
     weigh as little as they can, and one counts those words, whose true weights
-    only lower a cosine. What reaches the driver are the counts of words that
-    stand in such windows. Directories are resolved first, each distinct one
+    only lower a cosine. Their counts are joined to the stretches as a table;
+    the driver gets at most ``HELD_WORDS`` of these words, or a filter of a
+    fixed number of bits for them. Directories are resolved first, each distinct one
     once, by equi-joins of its ancestors' paths; files join theirs after that.
 
     Null texts count as empty; a file with a null path inherits nothing; repeated rows
@@ -230,7 +278,8 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     templates = templates or TEMPLATES
     new = ("own_license", "own_score", "own_line", "license", "inherited_from")
     files = files.drop(*new)
-    known, n = corpus_counts(files, text_col, vocabulary(templates))
+    known = {r.word: r.n for r in corpus_counts(files, text_col, Listed(vocabulary(templates))).collect()}  # the templates' words at most
+    n = known.pop("", 0)
     rest = [c for c in files.columns if c != text_col]
     folder, base, near_folder, cands = fresh(files, "qf_dir", "qf_base", "qf_near", "qf_candidates")
     kept = files.select(*[F.col(f"`{c}`") for c in rest])
@@ -244,18 +293,25 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     stretch = T.StructType([T.StructField("whole", T.BooleanType()), T.StructField("lines", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.StringType()))])
     # written, as all that follows needs no text
     maybe = cut_lineage(files.mapInArrow(find, schema_with(kept, **{cands: T.ArrayType(stretch)})))
-    others = maybe.select(F.explode(cands).alias("c")).select(F.explode("c.words").alias("word")).distinct()
-    words = {r.word for r in others.collect()} - known.keys() - vocabulary(templates)
-    df = known | corpus_counts(files, text_col, words)[0] if words else known
+    row, counted = fresh(maybe, "qf_row", "qf_counts")
+    maybe = maybe.withColumn(row, F.monotonically_increasing_id())
+    heard = F.array_distinct(F.flatten(F.transform(cands, lambda c: c["words"])))
+    heard = maybe.where(F.size(cands) > 0).select(row, F.explode(heard).alias("word"))
+    others = cut_lineage(heard.select("word").distinct())
+    words = others.limit(HELD_WORDS + 1).collect()
+    asked = Listed({r.word for r in words} - known.keys()) if len(words) <= HELD_WORDS else sketch(others)
+    df = cut_lineage(corpus_counts(files, text_col, asked).where("word <> ''"))
+    df = cut_lineage(heard.join(df, "word").groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias(counted)))
+    maybe = maybe.join(df, row, "left").select(*[F.col(f"`{c}`") for c in rest], cands, counted)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(templates, df, n, least)
+        matcher = Matcher(templates, known, n, least)
         for rows in batches:
             license_, value, line = [], [], []
-            for parts in rows.column(len(rest)).to_pylist():
-                found, lines = [], []
+            for parts, counts in zip(rows.column(len(rest)).to_pylist(), rows.column(len(rest) + 1).to_pylist(), strict=True):
+                found, lines, counts = [], [], dict(counts or [])
                 for part in parts:
-                    found += [(t, len(lines) + a, c) for t, a, c in matcher.matches(part["words"], part["whole"])]
+                    found += [(t, len(lines) + a, c) for t, a, c in matcher.matches(part["words"], part["whole"], counts)]
                     lines += part["lines"]
                 best = matcher.best(found)
                 ok = best[1] >= 0 and best[0] >= least - 1e-9

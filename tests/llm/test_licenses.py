@@ -146,3 +146,17 @@ def test_whole_table_against_brute_force(spark, sf_dir):
     got = {r.path: r.own_license for r in licenses.scan_licenses(spark.createDataFrame(docs, "path string, text string"), templates=short).collect()}
     own = dict(zip((p for p, _ in docs), (w[0] for w in brute(docs, short)), strict=True))
     assert got == own and sum(v is not None for v in own.values()) > 10
+
+
+def test_a_filter_of_words_in_place_of_a_list(spark, monkeypatch):
+    """Beyond what the driver may hold, counts are the same."""
+    rows = [(k, f"d{k % 5}/f{k}.txt", t) for k, t in enumerate(["Released here under the MIT License", "Licensed under the Apache License, Version 2.0 zebra", "plain words of no licence", "This was released under the MIT License here"] * 30)]
+    files = spark.createDataFrame(rows, "id long, path string, text string")
+    want = sorted(map(tuple, licenses.scan_licenses(files).collect()))
+    monkeypatch.setattr(licenses, "HELD_WORDS", 3)
+    assert sorted(map(tuple, licenses.scan_licenses(files).collect())) == want
+    assert any(r[2] for r in want)
+    words = spark.createDataFrame([(f"w{k}",) for k in range(500)], "word string")
+    found = licenses.sketch(words)
+    assert found.pick([f"w{k}" for k in range(500)]) == {f"w{k}" for k in range(500)}
+    assert len(found.pick([f"other{k}" for k in range(2000)])) < 5
