@@ -23,14 +23,15 @@ def published(spark) -> dict:
     from quantflume.functions import series
     from quantflume.operators import geometry, layers, models, stats
     from quantflume.plans import chains
+    from tests import simulators
 
-    bars = models.synthetic(spark, "garch", 6000, [0]).cache()
+    bars = simulators.synthetic(spark, "garch", 6000, [0]).cache()
     bars.count()
     ranked = series.rank_causal(layers.motion(bars), ["E", "jerk", "m_flux"])
     columns = ["E_gauss", "jerk_gauss", "m_flux_gauss"]
     few = series.tail(bars, 4000)
     # window 1,440 and step 60: 1,464 evaluations of a seed and their targets
-    planted = models.synthetic(spark, "planted", 1440 + 2 * 60 + 61 + 1464 * 60, list(range(30)), step=60)
+    planted = simulators.synthetic(spark, "planted", 1440 + 2 * 60 + 61 + 1464 * 60, list(range(30)), step=60)
     whole = series.tail(bars, 3200)
     prefix = whole.orderBy("bar_ms").limit(2400)
     return {

@@ -12,6 +12,7 @@ from quantflume.plans import chains
 from quantflume.plans.join_queries import _ALIGN_BODY, _MAP_BODY, b1h
 from quantflume.plans.oracle import DAILY, W, ema_sql, event_bars, frame, r
 from quantflume.plans.series_queries import B1H, KEYS, _V, rd
+from quantflume.session import written
 from quantflume.sources import bars
 
 
@@ -179,7 +180,8 @@ def garch_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sf1_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.flow_fit(models.synthetic(spark, "flow", 3000, [1, 2, 3]))
+    """The order-flow model of every daily series."""
+    return models.flow_fit(bars.daily_flow(spark, sf_dir))
 
 
 def evaluations_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,9 +193,8 @@ SHIFTS = list(range(1, 1000))
 
 
 def fisher_rao_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speed against the next change of volatility on planted series, tested by circular shifts."""
-    ev = models.evaluations(models.synthetic(spark, "planted", 4000, [1, 2], step=40), 400, 40, 4.0)
-    return models.speed_test(ev, "hour", SHIFTS)
+    """Speed against the next change of volatility of every daily series, tested by circular shifts."""
+    return models.speed_test(models.evaluations(bars.daily_flow(spark, sf_dir), 400, 20, 4.0), "weekday", SHIFTS)
 
 
 def surrogate_iaaft(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +209,9 @@ def surrogate_iaaft(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_garch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.synthetic(spark, "garch", 2000, [0, 1]).select(*KEYS, "open", "high", "low", "close", "volume")
+    """Bars of a path of each daily series' fitted return process."""
+    df = daily(spark, sf_dir).withColumn("r", F.tanh(F.log("close") - F.log("open")) / 50)
+    return models.garch_bars(df, "r").select(*KEYS, "open", "high", "low", "close", "volume")
 
 
 QUERIES = {f.__name__: f for f in (state_by_energy, input_layer, info_density, local_attractor, global_density, terrain_score, terrain_state, expected_value, edge_signal, edge_fallback, singularity_scores, dominant_type, stage, garch_filter, flow_design, curvature_scan, delta_f, scan_field_equation, reliability, grid_geometry_2d, grid_geometry_3d, garch_fit, sf1_fit, evaluations_hop, fisher_rao_speed, surrogate_iaaft, synthetic_garch)}
@@ -324,25 +327,37 @@ def existence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FLOW = ["z_gauss", "star_gauss", "nu_gauss"]
 
 
-def _flow_coordinates(spark: SparkSession, seeds: list[int]) -> DataFrame:
-    df = series.relative_activity(models.design_rows(models.synthetic(spark, "flow", 6000, seeds)), "volume", "nu")
-    return series.rank_causal(df, ["z", "star", "nu"])
+#: Paths of the fitted order-flow model that a gate compares with, or a calibration tests.
+REPLICAS = 4
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarter-hour bars of the events with their flow."""
+    return bars.event_bars(spark, sf_dir, 15 * bars.MINUTE).where("close > 0")
+
+
+def _flow_coordinates(df: DataFrame) -> DataFrame:
+    return series.rank_causal(series.relative_activity(models.design_rows(df), "volume", "nu"), ["z", "star", "nu"])
 
 
 def flow_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Geometry in order-flow coordinates of a synthetic series, freed of what position alone explains."""
-    scan = geometry.delta_f(geometry.causal_scan(_flow_coordinates(spark, [1, 2]), _FLOW, None, every=2)).where("dF is not null")
-    a, b = scan.where("symbol = 'flow1'").withColumn("symbol", F.lit("flow")), scan.where("symbol = 'flow2'").withColumn("symbol", F.lit("flow"))
+    """Geometry of the events in order-flow coordinates, freed of what position alone explains in paths of the model fitted to them."""
+    own = _flow(spark, sf_dir)
+    null = models.flow_replicas(own, REPLICAS).withColumn("symbol", F.concat_ws("|", "symbol", F.col("replica").cast("string"))).drop("replica")
+    both = own.select(*null.columns).unionByName(null)
+    scan = written(geometry.delta_f(geometry.causal_scan(_flow_coordinates(both), _FLOW, None)).where("dF is not null"))
+    at = F.split("symbol", "[|]")
+    a, b = scan.where(F.size(at) == 1), scan.where(F.size(at) == 2).withColumn("symbol", at[0])
     return stats.position_matched(a, b, "mahalanobis", "dF")
 
 
 def flow_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate's checks of order-flow geometry: reliable between halves, not the distance from the centre, not volatility; and all of them."""
-    df = _flow_coordinates(spark, [1])
-    halves = geometry.delta_f(geometry.reliability(df, _FLOW, scales=(2.0,)))
+    df = written(_flow_coordinates(_flow(spark, sf_dir)))
+    halves = written(geometry.delta_f(geometry.reliability(df, _FLOW, scales=(2.0,))))
     a, b = (halves.where(F.col("half") == k).select(*KEYS, F.col("dF").alias(f"d{k}")) for k in (0, 1))
     reliable = stats.spearman(a.join(b, list(KEYS)), "d0", "d1").select("symbol", F.col("rho").alias("reliability"))
-    scan = geometry.delta_f(geometry.causal_scan(df, _FLOW, None, every=2))
+    scan = written(geometry.delta_f(geometry.causal_scan(df, _FLOW, None)))
     distance = stats.spearman(scan, "dF", "mahalanobis").select("symbol", F.col("rho").alias("rho_distance"))
     past = df.select(*KEYS, *[series.log_volatility("r", w).alias(f"vol_{w}") for w in (10, 30, 60)])
     share = stats.fold_r2(scan.join(past, list(KEYS)), ["vol_10", "vol_30", "vol_60"], "dF").select("symbol", F.col("r2").alias("r2_volatility"))
@@ -352,25 +367,26 @@ def flow_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speed_measurability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation of the speeds from even and from odd bars."""
-    df = models.synthetic(spark, "planted", 4000, [1, 2], step=40)
-    a, b = (models.evaluations(df, 400, 40, 4.0, split=s, target=False).select("symbol", "t", F.col("v_flow").alias(f"v_{s}")) for s in ("even", "odd"))
+    """Rank correlation of the speeds from even and from odd bars of every daily series."""
+    df = bars.daily_flow(spark, sf_dir)
+    a, b = (models.evaluations(df, 400, 20, 4.0, split=s, target=False).select("symbol", "t", F.col("v_flow").alias(f"v_{s}")) for s in ("even", "odd"))
     return stats.spearman(a.join(b, ["symbol", "t"]), "v_even", "v_odd")
 
 
 def speed_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of thirty seeds whose speed test passes at 5 %, without and with a planted regime."""
-    parts = []
+    """Share of the daily series' model paths whose speed test passes at 5 %, without and with a planted regime."""
+    df, parts = bars.daily_flow(spark, sf_dir), []
     for planted in (False, True):
-        ev = models.evaluations(models.synthetic(spark, "planted", 3000, list(range(30)), step=40, planted=planted), 400, 40, 4.0)
-        parts.append(models.speed_test(ev, "hour", SHIFTS).select(F.lit(planted).alias("planted"), "p"))
-    return parts[0].unionByName(parts[1]).groupBy("planted").agg(F.count(F.lit(1)).alias("seeds"), F.avg((F.col("p") <= 0.05).cast("double")).alias("passed"))
+        paths = models.flow_replicas(df, REPLICAS, regime=(0.002, 0.65, 2.0, 40) if planted else None)
+        paths = paths.withColumn("symbol", F.concat_ws("|", "symbol", F.col("replica").cast("string")))
+        parts.append(models.speed_test(models.evaluations(paths, 400, 20, 4.0), "weekday", SHIFTS).select(F.lit(planted).alias("planted"), "p"))
+    return parts[0].unionByName(parts[1]).groupBy("planted").agg(F.count(F.lit(1)).alias("paths"), F.avg((F.col("p") <= 0.05).cast("double")).alias("passed"))
 
 
 def speed_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The speed test under other designs: steps, windows, where the window is cut, and the season."""
-    df, out = models.synthetic(spark, "planted", 4000, [1, 2], step=40), []
-    for name, window, step, halves, season in (("base", 400, 40, 0.5, "hour"), ("long", 800, 40, 0.5, "hour"), ("sparse", 400, 80, 0.5, "hour"), ("late", 400, 40, 0.75, "hour"), ("weekday", 400, 40, 0.5, "weekday")):
+    """The speed test of the daily series under other designs: steps, windows, where the window is cut, and the season."""
+    df, out = bars.daily_flow(spark, sf_dir), []
+    for name, window, step, halves, season in (("base", 400, 20, 0.5, "weekday"), ("long", 800, 20, 0.5, "weekday"), ("sparse", 400, 40, 0.5, "weekday"), ("late", 400, 20, 0.75, "weekday"), ("hour", 400, 20, 0.5, "hour")):
         ev = models.evaluations(df, window, step, 4.0, halves=halves)
         out.append(models.speed_test(ev, season, SHIFTS).withColumn("variant", F.lit(name)))
     every = out[0]
@@ -417,8 +433,8 @@ def chain_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uneven_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speeds with the window cut at a quarter from its end."""
-    return models.evaluations(models.synthetic(spark, "planted", 3000, [3], step=40), 400, 40, 4.0, halves=0.75)
+    """Speeds of the daily series with the window cut at a quarter from its end."""
+    return models.evaluations(bars.daily_flow(spark, sf_dir), 400, 40, 4.0, halves=0.75)
 
 
 def offline_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

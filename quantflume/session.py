@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quantflume", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,6 +35,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="quantflume-")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` in the checkpoint folder: what is read more than once, or would make a long plan, is computed once."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(scratch_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a context, so that they need no installation of it."""
     import shutil

@@ -57,6 +57,14 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select(KEY, TIME, "open", F.greatest("open", "close").alias("high"), F.least("open", "close").alias("low"), "close", "volume")
 
 
+def daily_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``daily_bars`` with ``taker_buy``, the quantity of items at a discount of over 5 %."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    buy = F.when(F.col("l_discount") > 0.05, F.col("l_quantity")).otherwise(0.0)
+    bought = items.groupBy(F.col("l_returnflag").alias(KEY), floor_ms(ms(F.col("l_shipdate")), DAY).alias(TIME)).agg(F.sum(buy).alias("taker_buy"))
+    return daily_bars(spark, sf_dir).join(bought, [KEY, TIME])
+
+
 def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A funding series of ``orders`` by day: (price of F - price of O) / price / 1000."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")

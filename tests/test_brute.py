@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quantflume.functions import series
 from quantflume.kernels import boosting, gridfield, volatility
 from quantflume.operators import geometry, layers, models, stats
+from tests import simulators
 
 
 @pytest.fixture(scope="module")
@@ -97,7 +98,7 @@ def test_repeated_bars_give_a_row_each(spark):
 
 
 def test_evaluations_do_not_depend_on_their_tasks(spark):
-    df = models.synthetic(spark, "planted", 900, [3], step=20)
+    df = simulators.synthetic(spark, "planted", 900, [3], step=20)
     rows = lambda n: sorted(models.evaluations(df, 200, 20, 4.0, per_task=n).collect())
     one = rows(1)
     assert one == rows(7) == rows(1000) and len(one) > 10
@@ -150,7 +151,7 @@ def test_grid_fields_are_the_kernels_fields(spark, walk):
 
 def test_bars_of_returns_are_bars():
     r, _ = volatility.garch_paths(4000, 1, **volatility.GARCH)
-    b = volatility.bars_from_returns(r, 2)
+    b = simulators.flow_bars(4000, 1)
     assert (b["low"] > 0).all() and (b["low"] <= np.minimum(b["open"], b["close"])).all() and (b["high"] >= np.maximum(b["open"], b["close"])).all()
     assert np.allclose(np.diff(np.log(b["close"])), r[1:]) and (b["open"][1:] == b["close"][:-1]).all()
     assert np.corrcoef(np.abs(r), b["volume"])[0, 1] > 0.3

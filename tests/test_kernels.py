@@ -2,12 +2,12 @@ import numpy as np
 import pytest
 
 from quantflume.kernels import curvature as cv
-from quantflume.kernels import gridfield, volatility
+from quantflume.kernels import gridfield, volatility, windows
 from quantflume.kernels.density import Density, scott
+from tests import simulators
 
 POINTS = np.array([[0.3, -0.2, 0.1], [0.0, 0.0, 0.0], [-0.4, 0.25, 0.6]])
 
-
 def test_flat_metric_has_no_curvature():
     c = cv.curvature(lambda x: np.broadcast_to(np.diag([2.0, 3.0, 5.0]), (len(x), 3, 3)), POINTS)
     assert np.abs(c.scalar).max() < 1e-9 and c.ok.all()
@@ -93,20 +93,50 @@ def test_garch_and_flow_recover_their_parameters():
     r, _ = volatility.garch_paths(6000, 1, **volatility.GARCH)
     p = volatility.fit_garch(r)
     assert abs(p["alpha"] - 0.08) < 0.05 and abs(p["beta"] - 0.9) < 0.06 and 3 < p["nu"] < 6
-    b = volatility.simulate_flow(volatility.default_flow(), 8000, 3)
+    b = simulators.flow_bars(8000, 3)
     f = volatility.fit_flow(b["close"], b["volume"], b["taker_buy"], 800)
-    assert np.allclose(f.a, volatility.FLOW_A, atol=0.06) and np.allclose(f.b[1:], volatility.FLOW_B[1:], atol=0.06)
+    assert np.allclose(f.a, simulators.FLOW_A, atol=0.06) and np.allclose(f.b[1:], simulators.FLOW_B[1:], atol=0.06)
+    assert abs(f.s1 / 0.5 - 1) < 0.05 and abs(f.s2 / 0.4 - 1) < 0.05 and abs(f.corr - 0.2) < 0.05
 
 
 def test_t_scale_and_speed():
-    r = np.random.default_rng(6).standard_t(4, 200_000) * 0.003
-    assert abs(volatility.t_scale(r, 4.0) / 0.003 - 1) < 0.01
+    r = np.random.default_rng(6).standard_t(4, (1, 200_000)) * 0.003
+    assert abs(windows.t_scales(r, np.ones(r.shape, dtype=bool), 4.0)[0] / 0.003 - 1) < 0.01
     rng = np.random.default_rng(7)
     xa, xb = np.column_stack([np.ones(500), rng.standard_normal((500, 2))]), np.column_stack([np.ones(500), rng.standard_normal((500, 3))])
-    fit = lambda a1: volatility.fit_local(r[:500], xa, xa @ [0, a1, 0.1] + 0.5 * np.sin(np.arange(500)), xb, xb @ [0.3, 0.8, 0.3, 0.0] + 0.4 * np.cos(np.arange(500)), 4.0)
+    ends, every = np.array([0, 500]), np.ones(500, dtype=bool)
+
+    def fit(a1):
+        pairs = (xa, xa @ [0, a1, 0.1] + 0.5 * np.sin(np.arange(500))), (xb, xb @ [0.3, 0.8, 0.3, 0.0] + 0.4 * np.cos(np.arange(500)))
+        return [windows.regressions(windows.Cells(windows.products(x, y, every), ends).over(ends[:1], ends[1:]), x.shape[1]) for x, y in pairs], windows.t_scales(r[:, :500], every[None], 4.0)
+
+    speed = lambda p, q: windows.speeds(p[0], q[0], p[1], q[1], 4.0)
     base = fit(0.3)
-    assert volatility.speed(base, base, 4.0)["v_total"] == 0
-    assert volatility.speed(base, fit(0.4), 4.0)["v_flow"] < volatility.speed(base, fit(0.8), 4.0)["v_flow"]
+    assert speed(base, base)["v_total"][0] == 0
+    assert speed(base, fit(0.4))["v_flow"][0] < speed(base, fit(0.8))["v_flow"][0]
+
+
+def test_windows_equal_plain_regressions():
+    """Coefficients, deviations, information and scales of overlapping windows against least squares and a grid of likelihoods."""
+    rng = np.random.default_rng(8)
+    n = 600
+    x = np.column_stack([np.ones(n), rng.standard_normal((n, 2)), rng.random(n)])
+    y, use = x @ [1.0, -0.5, 2.0, 0.3] + 0.2 * rng.standard_normal(n), rng.random(n) > 0.2
+    low, high = np.arange(0, 300, 30), np.arange(0, 300, 30) + 240
+    cells = windows.Cells(windows.products(x, y, use), np.unique(np.concatenate([low, high, np.arange(0, 541, 30)])))
+    got = windows.regressions(cells.over(low, high), 4)
+    r = 0.01 * rng.standard_t(4, n)
+    scales = windows.t_scales(np.stack([r[a:b] for a, b in zip(low, high, strict=True)]), np.stack([use[a:b] for a, b in zip(low, high, strict=True)]), 4.0)
+    for k, (a, b) in enumerate(zip(low, high, strict=True)):
+        i = np.arange(a, b)[use[a:b]]
+        beta = np.linalg.lstsq(x[i], y[i], rcond=None)[0]
+        off = y[i] - x[i] @ beta
+        assert np.allclose(got["beta"][k], beta, rtol=1e-9) and got["n"][k] == len(i)
+        assert np.isclose(got["s"][k], np.sqrt(off @ off / (len(i) - 4)), rtol=1e-9) and np.allclose(got["xx"][k], x[i].T @ x[i])
+        cost = lambda s, i=i: (np.log(s) + 2.5 * np.log1p((r[i] / s) ** 2 / 4)).sum()
+        assert cost(scales[k]) <= min(cost(scales[k] * f) for f in (0.99, 0.999, 1.001, 1.01))
+    one = windows.regressions(cells.over(low[3:4], high[3:4]), 4)
+    assert all((one[k][0] == got[k][3]).all() for k in one)  # to the bit, whatever is computed beside it
 
 
 def test_surrogates_keep_what_they_promise():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantflume.functions import series
 from quantflume.operators import asof, backtest, geometry, grid, layers, models
+from tests import simulators
 
 
 def frame(spark, values, symbol="s", step=3_600_000):
@@ -20,7 +21,7 @@ def column(df, name):
 def test_causal_features_do_not_change_when_bars_come_in(spark):
     rng = np.random.default_rng(0)
     x = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 900)))
-    whole = models.synthetic(spark, "flow", 900, [5]).select("symbol", "bar_ms", "open", "high", "low", "close", "volume", "taker_buy")
+    whole = simulators.synthetic(spark, "flow", 900, [5]).select("symbol", "bar_ms", "open", "high", "low", "close", "volume", "taker_buy")
 
     def features(df):
         df = layers.motion(df)
