@@ -8,16 +8,14 @@ Missing values are null, and every rolling feature is null until it has seen
 
 from __future__ import annotations
 
-from math import ceil, log
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantflume.functions import scans
 from quantflume.functions.scalar import clip, finite, normal_quantile, ratio
-
-KEY, TIME = "symbol", "bar_ms"
+from quantflume.functions.scans import KEY, TIME
 
 
 def by_time(key: str = KEY, time: str = TIME):
@@ -95,57 +93,42 @@ def relative_activity(df: DataFrame, volume: str, out: str, size: int = 1500, le
 def decayed_sums(df: DataFrame, alpha: float, **inputs: Column) -> DataFrame:
     """``df`` with, for each input x, the sum over all bars so far of (1 - alpha) ** age * x (nulls weigh nothing).
 
-    Two levels instead of a recursion over the series: bars are cut into blocks
-    so long that three of them forget all but 1e-18, sums inside a block come
-    from one running window, and the blocks before it add theirs by a lag.
+    A prefix scan (``scans.decayed``), no recursion over the series. Rows of
+    one time are taken one after another, in no set order.
     """
-    keep = 1.0 - alpha
-    size = max(8, ceil(6 * log(10) / -log(keep)))
-    n = F.row_number().over(by_time()) - 1
-    out = df.withColumn("_block", F.floor(n / size).cast("long")).withColumn("_at", (n % size).cast("double"))
-    inside = Window.partitionBy(KEY, "_block").orderBy(TIME)
-    for name, x in inputs.items():
-        grown = F.coalesce(x, F.lit(0.0)) * F.pow(F.lit(keep), -F.col("_at"))
-        out = out.withColumn(name, F.sum(grown).over(inside) * F.pow(F.lit(keep), F.col("_at")))
-    # a block's first row sees the ends of the blocks before it at fixed distances
-    q, whole = keep**size, by_time()
-    for name in inputs:
-        before = sum((q**k * F.coalesce(F.lag(name, k * size + 1).over(whole), F.lit(0.0)) for k in range(4)), F.lit(0.0))
-        out = out.withColumn(f"_{name}", F.when(F.col("_at") == 0, before))
-    for name in inputs:
-        carried = F.first(f"_{name}").over(inside)
-        out = out.withColumn(name, F.col(name) + F.pow(F.lit(keep), F.col("_at") + 1) * carried)
-    return out.drop("_block", "_at", *[f"_{name}" for name in inputs])
+    df = scans.cut(df.select("*", *[x.cast("double").alias(name) for name, x in inputs.items()]))
+    return scans.decayed(df, 1.0 - alpha, list(inputs)).drop(scans.BLOCK)
 
 
 def ema(df: DataFrame, x, out: str, alpha: float = 0.05) -> DataFrame:
     """``df`` with the exponential average m = (1 - alpha) m + alpha x that starts at the first value that isn't null.
 
     Null before that; nulls after it count as 0 age nothing: the average decays
-    with them left out of both sums.
+    with them left out of both sums. Rows of one time are taken in no set order.
     """
-    x = _col(x)
-    seen = F.count(x).over(by_time())
+    df = scans.cut(df.withColumn("qf_x", _col(x)))
+    df = scans.first_values(df, "qf_x")
     # the first value has the whole weight, later ones alpha of it
-    weight = F.when(x.isNotNull(), F.when(seen == 1, 1.0).otherwise(alpha))
-    df = df.withColumn("_x", x).withColumn("_w", weight)
-    df = decayed_sums(df, alpha, _sx=F.col("_w") * F.col("_x"), _sw=F.col("_w"))
-    return df.withColumn(out, ratio(F.col("_sx"), F.when(F.col("_sw") > 0, F.col("_sw")))).drop("_x", "_w", "_sx", "_sw")
+    weight = F.when(F.col("qf_x").isNotNull(), F.when(F.col(TIME) == F.col("qf_since"), 1.0).otherwise(alpha))
+    df = df.withColumn("qf_sw", weight).withColumn("qf_sx", F.col("qf_sw") * F.col("qf_x"))
+    df = scans.decayed(df, 1.0 - alpha, ["qf_sx", "qf_sw"])
+    value = ratio(F.col("qf_sx"), F.when(F.col("qf_sw") > 0, F.col("qf_sw")))
+    return df.drop("qf_x", "qf_first", "qf_since", scans.BLOCK).withColumn(out, value).drop("qf_sx", "qf_sw")
 
 
 def ewm_std(df: DataFrame, x, out: str, span: int, least: int | None = None) -> DataFrame:
     """``df`` with the bias-corrected exponentially weighted standard deviation (weights (1 - alpha) ** age, alpha = 2 / (span + 1))."""
-    alpha, x = 2.0 / (span + 1.0), _col(x)
-    df = df.withColumn("_x", x).withColumn("_n", F.count(x).over(by_time()))
-    one = F.when(F.col("_x").isNotNull(), 1.0)
+    keep = 1.0 - 2.0 / (span + 1.0)
     # centred on the series' mean so far would look ahead; the first value serves as well against cancellation
-    df = df.withColumn("_c", F.col("_x") - F.first("_x", ignorenulls=True).over(by_time()))
-    df = decayed_sums(df, alpha, _s0=one, _s1=F.col("_c"), _s2=F.col("_c") * F.col("_c"))
-    df = decayed_sums(df, 1.0 - (1.0 - alpha) ** 2, _sq=F.when(F.col("_x").isNotNull(), 1.0))
-    mean = ratio(F.col("_s1"), F.col("_s0"))
-    variance = (ratio(F.col("_s2"), F.col("_s0")) - mean * mean) * ratio(F.col("_s0") * F.col("_s0"), F.col("_s0") * F.col("_s0") - F.col("_sq"))
-    value = F.when((F.col("_n") >= (span if least is None else least)) & (F.col("_n") > 1), F.sqrt(F.greatest(variance, F.lit(0.0))))
-    return df.withColumn(out, value).drop("_x", "_n", "_c", "_s0", "_s1", "_s2", "_sq")
+    df = scans.first_values(scans.cut(df.withColumn("qf_x", _col(x))), "qf_x")
+    one, c = F.when(F.col("qf_x").isNotNull(), 1.0), F.col("qf_x") - F.col("qf_first")
+    df = df.select("*", one.alias("qf_s0"), c.alias("qf_s1"), (c * c).alias("qf_s2"), one.alias("qf_sq"), one.alias("qf_n")).drop("qf_x", "qf_first", "qf_since")
+    df = scans.decayed(df, keep, ["qf_s0", "qf_s1", "qf_s2"], ["qf_n"])
+    df = scans.decayed(df, keep * keep, ["qf_sq"])
+    s0, mean = F.col("qf_s0"), ratio(F.col("qf_s1"), F.col("qf_s0"))
+    variance = (ratio(F.col("qf_s2"), s0) - mean * mean) * ratio(s0 * s0, s0 * s0 - F.col("qf_sq"))
+    value = F.when((F.col("qf_n") >= (span if least is None else least)) & (F.col("qf_n") > 1), F.sqrt(F.greatest(variance, F.lit(0.0))))
+    return df.withColumn(out, value).drop("qf_s0", "qf_s1", "qf_s2", "qf_sq", "qf_n", scans.BLOCK)
 
 
 def _past(values: np.ndarray, size: int) -> np.ndarray:
@@ -189,8 +172,7 @@ def by_halo(df: DataFrame, columns: list[str], reach: int, kernel, outputs: list
     Rows that repeat a bar are ordered by ``columns`` and keep a row each; nulls
     reach the kernel as NaN and its NaN come back as null; an empty table stays empty.
     """
-    n = F.row_number().over(Window.partitionBy(KEY).orderBy(TIME, *columns)) - 1
-    numbered = df.withColumn("_n", n.cast("long"))
+    numbered = scans.numbered(df, "_n", *columns)
     ahead = F.floor((F.col("_n") + reach) / block)
     spread = numbered.select(KEY, "_n", *[F.col(c).cast("double").alias(c) for c in columns]).withColumn("_block", F.explode(F.sequence(F.floor(F.col("_n") / block), ahead)))
 

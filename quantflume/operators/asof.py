@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantflume.functions import scans
 from quantflume.functions.series import KEY, TIME, by_time
 
 
@@ -17,9 +18,10 @@ def default_tolerance(left: DataFrame) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, columns: list[str], tolerance_ms: int | str | None = None, prefer: str = "left") -> DataFrame:
     """``left`` with ``columns`` of the bar of ``right`` that is nearest in time; ties go to the earlier one.
 
-    Both sides are united and ordered once per symbol; each row of the left
+    Both sides are united and ordered in blocks of time; each row of the left
     sees the last bar of the right before it and the first after it through
-    running windows, so nothing is compared pair by pair. ``tolerance_ms``:
+    running windows over its block and the ends of the blocks beside it (``scans``)
+    so nothing is compared pair by pair. ``tolerance_ms``:
     farther bars don't count (None: any; "auto": ``default_tolerance``).
     ``prefer``: which side's value stays where both have a column ("right": the
     right's unless it is null). Left rows never multiply; the right's bars of
@@ -28,11 +30,15 @@ def nearest(left: DataFrame, right: DataFrame, columns: list[str], tolerance_ms:
     payload = F.struct(TIME, *columns)
     a = left.select(KEY, TIME, F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_r"), F.lit(1).alias("_side"))
     b = right.select(KEY, TIME, F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), payload.alias("_r"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(KEY).orderBy(TIME, "_side")
-    both = a.unionByName(b)
-    before = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    both = scans.cut(a.unionByName(b))
+    w = scans.inside("_side")
+    right_at = F.when(F.col("_r").isNotNull(), F.col(TIME))
+    ends = both.groupBy(KEY, scans.BLOCK).agg(F.min_by("_r", right_at).alias("_first"), F.max_by("_r", right_at).alias("_last"))
+    ends = ends.select(KEY, scans.BLOCK, F.last("_last", ignorenulls=True).over(scans.earlier()).alias("_earlier"), F.first("_first", ignorenulls=True).over(scans.later()).alias("_later"))
+    before = F.last("_r", ignorenulls=True).over(scans.up_to_now(w))
     after = F.first("_r", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    both = both.select(KEY, TIME, "_l", before.alias("_p"), after.alias("_f")).where(F.col("_l").isNotNull())
+    both = scans.carry(both.select(KEY, TIME, scans.BLOCK, "_l", before.alias("_p"), after.alias("_f")).where(F.col("_l").isNotNull()), ends)
+    both = both.withColumn("_p", F.coalesce("_p", "_earlier")).withColumn("_f", F.coalesce("_f", "_later"))
     gap_p, gap_f = F.col(TIME) - F.col(f"_p.{TIME}"), F.col(f"_f.{TIME}") - F.col(TIME)
     pick = F.when(gap_f.isNull() | (gap_p <= gap_f), F.col("_p")).otherwise(F.col("_f"))
     both = both.withColumn("_n", F.coalesce(pick, F.col("_f"), F.col("_p")))

@@ -1,9 +1,9 @@
 """Trading sleeves, portfolio rules and gates.
 
 State machines are window expressions: a position with hysteresis is the last
-decisive signal, a drawdown breaker is a property of the segments between new
-highs. Only the choice of trades that don't overlap is sequential; it runs over
-the few candidates of each symbol, and holds one candidate at a time.
+decisive signal, a drawdown breaker what was last said of new highs and limits,
+and the choice of trades that don't overlap a chain of successors, whose links
+double their length in each round.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantflume.functions import series
+from quantflume.functions import scans, series
 from quantflume.functions.scalar import ratio
 from quantflume.functions.series import KEY, TIME, by_time, rows
+from quantflume.session import written
 
 
 @dataclass(frozen=True)
@@ -121,21 +122,32 @@ def trades(bars: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     cols = ["signal_ms", "entry_ms", "exit_ms", "dir", "reason", "gross", "net"]
     found = found.select(KEY, F.col(TIME).alias("signal_ms"), "entry_ms", "exit_ms", "dir", "reason", "gross", (F.col("gross") - cfg.costs.round_trip).alias("net"), (F.col("_i") + 1).cast("long").alias("_in"), (F.col("_i") + 1 + F.col("_after")).cast("long").alias("_out"))
 
-    kinds = dict(found.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [KEY, *cols])
-    ordered = found.repartition(KEY).sortWithinPartitions(KEY, "_in")
+    return taken(found).select(KEY, *cols)
 
-    def run(pdfs):
-        busy: dict = {}
-        for pdf in pdfs:
-            take = []
-            for s, enter, leave in zip(pdf[KEY], pdf["_in"], pdf["_out"], strict=True):
-                take.append(enter > busy.get(s, -1))
-                if take[-1]:
-                    busy = {s: leave}
-            yield pdf.loc[take, [KEY, *cols]]
 
-    return ordered.mapInPandas(run, schema)
+def taken(found: DataFrame) -> DataFrame:
+    """The candidates (``_in``, ``_out``: bars of entry and exit) that one trade at a time takes, without a pass over a symbol.
+
+    A candidate's successor is the first whose entry lies after its exit. From
+    a symbol's first candidate on, the chain of successors is what is taken:
+    each round joins the taken ones to successors at twice the distance, so
+    there are log2 of the longest chain of them. Candidates of a symbol enter
+    at different bars.
+    """
+    at = written(found)
+    # exits among entries in order; an exit sees the first entry behind it
+    events = at.select(KEY, F.col("_in").alias("_at"), F.lit(1).alias("_kind"), F.col("_in").alias("_entry"), F.lit(None).cast("long").alias("_from"))
+    events = events.unionByName(at.select(KEY, F.col("_out").alias("_at"), F.lit(2).alias("_kind"), F.lit(None).cast("long").alias("_entry"), F.col("_in").alias("_from")))
+    behind = Window.partitionBy(KEY).orderBy("_at", "_kind").rowsBetween(1, Window.unboundedFollowing)
+    jump = events.withColumn("_next", F.first("_entry", ignorenulls=True).over(behind)).where("_kind = 2 and _next is not null").select(KEY, "_from", "_next")
+    on = written(at.groupBy(KEY).agg(F.min("_in").alias("_in")))
+    jump = written(jump)
+    while not jump.isEmpty():
+        more = on.join(jump, (on[KEY] == jump[KEY]) & (on["_in"] == jump["_from"])).select(on[KEY], F.col("_next").alias("_in"))
+        on = written(on.unionByName(more).distinct())
+        far = jump.select(F.col(KEY).alias("_key"), F.col("_from").alias("_mid"), F.col("_next").alias("_far"))
+        jump = written(jump.join(far, (F.col(KEY) == F.col("_key")) & (F.col("_next") == F.col("_mid"))).select(KEY, "_from", F.col("_far").alias("_next")))
+    return at.join(on, [KEY, "_in"], "left_semi")
 
 
 def trade_returns(bars: DataFrame, done: DataFrame) -> DataFrame:
@@ -191,32 +203,28 @@ def combine(sleeves: dict[str, DataFrame], weights: dict[str, float], ret: str =
 
 
 def equity(df: DataFrame, ret: str = "ret") -> DataFrame:
-    """``df`` with ``equity`` (compounded) and ``drawdown`` (from the highest equity so far)."""
-    past = by_time().rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("equity", F.product(1 + F.coalesce(F.col(ret), F.lit(0.0))).over(past))
-    return df.withColumn("drawdown", 1 - F.col("equity") / F.max("equity").over(past))
+    """``df`` with ``equity`` (compounded) and ``drawdown`` (from the highest equity so far), by a prefix scan."""
+    df = scans.compounded(df, ret)
+    df = df.withColumn("equity", F.col("qf_raw")).withColumn("drawdown", 1 - F.col("qf_raw") / F.col("qf_peak"))
+    return df.drop("qf_raw", "qf_peak", scans.BLOCK)
 
 
 def circuit_breaker(df: DataFrame, limit: float = 0.10, ret: str = "ret") -> DataFrame:
     """Returns with trading off after a drawdown of ``limit`` until the raw equity is at a new high.
 
-    A segment runs from one new high of the raw equity to the next. Inside it
-    the traded equity falls as the raw one does, so trading is off at a bar if
-    an earlier bar of its segment reached the limit; the bar of the new high
-    that ends an off time itself earns nothing.
+    From one new high of the raw equity to the next the traded equity falls as
+    the raw one does, so trading is off at a bar if the last bar before it that
+    said anything reached the limit and wasn't a new high; the bar of the new
+    high that ends an off time itself earns nothing. Two prefix scans, of the
+    equity with its peak and of what was last said.
     """
-    w = by_time()
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_r", F.coalesce(F.col(ret), F.lit(0.0))).withColumn("_raw", F.product(1 + F.col("_r")).over(past))
-    df = df.withColumn("_high", F.greatest(F.lit(1.0), F.max("_raw").over(past)))
-    df = df.withColumn("_new", (F.col("_raw") >= F.col("_high")).cast("int")).withColumn("_seg", F.sum("_new").over(past))
-    df = df.withColumn("_hit", (1 - F.col("_raw") / F.col("_high") >= limit).cast("int"))
-    inside = Window.partitionBy(KEY, "_seg").orderBy(TIME).rowsBetween(Window.unboundedPreceding, -1)
-    tripped = F.max("_hit").over(Window.partitionBy(KEY, "_seg").orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("_off", F.coalesce(F.max("_hit").over(inside), F.lit(0))).withColumn("_tripped", tripped)
-    restart = (F.col("_new") == 1) & (F.coalesce(F.lag("_tripped").over(w), F.lit(0)) == 1)
-    off = (F.col("_off") == 1) | restart
-    return df.withColumn("active", ~off).withColumn("ret_cb", F.when(off, 0.0).otherwise(F.col("_r"))).drop("_r", "_raw", "_high", "_new", "_seg", "_hit", "_off", "_tripped")
+    df = scans.compounded(df, ret)
+    high = F.greatest(F.lit(1.0), F.col("qf_peak"))
+    said = F.when(1 - F.col("qf_raw") / high >= limit, 1).when(F.col("qf_raw") >= high, 0)
+    df = scans.last_before(df, said, "qf_off")
+    off = F.coalesce(F.col("qf_off"), F.lit(0)) == 1
+    df = df.withColumn("active", ~off).withColumn("ret_cb", F.when(off, 0.0).otherwise(F.coalesce(F.col(ret), F.lit(0.0))))
+    return df.drop("qf_raw", "qf_peak", "qf_off", scans.BLOCK)
 
 
 def metrics(df: DataFrame, bars_per_year: float, by: list[str] | None = None, ret: str = "ret") -> DataFrame:

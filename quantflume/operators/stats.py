@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantflume.functions import scans
 from quantflume.functions.scalar import finite
 from quantflume.functions.series import KEY, TIME, by_time
 from quantflume.kernels import boosting
@@ -14,9 +15,8 @@ from quantflume.kernels import boosting
 
 def run_lengths(df: DataFrame, state: str) -> DataFrame:
     """Per symbol: how often ``state`` changes from bar to bar, and the mean length of its runs."""
-    change = F.coalesce((F.col(state) != F.lag(state).over(by_time())).cast("long"), F.lit(0))
-    at = df.withColumn("_c", change)
-    return at.groupBy(KEY).agg(F.sum("_c").alias("changes"), (F.count(F.lit(1)) / (F.sum("_c") + 1)).alias("mean_run"))
+    at = scans.changes(df, state)
+    return at.select(KEY, "changes", (F.col("rows") / (F.col("changes") + 1)).alias("mean_run"))
 
 
 def average_rank(column: str, *by: str) -> Column:
