@@ -161,18 +161,19 @@ def changed_share(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
 def periodogram(df: DataFrame, x: str, count: int) -> DataFrame:
     """Per symbol the power |sum x exp(-2 pi i k n / N)|^2 / N at the first ``count`` frequencies k, nulls left out.
 
-    A symbol is one task of one column, as every frequency needs all of it; rows
-    that repeat a bar are ordered by value; frequencies above N / 2 give no row.
+    Sums of products with the waves, pre-aggregated in every task: a few
+    frequencies need no transform. Rows that repeat a bar are ordered by value;
+    frequencies above N / 2 give no row.
     """
-    kind = dict(df.dtypes)[KEY]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x_ = pdf.sort_values([TIME, "_x"])["_x"].to_numpy()
-        power = np.abs(np.fft.rfft(x_)[:count]) ** 2 / len(x_)
-        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "k": np.arange(len(power)), "power": power})
-
-    rows = df.where(F.col(x).isNotNull()).select(KEY, TIME, F.col(x).cast("double").alias("_x"))
-    return rows.groupBy(KEY).applyInPandas(run, f"{KEY} {kind}, k long, power double")
+    rows = df.where(F.col(x).isNotNull()).select(KEY, TIME, F.col(x).cast("double").alias("qf_x"))
+    rows = scans.numbered(rows, "qf_n", "qf_x")
+    sizes = rows.groupBy(F.col(KEY).alias("qf_key")).agg(F.count(F.lit(1)).alias("qf_size"))
+    rows = rows.join(sizes, F.col(KEY).eqNullSafe(F.col("qf_key")))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(count - 1).cast("long"), F.floor(F.col("qf_size") / 2)))))
+    # whole turns are left out before the angle is made
+    angle = 2 * np.pi * ((F.col("k") * F.col("qf_n")) % F.col("qf_size")) / F.col("qf_size")
+    waves = rows.groupBy(KEY, "k").agg(F.sum(F.col("qf_x") * F.cos(angle)).alias("re"), F.sum(F.col("qf_x") * F.sin(angle)).alias("im"), F.max("qf_size").alias("n"))
+    return waves.select(KEY, "k", ((F.col("re") ** 2 + F.col("im") ** 2) / F.col("n")).alias("power"))
 
 
 def pivoted(df: DataFrame, row: str, column: str, values: list, value: str) -> DataFrame:

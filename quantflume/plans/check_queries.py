@@ -56,11 +56,17 @@ def funding_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily closes written as a CSV layer under a tag and read back through the cache."""
+    """Daily closes written as a CSV layer under a tag and kept; a second call reads what was kept, and makes nothing."""
     base = _folder(spark, "layers")
     made = klines.write_layer(bars.daily_bars(spark, sf_dir).select(*KEYS, "close", "volume"), base, "daily", "run", "csv")
     read = lambda: spark.read.option("header", True).schema("symbol string, bar_ms long, close double, volume double").csv(made)
-    return klines.cached(spark, f"{base}/kept-{abs(hash(sf_dir))}", read).select(*KEYS, rd("close", "close"), rd("volume", "volume"))
+    layer = read()
+    klines.cached(spark, f"{base}/kept", read, layer)
+
+    def again() -> DataFrame:
+        raise RuntimeError("what was kept should have been read")
+
+    return klines.cached(spark, f"{base}/kept", again, layer).select(*KEYS, rd("close", "close"), rd("volume", "volume"))
 
 
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ def realized_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robust_z_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robust.robust_z(b15(spark, sf_dir), {"z": "close"}).select(*KEYS, rd("z", "z"))
+    return robust.robust_z(b15(spark, sf_dir), {"z": "close"}, long=True).select(*KEYS, rd("z", "z"))
 
 
 def robust_z_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +96,11 @@ def rank_gauss_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minmax_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robust.minmax(b15(spark, sf_dir), {"m": "close"}).select(*KEYS, rd("m", "scaled"))
+    return robust.minmax(b15(spark, sf_dir), {"m": "close"}, long=True).select(*KEYS, rd("m", "scaled"))
 
 
 def winsorize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robust.winsorized(b15(spark, sf_dir), {"w": "volume"}, 0.05, 0.95).select(*KEYS, rd("w", "volume_w"))
+    return robust.winsorized(b15(spark, sf_dir), {"w": "volume"}, 0.05, 0.95, long=True).select(*KEYS, rd("w", "volume_w"))
 
 
 def summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
