@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from quantflume.llm.common import Groups, components, cut_lineage
 
 #: Vectors that a cluster is planned for; clusters that are home to over twice as many are split.
-SHARD = 2048
+SHARD = 1024
 #: A split must leave less than this share of a cluster's comparisons; rows of a cluster that a task assigns at once.
 LEAST_GAIN, ASSIGN_ROWS = 0.75, 8192
 #: Clusters that one is split into at most, and how often; what is still over four shards then is cut by hash.
@@ -28,6 +28,8 @@ FIT_ROWS = 4096
 DEGREE, NEAR, FAR, ALPHA = 24, 48, 16, 1.2
 #: Search: beam, and how far below the asked similarity the range is still expanded.
 BEAM, SLACK = 40, 0.06
+#: The widest beam tried; where that finds too little, comparing all costs less.
+WIDEST = 80
 #: Queries of a shard that are audited against all its vectors, and the least recall.
 AUDIT, LEAST_RECALL = 32, 0.98
 
@@ -205,7 +207,7 @@ def shard_links(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, lea
     truth = [set(np.flatnonzero(x @ queries[i] >= least).tolist()) for i in audit]
     beam = BEAM
     while True:
-        if beam >= len(x):
+        if beam > min(WIDEST, len(x) - 1):
             return [np.flatnonzero(x @ v >= least) for v in queries]
         got = [g for a in range(0, len(audit), block) for g in range_search(small, table, wide[audit[a : a + block]], least, beam)]
         hits = sum(len(t & set(g.tolist())) for t, g in zip(truth, got, strict=True))
