@@ -189,15 +189,23 @@ def sphere_curvature(df: DataFrame, columns: list[str], id_col: str, radius: flo
     return out.select(id_col, *[finite(c).alias(c) for c in ("R", "g_11", "gamma_1_11", "einstein_11")])
 
 
-def flat_stress(df: DataFrame, grad_phi: list[str], grad_lam: list[str], lam: str, id_col: str) -> DataFrame:
-    """The information stress tensor (upper triangle) and its norm under the flat metric, from columns; all JVM-side. Nulls give nulls."""
-    square = lambda cols: sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
-    trace = cv.W_PHI * square(grad_phi) + cv.W_LAM_GRAD * square(grad_lam)
-    own = cv.W_LAM * F.col(lam) - 0.5 * trace
-    d = len(grad_phi)
-    at = lambda a, b: cv.W_PHI * F.col(grad_phi[a]) * F.col(grad_phi[b]) + cv.W_LAM_GRAD * F.col(grad_lam[a]) * F.col(grad_lam[b]) + (own if a == b else 0.0)
-    norm = sum((at(a, b) * at(a, b) for a in range(d) for b in range(d)), F.lit(0.0))
-    return df.select(id_col, *[at(a, b).alias(f"t_{a + 1}{b + 1}") for a in range(d) for b in range(a, d)], F.sqrt(norm).alias("norm"))
+def stress_at(df: DataFrame, grad_phi: list[str], grad_lam: list[str], lam: str, id_col: str) -> DataFrame:
+    """The information stress tensor (upper triangle) and its norm under the flat metric, by the kernel that scans use. A row without a value gives nulls."""
+    d, kind = len(grad_phi), dict(df.dtypes)[id_col]
+    names = [f"t_{a + 1}{b + 1}" for a in range(d) for b in range(a, d)]
+    i, j = np.triu_indices(d)
+
+    def run(pdfs):
+        for pdf in pdfs:
+            x = pdf[[*grad_phi, *grad_lam, lam]].to_numpy(dtype=float)
+            ok = np.isfinite(x).all(axis=1)
+            flat = np.broadcast_to(np.eye(d), (len(x), d, d))
+            t = cv.stress(x[:, :d], x[:, -1], x[:, d : 2 * d], flat, flat)
+            values = dict(zip(names, t[:, i, j].T, strict=True)) | {"norm": cv.tensor_norm(t, flat)}
+            yield pd.DataFrame({id_col: pdf[id_col]} | {k: np.where(ok, v, np.nan) for k, v in values.items()})
+
+    out = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in [*grad_phi, *grad_lam, lam]]).mapInPandas(run, f"{id_col} {kind}, " + ", ".join(f"{n} double" for n in [*names, "norm"]))
+    return out.select(id_col, *[finite(n).alias(n) for n in [*names, "norm"]])
 
 
 def summary(scan: DataFrame) -> DataFrame:

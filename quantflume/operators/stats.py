@@ -233,8 +233,19 @@ def fold_r2(df: DataFrame, features: list[str], targets: str | list[str], folds:
 
 
 def sample_by_hash(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` bars of every symbol, the same for a seed whatever the partitioning."""
-    at = F.row_number().over(Window.partitionBy(KEY).orderBy(F.xxhash64(F.lit(seed), TIME), TIME))
-    return df.withColumn("_n", at).where(F.col("_n") <= n).drop("_n")
+    """``n`` bars of every symbol, the same for a seed whatever the partitioning.
+
+    They are those of the least MD5 of seed and time, so that any engine draws
+    the same; of bars that repeat a time any may stay. A symbol with fewer bars
+    gives all.
+    """
+    (place,) = _fresh(df, "_n")
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(TIME).cast("string")))
+    at = F.row_number().over(Window.partitionBy(KEY).orderBy(order, TIME))
+    return df.withColumn(place, at).where(F.col(place) <= n).drop(place)
 
 
+def _fresh(df: DataFrame, *names: str) -> list[str]:
+    """Working column names that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [name if name not in taken else "_" * (max(map(len, taken)) + 1) + name for name in names]

@@ -105,18 +105,18 @@ _SPHERES = [(2, 1.0), (2, 2.0), (3, 1.0), (3, 0.5)]
 
 
 def sphere_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curvature of four spheres at every vector: scalar d (d - 1) / r^2, Einstein tensor (2 - d) (d - 1) / (2 r^2) times the metric, and a Christoffel symbol's distance from -2 x / (r^2 + |x|^2)."""
+    """Curvature of four spheres at every vector: scalar d (d - 1) / r^2, Einstein tensor (2 - d) (d - 1) / (2 r^2) times the metric, and a Christoffel symbol's distance from -2 x / (r^2 + |x|^2); the scalar's relative error is 0 in 4 digits."""
     parts, points = [], _vectors(spark, sf_dir)
     for dim, radius in _SPHERES:
         got = geometry.sphere_curvature(points, _X3[:dim], "vec_id", radius).join(points, "vec_id")
         far = radius**2 + sum((F.col(c) ** 2 for c in _X3[:dim]), F.lit(0.0))
-        parts.append(got.select("vec_id", F.lit(dim).alias("dim"), F.lit(radius).alias("radius"), rd("R", "R", 1), rd(F.col("einstein_11") / F.col("g_11"), "einstein_share", 1), rd(F.col("gamma_1_11") + 2 * F.col("x1") / far, "gamma_error", 3), rd("g_11", "g_11")))
+        parts.append(got.select("vec_id", F.lit(dim).alias("dim"), F.lit(radius).alias("radius"), rd("R", "R", 3), rd(F.col("R") * radius**2 / (dim * (dim - 1)) - 1, "R_error", 4), rd(F.col("einstein_11") / F.col("g_11"), "einstein_share", 3), rd(F.col("gamma_1_11") + 2 * F.col("x1") / far, "gamma_error", 4), rd("g_11", "g_11")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def stress_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stress tensor under the flat metric with vectors' components as gradients."""
-    out = geometry.flat_stress(_vectors(spark, sf_dir), _X3, ["x4", "x5", "x6"], "x7", "vec_id")
+    """The scan's stress tensor under the flat metric with vectors' components as gradients."""
+    out = geometry.stress_at(_vectors(spark, sf_dir), _X3, ["x4", "x5", "x6"], "x7", "vec_id")
     return out.select("vec_id", *[rd(f"t_{a + 1}{b + 1}", f"t_{a + 1}{b + 1}") for a, b in _PAIRS], rd("norm", "norm"))
 
 
@@ -179,7 +179,7 @@ ORACLES = {
     + " FROM d JOIN f USING (label, vec_id)",
     "sphere_curvature": f"WITH {_VEC}, s AS (SELECT v.*, dim, radius, radius * radius + x1 * x1 + x2 * x2 + CASE dim WHEN 3 THEN x3 * x3 ELSE 0 END AS q FROM v, (VALUES "
     + ", ".join(f"({d}, {x}::DOUBLE)" for d, x in _SPHERES)
-    + f") t(dim, radius)) SELECT vec_id, dim, radius, {r('dim * (dim - 1) / (radius * radius)', 1)} AS R, {r('(2 - dim) * (dim - 1) / (2 * radius * radius)', 1)} AS einstein_share, 0.0::DOUBLE AS gamma_error, {r('4 * pow(radius, 4) / (q * q)')} AS g_11 FROM s",
+    + f") t(dim, radius)) SELECT vec_id, dim, radius, {r('dim * (dim - 1) / (radius * radius)', 3)} AS R, 0.0::DOUBLE AS R_error, {r('(2 - dim) * (dim - 1) / (2 * radius * radius)', 3)} AS einstein_share, 0.0::DOUBLE AS gamma_error, {r('4 * pow(radius, 4) / (q * q)')} AS g_11 FROM s",
     "stress_tensor": f"WITH {_VEC}, t AS (SELECT *, x1 * x1 + x2 * x2 + x3 * x3 + 0.75 * (x4 * x4 + x5 * x5 + x6 * x6) AS tr FROM v), u AS (SELECT vec_id, "
     + ", ".join(f"x{i} * x{j} + 0.75 * x{i + 3} * x{j + 3}" + (" + 0.25 * x7 - 0.5 * tr" if i == j else "") + f" AS t_{i}{j}" for i, j in _UPPER)
     + " FROM t) SELECT vec_id, "

@@ -231,6 +231,7 @@ _LONG = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::DOUBLE AS x FROM b
 _PAIRS = [(a, b) for k, a in enumerate([*COLUMNS, "close2", "zero", "zero2"]) for b in [*COLUMNS, "close2", "zero", "zero2"][k + 1 :]]
 
 ORACLES = {
+    "hash_sample": f"WITH {DAILY} SELECT symbol, bar_ms FROM daily QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY md5('7:' || bar_ms), bar_ms) <= 50",
     "asof_nearest": f"WITH {_NEAR} SELECT symbol, bar_ms, {r('open')} AS open, {r('CASE WHEN abs(o_ms - bar_ms) <= 3600000 THEN oc ELSE close END')} AS close, CASE WHEN abs(o_ms - bar_ms) <= 3600000 THEN {r('ov')} END AS geo_volume, CASE WHEN abs(o_ms - bar_ms) <= 3600000 THEN o_ms END AS matched_ms FROM j WHERE n = 1",
     "asof_inject": f"WITH {_NEAR} SELECT symbol, bar_ms, {r('close')} AS close, {r('ov')} AS geo_volume FROM j WHERE n = 1",
     "asof_tail_align": f"WITH {B1H}, {_OTHER}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ms DESC) AS k FROM b), c AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ms DESC) AS k FROM o) SELECT a.symbol, a.bar_ms, {r('a.close')} AS close, {r('c.volume')} AS geo_volume FROM a LEFT JOIN c ON c.symbol = a.symbol AND c.k = least(a.k, (SELECT max(k) FROM c))",
