@@ -447,11 +447,6 @@ def live_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.live_call(daily(spark, sf_dir)).select(*KEYS, "terrain_state", "edge_signal", "edge_bucket", *chains.GEOMETRIC, "is_high_critical")
 
 
-def portfolio_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars.event_bars(spark, sf_dir, 15 * bars.MINUTE).where("close > 0")
-    return chains.three_sleeves(b, bars.funding(spark, sf_dir))["metrics"]
-
-
 def grid_vs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation and median error of grid curvatures at four resolutions."""
     df = _coordinates(spark, sf_dir, 500).where("E_gauss is not null and jerk_gauss is not null and m_flux_gauss is not null and lam is not null").select(*KEYS, F.col("E_gauss").alias("c0"), F.col("jerk_gauss").alias("c1"), F.col("m_flux_gauss").alias("c2"), "lam")
@@ -461,4 +456,4 @@ def grid_vs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rho.join(err, ["symbol", "grid"])
 
 
-QUERIES |= {f.__name__: f for f in (existence, flow_gate, flow_verdict, speed_measurability, speed_calibration, speed_variants, geometry_summary, volatility_share, chain_inventory, chain_prefix, uneven_halves, offline_chain, live_tail, portfolio_phase1, grid_vs_exact)}
+QUERIES |= {f.__name__: f for f in (existence, flow_gate, flow_verdict, speed_measurability, speed_calibration, speed_variants, geometry_summary, volatility_share, chain_inventory, chain_prefix, uneven_halves, offline_chain, live_tail, grid_vs_exact)}

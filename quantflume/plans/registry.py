@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantflume.plans import backtest_queries, check_queries, join_queries, layer_queries, scan_queries, series_queries
+from quantflume.plans import backtest_queries, check_queries, join_queries, layer_queries, portfolio_queries, scan_queries, series_queries
 
-_MODULES = (series_queries, backtest_queries, join_queries, layer_queries, scan_queries, check_queries)
+_MODULES = (series_queries, backtest_queries, join_queries, layer_queries, portfolio_queries, scan_queries, check_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -190,8 +190,14 @@ e AS (SELECT *, coalesce(vol_ratio > thr, false) AS event FROM t),
 f AS (SELECT *, event AND NOT coalesce(lag(event) OVER {W}, false) AS event_start, event AND coalesce(bool_or(event) OVER {frame(-3, -1)}, false) AS t2 FROM e),
 burst AS (SELECT *, t2 AND NOT coalesce(lag(t2) OVER {W}, false) AS t2_start FROM f)"""
 
-_REGIME = f"""{ewm_sql("d", "v", "vr", 96)}, rg AS (SELECT d.symbol, d.bar_ms, vr.std AS rv FROM d LEFT JOIN vr USING (symbol, bar_ms)),
-regime AS (SELECT symbol, bar_ms, coalesce(rv > {_roll("quantile_cont({}, 0.5)", "rv", 1000, 250)}, false) AS vol_regime FROM rg)"""
+
+def regime_sql(size: int) -> str:
+    """CTEs of the volatility regime over a rolling median of ``size`` bars."""
+    return f"""{ewm_sql("d", "v", "vr", 96)}, rg AS (SELECT d.symbol, d.bar_ms, vr.std AS rv FROM d LEFT JOIN vr USING (symbol, bar_ms)),
+regime AS (SELECT symbol, bar_ms, coalesce(rv > {_roll("quantile_cont({}, 0.5)", "rv", size, size // 4)}, false) AS vol_regime FROM rg)"""
+
+
+_REGIME = regime_sql(1000)
 
 QUERIES = {f.__name__: f for f in (resample_ohlcv_15m, resample_ohlcv_4h, user_bars_1h, integrity_report, month_sequence, returns_kinematics, forward_returns, ema_memory, ewm_std_12, lambda_rigidity, realized_vol, robust_z_global, robust_z_causal, rank_gauss_causal, minmax_robust, winsorize, summary_stats, flow_imbalance, flow_activity, flow_z, tail_n, dedup_keep_last, dedup_keep_first, clean_predicates, hour_filter, burst_event, vol_regime, momentum_sign, run_lengths)}
 
