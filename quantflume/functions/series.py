@@ -276,16 +276,26 @@ def annual_volatility(df: DataFrame, out: str, span: int, bars_per_year: float)
     return df.withColumn(out, F.col("_v") * float(np.sqrt(bars_per_year))).drop("_r", "_v")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def tail(df: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` bars of every symbol."""
+    """The last ``n`` bars of every symbol; of bars that repeat a time at the cut any may stay. Fewer bars stay all, an empty table empty."""
+    place = spare(df, "_n")
     newest = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(TIME)))
-    return df.withColumn("_n", newest).where(F.col("_n") <= n).drop("_n")
+    return df.withColumn(place, newest).where(F.col(place) <= n).drop(place)
 
 
 def last_of_duplicates(df: DataFrame, *order: str, keep: str = "last") -> DataFrame:
     """One row per (symbol, bar): the last (or first) in the given order."""
     sort = [F.desc(c) if keep == "last" else F.asc(c) for c in order]
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(KEY, TIME).orderBy(*sort))).where("_n = 1").drop("_n")
+    place = spare(df, "_n")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(KEY, TIME).orderBy(*sort))).where(F.col(place) == 1).drop(place)
 
 
 def filled(x) -> Column:

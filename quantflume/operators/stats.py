@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quantflume.functions import scans
 from quantflume.functions.scalar import finite
-from quantflume.functions.series import KEY, TIME, by_time
+from quantflume.functions.series import KEY, TIME, by_time, spare
 from quantflume.kernels import boosting
 
 
@@ -239,13 +239,7 @@ def sample_by_hash(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     the same; of bars that repeat a time any may stay. A symbol with fewer bars
     gives all.
     """
-    (place,) = _fresh(df, "_n")
+    place = spare(df, "_n")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(TIME).cast("string")))
     at = F.row_number().over(Window.partitionBy(KEY).orderBy(order, TIME))
     return df.withColumn(place, at).where(F.col(place) <= n).drop(place)
-
-
-def _fresh(df: DataFrame, *names: str) -> list[str]:
-    """Working column names that ``df`` doesn't have, in any case."""
-    taken = {c.lower() for c in df.columns}
-    return [name if name not in taken else "_" * (max(map(len, taken)) + 1) + name for name in names]

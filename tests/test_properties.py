@@ -1,12 +1,14 @@
 """Causality on prefixes, and window expressions against plain loops."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quantflume.functions import series
-from quantflume.operators import asof, backtest, geometry, grid, layers, models
+from quantflume.operators import asof, backtest, geometry, grid, layers, models, stats
 from tests import simulators
 
 
@@ -162,3 +164,35 @@ def test_curvature_scan_has_every_complete_bar(spark, sf_dir):
                 want.add((symbol, int(part.bar_ms.iloc[n])))
     got = layer_queries.curvature_scan(spark, sf_dir).select("symbol", "bar_ms").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_samples_tails_and_duplicates_keep_a_callers_columns(spark):
+    rows = [(s, k * 60_000, float(k), 7) for s, n in (("a", 30), ("b", 3)) for k in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, bar_ms long, close double, _N long")
+    drawn = stats.sample_by_hash(df, 5, 3)
+    assert drawn.columns == df.columns
+    got = sorted((r.symbol, r.bar_ms) for r in drawn.collect())
+    md5 = lambda k: hashlib.md5(f"3:{k * 60_000}".encode()).hexdigest()
+    assert got == sorted([("a", k * 60_000) for k in sorted(range(30), key=md5)[:5]] + [("b", k * 60_000) for k in range(3)])
+    assert sorted((r.symbol, r.bar_ms) for r in stats.sample_by_hash(df.repartition(7), 5, 3).collect()) == got
+    last = series.tail(df, 4)
+    assert last.columns == df.columns
+    assert sorted(r.bar_ms for r in last.where("symbol = 'a'").collect()) == [k * 60_000 for k in range(26, 30)]
+    one = series.last_of_duplicates(df.union(df.withColumn("close", F.col("close") + 1)), "close")
+    assert one.columns == df.columns and one.count() == 33
+    assert {r._N for r in one.collect()} == {7}
+    empty = df.where("false")
+    assert stats.sample_by_hash(empty, 5).count() == series.tail(empty, 5).count() == 0
+
+
+def test_stress_of_rows_with_gaps_and_of_none(spark):
+    rows = [(1, 1.0, 2.0, 3.0, 0.5, 0.0, -0.5, 2.0), (2, None, 2.0, 3.0, 0.5, 0.0, -0.5, 2.0), (3, 1.0, 2.0, 3.0, 0.5, 0.0, -0.5, float("nan"))]
+    names = ["p1", "p2", "p3", "q1", "q2", "q3", "lam"]
+    df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{n} double" for n in names))
+    got = {r.k: r for r in geometry.stress_at(df, names[:3], names[3:6], "lam", "k").collect()}
+    p, q = np.array(rows[0][1:4]), np.array(rows[0][4:7])
+    want = np.outer(p, p) + 0.75 * np.outer(q, q) + (0.25 * 2.0 - 0.5 * (p @ p + 0.75 * q @ q)) * np.eye(3)
+    assert all(abs(got[1][f"t_{a + 1}{b + 1}"] - want[a, b]) < 1e-12 for a in range(3) for b in range(a, 3))
+    assert abs(got[1]["norm"] - np.sqrt((want * want).sum())) < 1e-12
+    assert all(v is None for k in (2, 3) for v in got[k][1:])
+    assert geometry.stress_at(df.where("false"), names[:3], names[3:6], "lam", "k").count() == 0
