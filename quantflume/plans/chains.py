@@ -97,7 +97,7 @@ def three_sleeves(base: DataFrame, funding: DataFrame | None = None, cfg: backte
 
 def grid_against_exact(df: DataFrame, columns: list[str], lam: str, shapes: list[tuple[int, int, int]], window: int = 500) -> DataFrame:
     """Scalar curvature from grids of several resolutions beside the exact one of a causal scan, bar by bar."""
-    exact = geometry.causal_scan(df, columns, lam, window=window, every=10, fisher=False).select(KEY, TIME, F.col("H_R").alias("exact"))
+    exact = geometry.causal_scan(df, columns, lam, window=window, fisher=False).select(KEY, TIME, F.col("H_R").alias("exact"))
     named = df.withColumnRenamed(columns[0], "_e").withColumnRenamed(columns[1], "_j").withColumnRenamed(columns[2], "_m")
     parts = []
     for shape in shapes:
