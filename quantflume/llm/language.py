@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,10 @@ BATCH = 2048
 UNDETERMINED = "und"
 #: Bytes of doubt before a text is rejected.
 DOUBT = 8
+#: Bytes of the cuts on which limits of rejection are fitted; a text has the limit of the longest that it fills.
+LENGTHS = (16, 32, 64, 128)
+#: Characters below which a text counts as short in the sample that the rejecting model learns from.
+SHORT = 256
 
 
 @dataclass
@@ -32,7 +37,8 @@ class Model:
     part; columns are update, reset and candidate, each of the hidden size.
 
     ``limits``: the output layer has a last column, for text in none of the
-    labels; a document is rejected whose share of it, less ``DOUBT``, exceeds its best label's limit.
+    labels; a document is rejected whose share of it, less ``DOUBT``, exceeds its best label's limit
+    for its length (a row for each label, a column for each of ``LENGTHS``).
     """
 
     labels: list[str]
@@ -240,25 +246,46 @@ def stand_in(text: str, kind: int, rng: np.random.Generator) -> str:
     return "".join(c if spaced and c == " " else keys[rng.integers(len(keys))] for c in text)
 
 
-def learn_with_rejects(x: np.ndarray, y: np.ndarray, labels: list[str], hidden: int = 16, seed: int = 7, quantile: float = 0.995, **how) -> Model:
+def learn_with_rejects(x: np.ndarray, y: np.ndarray, labels: list[str], hidden: int = 16, seed: int = 7, quantile: float = 0.995, typical: float = 0.98, **how) -> Model:
     """A model with one more class, learned from a stand-in for each training window.
 
-    Each label's limit is the ``quantile`` of the share its own training windows
-    give the class, 0.5 at least, so that few of its texts are rejected however little was learned.
+    A quarter of the windows, set by a hash of their bytes, is kept from
+    training and fits the limits. A label's limit for a length is the
+    ``quantile`` of the share that its kept windows, cut to that length, give
+    the class, so that few of its texts are rejected however short they are.
+    At the longest length it lies halfway from the ``typical`` quantile, which
+    a window full of junk inside a labelled document doesn't move, to the
+    median of the windows' stand-ins, where that is more. It is 0.5 at least.
+    A label without a kept window has its training windows instead.
     """
     rng, width = np.random.default_rng(seed), x.shape[1]
     texts = [bytes(row[row < 256].astype(np.uint8)).decode("utf-8", "ignore") for row in x]
-    others = [windows((stand_in(t, k % 6, rng) or "?").encode("utf-8")[:width], width) for k, t in enumerate(texts)]
-    model = learn(np.concatenate([x, *others]), np.concatenate([y, np.full(len(x), len(labels))]), [*labels, UNDETERMINED], hidden, seed=seed, **how)
-    sums, counts = Runner(model).pooled(x)
-    share = sums[:, -1] / np.maximum(counts, 1)
-    return Model(labels, model.params, np.array([max(0.5, np.quantile(share[y == k], quantile)) for k in range(len(labels))]))
-
-
-def training_windows(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, each: int, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """A bounded sample for training: ``each`` windows, at places set by hash, of ``per_label`` documents of each label."""
+    kept = np.array([zlib.crc32(t.encode()) % 4 == 0 for t in texts], dtype=bool)
+    learned = np.flatnonzero(~kept if not kept.all() else kept)
+    others = [windows((stand_in(texts[i], k % 6, rng) or "?").encode("utf-8")[:width], width) for k, i in enumerate(learned)]
+    model = learn(np.concatenate([x[learned], *others]), np.concatenate([y[learned], np.full(len(learned), len(labels))]), [*labels, UNDETERMINED], hidden, seed=seed, **how)
+    fits = [np.flatnonzero((y == k) & kept) if ((y == k) & kept).any() else np.flatnonzero(y == k) for k in range(len(labels))]
+    limits, runner = np.zeros((len(labels), len(LENGTHS))), Runner(model)
+    for k, rows in enumerate(fits):
+        strange = np.concatenate([windows((stand_in(texts[i], a % 6, rng) or "?").encode("utf-8")[:width], width) for a, i in enumerate(rows)])
+        for j, n in enumerate(LENGTHS):
+            own, other = (runner.pooled(np.where(np.arange(width) < n, cut, 256)) for cut in (x[rows], strange))
+            own, other = (sums[:, -1] / np.maximum(counts, 1) for sums, counts in (own, other))
+            usual = np.quantile(own, typical)
+            limits[k, j] = max(0.5, usual, (usual + np.median(other)) / 2) if n == LENGTHS[-1] else max(0.5, np.quantile(own, quantile))
+    return Model(labels, model.params, limits)
+
+
+def training_windows(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, each: int, width: int = WINDOW, short: int = 0) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """A bounded sample for training: ``each`` windows, at places set by hash, of ``per_label`` documents of each label.
+
+    With ``short``, of each label as many are taken among texts of fewer
+    characters than that as among the others.
+    """
     usable = docs.where(F.col(label_col).isNotNull() & ~held_out(id_col) & (F.length(F.col(text_col).cast("string")) > 0)).select(F.col(label_col).cast("string").alias("label"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("string").alias("text"))
-    few = bounded_sample(usable, "label", per_label, F.xxhash64("id"))
+    if short:
+        usable = usable.withColumn("stratum", F.struct("label", (F.length("text") < short).alias("short")))
+    few = bounded_sample(usable, "stratum" if short else "label", per_label, F.xxhash64("id"))
     size = F.greatest(F.lit(1), F.length("text") - width + 1)
     cuts = F.array(*[F.substring("text", F.pmod(F.xxhash64("id", F.lit(k)), size).cast("int") + 1, width) for k in range(each)])
     rows = few.select("label", F.explode(cuts).alias("cut"), F.col("id")).orderBy("label", "id", "cut").collect()
@@ -276,9 +303,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     than 64 labels, and ``each`` windows of a document (so 19,200 * each windows
     of 128 bytes reach the driver at most; see ``neural.bounded_sample``).
     Without labelled texts the model knows no label. With ``rejects`` it also
-    learns to tell texts that are in none of the labels.
+    learns to tell texts that are in none of the labels, from two thirds as many
+    short texts of each label and as many long ones.
     """
-    x, y, labels = training_windows(docs, id_col, text_col, label_col, per_label, each)
+    if rejects:
+        x, y, labels = training_windows(docs, id_col, text_col, label_col, max(1, per_label * 2 // 3), each, short=SHORT)
+    else:
+        x, y, labels = training_windows(docs, id_col, text_col, label_col, per_label, each)
     return (learn_with_rejects if rejects else learn)(x, y, labels, **how) if labels else Model([], {})
 
 
@@ -304,7 +335,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 # a few bytes say little: the share counts as if so many bytes of the label came besides
                 size = np.array([len(t.encode("utf-8", "replace")) for t in texts])
                 prob, none = prob[:, :-1], prob[:, -1] * size / (size + DOUBT)
-                ok &= none <= model.limits[prob.argmax(axis=1)]
+                length = np.maximum(np.searchsorted(LENGTHS, size, side="right") - 1, 0)
+                ok &= none <= model.limits[prob.argmax(axis=1), length]
             best = prob.argmax(axis=1)
             label = [model.labels[b] if o else UNDETERMINED for b, o in zip(best.tolist(), ok.tolist(), strict=True)]
             score = np.where(ok, np.clip(prob.max(axis=1), 0, 1), 0.0)
