@@ -26,6 +26,8 @@ from quantflume.llm.common import cut_lineage, text_blocks
 LEAST_DOCUMENTS, LISTED = 3, 200
 #: Distinct columns of a language that one task evaluates, about, and entries that a task's counts may have before they leave it.
 COLUMNS, ENTRIES = 8192, 300_000
+#: Hashes of listed columns up to which they are sent to every task.
+SENT = 500_000
 #: Shares are in parts of this.
 UNIT = 1_000_000_000
 
@@ -143,7 +145,8 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     by_lang = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("lang_n"))
     groups = counts.where("term = ''").select("lang", "source").join(entries, ["lang", "source"], "left").join(by_lang, "lang", "left")
     groups = cut_lineage(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "v", "lang_n")]))
-    distinct = cut_lineage(terms.groupBy("lang", "column").agg(F.count(F.lit(1)).alias("terms"), F.max("total").alias("total")))
+    distinct = terms.groupBy("lang", "column").agg(F.count(F.lit(1)).alias("terms"), F.max("total").alias("total"))
+    distinct = cut_lineage(distinct.withColumn("id", F.monotonically_increasing_id()))
     return _pairs(groups, distinct, columns).unionByName(_terms(groups, distinct, terms, listed))
 
 
@@ -181,19 +184,27 @@ def _pairs(groups: DataFrame, distinct: DataFrame, columns: int) -> DataFrame:
 
 
 def _terms(groups: DataFrame, distinct: DataFrame, terms: DataFrame, listed: int) -> DataFrame:
-    """The terms by which groups part most from their language: columns are ranked, then the terms that have them."""
+    """The terms by which groups part most from their language: columns are ranked, then the terms that have them.
+
+    Ranks go by the columns' numbers. Only terms whose column's hash is that of a
+    listed column are moved, to be joined by the columns themselves.
+    """
     share = lambda n, total: (F.lit(UNIT).cast("decimal(12,0)") * (n + 1).cast("decimal(20,0)"), total.cast("decimal(20,0)"))
-    entries = distinct.select("lang", "column", "total", F.explode("column").alias("e")).select("lang", "column", "total", F.col("e.source").alias("source"), F.col("e.n").alias("count"))
+    hashed = F.xxhash64("lang", "column").alias("h")
+    entries = distinct.select("lang", "id", hashed, "total", F.explode("column").alias("e")).select("lang", "id", "h", "total", F.col("e.source").alias("source"), F.col("e.n").alias("count"))
     entries = entries.join(groups, ["lang", "source"])
     (p_up, p_down), (q_up, q_down) = share(F.col("count"), F.col("n") + F.col("v")), share(F.col("total"), F.col("lang_n") + F.col("v"))
-    entries = entries.select("lang", "source", "column", p_up.alias("pu"), p_down.alias("pd"), q_up.alias("qu"), q_down.alias("qd"))
-    entries = entries.select("lang", "source", "column", F.expr("1 + pu div pd").alias("p"), F.expr("1 + qu div qd").alias("q")).where("p > q")
-    valued = entries.select("lang", "source", "column", F.expr("(p - q) * (p - q) div q").alias("value"))
+    entries = entries.select("lang", "source", "id", "h", p_up.alias("pu"), p_down.alias("pd"), q_up.alias("qu"), q_down.alias("qd"))
+    entries = entries.select("lang", "source", "id", "h", F.expr("1 + pu div pd").alias("p"), F.expr("1 + qu div qd").alias("q")).where("p > q")
+    valued = entries.select("lang", "source", "id", "h", F.expr("(p - q) * (p - q) div q").alias("value"))
     best = F.rank().over(Window.partitionBy("lang", "source").orderBy(F.desc("value")))
-    valued = valued.withColumn("at", best).where(F.col("at") <= listed).drop("at")
+    valued = cut_lineage(valued.withColumn("at", best).where(F.col("at") <= listed).drop("at"))
+    hashes = valued.select("h").distinct()
+    hashes = F.broadcast(hashes) if hashes.count() <= SENT else hashes
     # a column's terms all have one value, so only its first ones can be listed
     first = F.row_number().over(Window.partitionBy("lang", "column").orderBy("term"))
-    named = terms.select("lang", "column", "term").withColumn("at", first).where(F.col("at") <= listed).drop("at")
+    named = terms.select("lang", "column", "term", hashed).join(hashes, "h", "left_semi").drop("h").withColumn("at", first).where(F.col("at") <= listed).drop("at")
+    named = named.join(distinct.select("lang", "column", "id", hashed).join(hashes, "h", "left_semi").drop("h"), ["lang", "column"]).select("id", "term")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "term"))
-    ranked = valued.join(named, ["lang", "column"]).select("lang", "source", "value", "term", rank.alias("rank")).where(F.col("rank") <= listed)
+    ranked = valued.join(named, "id").select("lang", "source", "value", "term", rank.alias("rank")).where(F.col("rank") <= listed)
     return ranked.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
