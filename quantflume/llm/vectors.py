@@ -20,8 +20,10 @@ from quantflume.llm.common import Groups, components, cut_lineage
 SHARD = 1024
 #: A split must leave less than this share of a cluster's comparisons; rows of a cluster that a task assigns at once.
 LEAST_GAIN, ASSIGN_ROWS = 0.75, 8192
-#: Clusters that one is split into at most, and how often; what is still over four shards then is cut by hash.
-FAN, LEVELS = 64, 8
+#: Parts that a vector of the sample may go to on average; where they are more, the cluster isn't split.
+MOST_PARTS = 2.0
+#: Clusters that one is split into at most, and how often; shards in a cut by hash of what is still larger then.
+FAN, LEVELS, CUT = 64, 8, 16
 #: Vectors of a cluster that its parts' centres are fitted on, about.
 FIT_ROWS = 4096
 #: Graph: neighbours kept, nearest and random candidates looked at, and how much nearer a detour must be to prune.
@@ -140,52 +142,50 @@ def range_search(x: np.ndarray, table: np.ndarray, queries: np.ndarray, least: f
     something new turns up there.
     """
     n, q = len(x), len(queries)
-    rows = np.arange(q)
     seen = np.zeros((q, n), dtype=bool)
     spread = np.zeros((q, n), dtype=bool)  # expanded
     ranged = np.zeros((q, n), dtype=bool)
     sims = np.full((q, n), -2, dtype=np.float32)
 
-    def look(r: np.ndarray, nodes: np.ndarray) -> None:
-        """Expands one node for each of the rows r."""
+    def look(r: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expands one node for each of the rows r; its neighbours, and their similarities where they are new (-4 elsewhere)."""
         spread[r, nodes] = True
         near = table[nodes]
         new = (near >= 0) & ~seen[r[:, None], near]
-        rr, cc = np.nonzero(new)
-        node = near[rr, cc]
-        s = np.einsum("nd,nd->n", x[node], queries[r[rr]], optimize=True)
-        seen[r[rr], node] = True
-        sims[r[rr], node] = s
-        ranged[r[rr], node] = s >= least - slack
+        at, place = np.nonzero(new)
+        rr, node = r[at], near[at, place]
+        s = np.einsum("nd,nd->n", x[node], queries[rr])
+        seen[rr, node] = True
+        sims[rr, node] = s
+        ranged[rr, node] = s >= least - slack
+        score = np.full(near.shape, -4, dtype=np.float32)
+        score[at, place] = s
+        return near, score
 
     start = medoid(x)
     seen[:, start] = True
     sims[:, start] = queries @ x[start]
     ranged[:, start] = sims[:, start] >= least - slack
-    active = rows
-    best = np.full((q, beam), start, dtype=np.int32)
+    # the best nodes seen, their similarities, and these again where the node isn't expanded yet; empty places have -4
+    active = np.arange(q)
+    best, score = np.full((q, beam), start, dtype=np.int32), np.full((q, beam), -4, dtype=np.float32)
+    score[:, 0] = sims[:, start]
+    open_ = score.copy()
     while len(active):
-        own = best[active]
-        open_ = np.where(spread[active[:, None], own], np.float32(-3), sims[active[:, None], own])
         pick = open_.argmax(axis=1)
-        going = open_[np.arange(len(active)), pick] > -3
-        active, pick, own = active[going], pick[going], own[going]
-        if not len(active):
-            break
-        look(active, own[np.arange(len(active)), pick])
-        near = table[own[np.arange(len(active)), pick]]
-        pool = np.concatenate([own, np.where(near < 0, start, near)], axis=1)
-        score = sims[active[:, None], pool]
-        # repeated entries of the pool would crowd the beam out
-        order = np.argsort(pool, axis=1, kind="stable")
-        sorted_ = np.take_along_axis(pool, order, axis=1)
-        twice = np.zeros_like(sorted_, dtype=bool)
-        twice[:, 1:] = sorted_[:, 1:] == sorted_[:, :-1]
-        flag = np.empty_like(twice)
-        np.put_along_axis(flag, order, twice, axis=1)
-        score = np.where(flag, np.float32(-4), score)
+        rows = np.arange(len(active))
+        going = open_[rows, pick] > -3
+        if not going.all():
+            active, pick, best, score, open_ = active[going], pick[going], best[going], score[going], open_[going]
+            rows = np.arange(len(active))
+            if not len(active):
+                break
+        open_[rows, pick] = -4
+        # a node seen before is in the beam already, or was worse than all of it
+        near, new = look(active, best[rows, pick])
+        best, score, open_ = (np.concatenate([a, b], axis=1) for a, b in ((best, near), (score, new), (open_, new)))
         top = np.argpartition(-score, beam - 1, axis=1)[:, :beam]
-        best[active] = np.take_along_axis(pool, top, axis=1)
+        best, score, open_ = (a[rows[:, None], top] for a in (best, score, open_))
     while True:
         r, node = np.nonzero(ranged & ~spread)
         if not len(r):
@@ -208,7 +208,8 @@ def shard_links(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, lea
     beam = BEAM
     while True:
         if beam > min(WIDEST, len(x) - 1):
-            return [np.flatnonzero(x @ v >= least) for v in queries]
+            near = [np.flatnonzero(row >= least - 1e-4) for a in range(0, len(queries), block) for row in wide[a : a + block] @ small.T]
+            return [g[x[g] @ v >= least] for g, v in zip(near, queries, strict=True)]
         got = [g for a in range(0, len(audit), block) for g in range_search(small, table, wide[audit[a : a + block]], least, beam)]
         hits = sum(len(t & set(g.tolist())) for t, g in zip(truth, got, strict=True))
         if hits >= LEAST_RECALL * sum(map(len, truth)):
@@ -229,8 +230,11 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_parts(x: np.ndarray, count: int, shard: int, half: float) -> tuple[np.ndarray, np.ndarray | None]:
-    """Centres of a cluster's parts from a sample of its ``count`` vectors, and the centre of a ball of ``shard`` members or more, if there seems to be one."""
+def fit_parts(x: np.ndarray, count: int, shard: int, half: float, link: float) -> tuple[np.ndarray, np.ndarray | None]:
+    """Centres of a cluster's parts from a sample of its ``count`` vectors, and the centre of a ball of ``shard`` members or more, if there seems to be one.
+
+    One centre only, where the sample outside the ball would go to over ``MOST_PARTS`` parts each.
+    """
     k = max(1, min(FAN, -(-count // shard), len(x) // 8))
     centres, ball = kmeans(x, k), None
     inside = x @ centres.T >= half
@@ -240,7 +244,11 @@ def fit_parts(x: np.ndarray, count: int, shard: int, half: float) -> tuple[np.nd
             ball = x[near].mean(axis=0)
             ball /= np.linalg.norm(ball)
             near = x @ ball >= half
-    return centres, ball if ball is not None and near.mean() * count >= shard else None
+    ball = ball if ball is not None and near.mean() * count >= shard else None
+    rest = x if ball is None else x[~near]
+    if len(rest) and len(parts_of(rest, np.ones(len(rest), dtype=bool), centres, link)[0]) > MOST_PARTS * len(rest):
+        centres = rest.mean(axis=0, keepdims=True)
+    return centres, ball
 
 
 def parts_of(x: np.ndarray, home: np.ndarray, centres: np.ndarray, link: float, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,7 +292,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     home, the nearest cluster at every level, and as a guest to all clusters
     that may be home to a class that it links with and that doesn't come to it
     (``parts_of``), so that no pair is lost between clusters. A cluster whose
-    parts would save too few comparisons stays whole. On every cluster's shard
+    parts would save too few comparisons, or copy its vectors too often, stays whole. On every cluster's shard
     a graph is built; the adjacency lists of a class from its shards are
     united; and every class searches its home's shard in the united graph.
     Links are verified in double precision, and each shard audits its recall. A ball's members, all within
@@ -313,7 +321,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     half, far = ((1 + least) / 2) ** 0.5 + 1e-9, np.cos(min(np.pi, 1.5 * np.arccos(least))) - 1e-9
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        centres, ball = fit_parts(_unit(pdf["vec"]), int(pdf["size"].iloc[0]), shard, half)
+        centres, ball = fit_parts(_unit(pdf["vec"]), int(pdf["size"].iloc[0]), shard, half, link)
         return pd.DataFrame({"node": [pdf["node"].iloc[0]], "centres": [centres.ravel().tolist()], "ball": [None if ball is None else ball.tolist()]})
 
     def assign(part: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
@@ -366,7 +374,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     seats = members.select("class", "node", "home")
     seats = (seats if balls is None else seats.union(balls.select("class", "node", "home"))).groupBy("class")
     seats = cut_lineage(seats.agg(F.concat(F.array(F.max(F.when(F.col("home"), F.col("node")))), F.collect_list(F.when(~F.col("home"), F.col("node")))).alias("clusters")))
-    cuts = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / (4 * shard)).cast("int").alias("cuts"))
+    cuts = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / (CUT * shard)).cast("int").alias("cuts"))
     members = cut_lineage(members.drop("home").join(cut_lineage(cuts), "node").withColumn("cut", F.pmod("class", F.col("cuts")).cast("int")).join(seats, "class"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

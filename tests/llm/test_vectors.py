@@ -166,3 +166,14 @@ def test_vectors_without_clusters(spark, inner, dims, n):
     found = np.array([got[i] for i in range(n)])
     assert (found <= want).all()
     assert found.sum() >= 0.99 * want.sum()
+
+
+def test_clusters_whose_parts_would_copy_vectors_too_often_stay_whole():
+    rng = np.random.default_rng(3)
+    link, half = float(np.arccos(0.93)), ((1 + 0.93) / 2) ** 0.5
+    scattered = vectors._unit(rng.normal(size=(2000, 64)))
+    groups = vectors._unit(np.repeat(np.eye(64)[:40], 50, axis=0) + 0.01 * rng.normal(size=(2000, 64)))
+    for x, parts in ((scattered, [1]), (groups, range(2, 65))):
+        centres, _ = vectors.fit_parts(x, 40_000, 1024, half, link)
+        assert len(centres) in parts
+        assert len(vectors.parts_of(x, np.ones(len(x), dtype=bool), centres, link)[0]) <= vectors.MOST_PARTS * len(x)
