@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantflume.functions.scalar import finite, signed_log
@@ -12,6 +12,7 @@ from quantflume.functions.series import KEY, TIME, by_time
 from quantflume.kernels import curvature as cv
 from quantflume.kernels import gridfield
 from quantflume.kernels.density import Density, scott
+from quantflume.session import written
 
 SCAN = ["phi", "grad_phi_norm", "mahalanobis", "max_abs_z", "H_det", "H_mineig", "H_maxeig", "H_neg", "H_R", "H_G_norm", "H_ric_norm", "H_T_norm", "lam_field", "H_T_lam_share", "H_field_eq_kappa", "H_field_eq_r2", "F_det", "F_mineig", "F_maxeig", "F_R", "F_G_norm", "Fref_R", "H_singular", "F_singular"]
 
@@ -151,26 +152,97 @@ def reliability(df: DataFrame, columns: list[str], lam: str | None = None, windo
     return out.select(KEY, TIME, "half", "scale", *[finite(c).alias(c) for c in ("phi", "H_R", "F_R", "Fref_R")])
 
 
-def density_at(df: DataFrame, columns: list[str], by: str, id_col: str, h: float | None = None) -> DataFrame:
+def density_at(df: DataFrame, columns: list[str], by: str, id_col: str, h: float | None = None, tile: int = 2048, together: int = 16) -> DataFrame:
     """At every row the density of its group's rows: log density, gradient and Hessian of the surprise, own score without itself, local Fisher matrix.
 
-    ``h`` None: Scott's bandwidth of the group's size. A group is one task, as
-    its density is of all its rows. Rows with a null among ``columns`` give
-    none; repeated rows count as often as they occur; matrices are upper triangles, row by row.
+    ``h`` None: Scott's bandwidth of the group's size. Every row meets every
+    other of its group by the definition; rows come in tiles, and a task has one
+    tile of points and up to ``together`` tiles of samples, whose sums it adds
+    up block by block. A row's own kernel is 1, so sums run over the others and
+    it is added at the end. Rows with a null or a value that isn't finite among ``columns`` give
+    none; repeated rows count as often as they occur; of a group of one row the
+    score and the Fisher matrix are null; matrices are upper triangles, row by row.
     """
     d = len(columns)
-    i, j = np.triu_indices(d)
-    kinds = dict(df.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[columns].to_numpy(dtype=float)
-        kde = Density(x, h or scott(len(x), d))
-        w, _ = kde.weights(x)
-        scores = kde.scores()
-        return pd.DataFrame({by: pdf[by], id_col: pdf[id_col], "h": kde.h, "log_density": kde.log_density(x), "gradient": list(kde.gradient(x, w)), "hessian": list(kde.hessian(x, w)[:, i, j]), "score": list(scores), "fisher": list(kde.fisher(scores, w)[:, i, j])})
-
-    rows = df.where(" and ".join(f"{c} is not null" for c in columns)).select(by, id_col, *[F.col(c).cast("double").alias(c) for c in columns])
-    return rows.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {id_col} {kinds[id_col]}, h double, log_density double, gradient array<double>, hessian array<double>, score array<double>, fisher array<double>")
+    pairs = list(zip(*(k.tolist() for k in np.triu_indices(d)), strict=True))
+    xs = [f"qf_x{k}" for k in range(d)]
+    rows = df.select(by, id_col, *[finite(F.col(c).cast("double")).alias(x) for c, x in zip(columns, xs, strict=True)])
+    rows = written(rows.dropna(subset=xs).withColumn("qf_n", F.monotonically_increasing_id()))
+    sizes = rows.groupBy(F.col(by).alias("qf_by")).agg(F.count(F.lit(1)).alias("qf_size"))
+    width = F.lit(float(h)) if h else F.pow(F.col("qf_size"), F.lit(-1.0 / (d + 4)))
+    sizes = sizes.withColumn("qf_h", width).withColumn("qf_tiles", F.ceil(F.col("qf_size") / tile).cast("int"))
+    rows = rows.join(sizes, F.col(by).eqNullSafe(F.col("qf_by"))).drop("qf_by").withColumn("qf_tile", F.pmod(F.xxhash64("qf_n"), F.col("qf_tiles")).cast("int"))
+
+    def moments(b: np.ndarray, _: np.ndarray) -> np.ndarray:
+        return np.concatenate([b, *[(b[:, i] * b[:, j])[:, None] for i, j in pairs]], axis=1)
+
+    def about(a: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Sums of u and of its products, from those of the samples, u = a - b."""
+        total, first = sums[:, :1], sums[:, 1 : d + 1]
+        second = [total[:, 0] * a[:, i] * a[:, j] - a[:, i] * first[:, j] - a[:, j] * first[:, i] + sums[:, d + 1 + k] for k, (i, j) in enumerate(pairs)]
+        return np.column_stack([total, total * a - first, *second])
+
+    part = F.col("qf_top").isNotNull()
+    first = _kernel_sums(rows, by, xs, [], moments, about, 1 + d + len(pairs), together)
+    near, zero = F.when(part, F.exp("qf_top")).otherwise(0.0), F.lit(0.0)
+    out = rows.join(first, "qf_n", "left")
+    total = 1 + near * F.coalesce(F.col("qf_sums")[0], zero)
+    mean = [near * F.coalesce(F.col("qf_sums")[1 + k], zero) / total for k in range(d)]
+    second = [near * F.coalesce(F.col("qf_sums")[1 + d + k], zero) / total for k in range(len(pairs))]
+    hw = F.col("qf_h")
+    hessian = [((1.0 if i == j else 0.0) - (second[k] - mean[i] * mean[j])) / (hw * hw) for k, (i, j) in enumerate(pairs)]
+    scores = [F.when(part, F.col("qf_sums")[1 + k] / F.col("qf_sums")[0] / hw) for k in range(d)]
+    cs = [f"qf_c{k}" for k in range(d)]
+    log_density = F.log(total) - F.log("qf_size") - d / 2 * F.log(2 * np.pi * hw * hw)
+    kept = [by, id_col, *xs, "qf_n", "qf_h", "qf_tiles", "qf_tile"]
+    out = written(out.select(*kept, total.alias("qf_total"), near.alias("qf_near"), log_density.alias("log_density"), F.array(*[m / hw for m in mean]).alias("gradient"), F.array(*hessian).alias("hessian"), *[c.alias(n) for n, c in zip(cs, scores, strict=True)]))
+
+    def products(_: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.column_stack([c[:, i] * c[:, j] for i, j in pairs])
+
+    again = _kernel_sums(out.select(*kept, *cs), by, xs, cs, products, lambda a, sums: sums[:, 1:], len(pairs), together)
+    out = out.join(again, "qf_n", "left")
+    fisher = [(F.col(cs[i]) * F.col(cs[j]) + F.col("qf_near") * F.coalesce(F.col("qf_sums")[k], zero)) / F.col("qf_total") for k, (i, j) in enumerate(pairs)]
+    return out.select(by, id_col, F.col("qf_h").alias("h"), "log_density", "gradient", "hessian", F.array(*cs).alias("score"), F.array(*fisher).alias("fisher"))
+
+
+def _kernel_sums(rows: DataFrame, by: str, xs: list[str], more: list[str], features, finish, size: int, together: int) -> DataFrame:
+    """``qf_n``, ``qf_top`` and ``qf_sums``: each row's sums, over the other rows of its group, of kernel weights times 1 and the samples' ``features``, relative to the exponential of ``qf_top``."""
+    groups = F.floor((F.col("qf_tiles") - 1) / together).cast("int")
+    columns = [by, "qf_a", "qf_g", "qf_of", "qf_n", "qf_h", *xs, *more]
+    points = rows.withColumn("qf_a", F.col("qf_tile")).withColumn("qf_g", F.explode(F.sequence(F.lit(0), groups))).withColumn("qf_of", F.lit(True))
+    samples = rows.withColumn("qf_g", F.floor(F.col("qf_tile") / together).cast("int")).withColumn("qf_a", F.explode(F.sequence(F.lit(0), F.col("qf_tiles") - 1))).withColumn("qf_of", F.lit(False))
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = pdf["qf_of"].to_numpy(dtype=bool)
+        n, h = pdf["qf_n"].to_numpy(), float(pdf["qf_h"].iloc[0])
+        x = pdf[xs].to_numpy(dtype=float)
+        # centred for accuracy
+        x = (x - x.mean(axis=0)) / h
+        a, b, own, other = x[of], x[~of], n[of], n[~of]
+        feats = np.concatenate([np.ones((len(b), 1)), features(b, pdf[more].to_numpy(dtype=float)[~of])], axis=1)
+        tops, sums = np.full(len(a), -np.inf), np.zeros((len(a), feats.shape[1]))
+        half = 0.5 * (b * b).sum(axis=1)
+        for p in range(0, len(a), 256):
+            at = a[p : p + 256]
+            for k in range(0, len(b), 4096):
+                q = at @ b[k : k + 4096].T - half[k : k + 4096] - 0.5 * (at * at).sum(axis=1)[:, None]
+                q[own[p : p + 256, None] == other[None, k : k + 4096]] = -np.inf
+                new = np.maximum(tops[p : p + 256], q.max(axis=1))
+                there = np.isfinite(new)
+                base = np.where(there, new, 0.0)
+                sums[p : p + 256] = sums[p : p + 256] * np.exp(tops[p : p + 256] - base)[:, None] + np.exp(q - base[:, None]) @ feats[k : k + 4096]
+                tops[p : p + 256] = new
+        got = np.isfinite(tops)
+        return pd.DataFrame({"qf_n": own[got], "qf_part_top": tops[got], "qf_part": pd.Series(list(finish(a[got], sums[got])), dtype=object)})
+
+    found = points.select(*columns).unionByName(samples.select(*columns)).groupBy(by, "qf_a", "qf_g").applyInPandas(partial, "qf_n long, qf_part_top double, qf_part array<double>")
+    found = found.groupBy("qf_n").agg(F.max("qf_part_top").alias("qf_top"), F.collect_list(F.struct("qf_part_top", "qf_part")).alias("qf_parts"))
+
+    def raised(k: int) -> Column:
+        return F.aggregate("qf_parts", F.lit(0.0), lambda s, v: s + v["qf_part"][k] * F.exp(v["qf_part_top"] - F.col("qf_top")))
+
+    return found.select("qf_n", "qf_top", F.array(*map(raised, range(size))).alias("qf_sums"))
 
 
 def sphere_curvature(df: DataFrame, columns: list[str], id_col: str, radius: float) -> DataFrame:

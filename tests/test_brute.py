@@ -199,3 +199,28 @@ def test_live_call_is_the_chain(spark, sf_dir):
     for c in ("edge_score", "expected_value_score", "transition_score", *chains.GEOMETRIC[:-2]):
         assert np.allclose(a[c].to_numpy(dtype=float), b[c].to_numpy(dtype=float), rtol=1e-6, atol=1e-9, equal_nan=True), c
     assert chains.live_call(both.limit(0)).collect() == []
+
+
+def test_density_at_over_tiles_equals_whole_groups(spark, monkeypatch):
+    from quantflume.kernels.density import Density, scott
+    from quantflume.operators import geometry
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 3))
+    x[7] = x[3]
+    label = [None] * 40 + [1] * 49 + [2]
+    df = spark.createDataFrame([(k, g, *map(float, v)) for k, (g, v) in enumerate(zip(label, x, strict=True))], "id long, g long, a double, b double, c double")
+    got = {r.id: r for r in geometry.density_at(df, ["a", "b", "c"], "g", "id", tile=16, together=2).collect()}
+    i, j = np.triu_indices(3)
+    for own in (np.arange(40), np.arange(40, 89)):
+        kde = Density(x[own], scott(len(own), 3))
+        w, scores = kde.weights(x[own])[0], kde.scores()
+        want = {"log_density": kde.log_density(x[own]), "gradient": kde.gradient(x[own], w), "hessian": kde.hessian(x[own], w)[:, i, j], "score": scores, "fisher": kde.fisher(scores, w)[:, i, j]}
+        for name, values in want.items():
+            assert np.allclose([got[k][name] for k in own.tolist()], values, rtol=1e-9, atol=1e-9), name
+    assert got[89].score == [None] * 3 and got[89].gradient == [0.0] * 3 and len(got) == 90
+    # no task holds the whole of a group
+    largest, kernel = [], geometry._kernel_sums
+    monkeypatch.setattr(geometry, "_kernel_sums", lambda rows, *a: largest.append(rows.groupBy("g", "qf_tile").count().agg({"count": "max"}).first()[0]) or kernel(rows, *a))
+    geometry.density_at(df, ["a", "b", "c"], "g", "id", tile=16, together=2).count()
+    assert len(largest) == 2 and max(largest) < 40
