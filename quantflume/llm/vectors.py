@@ -322,7 +322,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         centres, ball = fit_parts(_unit(pdf["vec"]), int(pdf["size"].iloc[0]), shard, half, link)
-        return pd.DataFrame({"node": [pdf["node"].iloc[0]], "centres": [centres.ravel().tolist()], "ball": [None if ball is None else ball.tolist()]})
+        return pd.DataFrame({"node": [pdf["node"].iloc[0]], "centres": [centres.ravel().tolist()], "ball": [None if ball is None else ball.tolist()], "k": [len(centres)]})
 
     def assign(part: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
         columns = ["class", "n", "vec", "node", "parent", "home", "kind"]
@@ -354,9 +354,12 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
             break
         large = members.join(sizes, "node")
         at = F.shiftrightunsigned(F.xxhash64("class", F.lit(level)), 11).cast("double") / float(1 << 53)
-        parts = large.where(F.col("home") & (at < F.lit(float(fit_rows)) / F.col("size"))).groupBy("node").applyInPandas(fit, "node string, centres array<double>, ball array<double>")
+        parts = large.where(F.col("home") & (at < F.lit(float(fit_rows)) / F.col("size"))).groupBy("node").applyInPandas(fit, "node string, centres array<double>, ball array<double>, k int")
+        parts = parts.where("k > 1 or ball is not null")
         salts = F.ceil(F.col("all") / ASSIGN_ROWS).cast("int")
         parts = cut_lineage(parts.join(sizes, "node").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("node", "salt", "centres", "ball"))
+        # rows of clusters that stay whole aren't moved
+        large = large.join(F.broadcast(parts.where("salt = 0").select("node")), "node", "left_semi")
         dealt = large.withColumn("salt", F.pmod(F.xxhash64("class"), salts).cast("int")).select("class", "n", "vec", "node", "home", "salt")
         moved = dealt.groupBy("node", "salt").cogroup(parts.groupBy("node", "salt")).applyInPandas(assign, f"class long, n long, vec {vector}, node string, parent string, home boolean, kind int")
         moved = cut_lineage(moved)
