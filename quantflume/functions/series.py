@@ -292,8 +292,8 @@ def tail(df: DataFrame, n: int) -> DataFrame:
 
 
 def last_of_duplicates(df: DataFrame, *order: str, keep: str = "last") -> DataFrame:
-    """One row per (symbol, bar): the last (or first) in the given order."""
-    sort = [F.desc(c) if keep == "last" else F.asc(c) for c in order]
+    """One row per (symbol, bar): the last (or first) in the given order; what is missing stays behind either way, as in SQL's NULLS LAST."""
+    sort = [F.desc_nulls_last(c) if keep == "last" else F.asc_nulls_last(c) for c in order]
     place = spare(df, "_n")
     return df.withColumn(place, F.row_number().over(Window.partitionBy(KEY, TIME).orderBy(*sort))).where(F.col(place) == 1).drop(place)
 
