@@ -4,7 +4,7 @@ A series is cut into blocks of time. Each block folds to one small state (rows,
 product, peak, last value, decayed sums); the states of a symbol, a row a
 block, are scanned in order; and a second pass applies to each block what came
 before it. No task holds more of a symbol than a block, or a row for each.
-Rows of one time lie in one block.
+Rows of one time lie in one block, those without a time in the last.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ BLOCK = "qf_block"
 
 def earlier():
     """A window over a symbol's states before a block's own."""
-    return Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(KEY).orderBy(F.asc_nulls_last(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def later():
     """A window over a symbol's states after a block's own."""
-    return Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
+    return Window.partitionBy(KEY).orderBy(F.asc_nulls_last(BLOCK)).rowsBetween(1, Window.unboundedFollowing)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def inside(*order: str | Column):
     """A window over a block's rows in order of time."""
-    return Window.partitionBy(KEY, BLOCK).orderBy(TIME, *order)
+    return Window.partitionBy(KEY, BLOCK).orderBy(F.asc_nulls_last(TIME), *order)
 
 
 def up_to_now(window):
@@ -92,7 +92,7 @@ def changes(df: DataFrame, state: str) -> DataFrame:
     moved = (F.col("qf_state") != F.lag("qf_state").over(inside())).cast("long")
     ends = F.struct("qf_state")  # a struct, so that a null state is a state
     states = df.withColumn("qf_moved", moved).groupBy(KEY, BLOCK).agg(F.count(F.lit(1)).alias("qf_rows"), F.sum("qf_moved").alias("qf_inner"), F.min_by(ends, TIME).alias("qf_first"), F.max_by(ends, TIME).alias("qf_last"))
-    between = (F.col("qf_first.qf_state") != F.lag("qf_last").over(Window.partitionBy(KEY).orderBy(BLOCK))["qf_state"]).cast("long")
+    between = (F.col("qf_first.qf_state") != F.lag("qf_last").over(Window.partitionBy(KEY).orderBy(F.asc_nulls_last(BLOCK)))["qf_state"]).cast("long")
     states = states.withColumn("qf_between", between)
     return states.groupBy(KEY).agg(F.sum("qf_rows").alias("rows"), (F.coalesce(F.sum("qf_inner"), F.lit(0)) + F.coalesce(F.sum("qf_between"), F.lit(0))).alias("changes"))
 
@@ -118,7 +118,7 @@ def decayed(df: DataFrame, keep: float, sums: list[str], counts: list[str] = ())
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     local = local.select(*[c for c in local.columns if c not in (*sums, *counts)], *[(F.sum(zero(c) * power(-F.col("qf_at"))).over(here) * power(F.col("qf_at"))).alias(c) for c in sums], *[F.sum(zero(c)).over(here).alias(c) for c in counts])
     states = local.groupBy(KEY, BLOCK, "qf_part").agg(F.count(F.lit(1)).alias("qf_rows"), *[F.max_by(c, "qf_at").alias(c) for c in (*sums, *counts)])
-    order = Window.partitionBy(KEY).orderBy(BLOCK, "qf_part")
+    order = Window.partitionBy(KEY).orderBy(F.asc_nulls_last(BLOCK), "qf_part")
     states = states.withColumn("qf_end", F.sum("qf_rows").over(up_to_now(order)))
     near = Window.partitionBy(KEY).orderBy("qf_end").rangeBetween(-2 * size, -1)
     states = states.withColumn("qf_ends", F.collect_list(F.struct("qf_end", *sums)).over(near)).withColumn("qf_start", F.col("qf_end") - F.col("qf_rows"))

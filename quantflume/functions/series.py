@@ -19,7 +19,8 @@ from quantflume.functions.scans import KEY, TIME
 
 
 def by_time(key: str = KEY, time: str = TIME):
-    return Window.partitionBy(key).orderBy(time)
+    """A symbol's rows in order of time; a bar without a time comes last, as in SQL."""
+    return Window.partitionBy(key).orderBy(F.asc_nulls_last(time))
 
 
 def rows(first: int, last: int, key: str = KEY, time: str = TIME):

@@ -11,10 +11,15 @@ ID, VALUE = "event_id + k * 100000", "round(value + k * 7.31, 2)"
 ODD = {
     "no_id": {"event_id": f"CASE WHEN k <> 1 THEN {ID} END", "value": VALUE},
     "zeros": {"event_id": ID, "value": "CASE WHEN e.event_id * 7919 % 10 < 1 THEN 0.0 ELSE value END"},
+    "no_time": {"event_id": ID, "value": VALUE, "ts": "CASE WHEN e.event_id % 7 <> 0 THEN ts END"},
+    "no_value": {"event_id": ID, "value": f"CASE WHEN (e.event_id + k) * 7919 % 5 <> 0 THEN {VALUE} END"},
 }
 CASES = [
     *[("no_id", q) for q in ("asof_nearest", "asof_tail_align", "column_profile", "common_timestamps", "dedup_keep_first", "dedup_keep_last", "dominant_type", "edge_fallback", "ema_memory", "ewm_std_12", "flow_design", "flow_z")],
     ("zeros", "ewm_std_12"),
+    ("zeros", "dominant_type"),
+    *[("no_time", q) for q in ("dominant_type", "ema_memory", "ewm_std_12", "flow_design", "flow_z")],
+    *[("no_value", q) for q in ("asof_nearest", "ema_memory", "ewm_std_12")],
 ]
 
 
